@@ -53,3 +53,33 @@ def fold(id_col: Column, folds: int) -> Column:
 def word_count(text: Column) -> Column:
     """Number of words between ASCII white space; null counts as empty."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(ASCII_WORD)).cast("long")
+
+
+def bounded_sample(marks: DataFrame, texts: DataFrame, per_label: int, max_chars: int) -> list[tuple]:
+    """(label, text) pairs to fit a classifier on: of each label about
+    ``per_label`` rows, spread over all rows by a hash of the id, and no more
+    than ``max_chars`` characters of text (a longer text is passed over).
+
+    ``marks``: id, label. ``texts``: id, text. Null and empty texts are left
+    out. Only ids, lengths and the chosen texts reach the driver."""
+    counts = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
+    spread = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
+    share = F.lit(0.0)
+    for label, n in counts.items():
+        share = F.when(F.col("label") == label, F.lit(min(1.0, per_label / n))).otherwise(share)
+    chosen = marks.withColumn("spread", spread).filter(F.col("spread") < share)
+    sized = texts.join(F.broadcast(chosen), "id").select("id", "label", "spread", F.length("text").alias("n")).filter("n > 0")
+    left = {label: [per_label * 2, max_chars] for label in counts}
+    ids = []
+    for r in sorted(sized.collect(), key=lambda r: (r["spread"], r["id"], r["n"])):
+        room = left[r["label"]]
+        if room[0] > 0 and r["n"] <= room[1]:
+            room[0] -= 1
+            room[1] -= r["n"]
+            ids.append((r["id"], r["label"]))
+    if not ids:
+        return []
+    spark = marks.sparkSession
+    wanted = spark.createDataFrame(list(dict(ids).items()), marks.select("id", "label").schema)
+    found = texts.join(F.broadcast(wanted), "id").filter("length(text) > 0").select("id", "label", "text").collect()
+    return [(r["label"], r["text"]) for r in sorted(found, key=lambda r: (r["id"], r["text"]))]

@@ -2,7 +2,9 @@
 
 The texts themselves are sorted: Spark samples splitters, range-partitions rows
 by text, sorts each range externally (it spills), and equal texts stand side by
-side. A window over the sorted run compares each full text with its neighbour
+side. Splitters are kept short: they hold the first ``HEAD`` characters and a
+64-bit hash that orders texts with equal heads, so what Spark samples to the
+driver does not depend on how long texts are. A window over the sorted run compares each full text with its neighbour
 and opens a new group where they differ; the row with the largest id of a group
 stays. Only DataFrame functions run.
 
@@ -23,6 +25,9 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import shuffle_partitions
 
+#: Characters of a text in the splitters.
+HEAD = 32
+
 
 def sort_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None, carry: bool = True) -> DataFrame:
     """One row per input row: ``row`` (struct of the input columns but the
@@ -60,9 +65,10 @@ def sort_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows.withColumn("sha", F.sha2("key", 256))
         .join(F.broadcast(hot), "sha", "left")
         .withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.floor(F.col("hot_size") / least) + 1), F.lit(0)))
-        .repartitionByRange(parts, "key", "salt")
+        .withColumns({"head": F.substring("key", 1, HEAD), "h": F.xxhash64("key")})
+        .repartitionByRange(parts, "head", "h", "salt")
     )
-    run = Window.partitionBy("key", "salt")
+    run = Window.partitionBy("head", "h", "salt", "key")
     order = run.orderBy(F.col("id").desc_nulls_last())
     first = F.first("id").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return runs.select(

@@ -6,12 +6,20 @@ the whole table and returns the columns that its contract names."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm.common import table
+from quire.llm.common import fold, table
 from quire.llm.curriculum import mixture
 from quire.llm.exact_dedup import exact_groups
 from quire.llm.packing import pack_documents
 from quire.llm.token_files import token_index
+from quire.llm.toxicity import score_documents, train
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +39,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_pack": op4_pack,
     "op6_mix": op6_mix,
