@@ -8,8 +8,9 @@ that carry it, so the model also locates the offending sentences.
 
 Words are hashed to ``BUCKETS`` weights. The model is fitted on a bounded sample
 (``SAMPLE_PER_LABEL`` documents a label, ``SAMPLE_CHARS`` characters a label);
-scoring reads every whole text, with no shuffle. Words seen in fewer than
-``MIN_DOCS`` documents of the sample get no weight.
+scoring reads every whole text, with no shuffle. Words
+that follow few different words in the sample (fewer than ``MIN_CONTEXTS``, or
+a fortieth of the toxic documents) get no weight, so that the chance words of a much-copied document do not.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ from quire.llm.common import bounded_sample, fold
 
 BUCKETS = 1 << 18
 SAMPLE_PER_LABEL, SAMPLE_CHARS = 3000, 12_000_000
-MIN_DOCS, STEPS, RATE, PENALTY, BIAS = 5, 120, 0.3, 2e-4, -7.0
+#: Clean documents weigh ``NEGATIVES`` times as much, so that few are rejected.
+MIN_CONTEXTS, STEPS, RATE, PENALTY, BIAS, NEGATIVES = 5, 200, 1.0, 1e-4, -10.0, 3.0
+BIAS_RATE = 0.3
 #: Words that a worker keeps the weights of.
 KEPT = 500_000
 
@@ -71,8 +74,15 @@ class NoisyOrModel:
             if not len(sentence):
                 out.append(np.zeros(0))
                 continue
-            opens = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])
-            out.append(1 / (1 + np.exp(-(self.bias + np.add.reduceat(z[~end], opens)))))
+            number = np.cumsum(np.r_[False, sentence[1:] != sentence[:-1]])
+            z = z[~end]
+            told = np.flatnonzero(z)
+            at, z = number[told], z[told]
+            order = np.lexsort((z, at))  # a word counts once in a sentence; its weight stands for it
+            at, z = at[order], z[order]
+            new = np.r_[True, (at[1:] != at[:-1]) | (z[1:] != z[:-1])][: len(z)]
+            total = np.bincount(at[new], weights=z[new], minlength=number[-1] + 1)
+            out.append(1 / (1 + np.exp(-np.clip(self.bias + total, -30, 30))))
         return out
 
 
@@ -83,6 +93,7 @@ def noisy_or(p: np.ndarray) -> float:
 def fit(labelled: list[tuple[int, str]]) -> NoisyOrModel:
     """Fit on (label, text) pairs; without both labels, all weights are zero."""
     words, sentences, bags, labels = [], [], [], []
+    contexts: set[tuple[int, int]] = set()
     for label, text in labelled:
         n = len(sentences)
         here: list[int] = []
@@ -90,6 +101,8 @@ def fit(labelled: list[tuple[int, str]]) -> NoisyOrModel:
             if x != b"|":
                 here.append(bucket(x))
             elif here:
+                contexts.update(zip([-1, *here], here))
+                here = list(dict.fromkeys(here))
                 words += here
                 sentences.append(len(here))
                 here = []
@@ -104,22 +117,22 @@ def fit(labelled: list[tuple[int, str]]) -> NoisyOrModel:
     of = np.repeat(np.arange(len(sentences)), sentences)
     first = np.r_[0, np.cumsum(bags)[:-1]]
     bag = np.repeat(np.arange(len(bags)), bags)
-    pairs = np.unique(bag[of].astype(np.int64) * BUCKETS + word) % BUCKETS
-    use = np.bincount(pairs, minlength=BUCKETS) >= MIN_DOCS
+    after = np.fromiter((w for _, w in contexts), np.int64, len(contexts))
+    use = np.bincount(after, minlength=BUCKETS) >= max(MIN_CONTEXTS, sum(labels) // 40)
     w, bias = np.zeros(BUCKETS), BIAS
     g2, b2 = np.full(BUCKETS, 1e-8), 1e-8
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(bias + np.add.reduceat(w[word], opens), -30, 30)))
         clean = np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-9)), first)
         big = np.maximum(-np.expm1(clean), 1e-9)
-        dz = p * np.where(y > 0, -np.exp(clean) / big, 1.0)[bag] / len(y)
+        dz = p * np.where(y > 0, -np.exp(clean) / big, NEGATIVES)[bag] / len(y)
         g = np.bincount(word, weights=dz[of], minlength=BUCKETS)
         g2 += g * g
         w -= RATE * g / np.sqrt(g2)
         w = np.where(use, np.sign(w) * np.maximum(np.abs(w) - RATE * PENALTY / np.sqrt(g2), 0), 0)
         gb = dz.sum()
         b2 += gb * gb
-        bias -= 0.1 * gb / np.sqrt(b2)
+        bias -= BIAS_RATE * gb / np.sqrt(b2)
     return NoisyOrModel(w.astype(np.float32), float(bias))
 
 
