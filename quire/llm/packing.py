@@ -166,9 +166,9 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         for pdf in batches:
             ids, texts = pdf["id"].astype(object).where(pdf["id"].notna(), None).tolist(), pdf["text"].tolist()
-            for k in range(0, len(texts), 256):
-                names += ids[k : k + 256]
-                new = encode_documents(vocabulary, texts[k : k + 256], end_id)
+            for k in range(0, len(texts), 1024):
+                names += ids[k : k + 1024]
+                new = encode_documents(vocabulary, texts[k : k + 1024], end_id)
                 parts += new
                 held += sum(map(len, new))
                 if held >= CHUNK_IDS:

@@ -8,9 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm import language
+from quire.llm.brown import language_model_scores
 from quire.llm.common import fold, table
 from quire.llm.curriculum import mixture
 from quire.llm.exact_dedup import exact_groups
+from quire.llm.license_scan import scan_licenses
 from quire.llm.packing import pack_documents
 from quire.llm.token_files import token_index
 from quire.llm.toxicity import score_documents, train
@@ -26,14 +29,28 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.train(docs))
+    return found.withColumn("held_out", fold(F.col("doc_id"), 3) == 1)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(table(spark, sf_dir, "documents"))
 
@@ -41,8 +58,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_brown_lm": op3_brown_lm,
     "op4_pack": op4_pack,
+    "op5_license_scan": op5_license_scan,
     "op6_mix": op6_mix,
+    "op8_language": op8_language,
     "op10_token_files": op10_token_files,
 }
 

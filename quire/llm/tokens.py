@@ -2,21 +2,30 @@
 
 The vocabulary's pre-tokenizer drops white space and never joins pieces across
 it, so a text's ids are the ids of its white-space chunks one after the other.
-Chunks repeat, so each worker keeps the ids of those it has met; the store is
-emptied when it holds ``KEPT`` chunks, whatever the corpus holds.
+Nor does it join letters with ASCII punctuation behind them, and it lower-cases,
+so the ids of "Word," are those of "word" and of ",". Chunks repeat: Arrow finds
+the different ones of a group of texts, and each worker keeps the ids of those
+it has met, ``KEPT`` at most. A store that is full drops its older half.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Chunks that a worker keeps (about 200 bytes each), and the longest one kept.
-KEPT, LONGEST = 400_000, 64
+#: Chunks that a worker keeps (about 180 bytes each), and the longest one kept.
+KEPT, LONGEST = 1_000_000, 48
+#: Words that the tokenizer gets at once.
+JOINED = 500
 END_ID = 1
+#: Letters, and what begins with ASCII punctuation behind them.
+_WORD = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~].*)?\Z", re.DOTALL)
 
 
 def default_vocabulary() -> str:
@@ -31,33 +40,68 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def _encode(self, chunks: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+        self.long: dict[str, bytes] = {}
+
+    def _each(self, items: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(items, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def _letters(self, items: list[str]) -> list[bytes]:
+        """Of items of letters only: each is one piece and has one word end."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(items)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(items):
+            return self._each(items)
+        data, at = ids.tobytes(), (4 * np.r_[0, ends]).tolist()
+        return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        split: list[tuple[str, str, str]] = []
+        letters: dict[str, bytes] = {}
+        others: dict[str, bytes] = {"": b""}
+        for chunk in new:
+            m = _WORD.match(chunk)
+            word, tail = m.groups("") if m else ("", chunk)
+            if word.lower().isalpha():
+                letters[word] = b""
+            else:  # also where lower-casing leaves a mark behind the letters
+                word, tail = "", chunk
+            others[tail] = b""
+            split.append((chunk, word, tail))
+        for words, encode, most in ((letters, self._letters, JOINED), (others, self._each, 4096)):
+            items = list(words)
+            for k in range(0, len(items), most):
+                words.update(zip(items[k : k + most], encode(items[k : k + most]), strict=True))
+        letters.update(others)
+        for chunk, word, tail in split:
+            (self.known if len(chunk) <= LONGEST else self.long)[chunk] = letters[word] + letters[tail]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        known = self.known
-        if len(known) > KEPT:
-            known.clear()
-        split = [(t or "").encode().split() for t in texts]
-        new = set().union(*split).difference(known)
-        fresh: dict[bytes, bytes] = {}
-        if new:
-            chunks = list(new)
-            for k in range(0, len(chunks), 4096):
-                part = chunks[k : k + 4096]
-                fresh.update(zip(part, self._encode(part), strict=True))
-            known.update((c, i) for c, i in fresh.items() if len(c) <= LONGEST)
-        out = []
-        for words in split:
-            try:
-                out.append(b"".join(map(known.__getitem__, words)))
-            except KeyError:  # holds a chunk too long to keep
-                out.append(b"".join([known[c] if c in known else fresh[c] for c in words]))
-        return out
+        if len(self.known) > KEPT:
+            self.known = dict(list(self.known.items())[KEPT // 2 :])
+        self.long.clear()
+        # The tokenizer's special tokens are known in lower case only.
+        lists = pc.ascii_split_whitespace(pa.array([t if "<|" in t else t.encode().lower().decode() for t in texts], pa.large_string()))
+        coded = lists.values.dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        got = list(map(self.known.get, chunks))
+        if new := [c for c, g in zip(chunks, got, strict=True) if g is None]:
+            self._learn(new)
+            got = [self.known.get(c) or self.long.get(c, b"") if g is None else g for c, g in zip(chunks, got, strict=True)]
+        flat = np.frombuffer(b"".join(got), "<u4")
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        begins = np.cumsum(sizes) - sizes
+        code = coded.indices.to_numpy()
+        n = sizes[code]
+        ends = np.cumsum(n)
+        ids = flat[np.arange(n.sum()) + np.repeat(begins[code] - (ends - n), n)]
+        cut = np.r_[0, ends][lists.offsets.to_numpy()]
+        return [ids[x:y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -66,9 +110,9 @@ def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
-def encode_documents(path: str, texts: list[str | None], end_id: int = END_ID, group: int = 256) -> list[np.ndarray]:
+def encode_documents(path: str, texts: list[str | None], end_id: int = END_ID, group: int = 1024) -> list[np.ndarray]:
     """Ids of each text with the end id behind, as '<u4' arrays."""
-    enc, end, out = encoder(path), array("I", [end_id]).tobytes(), []
+    enc, end, out = encoder(path), np.array([end_id], "<u4"), []
     for k in range(0, len(texts), group):
-        out += [np.frombuffer(x + end, dtype="<u4") for x in enc.encode(texts[k : k + group])]
+        out += [np.concatenate((x, end)) for x in enc.encode([t or "" for t in texts[k : k + group]])]
     return out
