@@ -13,6 +13,7 @@ from quire.llm.brown import language_model_scores
 from quire.llm.common import fold, table
 from quire.llm.curriculum import mixture
 from quire.llm.exact_dedup import exact_groups
+from quire.llm.jaccard_join import near_duplicate_groups
 from quire.llm.license_scan import scan_licenses
 from quire.llm.packing import pack_documents
 from quire.llm.token_files import token_index
@@ -51,6 +52,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", fold(F.col("doc_id"), 3) == 1)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_groups(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ QUERIES = {
     "op5_license_scan": op5_license_scan,
     "op6_mix": op6_mix,
     "op8_language": op8_language,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_token_files": op10_token_files,
 }
 

@@ -24,7 +24,7 @@ class WaveletMatrix:
         self.planes, self.n, self.bits = planes, n, len(planes)
         self.ones = []  # ones before each block
         self.zeros = []  # zeros of the whole plane
-        for p in planes:
+        for p in planes:  # bits behind the n-th are zero
             counts = np.bitwise_count(np.pad(p, (0, -len(p) % (BLOCK // 8))).reshape(-1, BLOCK // 8)).sum(1, dtype=np.int64)
             self.ones.append(np.concatenate(([0], np.cumsum(counts))))
             self.zeros.append(n - int(self.ones[-1][-1]))
@@ -97,15 +97,16 @@ class WaveletMatrix:
         return i
 
     def decode(self) -> np.ndarray:
-        """All values, in order."""
-        at, out = np.arange(self.n, dtype=np.int32 if self.n < 2**31 else np.int64), np.zeros(self.n, np.uint32)
-        for k in range(self.bits):
-            bit = np.unpackbits(self.planes[k], bitorder="little")[: self.n]
-            one = np.cumsum(bit, dtype=at.dtype)
-            to = np.where(bit, self.zeros[k] + one - 1, np.arange(self.n, dtype=at.dtype) - one)
-            out = out << np.uint32(1) | bit[at]
-            at = to[at]
-        return out
+        """All values, in order: from the last plane up, each plane's zeros and
+        ones take their values from the front and the back of the plane below."""
+        below = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
+        for k in range(self.bits - 1, -1, -1):
+            one = np.unpackbits(self.planes[k], bitorder="little")[: self.n].astype(bool)
+            row = np.empty_like(below)
+            row[~one] = below[: self.zeros[k]]
+            row[one] = below[self.zeros[k] :] | below.dtype.type(1 << (self.bits - 1 - k))
+            below = row
+        return below.astype(np.uint32)
 
     def to_bytes(self) -> bytes:
         head = MAGIC + struct.pack("<QI", self.n, self.bits)
