@@ -13,6 +13,7 @@ from quire.llm.brown import language_model_scores
 from quire.llm.common import fold, table
 from quire.llm.curriculum import mixture
 from quire.llm.exact_dedup import exact_groups
+from quire.llm.hnsw import nearest
 from quire.llm.jaccard_join import near_duplicate_groups
 from quire.llm.license_scan import scan_licenses
 from quire.llm.packing import pack_documents
@@ -46,6 +47,10 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), every=50)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.train(docs))
@@ -67,6 +72,7 @@ QUERIES = {
     "op4_pack": op4_pack,
     "op5_license_scan": op5_license_scan,
     "op6_mix": op6_mix,
+    "op7_nearest": op7_nearest,
     "op8_language": op8_language,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_token_files": op10_token_files,
