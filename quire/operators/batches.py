@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import excerpt
+from quire.operators.glossary import letter_triples
 
 MAX_CHARS, MAX_SEGMENTS, GLOSSARY_LINES, EXCERPT = 5000, 24, 40, 240
 #: The marks around a protected term and around a block's number.
@@ -44,11 +45,10 @@ def pack_batches(segments: DataFrame, key: str = "doc_id", order: str = "ordinal
 def batch_glossary(batches: DataFrame, terms: DataFrame, key: str, most: int = GLOSSARY_LINES) -> DataFrame:
     """The terms that occur in each batch, the most frequent first. ``batches``:
     key, batch keys, hay; ``terms``: key, term, count. Both sides are lower-cased
-    before the join; terms meet batches on their first pair of letters."""
+    before the join; terms meet batches on their first three characters."""
     low = batches.withColumn("low", F.lower("hay")).drop("hay")
-    pairs = F.array_union(F.regexp_extract_all(F.col("low"), F.lit("[a-z0-9_]{2}"), F.lit(0)), F.regexp_extract_all(F.substring(F.col("low"), F.lit(2), F.length("low")), F.lit("[a-z0-9_]{2}"), F.lit(0)))
-    wanted = terms.withColumn("low_term", F.lower("term")).withColumn("anchor", F.regexp_extract("low_term", "[a-z0-9_]{2}", 0))
-    hits = low.withColumn("anchor", F.explode(pairs)).join(wanted, [key, "anchor"]).filter(F.col("low").contains(F.col("low_term")))
+    wanted = terms.withColumn("low_term", F.lower("term")).withColumn("anchor", F.substring("low_term", 1, 3))
+    hits = low.withColumn("anchor", F.explode(letter_triples(F.col("low")))).join(wanted, [key, "anchor"]).filter(F.col("low").contains(F.col("low_term")))
     ids = [c for c in batches.columns if c != "hay"]
     rank = F.row_number().over(Window.partitionBy(*ids).orderBy(F.col("count").desc(), "term"))
     return hits.select(*ids, "term", "count").withColumn("rank", rank).filter(F.col("rank") <= most)
@@ -103,10 +103,14 @@ def protect(text: str, terms: list[str], start: int = 0) -> tuple[str, dict[str,
     return re.sub("|".join(map(re.escape, wanted)), token, text), {v: k for k, v in tokens.items()}
 
 
-@F.pandas_udf("protected string, tokens map<string,string>")
-def protect_spans(text: pd.Series, terms: pd.Series) -> pd.DataFrame:
-    out = [protect(t or "", [] if x is None else list(x)) for t, x in zip(text, terms, strict=True)]
-    return pd.DataFrame(out, columns=["protected", "tokens"])
+def protect_spans(text: Column | str, terms: Column | str) -> Column:
+    """struct(protected, tokens: token -> term)."""
+
+    def run(texts: pd.Series, lists: pd.Series) -> pd.DataFrame:
+        out = [protect(t or "", [] if x is None else list(x)) for t, x in zip(texts, lists, strict=True)]
+        return pd.DataFrame(out, columns=["protected", "tokens"])
+
+    return F.pandas_udf(run, "protected string, tokens map<string,string>")(text, terms)
 
 
 def restore_spans(text: Column, tokens: Column) -> Column:
@@ -128,7 +132,11 @@ def parse_reply(text: str, count: int) -> list[tuple[int, str]]:
 
 def parse_replies(replies: DataFrame, keys: list[str]) -> DataFrame:
     """``replies``: keys, reply, count. keys, idx, body of each block."""
-    blocks = F.pandas_udf(lambda t, n: pd.Series([[{"idx": i, "body": b} for i, b in parse_reply(x, c)] for x, c in zip(t, n, strict=True)]), "array<struct<idx:int,body:string>>")
+
+    def split(texts: pd.Series, counts: pd.Series) -> pd.Series:
+        return pd.Series([[{"idx": i, "body": b} for i, b in parse_reply(x, c)] for x, c in zip(texts, counts, strict=True)])
+
+    blocks = F.pandas_udf(split, "array<struct<idx:int,body:string>>")
     return replies.select(*keys, F.explode(blocks("reply", "count")).alias("b")).select(*keys, "b.idx", "b.body")
 
 

@@ -27,6 +27,11 @@ def ascii_view(c: Column) -> Column:
     return F.regexp_replace(c, r"[^\x00-\x7F]", "0")
 
 
+def letter_triples(c: Column) -> Column:
+    """All different runs of three characters."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)(?=(...))"), F.lit(1)))
+
+
 def _count(df: DataFrame, key: str, terms: Column) -> DataFrame:
     return df.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("count"))
 
@@ -97,13 +102,11 @@ def first_occurrences(terms: DataFrame, nodes: DataFrame, key: str, radius: int
     """The first node (by ``order``) that holds each term in any case, with the
     text around it; terms without one are dropped. ``nodes``: key, order, node, text.
 
-    Nodes and terms meet on two letters: the term's first pair of letters or
-    digits must occur in the node, so the join is on (collection, pair)."""
+    Nodes and terms meet on three characters: the term's first three must occur in
+    the node, so the join is on (collection, triple)."""
     low = nodes.withColumn("low", F.lower("text"))
-    starts = F.array_distinct(F.regexp_extract_all(F.col("low"), F.lit(r"[a-z0-9_]{2}"), F.lit(0)))
-    odd = F.array_distinct(F.regexp_extract_all(F.substring(F.col("low"), F.lit(2), F.length("low")), F.lit(r"[a-z0-9_]{2}"), F.lit(0)))
-    anchored = low.withColumn("anchor", F.explode(F.array_union(starts, odd)))
-    wanted = terms.withColumn("low_term", F.lower("term")).withColumn("anchor", F.regexp_extract("low_term", r"[a-z0-9_]{2}", 0))
+    anchored = low.withColumn("anchor", F.explode(letter_triples(F.col("low"))))
+    wanted = terms.withColumn("low_term", F.lower("term")).withColumn("anchor", F.substring("low_term", 1, 3))
     hits = anchored.join(wanted, [key, "anchor"]).filter(F.col("low").contains(F.col("low_term")))
     first = hits.groupBy(key, "term").agg(F.min_by(F.struct("node", "text", "low_term"), "order").alias("f"))
     place = F.instr(F.lower("f.text"), F.col("f.low_term"))

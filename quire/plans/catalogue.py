@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quire.plans import documents
+from quire.plans import documents, glossary, translation
 
-QUERIES = {**documents.QUERIES}
-ORACLES = {**documents.ORACLES}
+MODULES = (documents, glossary, translation)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
