@@ -23,8 +23,11 @@ qualifying pair is compared, whatever the size of a group.
 
 Token frequencies are counted in 2^16 buckets over all documents (rarity only
 orders tokens; any order gives the same result), which is all that is sent to
-every task, besides 2^17 flags that keep documents without a candidate from
-being shuffled.
+every task, besides 2^17 and 2^20 flags that keep documents without a candidate
+and most tokens of one group from being shuffled.
+
+Sets go by 64-bit numbers while candidates are sought; should two sets share
+one, both are compared. Links name sets by their signatures.
 """
 
 from __future__ import annotations
@@ -43,7 +46,7 @@ from quire.llm.components import connected_components
 
 WORDS, PERCENT = 5, 80
 BANDS, PART, CHUNK = 4, 64, 256
-BUCKET_BITS, FLAG_BITS = 16, 17
+BUCKET_BITS, FLAG_BITS, TOKEN_FLAG_BITS = 16, 17, 20
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BAND_KEYS = np.random.default_rng(7).integers(1, 2**63, 2 * BANDS, dtype=np.uint64) | np.uint64(1)
 _PLACES = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
@@ -126,15 +129,16 @@ def similar_sizes(a: Column, b: Column, percent: int) -> Column:
 
 
 def verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
-    """``pairs``: q, g (sets that query groups). ``members``: key, g. Links
-    q, s: for each pair the first member that q links with, if any.
+    """``pairs``: q, g (sets that query groups, by their numbers). ``members``:
+    sid, g. Links q, s, by signature: for each pair the first member that q
+    links with, if any.
 
     The texts of the sets concerned are fetched by the id that stands for the
     set; documents that share an id with another are told by their signature."""
     sizes = pairs.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    asks = pairs.join(sizes, "g").select("g", F.pmod(F.xxhash64("q"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("asks"), F.col("q").alias("key"))
-    holds = members.join(sizes, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("asks"), "key")
-    roles = materialize(asks.unionByName(holds).join(sets.select("key", "id"), "key"), "roles")
+    asks = pairs.join(sizes, "g").select("g", F.pmod(F.xxhash64("q"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("asks"), F.col("q").alias("sid"))
+    holds = members.join(sizes, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("asks"), "sid")
+    roles = materialize(asks.unionByName(holds).join(sets.select("sid", "key", "id"), "sid").drop("sid"), "roles")
 
     flag = F.pmod(F.xxhash64("id"), F.lit(1 << FLAG_BITS))
     flags = roles.select(flag.alias("flag")).distinct()
@@ -205,43 +209,48 @@ def group_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = bucket_counts(table)
     each = table.filter("counts is null").select("id", "n", "key")
     full = table.filter("key is not null")
-    sets = materialize(full.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "distinct-sets")
+    sets = full.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    sets = materialize(sets.withColumn("sid", F.xxhash64("key")), "distinct-sets")
 
-    # Groups of similar sets, each around the smallest set of a band.
-    banded = sets.select("key", "n", F.posexplode("bands").alias("band", "value"))
-    leaders = banded.groupBy("band", "value").agg(F.min(F.struct("key", "n")).alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    # Groups of similar sets, each around one set of a band.
+    banded = sets.select("sid", "n", F.posexplode("bands").alias("band", "value"))
+    leaders = banded.groupBy("band", "value").agg(F.min(F.struct("sid", "n")).alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     near = (
-        banded.join(leaders.select("band", "value", F.col("lead.key").alias("g"), F.col("lead.n").alias("m")), ["band", "value"])
-        .filter((F.col("key") != F.col("g")) & similar_sizes(F.col("n"), F.col("m"), percent))
-        .select(F.col("key").alias("q"), "g")
+        banded.join(leaders.select("band", "value", F.col("lead.sid").alias("g"), F.col("lead.n").alias("m")), ["band", "value"])
+        .filter((F.col("sid") != F.col("g")) & similar_sizes(F.col("n"), F.col("m"), percent))
+        .select(F.col("sid").alias("q"), "g")
         .distinct()
     )
     near = materialize(near, "near")
-    stars = materialize(verify(docs, sets, near, near.select("g").distinct().select(F.col("g").alias("key"), "g"), words, percent), "stars")
+    stars = materialize(verify(docs, sets, near, near.select("g").distinct().select(F.col("g").alias("sid"), "g"), words, percent), "stars")
     first = connected_components(stars.select(F.col("q").alias("a"), F.col("s").alias("b")))
-    placed = sets.select("key", "n").join(first.select(F.col("v").alias("key"), "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    placed = materialize(placed, "groups")
+    placed = sets.select("key", "sid", "n").join(first.select(F.col("v").alias("key"), "comp"), "key", "left")
+    placed = materialize(placed.select("sid", "n", F.xxhash64(F.coalesce("comp", "key")).alias("comp")), "groups")
 
     # The token-group matrix, over tokens that more than one group holds.
-    heads = prefixes(docs, counts, words, percent).dropDuplicates(["key"])
-    cells = heads.join(placed, "key").select("key", "n", "comp", F.posexplode("tokens").alias("pos", "token"))
-    cells = materialize(cells, "cells")
-    shared = cells.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+    heads = prefixes(docs, counts, words, percent).select(F.xxhash64("key").alias("sid"), "tokens").groupBy("sid").agg(F.first("tokens").alias("tokens"))
+    heads = materialize(heads.join(placed, "sid"), "heads")
+    shared = heads.select("comp", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    shared = materialize(shared.filter("lo <> hi").select("token"), "shared-tokens")
+    token_flag = F.pmod(F.xxhash64("token"), F.lit(1 << TOKEN_FLAG_BITS)).cast("int")
+    flags = shared.select(token_flag.alias("flag")).distinct()
+    cells = heads.select("sid", "n", "comp", F.posexplode("tokens").alias("pos", "token")).withColumn("flag", token_flag)
+    cells = cells.join(F.broadcast(flags), "flag", "left_semi").drop("flag")
     cells = materialize(cells.join(shared, "token"), "shared-cells")
     comps = cells.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
     largest = comps.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("largest"))
     sizes = placed.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-    part = F.md5(F.concat(F.col("comp"), F.pmod(F.xxhash64("key"), F.col("parts")).cast("string").cast("binary")))
-    parts = materialize(placed.join(sizes, "comp").select("key", part.alias("g")), "parts")
-    matrix = cells.join(parts, "key").groupBy("token", "g", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("at"))
-    asks = cells.join(largest, "token").filter("comp <> largest").select("token", "key", "n", "pos", F.col("comp").alias("own"))
+    part = F.xxhash64("comp", F.pmod(F.xxhash64("sid"), F.col("parts")))
+    parts = materialize(placed.join(sizes, "comp").select("sid", part.alias("g")), "parts")
+    matrix = cells.join(parts, "sid").groupBy("token", "g", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("at"))
+    asks = cells.join(largest, "token").filter("comp <> largest").select("token", "sid", "n", "pos", F.col("comp").alias("own"))
     bound = F.least(F.col("n") - F.col("pos"), F.col("most") - F.col("at"))
     pairs = (
         asks.join(matrix, "token")
         .filter("own <> comp")
         .filter((F.col("n") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("n") * percent))
         .filter(bound * (100 + percent) >= (F.col("n") + F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))) * percent)
-        .select(F.col("key").alias("q"), "g")
+        .select(F.col("sid").alias("q"), "g")
         .distinct()
     )
     pairs = materialize(pairs, "pairs")

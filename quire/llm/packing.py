@@ -166,11 +166,10 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         for pdf in batches:
             ids, texts = pdf["id"].astype(object).where(pdf["id"].notna(), None).tolist(), pdf["text"].tolist()
-            for k in range(0, len(texts), 1024):
-                names += ids[k : k + 1024]
-                new = encode_documents(vocabulary, texts[k : k + 1024], end_id)
-                parts += new
-                held += sum(map(len, new))
+            for name, tokens in zip(ids, encode_documents(vocabulary, texts, end_id), strict=True):
+                names.append(name)
+                parts.append(tokens)
+                held += len(tokens)
                 if held >= CHUNK_IDS:
                     yield flush()
                     names, parts, held = [], [], 0

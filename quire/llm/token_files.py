@@ -49,14 +49,13 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
 
         for pdf in batches:
             names, texts = pdf["id"].astype(object).where(pdf["id"].notna(), None).tolist(), pdf["text"].tolist()
-            for k in range(0, len(texts), 1024):
-                for name, ids in zip(names[k : k + 1024], encode_documents(vocabulary, texts[k : k + 1024], end_id), strict=True):
-                    doc_ids.append(name)
-                    parts.append(ids)
-                    held += len(ids)
-                    if held >= BLOCK_IDS:
-                        yield flush()
-                        block, start, held, doc_ids, parts = block + 1, start + held, 0, [], []
+            for name, ids in zip(names, encode_documents(vocabulary, texts, end_id), strict=True):
+                doc_ids.append(name)
+                parts.append(ids)
+                held += len(ids)
+                if held >= BLOCK_IDS:
+                    yield flush()
+                    block, start, held, doc_ids, parts = block + 1, start + held, 0, [], []
         if parts:
             yield flush()
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,9 +21,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks that a worker keeps (about 180 bytes each), and the longest one kept.
-KEPT, LONGEST = 1_000_000, 48
-#: Words that the tokenizer gets at once.
-JOINED = 500
+KEPT, LONGEST = 800_000, 48
+#: Words that the tokenizer gets at once, and characters of a group of texts.
+JOINED, GROUP_CHARS = 500, 16_000_000
 END_ID = 1
 #: Letters, and what begins with ASCII punctuation behind them.
 _WORD = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~].*)?\Z", re.DOTALL)
@@ -38,8 +39,13 @@ class ChunkEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Words of the letters a-z alone pass the normalizer and the rules for
+        # pieces unchanged, so the same vocabulary without these will do.
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer, self.bare.pre_tokenizer = None, WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -50,9 +56,9 @@ class ChunkEncoder:
         found = self.tokenizer.encode_batch_fast(items, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def _letters(self, items: list[str]) -> list[bytes]:
+    def _letters(self, items: list[str], bare: bool = False) -> list[bytes]:
         """Of items of letters only: each is one piece and has one word end."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(items)], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array((self.bare if bare else self.tokenizer).encode_batch_fast([" ".join(items)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(items):
             return self._each(items)
@@ -60,10 +66,14 @@ class ChunkEncoder:
         return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
 
     def _learn(self, new: list[str]) -> None:
+        plain = [c for c in new if c.isascii() and c.isalpha() and c.islower()]
+        for k in range(0, len(plain), JOINED):
+            part = plain[k : k + JOINED]
+            self._keep(part, self._letters(part, bare=True))
         split: list[tuple[str, str, str]] = []
         letters: dict[str, bytes] = {}
         others: dict[str, bytes] = {"": b""}
-        for chunk in new:
+        for chunk in set(new).difference(plain):
             m = _WORD.match(chunk)
             word, tail = m.groups("") if m else ("", chunk)
             if word.lower().isalpha():
@@ -77,8 +87,12 @@ class ChunkEncoder:
             for k in range(0, len(items), most):
                 words.update(zip(items[k : k + most], encode(items[k : k + most]), strict=True))
         letters.update(others)
-        for chunk, word, tail in split:
-            (self.known if len(chunk) <= LONGEST else self.long)[chunk] = letters[word] + letters[tail]
+        self._keep([c for c, *_ in split], [letters[word] + letters[tail] for _, word, tail in split])
+
+    def _keep(self, chunks: list[str], ids: list[bytes]) -> None:
+        self.known.update(zip(chunks, ids, strict=True))
+        for chunk in [c for c in chunks if len(c) > LONGEST]:
+            self.long[chunk] = self.known.pop(chunk)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
@@ -110,9 +124,14 @@ def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
-def encode_documents(path: str, texts: list[str | None], end_id: int = END_ID, group: int = 1024) -> list[np.ndarray]:
+def encode_documents(path: str, texts: list[str | None], end_id: int = END_ID) -> Iterator[np.ndarray]:
     """Ids of each text with the end id behind, as '<u4' arrays."""
-    enc, end, out = encoder(path), np.array([end_id], "<u4"), []
-    for k in range(0, len(texts), group):
-        out += [np.concatenate((x, end)) for x in enc.encode([t or "" for t in texts[k : k + group]])]
-    return out
+    enc, end = encoder(path), np.array([end_id], "<u4")
+    group, chars = [], 0
+    for k, text in enumerate(texts, 1):
+        group.append(text or "")
+        chars += len(group[-1])
+        if chars >= GROUP_CHARS or k == len(texts):
+            for ids in enc.encode(group):
+                yield np.concatenate((ids, end))
+            group, chars = [], 0

@@ -4,15 +4,15 @@ Plane k holds bit ``bits-1-k`` of every value, in the order that the planes
 above leave: values with bit 0 move to the front, stably. With counts of ones
 before each block of 512 bits (rank), a value is read, its occurrences counted
 and found by following one position through the planes. Serialised, a matrix
-is one zlib-compressed byte string.
+is one zstd-compressed byte string.
 """
 
 from __future__ import annotations
 
 import struct
-import zlib
 
 import numpy as np
+import zstandard
 
 BLOCK = 512
 MAGIC = b"QWM1"
@@ -36,10 +36,9 @@ class WaveletMatrix:
         row = values.astype(np.uint16 if bits <= 16 else np.uint32)
         planes = []
         for k in range(bits - 1, -1, -1):
-            bit = (row >> row.dtype.type(k)) & row.dtype.type(1)
-            planes.append(np.packbits(bit.astype(np.uint8), bitorder="little"))
-            up = bit.astype(bool)
-            row = np.concatenate((row[~up], row[up]))
+            one = (row & row.dtype.type(1 << k)) != 0
+            planes.append(np.packbits(one, bitorder="little"))
+            row = np.concatenate((row[~one], row[one]))
         return cls(planes, n)
 
     def _bit(self, k: int, i: int) -> int:
@@ -110,12 +109,12 @@ class WaveletMatrix:
 
     def to_bytes(self) -> bytes:
         head = MAGIC + struct.pack("<QI", self.n, self.bits)
-        return head + zlib.compress(b"".join(p.tobytes() for p in self.planes), 1)
+        return head + zstandard.compress(b"".join(p.tobytes() for p in self.planes), 1)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> "WaveletMatrix":
         if data[:4] != MAGIC:
             raise ValueError("not a wavelet matrix")
         n, bits = struct.unpack_from("<QI", data, 4)
-        raw, size = zlib.decompress(data[16:]), (n + 7) // 8
+        raw, size = zstandard.decompress(data[16:]), (n + 7) // 8
         return cls([np.frombuffer(raw, np.uint8, size, k * size) for k in range(bits)], n)
