@@ -102,11 +102,14 @@ def first_occurrences(terms: DataFrame, nodes: DataFrame, key: str, radius: int
     """The first node (by ``order``) that holds each term in any case, with the
     text around it; terms without one are dropped. ``nodes``: key, order, node, text.
 
-    Nodes and terms meet on three characters: the term's first three must occur in
-    the node, so the join is on (collection, triple)."""
+    Nodes and terms meet on three characters: of the term's, those that the
+    fewest nodes hold, so the join is on (collection, triple)."""
     low = nodes.withColumn("low", F.lower("text"))
     anchored = low.withColumn("anchor", F.explode(letter_triples(F.col("low"))))
-    wanted = terms.withColumn("low_term", F.lower("term")).withColumn("anchor", F.substring("low_term", 1, 3))
+    held = anchored.groupBy(key, "anchor").agg(F.count(F.lit(1)).alias("held"))
+    own = terms.withColumn("low_term", F.lower("term"))
+    rarest = own.select(key, "term", F.explode(letter_triples(F.col("low_term"))).alias("anchor")).join(held, [key, "anchor"]).groupBy(key, "term").agg(F.min(F.struct("held", "anchor")).alias("r"))
+    wanted = own.join(rarest.select(key, "term", F.col("r.anchor").alias("anchor")), [key, "term"])
     hits = anchored.join(wanted, [key, "anchor"]).filter(F.col("low").contains(F.col("low_term")))
     first = hits.groupBy(key, "term").agg(F.min_by(F.struct("node", "text", "low_term"), "order").alias("f"))
     place = F.instr(F.lower("f.text"), F.col("f.low_term"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import is_blank, node_id, truncate
+from quire.functions.text import is_blank, node_id
 
 MAX_LEVEL = 6
 
@@ -111,7 +111,3 @@ def split_node(nodes: DataFrame, cuts: DataFrame) -> DataFrame:
     parts = parts.withColumn("node_id", F.when(F.col("half") == 0, F.col("node_id")).otherwise(F.concat("node_id", F.lit("-b"))))
     order = Window.partitionBy("doc_id", "parent_id").orderBy("child_idx", "half")
     return parts.withColumn("child_idx", F.row_number().over(order) - 1).drop("half").select(*nodes.columns)
-
-
-def summary_text(text: Column, limit: int = 240) -> Column:
-    return truncate(text, limit)

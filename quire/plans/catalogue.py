@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quire.plans import documents, glossary, translation
+from quire.plans import documents, glossary, render, store, translation
 
-MODULES = (documents, glossary, translation)
+MODULES = (documents, glossary, translation, store, render)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

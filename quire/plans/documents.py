@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import layout, tree
 from quire.operators import segments as S
-from quire.operators import tree
 from quire.plans.common import LINES, NODES, PATHS, SENTENCES, documents, nodes, table
 
 
@@ -69,11 +69,8 @@ def q39_toc_pages(spark: SparkSession, sf: str) -> DataFrame:
     leader-like if most of its lines end without a full stop."""
     lines = documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     pages = lines.groupBy("doc_id", F.floor(F.col("pos") / 5).alias("page")).agg(F.min_by(F.length("line"), "pos").alias("first_n"), (F.count_if(~F.col("line").endswith(".")) / F.count(F.lit(1))).alias("leader_share"))
-    titled, leader = F.col("first_n") < 60, F.col("leader_share") >= 0.2
-    w = Window.partitionBy("doc_id").orderBy("page")
-    runs = pages.withColumn("run", F.sum((~titled & ~leader).cast("int")).over(w))
-    inside = F.sum(titled.cast("int")).over(Window.partitionBy("doc_id", "run").orderBy("page"))
-    return runs.withColumn("in_toc", (titled | leader) & (inside > 0)).select("doc_id", F.col("page").cast("int").alias("page"), "in_toc")
+    out = layout.contents_pages(pages.withColumns({"titled": F.col("first_n") < 60, "leader": F.col("leader_share") >= 0.2}))
+    return out.select("doc_id", F.col("page").cast("int").alias("page"), "in_toc")
 
 
 def q44_chapters(spark: SparkSession, sf: str) -> DataFrame:
