@@ -5,9 +5,10 @@ A document is the set of its word shingles; two documents link when
 links are found between groups and never listed within one.
 
 1. Equal sets are one set (signature of 128 bits, combined on the map side).
-2. Groups of similar sets: sets that share a min-hash band are compared with
-   the band's smallest set, and those that link form a group around it. The
-   links are exact; what this step misses, the next one finds.
+2. Groups of similar sets: sets that share a min-hash band meet in chunks, each
+   of which also holds a few of the band's sets that are the same for all its
+   chunks. Within a chunk sets that look alike are compared, and those that link
+   are one group. The links are exact; what this step misses, the next one finds.
 3. Token-group matrix: a linking pair shares a token among the rarest few of
    either set (prefix filter, in an order by corpus frequency), so the matrix
    holds each group's union of these tokens. Tokens that only one group holds
@@ -21,10 +22,11 @@ Large groups are split into parts of ``PART`` sets, and the queries of one part
 into chunks of ``CHUNK``, so no task holds more than a few hundred texts; every
 qualifying pair is compared, whatever the size of a group.
 
-Token frequencies are counted in 2^16 buckets over all documents (rarity only
-orders tokens; any order gives the same result), which is all that is sent to
-every task, besides 2^17 and 2^20 flags that keep documents without a candidate
-and most tokens of one group from being shuffled.
+What is sent to every task is bounded: the ``HEAVY`` most frequent tokens with
+their ranks (blocks of the corpus count the tokens that repeat in them; all
+other tokens are rare and in the order of their hashes - any order gives the
+same result), and 2^17 flags that keep documents without a candidate from being
+shuffled.
 
 Sets go by 64-bit numbers while candidates are sought; should two sets share
 one, both are compared. Links name sets by their signatures.
@@ -38,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import materialize
@@ -46,7 +48,8 @@ from quire.llm.components import connected_components
 
 WORDS, PERCENT = 5, 80
 BANDS, PART, CHUNK = 4, 64, 256
-BUCKET_BITS, FLAG_BITS, TOKEN_FLAG_BITS = 16, 17, 20
+LEADERS, SKETCH, ALIKE = 8, 16, 6
+HEAVY, COUNT_BLOCK, REPEATS, FLAG_BITS = 1 << 19, 2_000_000, 3, 17
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BAND_KEYS = np.random.default_rng(7).integers(1, 2**63, 2 * BANDS, dtype=np.uint64) | np.uint64(1)
 _PLACES = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
@@ -85,66 +88,135 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def set_table(docs: DataFrame, words: int) -> DataFrame:
-    """``docs``: id, text. id, n, key (null without shingles) and bands; and a
-    row for each task, with id null and its counts of tokens by bucket."""
+    """``docs``: id, text. id, n, key (null without shingles) and bands; and
+    rows with the tokens that repeat in a block of documents (heavy, counts)."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << BUCKET_BITS, np.int64)
+        block: list[np.ndarray] = []
+        held = 0
+
+        def repeated() -> pd.DataFrame:
+            token, c = np.unique(np.concatenate(block), return_counts=True)
+            token, c = token[c >= REPEATS].view(np.int64), c[c >= REPEATS]
+            return pd.DataFrame({"id": pd.array([None], dtype="Int64"), "n": [-1], "key": [None], "bands": [[]], "heavy": [token], "counts": [c]})
+
         for pdf in batches:
             n, key, bands = [], [], []
             for text in pdf["text"]:
                 s = shingles(text, words)
                 n.append(len(s))
                 key.append(signature(s) if len(s) else None)
-                if len(s):
-                    np.add.at(total, (s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
-                    low = np.array([mix(s * k).min() for k in _BAND_KEYS])
-                    bands.append(mix(low[::2] * _MIX1 + low[1::2]).view(np.int64))
-                else:
+                if not len(s):
                     bands.append([])
-            yield pd.DataFrame({"id": pdf["id"], "n": n, "key": key, "bands": bands, "counts": None})
-        yield pd.DataFrame({"id": pd.array([None], dtype="Int64"), "n": [-1], "key": [None], "bands": [[]], "counts": [total.tobytes()]})
-
-    return docs.mapInPandas(build, "id long, n int, key binary, bands array<bigint>, counts binary")
-
-
-def bucket_counts(table: DataFrame) -> np.ndarray:
-    """Tokens of all documents by bucket: 2^16 numbers, whatever the input."""
+                    continue
+                low = np.array([mix(s * k).min() for k in _BAND_KEYS], np.uint64)
+                bands.append(mix(low[::2] * _MIX1 + low[1::2]).view(np.int64))
+                block.append(s)
+                held += len(s)
+                if held >= COUNT_BLOCK:
+                    yield repeated()
+                    block, held = [], 0
+            if n:
+                yield pd.DataFrame({"id": pdf["id"], "n": n, "key": key, "bands": bands, "heavy": None, "counts": None})
+        if block:
+            yield repeated()
+
+    return docs.mapInPandas(build, "id long, n int, key binary, bands array<bigint>, heavy array<bigint>, counts array<bigint>")
+
+
+def heavy_tokens(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent of the tokens that repeat (sorted) and their counts."""
+    each = table.filter("heavy is not null").select(F.explode(F.arrays_zip("heavy", "counts")).alias("z"))
+    counts = materialize(each.groupBy(F.col("z.heavy").alias("token")).agg(F.sum("z.counts").alias("c")), "heavy")
+    least, room = 1, HEAVY
+    for c, n in sorted(((r["c"], r["count"]) for r in counts.groupBy("c").count().collect()), reverse=True):
+        room -= n
+        if room < 0:
+            least = c + 1
+            break
+    found = counts.filter(F.col("c") >= least).toArrow()
+    token, c = found.column("token").to_numpy().view(np.uint64), found.column("c").to_numpy()
+    order = np.argsort(token)
+    return token[order], c[order]
+
+
+def rarity(s: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    token, c = heavy
+    if not len(token):
+        return np.zeros(len(s), np.int64)
+    at = np.minimum(np.searchsorted(token, s), len(token) - 1)
+    return np.where(token[at] == s, c[at], 0)
+
+
+def band_links(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links q, s between sets that share a band, enough to join most that link.
+
+    Bands with the same sets have the same leaders and are compared once."""
+    banded = sets.select("sid", F.posexplode("bands").alias("band", "value"))
+    lead = [F.min(F.when(F.pmod(F.xxhash64("sid"), F.lit(LEADERS)) == j, F.col("sid"))) for j in range(LEADERS)]
+    buckets = banded.groupBy("band", "value").agg(F.count(F.lit(1)).alias("c"), F.array_compact(F.array(*lead)).alias("leaders")).filter("c > 1")
+    buckets = materialize(buckets.select("band", "value", "leaders", F.xxhash64("leaders", "c").alias("g"), F.ceil(F.col("c") / CHUNK).cast("int").alias("chunks")), "bands")
+    dealt = banded.join(buckets.select("band", "value", "g", "chunks"), ["band", "value"]).select("g", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int").alias("chunk"), "sid")
+    once = buckets.filter("chunks > 1").dropDuplicates(["g"])
+    leaders = once.select("g", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "leaders").select("g", "chunk", F.explode("leaders").alias("sid"))
+    roles = dealt.unionByName(leaders).distinct().withColumn("asks", F.lit(0))
+    rows = with_texts(docs, sets, roles)
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held, sketches, root = None, [], np.zeros((0, SKETCH), np.uint64), []
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
 
-    def flat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for raw in pdf["counts"]:
-                c = np.frombuffer(raw, np.int64)
-                at = np.flatnonzero(c)
-                yield pd.DataFrame({"bucket": at, "c": c[at]})
+            out = []
+            for g, chunk, _, key, text in pdf.itertuples(index=False, name=None):
+                if at != (g, chunk):
+                    at, held, sketches, root = (g, chunk), [], np.zeros((0, SKETCH), np.uint64), []
+                s = shingles(text, words)
+                if signature(s) != bytes(key):
+                    continue
+                sketch = np.resize(s[:SKETCH], SKETCH) if len(s) else np.zeros(SKETCH, np.uint64)
+                me = len(held)
+                root.append(me)
+                alike = np.isin(sketches, sketch).sum(1) >= ALIKE
+                for i in np.flatnonzero(alike)[::-1].tolist():
+                    if top(i) != top(me) and linked(s, held[i][1], percent):
+                        out.append((key, held[i][0]))
+                        root[top(i)] = top(me)
+                held.append((key, s))
+                sketches = np.vstack((sketches, sketch))
+            if out:
+                yield pd.DataFrame(out, columns=["q", "s"])
 
-    found = table.filter("counts is not null").select("counts").mapInPandas(flat, "bucket int, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
-    out = np.zeros(1 << BUCKET_BITS, np.int64)
-    out[found.column("bucket").to_numpy()] = found.column("c").to_numpy()
-    return out
+    return rows.mapInPandas(link, "q binary, s binary")
 
 
-def similar_sizes(a: Column, b: Column, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def with_texts(docs: DataFrame, sets: DataFrame, roles: DataFrame) -> DataFrame:
+    """``roles``: g, chunk, asks, sid. g, chunk, asks, key, text, with a chunk's
+    rows together and those that do not ask first.
+
+    The text of a set is fetched by the id that stands for it; documents that
+    share an id with another are told by their signature."""
+    roles = materialize(roles.join(sets.select("sid", "key", "id"), "sid").drop("sid"), "roles")
+    flag = F.pmod(F.xxhash64("id"), F.lit(1 << FLAG_BITS))
+    flags = roles.select(flag.alias("flag")).distinct()
+    texts = docs.withColumn("flag", flag).join(F.broadcast(flags), "flag", "left_semi").select("id", "text")
+    rows = roles.join(texts, "id").select("g", "chunk", "asks", "key", "text")
+    return rows.repartition("g", "chunk").sortWithinPartitions("g", "chunk", "asks")
 
 
 def verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
     """``pairs``: q, g (sets that query groups, by their numbers). ``members``:
     sid, g. Links q, s, by signature: for each pair the first member that q
-    links with, if any.
-
-    The texts of the sets concerned are fetched by the id that stands for the
-    set; documents that share an id with another are told by their signature."""
+    links with, if any."""
     sizes = pairs.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     asks = pairs.join(sizes, "g").select("g", F.pmod(F.xxhash64("q"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("asks"), F.col("q").alias("sid"))
     holds = members.join(sizes, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("asks"), "sid")
-    roles = materialize(asks.unionByName(holds).join(sets.select("sid", "key", "id"), "sid").drop("sid"), "roles")
-
-    flag = F.pmod(F.xxhash64("id"), F.lit(1 << FLAG_BITS))
-    flags = roles.select(flag.alias("flag")).distinct()
-    texts = docs.withColumn("flag", flag).join(F.broadcast(flags), "flag", "left_semi").select("id", "text")
-    rows = roles.join(texts, "id").select("g", "chunk", "asks", "key", "text")
-    rows = rows.repartition("g", "chunk").sortWithinPartitions("g", "chunk", "asks")
+    rows = with_texts(docs, sets, asks.unionByName(holds))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held, union = None, [], None
@@ -177,7 +249,7 @@ def verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, members: DataFram
     return rows.mapInPandas(compare, "q binary, s binary")
 
 
-def prefixes(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> DataFrame:
+def prefixes(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], words: int, percent: int) -> DataFrame:
     """``docs``: id, text. key, tokens: the rarest tokens of each set, as
     many as a linking pair must share one of, rarest first."""
 
@@ -190,12 +262,10 @@ def prefixes(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> D
                     continue
                 key.append(signature(s))
                 few = len(s) - -(-percent * len(s) // 100) + 1
-                rarity = counts[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
-                if few < len(s):
-                    edge = np.partition(rarity, few - 1)[few - 1]
-                    s, rarity = s[rarity <= edge], rarity[rarity <= edge]
-                tokens.append(s[np.lexsort((s, rarity))][:few].view(np.int64))
-            yield pd.DataFrame({"key": key, "tokens": tokens})
+                often = rarity(s, heavy)
+                tokens.append(s[np.argsort(often, kind="stable")][:few].view(np.int64))  # s is sorted
+            if key:
+                yield pd.DataFrame({"key": key, "tokens": tokens})
 
     return docs.select("text").mapInPandas(cut, "key binary, tokens array<bigint>")
 
@@ -206,36 +276,22 @@ def group_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     set's component, and the set that stands for the component."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     table = materialize(set_table(docs, words), "sets")
-    counts = bucket_counts(table)
-    each = table.filter("counts is null").select("id", "n", "key")
+    each = table.filter("heavy is null").select("id", "n", "key")
     full = table.filter("key is not null")
     sets = full.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     sets = materialize(sets.withColumn("sid", F.xxhash64("key")), "distinct-sets")
 
-    # Groups of similar sets, each around one set of a band.
-    banded = sets.select("sid", "n", F.posexplode("bands").alias("band", "value"))
-    leaders = banded.groupBy("band", "value").agg(F.min(F.struct("sid", "n")).alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    near = (
-        banded.join(leaders.select("band", "value", F.col("lead.sid").alias("g"), F.col("lead.n").alias("m")), ["band", "value"])
-        .filter((F.col("sid") != F.col("g")) & similar_sizes(F.col("n"), F.col("m"), percent))
-        .select(F.col("sid").alias("q"), "g")
-        .distinct()
-    )
-    near = materialize(near, "near")
-    stars = materialize(verify(docs, sets, near, near.select("g").distinct().select(F.col("g").alias("sid"), "g"), words, percent), "stars")
+    stars = materialize(band_links(docs, sets, words, percent), "band-links")
     first = connected_components(stars.select(F.col("q").alias("a"), F.col("s").alias("b")))
     placed = sets.select("key", "sid", "n").join(first.select(F.col("v").alias("key"), "comp"), "key", "left")
     placed = materialize(placed.select("sid", "n", F.xxhash64(F.coalesce("comp", "key")).alias("comp")), "groups")
 
     # The token-group matrix, over tokens that more than one group holds.
-    heads = prefixes(docs, counts, words, percent).select(F.xxhash64("key").alias("sid"), "tokens").groupBy("sid").agg(F.first("tokens").alias("tokens"))
+    heads = prefixes(docs, heavy_tokens(table), words, percent).select(F.xxhash64("key").alias("sid"), "tokens").groupBy("sid").agg(F.first("tokens").alias("tokens"))
     heads = materialize(heads.join(placed, "sid"), "heads")
     shared = heads.select("comp", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     shared = materialize(shared.filter("lo <> hi").select("token"), "shared-tokens")
-    token_flag = F.pmod(F.xxhash64("token"), F.lit(1 << TOKEN_FLAG_BITS)).cast("int")
-    flags = shared.select(token_flag.alias("flag")).distinct()
-    cells = heads.select("sid", "n", "comp", F.posexplode("tokens").alias("pos", "token")).withColumn("flag", token_flag)
-    cells = cells.join(F.broadcast(flags), "flag", "left_semi").drop("flag")
+    cells = heads.select("sid", "n", "comp", F.posexplode("tokens").alias("pos", "token"))
     cells = materialize(cells.join(shared, "token"), "shared-cells")
     comps = cells.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
     largest = comps.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("largest"))

@@ -122,7 +122,7 @@ def template_frequency(docs: DataFrame, text_col: str = "text", templates: dict[
         for pdf in batches:
             for text in pdf["text"]:
                 seen.update(wanted.intersection(license_words(text)))
-        yield pd.DataFrame({"word": [w.decode() for w in seen], "n": list(seen.values())})
+        yield pd.DataFrame({"word": pd.Series([w.decode() for w in seen], dtype=object), "n": list(seen.values())})
 
     counts = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "word string, n long")
     return {r["word"]: r["n"] for r in counts.groupBy("word").agg(F.sum("n").alias("n")).collect()}

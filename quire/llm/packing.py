@@ -21,7 +21,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -144,13 +144,13 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     An empty table gives no piece. Only the id and text columns are read."""
     vocabulary = vocabulary or default_vocabulary()
 
-    def pack_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
         names: list = []
         parts: list[np.ndarray] = []
         held = 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             nonlocal first
             sequences = pack(np.array([len(p) for p in parts]), window)
             flat = np.array([(s, *p) for s, seq in enumerate(sequences) for p in seq], dtype=np.int64)
@@ -160,12 +160,12 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             offset = ends - n - np.maximum.accumulate(np.where(opens, ends - n, 0))
             total = np.bincount(s, weights=n).astype(np.int64)[s]
             crc = [zlib.crc32(parts[i][a : a + m].tobytes()) for i, a, m in zip(d.tolist(), start.tolist(), n.tolist(), strict=True)]
-            out = pd.DataFrame({"doc_id": pd.array([names[i] for i in d.tolist()], dtype="Int64"), "start": start, "length": n, "ids_crc32": crc, "doc_tokens": np.array([len(p) for p in parts])[d], "sequence_id": first + s, "offset": offset, "sequence_tokens": total, "padding": np.where(total & (total - 1), window - total, 0)})
+            out = {"doc_id": pa.array([names[i] for i in d.tolist()], pa.int64()), "start": start, "length": n, "ids_crc32": crc, "doc_tokens": np.array([len(p) for p in parts])[d], "sequence_id": first + s, "offset": offset, "sequence_tokens": total, "padding": np.where(total & (total - 1), window - total, 0)}
             first += len(sequences)
-            return out
+            return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) if not isinstance(v, pa.Array) else v for k, v in out.items()})
 
-        for pdf in batches:
-            ids, texts = pdf["id"].astype(object).where(pdf["id"].notna(), None).tolist(), pdf["text"].tolist()
+        for batch in batches:
+            ids, texts = batch.column("id").to_pylist(), batch.column("text")
             for name, tokens in zip(ids, encode_documents(vocabulary, texts, end_id), strict=True):
                 names.append(name)
                 parts.append(tokens)
@@ -177,4 +177,4 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(pack_partition, PIECES)
+    return rows.mapInArrow(pack_partition, PIECES)

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ from quire.llm.wavelet import WaveletMatrix
 #: Ids after which a block ends; a longer document has a block of its own.
 BLOCK_IDS = 1 << 18
 FILE_SCHEMA = "shard int, block int, block_start long, n_docs int, n_ids long, doc_ids array<bigint>, lengths array<bigint>, matrix binary"
+ARROW_SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("block_start", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("matrix", pa.binary())])
 
 
 def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = END_ID, shards: int | None = None) -> None:
@@ -37,18 +39,19 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     vocabulary = vocabulary or default_vocabulary()
     shards = shards or shuffle_partitions(docs.sparkSession)
 
-    def encode_shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, start = TaskContext.get().partitionId(), 0, 0
         doc_ids: list = []
         parts: list[np.ndarray] = []
         held = 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             ids = np.concatenate(parts)
-            return pd.DataFrame({"shard": [shard], "block": [block], "block_start": [start], "n_docs": [len(parts)], "n_ids": [len(ids)], "doc_ids": [doc_ids], "lengths": [[len(p) for p in parts]], "matrix": [WaveletMatrix.build(ids).to_bytes()]})
+            row = {"shard": shard, "block": block, "block_start": start, "n_docs": len(parts), "n_ids": len(ids), "doc_ids": doc_ids, "lengths": [len(p) for p in parts], "matrix": WaveletMatrix.build(ids).to_bytes()}
+            return pa.RecordBatch.from_pylist([row], schema=ARROW_SCHEMA)
 
-        for pdf in batches:
-            names, texts = pdf["id"].astype(object).where(pdf["id"].notna(), None).tolist(), pdf["text"].tolist()
+        for batch in batches:
+            names, texts = batch.column("id").to_pylist(), batch.column("text")
             for name, ids in zip(names, encode_documents(vocabulary, texts, end_id), strict=True):
                 doc_ids.append(name)
                 parts.append(ids)
@@ -62,7 +65,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     tie = F.xxhash64("text")
     ordered = rows.repartitionByRange(shards, F.col("id").asc_nulls_first(), tie).sortWithinPartitions(F.col("id").asc_nulls_first(), tie)
-    ordered.mapInPandas(encode_shard, FILE_SCHEMA).write.parquet(path)
+    ordered.mapInArrow(encode_shard, FILE_SCHEMA).write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:

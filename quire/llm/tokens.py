@@ -22,8 +22,8 @@ import pyarrow.compute as pc
 
 #: Chunks that a worker keeps (about 180 bytes each), and the longest one kept.
 KEPT, LONGEST = 800_000, 48
-#: Words that the tokenizer gets at once, and characters of a group of texts.
-JOINED, GROUP_CHARS = 500, 16_000_000
+#: Words that the tokenizer gets at once, and bytes of a group of texts.
+JOINED, GROUP_BYTES = 500, 16_000_000
 END_ID = 1
 #: Letters, and what begins with ASCII punctuation behind them.
 _WORD = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~].*)?\Z", re.DOTALL)
@@ -94,14 +94,16 @@ class ChunkEncoder:
         for chunk in [c for c in chunks if len(c) > LONGEST]:
             self.long[chunk] = self.known.pop(chunk)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         if len(self.known) > KEPT:
             self.known = dict(list(self.known.items())[KEPT // 2 :])
         self.long.clear()
         # The tokenizer's special tokens are known in lower case only.
-        lists = pc.ascii_split_whitespace(pa.array([t if "<|" in t else t.encode().lower().decode() for t in texts], pa.large_string()))
-        coded = lists.values.dictionary_encode()
+        special = pc.match_substring(texts, "<|")
+        lower = pc.ascii_lower(texts)
+        lists = pc.ascii_split_whitespace(pc.if_else(special, texts, lower))
+        coded = lists.flatten().dictionary_encode()
         chunks = coded.dictionary.to_pylist()
         got = list(map(self.known.get, chunks))
         if new := [c for c, g in zip(chunks, got, strict=True) if g is None]:
@@ -114,7 +116,7 @@ class ChunkEncoder:
         n = sizes[code]
         ends = np.cumsum(n)
         ids = flat[np.arange(n.sum()) + np.repeat(begins[code] - (ends - n), n)]
-        cut = np.r_[0, ends][lists.offsets.to_numpy()]
+        cut = np.r_[0, ends][lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         return [ids[x:y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
@@ -124,14 +126,15 @@ def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
-def encode_documents(path: str, texts: list[str | None], end_id: int = END_ID) -> Iterator[np.ndarray]:
-    """Ids of each text with the end id behind, as '<u4' arrays."""
+def encode_documents(path: str, texts: pa.Array | list[str | None], end_id: int = END_ID) -> Iterator[np.ndarray]:
+    """Ids of each text (null: empty) with the end id behind, as '<u4' arrays."""
     enc, end = encoder(path), np.array([end_id], "<u4")
-    group, chars = [], 0
-    for k, text in enumerate(texts, 1):
-        group.append(text or "")
-        chars += len(group[-1])
-        if chars >= GROUP_CHARS or k == len(texts):
-            for ids in enc.encode(group):
-                yield np.concatenate((ids, end))
-            group, chars = [], 0
+    whole = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()), "").cast(pa.large_string())
+    ends = np.cumsum(pc.binary_length(whole).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < len(whole):
+        done = ends[begin - 1] if begin else 0
+        stop = max(int(np.searchsorted(ends, done + GROUP_BYTES)), begin + 1)
+        for ids in enc.encode(whole[begin:stop]):
+            yield np.concatenate((ids, end))
+        begin = stop
