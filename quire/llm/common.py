@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,6 +38,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     the work before it again."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    gc.collect()  # shuffles of steps that nothing refers to any more are removed
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

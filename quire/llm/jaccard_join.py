@@ -291,8 +291,8 @@ def group_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     heads = materialize(heads.join(placed, "sid"), "heads")
     shared = heads.select("comp", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     shared = materialize(shared.filter("lo <> hi").select("token"), "shared-tokens")
-    cells = heads.select("sid", "n", "comp", F.posexplode("tokens").alias("pos", "token"))
-    cells = materialize(cells.join(shared, "token"), "shared-cells")
+    cells = heads.select("sid", F.posexplode("tokens").alias("pos", "token")).join(shared, "token")
+    cells = materialize(cells.join(placed, "sid"), "shared-cells")
     comps = cells.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
     largest = comps.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("largest"))
     sizes = placed.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
