@@ -110,12 +110,12 @@ class ChunkEncoder:
             self._learn(new)
             got = [self.known.get(c) or self.long.get(c, b"") if g is None else g for c, g in zip(chunks, got, strict=True)]
         flat = np.frombuffer(b"".join(got), "<u4")
-        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
-        begins = np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, got), np.int32, len(got)) // 4
+        begins = np.cumsum(sizes, dtype=np.int32) - sizes
         code = coded.indices.to_numpy()
         n = sizes[code]
-        ends = np.cumsum(n)
-        ids = flat[np.arange(n.sum()) + np.repeat(begins[code] - (ends - n), n)]
+        ends = np.cumsum(n, dtype=np.int32)  # a group has well under 2^31 ids
+        ids = flat[np.arange(len(n) and ends[-1], dtype=np.int32) + np.repeat(begins[code] - (ends - n), n)]
         cut = np.r_[0, ends][lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         return [ids[x:y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
