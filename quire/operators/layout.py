@@ -63,3 +63,21 @@ def contents_pages(pages: DataFrame) -> DataFrame:
     runs = pages.withColumn("_run", F.sum((~F.col("titled") & ~F.col("leader")).cast("int")).over(w))
     inside = F.sum(F.col("titled").cast("int")).over(Window.partitionBy("doc_id", "_run").orderBy("page"))
     return runs.withColumn("in_toc", (F.col("titled") | F.col("leader")) & (inside > 0)).drop("_run")
+
+
+def block_texts(spans: DataFrame) -> DataFrame:
+    """One row per block: its spans' texts in order, joined by spaces, and the
+    size of most of its characters, ties to the first. ``spans``: doc_id, page,
+    block, ord, size, text."""
+    keys = ["doc_id", "page", "block"]
+    texts = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", F.trim("text").alias("t")))).alias("l"))
+    sizes = spans.groupBy(*keys, F.bround("size", 1).alias("size")).agg(F.sum(F.length("text")).alias("w"), F.min("ord").alias("first"))
+    main = sizes.groupBy(*keys).agg(F.max_by("size", F.struct("w", (-F.col("first")).alias("f"))).alias("size"))
+    joined = F.array_join(F.filter(F.transform("l", lambda x: x["t"]), lambda t: t != ""), " ")
+    return texts.select(*keys, joined.alias("text")).join(main, keys)
+
+
+def reading_order(items: DataFrame) -> DataFrame:
+    """Adds ``pos``: items of a page from top to bottom and left to right, ties
+    in the order they were found (``found``)."""
+    return items.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("y0", "x0", "found")) - 1)

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import RTL_LANGUAGES
+from quire.functions.text import RTL_LANGUAGES, escape_html
 
 #: The inline dialect, one alternative for each form: code, link, strong, em.
 INLINE = re.compile(r"`(?P<code>[^`]+)`|\[(?P<label>[^\]]*)\]\((?P<url>[^)]+)\)|\*\*(?P<strong>.+?)\*\*|(?<!\*)\*(?!\*)(?P<em>.+?)(?<!\*)\*(?!\*)")
@@ -199,3 +199,31 @@ def epub_books(chapters: DataFrame, lang: str, css: str) -> DataFrame:
         return pd.DataFrame({"doc_id": [doc], "n_chapters": [len(parts)], "epub": [epub_file(parts[0][0], lang, parts, css, f"quire-{doc}")]})
 
     return chapters.select("doc_id", "chapter_no", "title", "body").groupBy("doc_id").applyInPandas(build, "doc_id string, n_chapters int, epub binary")
+
+
+def figure_xhtml(paths: Column, alts: Column, caption: Column, width_ratio: Column) -> Column:
+    """A figure of images (arrays of paths and alternative texts); without an
+    image there is no figure. ``caption`` is inline markup already."""
+    style = F.when((width_ratio > 0) & (width_ratio <= 1), F.concat(F.lit(' style="width:'), F.bround(width_ratio * 100, 1).cast("string"), F.lit('%"'))).otherwise("")
+    images = F.array_join(F.transform(F.arrays_zip(paths.alias("p"), alts.alias("a")), lambda x: F.concat(F.lit('<img src="../assets/'), x["p"], F.lit('" alt="'), escape_html(F.coalesce(x["a"], F.lit(""))), F.lit('"'), F.coalesce(style, F.lit("")), F.lit("/>"))), "")
+    below = F.coalesce(F.concat(F.lit("<figcaption>"), F.nullif(caption, F.lit("")), F.lit("</figcaption>")), F.lit(""))
+    return F.when(F.size(paths) > 0, F.concat(F.lit("<figure>"), images, below, F.lit("</figure>"))).otherwise("")
+
+
+def table_typst(cells: Column, columns: Column, caption: Column) -> Column:
+    """A Typst table; texts are Typst markup already, the caption is escaped."""
+
+    def cell(c: Column) -> Column:
+        body = F.when(c["is_header"], F.concat(F.lit("*"), c["text"], F.lit("*"))).otherwise(c["text"])
+        span = F.when(c["colspan"] > 1, F.concat(F.lit("table.cell(colspan: "), c["colspan"].cast("string"), F.lit(")"))).otherwise("")
+        return F.concat(span, F.lit("["), body, F.lit("]"))
+
+    flat = F.flatten(F.transform(cells, lambda r: F.transform(r, cell)))
+    table = F.concat(F.lit("table(columns: "), columns.cast("string"), F.lit(", "), F.array_join(flat, ", "), F.lit(")"))
+    return F.when(F.size(cells) == 0, "").otherwise(F.coalesce(F.concat(F.lit("#figure("), table, F.lit(", caption: ["), caption, F.lit("])")), F.concat(F.lit("#"), table)))
+
+
+def covers(books: DataFrame, translated: DataFrame) -> DataFrame:
+    """Each book's cover: a translated one takes the place of its own.
+    ``books``: doc_id, cover_asset_id; ``translated``: doc_id, asset_id."""
+    return books.join(translated.select("doc_id", F.col("asset_id").alias("_t")), "doc_id", "left").withColumn("cover_asset_id", F.coalesce("_t", "cover_asset_id")).drop("_t")

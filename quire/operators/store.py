@@ -107,3 +107,32 @@ class Snapshots:
         rows.write.mode("overwrite").parquet(f"{self.path}/v={new}")
         self.spark.range(1).select(F.lit(str(new)).alias("value")).coalesce(1).write.mode("append").text(f"{self.path}/current")
         return new
+
+
+def run_stats(segments: DataFrame, key: str) -> DataFrame:
+    """What a run did, in one aggregation. ``segments``: status, requests,
+    prompt_tokens, completion_tokens, cost_usd."""
+    status = F.col("status")
+    return segments.groupBy(key).agg(
+        F.count(F.lit(1)).alias("queued"),
+        F.count_if(status.isin("translated", "flagged")).alias("done"),
+        F.count_if(status == "skipped").alias("skipped"),
+        F.count_if(status == "failed").alias("failed"),
+        F.coalesce(F.sum("requests"), F.lit(0)).alias("requests"),
+        F.coalesce(F.sum(F.col("prompt_tokens") + F.col("completion_tokens")), F.lit(0)).alias("tokens"),
+        F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd"),
+    )
+
+
+def finish_runs(runs: DataFrame, ended: DataFrame) -> DataFrame:
+    """``runs``: id, status, finished_at, error; ``ended``: id, new_status,
+    at, new_error. Runs that have ended already stay as they are."""
+    both = runs.join(ended, "id", "left")
+    take = F.col("new_status").isNotNull() & F.col("finished_at").isNull()
+    return both.withColumns({"status": F.when(take, F.col("new_status")).otherwise(F.col("status")), "finished_at": F.when(take, F.col("at")).otherwise(F.col("finished_at")), "error": F.when(take, F.col("new_error")).otherwise(F.col("error"))}).drop("new_status", "at", "new_error")
+
+
+def may_start(projects: DataFrame, action: str) -> DataFrame:
+    """Adds ``allowed`` and the stage that the action leads to."""
+    _, sources, to = next(t for t in TRANSITIONS if t[0] == action)
+    return projects.withColumns({"allowed": F.col("stage").isin(*sources), "next_stage": F.when(F.col("stage").isin(*sources), to)})

@@ -111,3 +111,22 @@ def split_node(nodes: DataFrame, cuts: DataFrame) -> DataFrame:
     parts = parts.withColumn("node_id", F.when(F.col("half") == 0, F.col("node_id")).otherwise(F.concat("node_id", F.lit("-b"))))
     order = Window.partitionBy("doc_id", "parent_id").orderBy("child_idx", "half")
     return parts.withColumn("child_idx", F.row_number().over(order) - 1).drop("half").select(*nodes.columns)
+
+
+def titles(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row per document that has one: the text of its first level-1 heading."""
+    first = nodes.filter((F.col("kind") == "heading") & (F.coalesce("level", F.lit(1)) == 1))
+    return first.groupBy(key).agg(F.min_by("text", "pos").alias("title"))
+
+
+def by_id(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row per node id: of repeated ids the last in reading order."""
+    last = nodes.groupBy(key, "node_id").agg(F.max_by(F.struct(*[c for c in nodes.columns if c not in (key, "node_id")]), "pos").alias("n"))
+    return last.select(key, "node_id", "n.*")
+
+
+def visible(nodes: DataFrame, collapsed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Nodes without those below a collapsed one. ``nodes``: ancestors (ids of
+    the nodes above, own id not included); ``collapsed``: key, node_id."""
+    above = nodes.select(key, "node_id", F.explode("ancestors").alias("above")).join(collapsed.select(key, F.col("node_id").alias("above")), [key, "above"], "left_semi")
+    return nodes.join(above.select(key, "node_id").distinct(), [key, "node_id"], "left_anti")

@@ -78,6 +78,15 @@ def q44_chapters(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("doc_id", "chapter_no", "chapter_title").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
+def q65_titles(spark: SparkSession, sf: str) -> DataFrame:
+    return tree.titles(nodes(spark, sf))
+
+
+def q66_nodes_by_id(spark: SparkSession, sf: str) -> DataFrame:
+    n = nodes(spark, sf).withColumn("node_id", F.substring("node_id", 1, 12))
+    return tree.by_id(n).select("doc_id", "node_id", "pos", "kind")
+
+
 def q48_digits(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).select("doc_id", *[F.md5(T.localize_digits(F.col("text"), s).cast("binary")).alias(s) for s in ("persian", "arabic")])
 
@@ -104,7 +113,7 @@ def q60_safe_filenames(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", T.safe_filename(name, F.lit("book")).alias("filename"), T.file_format(F.concat("url", F.lit(".html"))).alias("format"))
 
 
-QUERIES = {f.__name__: f for f in (q01_heading_path_segments, q02_node_ids, q03_paragraph_islands, q04_sentence_pack, q05_build_segments, q06_needs_model, q27_reconcile_segments, q28_apply_translations, q34_stratified_sample, q39_toc_pages, q44_chapters, q48_digits, q49_direction, q50_slugs, q51_asset_dedupe, q60_safe_filenames)}
+QUERIES = {f.__name__: f for f in (q01_heading_path_segments, q02_node_ids, q03_paragraph_islands, q04_sentence_pack, q05_build_segments, q06_needs_model, q27_reconcile_segments, q28_apply_translations, q34_stratified_sample, q39_toc_pages, q44_chapters, q65_titles, q66_nodes_by_id, q48_digits, q49_direction, q50_slugs, q51_asset_dedupe, q60_safe_filenames)}
 
 
 def _packed(source: str, text: str, limit: int) -> str:
@@ -157,6 +166,8 @@ ORACLES = {
             coalesce(last_value(CASE WHEN kind = 'heading' AND level = 1 THEN text END IGNORE NULLS) OVER w, 'Book') AS chapter_title
             FROM nodes WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
         SELECT doc_id, chapter_no, chapter_title, count(*) AS n_nodes FROM c GROUP BY ALL""",
+    "q65_titles": f"WITH {NODES} SELECT doc_id, arg_min(text, pos) AS title FROM nodes WHERE kind = 'heading' AND level = 1 GROUP BY doc_id",
+    "q66_nodes_by_id": f"WITH {NODES} SELECT doc_id, substr(node_id, 1, 12) AS node_id, max(pos) AS pos, arg_max(kind, pos) AS kind FROM nodes GROUP BY doc_id, substr(node_id, 1, 12)",
     "q48_digits": "SELECT doc_id, md5(translate(text, '0123456789', '۰۱۲۳۴۵۶۷۸۹')) AS persian, md5(translate(text, '0123456789', '٠١٢٣٤٥٦٧٨٩')) AS arabic FROM documents",
     "q49_direction": "SELECT lang, CASE WHEN doc_id % 3 = 1 THEN 'ltr' ELSE 'rtl' END AS direction, count(*) AS n FROM documents GROUP BY ALL",
     "q50_slugs": r"""WITH n AS (SELECT doc_id, coalesce(nullif(substr(regexp_replace(regexp_replace(regexp_replace(trim(substr(string_split(text, chr(10))[1], 1, 24)), '[/\\:*?"<>|\x00\s]', '-', 'g'), '-+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), 1, 80), ''), 'book') AS stem FROM documents),

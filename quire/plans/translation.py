@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.operators import batches as B
-from quire.operators import qa
+from quire.operators import prompts, qa
 from quire.plans.common import PAIRS, documents, table
 from quire.plans.glossary import _PACKED, _line_segments
 
@@ -90,6 +90,15 @@ def q26_run_qa(spark: SparkSession, sf: str) -> DataFrame:
     return qa.run_qa(pairs(spark, sf)).select("conv_id", "turn", F.array_join("flags", ",").alias("flags"), "status")
 
 
+def q64_batch_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """The prompt of each batch of lines; the section is a line's first letter."""
+    packed = B.pack_batches(_line_segments(spark, sf)).withColumn("path", F.when(F.length("source_text") % 5 == 0, F.lit("")).otherwise(F.substring("source_text", 1, 1)))
+    keys = ["doc_id", "batch"]
+    terms = packed.filter("length(source_text) % 9 = 0").groupBy(*keys).agg(F.max("ordinal").alias("rank")).select(*keys, "rank", F.lit("term").alias("term"), F.lit("form").alias("target"))
+    out = prompts.batch_prompts(prompts.batch_bodies(packed, keys, "ordinal", "source_text", "path"), prompts.glossary_lines(terms, keys), keys, F.lit("fa"))
+    return out.select(*keys, F.length("prompt").alias("n"), F.md5(F.regexp_replace("prompt", "(?s)Translate the .*? as they are[.]", "TASK").cast("binary")).alias("prompt_md5"))
+
+
 def _batched(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations").select("conv_id", F.col("turn").cast("string").alias("id"), F.col("text").alias("source"), "turn")
     return c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "id", "source"))).alias("items"))
@@ -113,7 +122,7 @@ def q57_translate_poison(spark: SparkSession, sf: str) -> DataFrame:
     return B.translate_batches(_batched(spark, sf), poisoned, ["conv_id"]).select("conv_id", F.col("id").cast("long").alias("turn"), "target_text", "status")
 
 
-QUERIES = {f.__name__: f for f in (q16_usage_apportion, q17_rolling_context, q18_section_lines, q19_protect_restore, q20_parse_replies, q21_empty_output, q22_placeholders, q23_length_ratio, q24_altered_numbers, q25_glossary_misses, q26_run_qa, q56_translate_echo, q57_translate_poison)}
+QUERIES = {f.__name__: f for f in (q16_usage_apportion, q17_rolling_context, q18_section_lines, q19_protect_restore, q20_parse_replies, q21_empty_output, q22_placeholders, q23_length_ratio, q24_altered_numbers, q25_glossary_misses, q26_run_qa, q64_batch_prompts, q56_translate_echo, q57_translate_poison)}
 
 _SQL_PAIRS = f"""{PAIRS}, p AS (SELECT conv_id, turn, source, CASE WHEN conv_id % 10 = 0 THEN '  ' WHEN conv_id % 10 = 1 THEN target || ' {B.OPEN}3{B.CLOSE}' ELSE target END AS target FROM pairs WHERE role = 'user' AND next_role = 'assistant')"""
 _LEFT = f"len(regexp_extract_all(target, '{B.OPEN}[0-9]+{B.CLOSE}'))"
@@ -123,6 +132,9 @@ _LOST = "CASE WHEN length({s}) >= 12 THEN list_sort(list_filter(list_distinct(li
 _EXCERPT = "CASE WHEN length({f}) <= 30 THEN {f} ELSE rtrim(substr({f}, 1, 30)) || '…' END"
 _FLAT = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 
+#: Characters of the task besides the number of blocks.
+_TASK = len(f"Translate the  numbered blocks below into fa. Repeat each block's mark {B.BLOCK_OPEN}#N{B.BLOCK_CLOSE} on a line of its own and put its translation on the lines behind it; leave placeholders as they are.")
+
 ORACLES = {
     "q16_usage_apportion": f"""WITH {_PACKED}, u AS (SELECT *, sum(length(line)) OVER (PARTITION BY doc_id, batch) * 7 + 3 AS tokens, greatest(length(line), 1) AS w FROM packed),
         v AS (SELECT *, CAST(floor(tokens * w / sum(w) OVER (PARTITION BY doc_id, batch)) AS BIGINT) AS share, ordinal = max(ordinal) OVER (PARTITION BY doc_id, batch) AS is_last FROM u)
@@ -133,6 +145,11 @@ ORACLES = {
         SELECT conv_id, turn, array_to_string(past[greatest(len(past) - 1, 1):len(past)], chr(10)) AS context FROM l""",
     "q18_section_lines": f"""WITH {_PACKED}, h AS (SELECT *, CASE WHEN length(line) % 5 = 0 THEN '' ELSE substr(line, 1, 1) END AS path FROM packed)
         SELECT doc_id, ordinal, CASE WHEN path <> '' AND path IS DISTINCT FROM lag(path) OVER (PARTITION BY doc_id, batch ORDER BY ordinal) THEN path END AS section FROM h""",
+    "q64_batch_prompts": f"""WITH {_PACKED}, h AS (SELECT *, CASE WHEN length(line) % 5 = 0 THEN '' ELSE substr(line, 1, 1) END AS path FROM packed),
+        s AS (SELECT *, CASE WHEN path <> '' AND path IS DISTINCT FROM lag(path) OVER w THEN 'Section: ' || path || chr(10) || chr(10) ELSE '' END || '{B.BLOCK_OPEN}#' || row_number() OVER w || '{B.BLOCK_CLOSE}' || chr(10) || line AS block
+              FROM h WINDOW w AS (PARTITION BY doc_id, batch ORDER BY ordinal)),
+        p AS (SELECT doc_id, batch, CASE WHEN bool_or(length(line) % 9 = 0) THEN 'Glossary (use these forms):' || chr(10) || '- term → form' || chr(10) || chr(10) ELSE '' END AS g, string_agg(block, chr(10) || chr(10) ORDER BY ordinal) AS body, count(*) AS n FROM s GROUP BY ALL)
+        SELECT doc_id, batch, CAST(length(g) + length(body) + 2 + length(n::VARCHAR) + {{_TASK}} AS INT) AS n, md5(g || 'TASK' || chr(10) || chr(10) || body) AS prompt_md5 FROM p""".replace("{_TASK}", str(_TASK)),
     "q19_protect_restore": "SELECT doc_id, true AS same, CAST(len(list_distinct(regexp_extract_all(text, '[A-Z]{2,}'))) AS INT) AS tokens FROM documents",
     "q20_parse_replies": r"""WITH c AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS idx FROM conversations)
         SELECT conv_id, count(*) FILTER (idx % 5 <> 0) AS found, CAST(sum(length(regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', ''))) FILTER (idx % 5 <> 0) AS BIGINT) AS n, count(*) FILTER (idx % 5 = 0) AS lost FROM c GROUP BY conv_id""",

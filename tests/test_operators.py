@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import batches as B
 from quire.operators import glossary as G
-from quire.operators import layout, qa, render, store, tables, tree
+from quire.operators import layout, prompts, qa, render, store, tables, tree
 from quire.operators import segments as S
 from quire.sources import blocks, presets, readers
 from quire.streaming import progress
@@ -221,3 +221,41 @@ def test_idle_projects_stream(spark, tmp_path):
         assert [tuple(r) for r in spark.table("idle").collect()] == [("p", 2)]
     finally:
         q.stop()
+
+
+def test_visible_nodes(spark):
+    nodes = spark.createDataFrame([("d", "a", []), ("d", "b", ["a"]), ("d", "c", ["a", "b"]), ("d", "e", [])], "doc_id string, node_id string, ancestors array<string>")
+    shut = spark.createDataFrame([("d", "b")], "doc_id string, node_id string")
+    assert {r.node_id for r in tree.visible(nodes, shut).collect()} == {"a", "b", "e"}
+
+
+def test_block_texts_and_order(spark):
+    spans = spark.createDataFrame([("d", 1, 1, 0, 11.04, " One "), ("d", 1, 1, 1, 18.0, "two three")], "doc_id string, page int, block int, ord int, size double, text string")
+    assert [tuple(r)[3:] for r in layout.block_texts(spans).collect()] == [("One two three", 18.0)]
+    items = spark.createDataFrame([("d", 1, 5.0, 0.0, 0), ("d", 1, 1.0, 9.0, 1), ("d", 1, 1.0, 9.0, 2)], "doc_id string, page int, y0 double, x0 double, found int")
+    assert {r.found: r.pos for r in layout.reading_order(items).collect()} == {1: 0, 2: 1, 0: 2}
+
+
+def test_figures_and_tables(spark):
+    fig = render.figure_xhtml(F.array(F.lit("a.png")), F.array(F.lit('x"')), F.lit("cap"), F.lit(0.5))
+    assert one(spark, fig) == '<figure><img src="../assets/a.png" alt="x&quot;" style="width:50.0%"/><figcaption>cap</figcaption></figure>'
+    cell = lambda t, h, c: F.struct(F.lit(t).alias("text"), F.lit(h).alias("is_header"), F.lit(c).alias("colspan"), F.lit(1).alias("rowspan"))
+    cells = F.array(F.array(cell("h", True, 2)), F.array(cell("a", False, 1), cell("b", False, 1)))
+    assert one(spark, render.table_typst(cells, F.lit(2), F.lit(None).cast("string"))) == "#table(columns: 2, table.cell(colspan: 2)[*h*], [a], [b])"
+    assert one(spark, render.table_xhtml(cells, F.lit("c"))) == '<table><caption>c</caption><tr><th colspan="2">h</th></tr><tr><td>a</td><td>b</td></tr></table>'
+
+
+def test_runs_and_stages(spark):
+    runs = spark.createDataFrame([("a", "running", None, None), ("b", "failed", "t0", "x")], "id string, status string, finished_at string, error string")
+    ended = spark.createDataFrame([("a", "succeeded", "t1", None), ("b", "succeeded", "t1", None)], "id string, new_status string, at string, new_error string")
+    assert {r.id: (r.status, r.finished_at) for r in store.finish_runs(runs, ended).collect()} == {"a": ("succeeded", "t1"), "b": ("failed", "t0")}
+    p = spark.createDataFrame([("p", "paused"), ("q", "created")], "id string, stage string")
+    assert {r.id: r.next_stage for r in store.may_start(p, "translate").collect()} == {"p": "review", "q": None}
+
+
+def test_prompts(spark):
+    rows = [("d", 0, 0, "one", "A"), ("d", 0, 1, "two", "A"), ("d", 0, 2, "three", "")]
+    segs = spark.createDataFrame(rows, "doc_id string, batch int, ordinal int, text string, path string")
+    body = prompts.batch_bodies(segs, ["doc_id", "batch"], "ordinal", "text", "path").first()
+    assert (body.body, body["count"]) == ("Section: A\n\n⟦#1⟧\none\n\n⟦#2⟧\ntwo\n\n⟦#3⟧\nthree", 3)
+    assert one(spark, prompts.last_lines(F.lit("a\n\nb\nc\nd\ne\n"))) == "b\nc\nd\ne"
