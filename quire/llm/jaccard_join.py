@@ -9,11 +9,12 @@ links are found between groups and never listed within one.
    of which also holds a few of the band's sets that are the same for all its
    chunks. Within a chunk sets that look alike are compared, and those that link
    are one group. The links are exact; what this step misses, the next one finds.
-3. Token-group matrix: a linking pair shares a token among the rarest few of
-   either set (prefix filter, in an order by corpus frequency), so the matrix
-   holds each group's union of these tokens. Tokens that only one group holds
-   are dropped. For each token, sets of all groups but the largest one query
-   the others' groups; size and position bound the overlap from above.
+3. Token-group matrix: a linking pair shares ``SHARED`` tokens among the rarest
+   few of either set (prefix filter, in an order by corpus frequency), so the
+   matrix holds each group's union of these tokens. Tokens that only one group
+   holds are dropped. Sets query the groups of larger components; size and
+   position bound the overlap from above, and a group qualifies if its union
+   holds ``SHARED`` of the query's tokens (sets of fewer need all they must share).
 4. A group that qualifies is opened: the query's overlap with the union of all
    the group's tokens must reach what the smallest member needs, and then the
    members are compared in full until one links.
@@ -48,7 +49,7 @@ from quire.llm.components import connected_components
 
 WORDS, PERCENT = 5, 80
 BANDS, PART, CHUNK = 4, 64, 256
-LEADERS, SKETCH, ALIKE = 8, 16, 6
+SHARED, LEADERS, SKETCH, ALIKE = 4, 8, 16, 6
 HEAVY, COUNT_BLOCK, REPEATS, FLAG_BITS = 1 << 19, 2_000_000, 3, 17
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BAND_KEYS = np.random.default_rng(7).integers(1, 2**63, 2 * BANDS, dtype=np.uint64) | np.uint64(1)
@@ -251,7 +252,7 @@ def verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, members: DataFram
 
 def prefixes(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], words: int, percent: int) -> DataFrame:
     """``docs``: id, text. key, tokens: the rarest tokens of each set, as
-    many as a linking pair must share one of, rarest first."""
+    many as hold ``SHARED`` that a linking pair has in common, rarest first."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -261,7 +262,8 @@ def prefixes(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], words: int,
                 if not len(s):
                     continue
                 key.append(signature(s))
-                few = len(s) - -(-percent * len(s) // 100) + 1
+                least = -(-percent * len(s) // 100)
+                few = len(s) - least + min(SHARED, least)
                 often = rarity(s, heavy)
                 tokens.append(s[np.argsort(often, kind="stable")][:few].view(np.int64))  # s is sorted
             if key:
@@ -284,30 +286,33 @@ def group_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stars = materialize(band_links(docs, sets, words, percent), "band-links")
     first = connected_components(stars.select(F.col("q").alias("a"), F.col("s").alias("b")))
     placed = sets.select("key", "sid", "n").join(first.select(F.col("v").alias("key"), "comp"), "key", "left")
-    placed = materialize(placed.select("sid", "n", F.xxhash64(F.coalesce("comp", "key")).alias("comp")), "groups")
+    placed = placed.select("sid", "n", F.xxhash64(F.coalesce("comp", "key")).alias("comp"))
+    placed = materialize(placed.join(placed.groupBy("comp").agg(F.count(F.lit(1)).alias("held")), "comp"), "groups")
 
     # The token-group matrix, over tokens that more than one group holds.
     heads = prefixes(docs, heavy_tokens(table), words, percent).select(F.xxhash64("key").alias("sid"), "tokens").groupBy("sid").agg(F.first("tokens").alias("tokens"))
-    heads = materialize(heads.join(placed, "sid"), "heads")
+    heads = materialize(heads.join(placed.select("sid", "comp"), "sid"), "heads")
     shared = heads.select("comp", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     shared = materialize(shared.filter("lo <> hi").select("token"), "shared-tokens")
     cells = heads.select("sid", F.posexplode("tokens").alias("pos", "token")).join(shared, "token")
     cells = materialize(cells.join(placed, "sid"), "shared-cells")
-    comps = cells.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-    largest = comps.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("largest"))
-    sizes = placed.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-    part = F.xxhash64("comp", F.pmod(F.xxhash64("sid"), F.col("parts")))
-    parts = materialize(placed.join(sizes, "comp").select("sid", part.alias("g")), "parts")
-    matrix = cells.join(parts, "sid").groupBy("token", "g", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("at"))
-    asks = cells.join(largest, "token").filter("comp <> largest").select("token", "sid", "n", "pos", F.col("comp").alias("own"))
-    bound = F.least(F.col("n") - F.col("pos"), F.col("most") - F.col("at"))
+    part = F.xxhash64("comp", F.pmod(F.xxhash64("sid"), F.ceil(F.col("held") / PART)))
+    parts = materialize(placed.select("sid", part.alias("g")), "parts")
+    matrix = cells.join(parts, "sid").groupBy("token", "g", "comp", "held").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("at"))
+    # The largest component that holds a token has no one to ask about it.
+    largest = cells.groupBy("token").agg(F.max(F.struct("held", "comp")).alias("largest"))
+    asks = cells.join(largest, "token").filter(F.struct("held", "comp") != F.col("largest")).select("token", "sid", "n", "pos", F.struct("held", "comp").alias("own"))
+    must = lambda n: F.ceil(n * percent / 100)
+    bound = F.least(F.col("n") - F.col("pos"), F.col("most") - F.col("at")) + (SHARED - 1)
     pairs = (
         asks.join(matrix, "token")
-        .filter("own <> comp")
+        .filter(F.col("own") < F.struct("held", "comp"))
         .filter((F.col("n") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("n") * percent))
-        .filter(bound * (100 + percent) >= (F.col("n") + F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))) * percent)
-        .select(F.col("sid").alias("q"), "g")
-        .distinct()
+        .filter(bound * (100 + percent) >= (F.col("n") + F.greatest(F.col("least"), must(F.col("n")))) * percent)
+        .groupBy(F.col("sid").alias("q"), "g")
+        .agg(F.count(F.lit(1)).alias("both"), F.first("n").alias("n"), F.min("least").alias("least"))
+        .filter(F.col("both") >= F.least(F.lit(SHARED), must(F.col("n")), must(F.col("least"))))
+        .select("q", "g")
     )
     pairs = materialize(pairs, "pairs")
     members = parts.join(pairs.select("g").distinct(), "g")
@@ -355,8 +360,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     names = docs.columns
     plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
     ident, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
-    keyed = plain.withColumn("key", key_of(text))
-    kept = sets.filter("key = comp_key").select("key", F.col("first_id").alias("id"))
-    wordless = F.col("key").isNull()
-    stay = keyed.join(kept.withColumn("stays", F.lit(True)), "key", "left").filter(wordless | (F.col("stays") & F.col(ident).cast("long").eqNullSafe(F.col("id"))))
+    # Documents without words have a key of their own each, so that they spread.
+    keyed = plain.withColumn("key", key_of(text)).withColumn("at", F.coalesce("key", F.concat(F.lit("~"), F.coalesce(F.col(ident).cast("string"), F.lit(""))).cast("binary")))
+    kept = sets.filter("key = comp_key").select(F.col("key").alias("at"), F.col("first_id").alias("id"), F.lit(True).alias("stays"))
+    stay = keyed.join(kept, "at", "left").filter(F.col("key").isNull() | (F.col("stays") & F.col(ident).cast("long").eqNullSafe(F.col("id"))))
     return stay.select(*[f"c{k}" for k in range(len(names))]).toDF(*names)
