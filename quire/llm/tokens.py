@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks that a worker keeps (about 180 bytes each), and the longest one kept.
-KEPT, LONGEST = 800_000, 48
+KEPT, LONGEST = 600_000, 48
 #: Words that the tokenizer gets at once, and bytes of a group of texts.
 JOINED, GROUP_BYTES = 500, 16_000_000
 END_ID = 1

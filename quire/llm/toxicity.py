@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 from quire.llm.common import bounded_sample, fold
 
 BUCKETS = 1 << 18
-SAMPLE_PER_LABEL, SAMPLE_CHARS = 3000, 12_000_000
+SAMPLE_PER_LABEL, SAMPLE_CHARS = 3000, 8_000_000
 #: Clean documents weigh ``NEGATIVES`` times as much, so that few are rejected.
 MIN_CONTEXTS, STEPS, RATE, PENALTY, BIAS, NEGATIVES = 5, 200, 1.0, 1e-4, -10.0, 3.0
 BIAS_RATE = 0.3
 #: Words that a worker keeps the weights of.
-KEPT = 500_000
+KEPT = 200_000
 
 #: ASCII letters, digits and bytes of other scripts form words; these end a
 #: sentence; the rest separates words.
@@ -92,33 +92,29 @@ def noisy_or(p: np.ndarray) -> float:
 
 def fit(labelled: list[tuple[int, str]]) -> NoisyOrModel:
     """Fit on (label, text) pairs; without both labels, all weights are zero."""
-    words, sentences, bags, labels = [], [], [], []
-    contexts: set[tuple[int, int]] = set()
+    flat, labels = [], []
     for label, text in labelled:
-        n = len(sentences)
-        here: list[int] = []
-        for x in [*tokens(text), b"|"]:
-            if x != b"|":
-                here.append(bucket(x))
-            elif here:
-                contexts.update(zip([-1, *here], here))
-                here = list(dict.fromkeys(here))
-                words += here
-                sentences.append(len(here))
-                here = []
-        if len(sentences) > n:
-            bags.append(len(sentences) - n)
+        x = np.array([-1 if w == b"|" else bucket(w) for w in tokens(text)], np.int32)
+        if (x >= 0).any():
+            flat.append(np.r_[x, np.int32(-1)])
             labels.append(label)
     model = NoisyOrModel(np.zeros(BUCKETS, np.float32), BIAS)
     if len(set(labels)) < 2:
         return model
-    word, y = np.array(words), np.array(labels, float)
-    opens = np.r_[0, np.cumsum(sentences)[:-1]]
-    of = np.repeat(np.arange(len(sentences)), sentences)
-    first = np.r_[0, np.cumsum(bags)[:-1]]
-    bag = np.repeat(np.arange(len(bags)), bags)
-    after = np.fromiter((w for _, w in contexts), np.int64, len(contexts))
-    use = np.bincount(after, minlength=BUCKETS) >= max(MIN_CONTEXTS, sum(labels) // 40)
+    y = np.array(labels, float)
+    x = np.concatenate(flat).astype(np.int64)
+    doc = np.repeat(np.arange(len(flat)), [len(f) for f in flat])
+    before = np.r_[-1, x[:-1]]
+    contexts = np.unique((before + 1)[x >= 0] * BUCKETS + x[x >= 0]) % BUCKETS
+    use = np.bincount(contexts, minlength=BUCKETS) >= max(MIN_CONTEXTS, sum(labels) // 40)
+    # A word counts once in a sentence.
+    sentence, doc = np.cumsum(x < 0)[x >= 0], doc[x >= 0]
+    pairs, at = np.unique(sentence * BUCKETS + x[x >= 0], return_index=True)
+    word, doc = (pairs % BUCKETS).astype(np.int32), doc[at]
+    opens = np.flatnonzero(np.r_[True, np.diff(pairs // BUCKETS) > 0])
+    of = np.repeat(np.arange(len(opens), dtype=np.int32), np.diff(np.r_[opens, len(word)]))
+    bag = doc[opens]
+    first = np.flatnonzero(np.r_[True, np.diff(bag) > 0])
     w, bias = np.zeros(BUCKETS), BIAS
     g2, b2 = np.full(BUCKETS, 1e-8), 1e-8
     for _ in range(STEPS):
