@@ -40,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,19 +93,22 @@ def set_table(docs: DataFrame, words: int) -> DataFrame:
     """``docs``: id, text. id, n, key (null without shingles) and bands; and
     rows with the tokens that repeat in a block of documents (heavy, counts)."""
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    long, longs = pa.int64(), pa.list_(pa.int64())
+    schema = pa.schema([("id", long), ("n", pa.int32()), ("key", pa.binary()), ("bands", longs), ("heavy", longs), ("counts", longs)])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: list[np.ndarray] = []
         held = 0
 
-        def repeated() -> pd.DataFrame:
+        def repeated() -> pa.RecordBatch:
             token, c = np.unique(np.concatenate(block), return_counts=True)
             token, c = token[c >= REPEATS].view(np.int64), c[c >= REPEATS]
-            return pd.DataFrame({"id": pd.array([None], dtype="Int64"), "n": [-1], "key": [None], "bands": [[]], "heavy": [token], "counts": [c]})
+            return pa.RecordBatch.from_pydict({"id": [None], "n": [-1], "key": [None], "bands": [[]], "heavy": [token], "counts": [c]}, schema)
 
-        for pdf in batches:
+        for batch in batches:
             n, key, bands = [], [], []
-            for text in pdf["text"]:
-                s = shingles(text, words)
+            for text in batch.column("text"):
+                s = shingles(text.as_py(), words)
                 n.append(len(s))
                 key.append(signature(s) if len(s) else None)
                 if not len(s):
@@ -117,12 +121,12 @@ def set_table(docs: DataFrame, words: int) -> DataFrame:
                 if held >= COUNT_BLOCK:
                     yield repeated()
                     block, held = [], 0
-            if n:
-                yield pd.DataFrame({"id": pdf["id"], "n": n, "key": key, "bands": bands, "heavy": None, "counts": None})
+            nothing = [None] * len(n)
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "n": n, "key": key, "bands": bands, "heavy": nothing, "counts": nothing}, schema)
         if block:
             yield repeated()
 
-    return docs.mapInPandas(build, "id long, n int, key binary, bands array<bigint>, heavy array<bigint>, counts array<bigint>")
+    return docs.mapInArrow(build, "id long, n int, key binary, bands array<bigint>, heavy array<bigint>, counts array<bigint>")
 
 
 def heavy_tokens(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -254,11 +258,13 @@ def prefixes(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], words: int,
     """``docs``: id, text. key, tokens: the rarest tokens of each set, as
     many as hold ``SHARED`` that a linking pair has in common, rarest first."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    schema = pa.schema([("key", pa.binary()), ("tokens", pa.list_(pa.int64()))])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             key, tokens = [], []
-            for text in pdf["text"]:
-                s = shingles(text, words)
+            for text in batch.column("text"):
+                s = shingles(text.as_py(), words)
                 if not len(s):
                     continue
                 key.append(signature(s))
@@ -266,10 +272,9 @@ def prefixes(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], words: int,
                 few = len(s) - least + min(SHARED, least)
                 often = rarity(s, heavy)
                 tokens.append(s[np.argsort(often, kind="stable")][:few].view(np.int64))  # s is sorted
-            if key:
-                yield pd.DataFrame({"key": key, "tokens": tokens})
+            yield pa.RecordBatch.from_pydict({"key": key, "tokens": tokens}, schema)
 
-    return docs.select("text").mapInPandas(cut, "key binary, tokens array<bigint>")
+    return docs.select("text").mapInArrow(cut, "key binary, tokens array<bigint>")
 
 
 def group_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
