@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.storage import saved
 from quire.functions.text import trim_all
 
 #: Words that start no term, and words that no n-gram may hold.
@@ -89,6 +90,7 @@ def drop_subsumed(terms: DataFrame, key: str) -> DataFrame:
     A longer term holds every three-letter piece of the shorter one, so it is
     enough to compare terms that share the shorter one's rarest piece: an equi
     join on (collection, piece) instead of all pairs."""
+    terms = saved(terms, "terms")
     starts = F.sequence(F.lit(1), F.length("term") - 2)
     pieces = terms.select(key, "term", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("term", i, F.lit(3))))).alias("piece"))
     held = pieces.groupBy(key, "piece").agg(F.count(F.lit(1)).alias("held"))
@@ -104,6 +106,7 @@ def first_occurrences(terms: DataFrame, nodes: DataFrame, key: str, radius: int
 
     Nodes and terms meet on three characters: of the term's, those that the
     fewest nodes hold, so the join is on (collection, triple)."""
+    terms = saved(terms, "terms")
     low = nodes.withColumn("low", F.lower("text"))
     anchored = low.withColumn("anchor", F.explode(letter_triples(F.col("low"))))
     held = anchored.groupBy(key, "anchor").agg(F.count(F.lit(1)).alias("held"))
