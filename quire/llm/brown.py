@@ -3,18 +3,19 @@
 A word's probability is a mixture of a class bigram, ``p(c | c') * p(w | c)``,
 and a unigram with one count added to each word. Exchange clustering assigns
 the ``CLUSTERED`` most frequent words to ``CLASSES`` classes: each word in turn
-moves to the class that raises the likelihood of the class bigrams most. All
-other words, unseen ones too, form one more class, and the end of a text is a
-class of its own. The weight of the mixture comes from leave-one-out EM over
-the class bigrams.
-
-Counts cover the whole training corpus: word counts and bigram counts of the
-clustered words are summed by tasks, then shuffled; only the bigrams of the
-clustered words (at most (CLUSTERED + 2)^2 numbers) reach the driver. For
-scoring, the most frequent words (``DICTIONARY`` at most, none over ``LONGEST``
-bytes) go to every task. A rarer word's probability is ``(count + 1)`` times a
-factor that the task knows, so its text waits for one number a word: these
-words are counted per document and joined with the table of word counts.
+moves to the class that raises the likelihood of the class bigrams most. Every
+further word with ``ENOUGH`` counts then joins the class that gains most from
+the word's own neighbours. Words below that, unseen ones too, form one more
+class, and the end of a text is a class of its own. The weight of the mixture
+comes from leave-one-out EM over the class bigrams of the final classes.
+
+Counts cover the whole training corpus: word counts, bigram counts of the
+clustered words and the other words' neighbours by class are summed by tasks,
+then shuffled; only the bigrams of the clustered words (at most
+(CLUSTERED + 2)^2 numbers) and of the classes reach the driver. The most
+frequent words (``DICTIONARY`` at most, none over ``LONGEST`` bytes) go to every
+task with their classes. A rarer word's count and class, and with it the
+probability of the word behind, wait for a join with the table of all words.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 from quire.llm.common import fold, materialize
 
 CLUSTERED, CLASSES, ROUNDS = 1000, 48, 3
+#: Counts from which a word outside the exchange gets a class.
+ENOUGH = 10
 DICTIONARY, LONGEST = 150_000, 64
 #: Added to a class's followers in the proportions of the classes.
 SMOOTH = 2.0
@@ -39,6 +43,8 @@ SMOOTH = 2.0
 END = "\n"
 #: Words that a task counts before it hands them on.
 HELD = 400_000
+#: Neighbour counts of words that a task holds before it hands them on.
+HELD_CELLS = 500_000
 
 
 def lm_words(text: str | None) -> list[bytes]:
@@ -139,24 +145,18 @@ def exchange(a: np.ndarray, b: np.ndarray, n: np.ndarray, words: int, classes: i
 
 
 @dataclass
-class BrownModel:
-    words: dict[bytes, int]  # the dictionary, by number
-    plus: np.ndarray  # count + 1 of each
+class Lexicon:
+    words: dict[bytes, int]  # the dictionary, by number; the end is one
     cls: np.ndarray  # class of each word of the dictionary
-    emit: np.ndarray  # p(word | class) of each
-    follow: np.ndarray  # p(class | class before)
-    weight: float  # of the class bigram
-    rare: int  # class of all words outside the clustering
-    end: int
-    rare_total: float
-    total: float  # N + V + 1
-    tokens: int  # N
-
-    def batch(self, texts: list[str | None]) -> tuple[pd.DataFrame, list[list[bytes]]]:
-        """Sums over the words of the dictionary, with the share of the others
-        that needs no count, and those words of each text."""
-        get, rest, sizes, numbers = self.words.get, [], [], []
-        end = self.words.get(END.encode(), -1)
+    rare: int  # class of all words without a class of their own
+    end: int  # class of the end
+    size: int  # number of classes
+    late: bool  # words outside the dictionary may have a class
+
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
+        """Numbers of all words (-1 outside the dictionary) with an end behind
+        each text, the sizes, and each text's words outside the dictionary."""
+        get, end, numbers, sizes, rest = self.words.get, self.words.get(END.encode(), 0), [], [], []
         for text in texts:
             words = lm_words(text)
             ids = list(map(get, words))
@@ -168,26 +168,246 @@ class BrownModel:
             ids.append(end)
             numbers += ids
             sizes.append(len(ids))
-        x, ends = np.array(numbers, np.int64), np.cumsum(sizes)
-        known = x >= 0
-        is_end = np.zeros(len(x), bool)
-        is_end[ends - 1] = True
-        c = np.where(known, self.cls[x], self.rare)
-        c[is_end] = self.end
-        before = np.r_[self.end, c[:-1]]
-        plus = np.where(known, self.plus[x], 1.0)
-        emit = np.where(known, self.emit[x], 1.0 / self.rare_total)
-        p = self.weight * self.follow[before, c] * emit + (1 - self.weight) * plus / self.total
-        opens = ends - np.array(sizes)
-        add = lambda v: np.add.reduceat(v, opens)
-        return pd.DataFrame({"n_tokens": np.array(sizes), "n_known": add(known.astype(np.int64)), "base": add(np.log10(plus)), "score": add(np.log10(p))}), rest
+        return np.array(numbers, np.int64), np.array(sizes, np.int64), rest
+
+    def classes(self, x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word its class and the class before; -1 where a word is
+        outside the dictionary. An end opens each text."""
+        c = np.where(x >= 0, self.cls[x], -1)
+        c[np.cumsum(sizes) - 1] = self.end
+        return c, np.r_[self.end, c[:-1]]
+
+
+def split_lists(values: list | np.ndarray, lengths: np.ndarray) -> list:
+    ends = np.cumsum(lengths)
+    return [values[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+
+
+def count_sides(texts: DataFrame, lexicon: Lexicon, wanted: np.ndarray) -> DataFrame:
+    """Neighbours of words by class. word, cells, ns: cell ``c`` counts class c
+    behind the word, ``size + c`` class c before it, and ``2 * size`` the word
+    behind itself. ``wanted``: which words of the dictionary to count; others
+    are counted if ``lexicon.late``. A word has a row for each time a task
+    hands its counts on."""
+    names, size, late = [w.decode() for w in lexicon.words], lexicon.size, lexicon.late
+    width, base = 2 * size + 1, len(lexicon.words)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def told() -> Iterator[pa.RecordBatch]:
+            others = [w.decode() for w in seen]
+            word, cell = keys // width, keys % width
+            opens = np.flatnonzero(np.r_[True, np.diff(word) > 0])
+            ends = np.r_[opens, len(word)]
+            for k in range(0, len(opens), 20_000):
+                at = ends[k : k + 20_001]
+                of = [names[i] if i < base else others[i - base] for i in word[at[:-1]].tolist()]
+                offsets = pa.array(at - at[0], pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(v[at[0] : at[-1]], kind)) for v, kind in ((cell, pa.int32()), (counts, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.string()), *lists], ["word", "cells", "ns"])
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                x, sizes, rest = lexicon.read(batch.column(0).slice(k, 512).to_pylist())
+                c, before = lexicon.classes(x, sizes)
+                c, before = np.where(c < 0, lexicon.rare, c), np.where(before < 0, lexicon.rare, before)
+                want = np.where(x >= 0, wanted[x], late)
+                if late:
+                    x[x < 0] = [base + seen.setdefault(w, len(seen)) for r in rest for w in r]
+                i = np.flatnonzero(want)  # never an end, so a word stands behind each
+                behind = np.where(x[i + 1] == x[i], 2 * size, c[i + 1])
+                j = i[np.r_[-1, x[:-1]][i] != x[i]]
+                found, n = np.unique(np.r_[x[i] * width + behind, x[j] * width + size + before[j]], return_counts=True)
+                keys, at = np.unique(np.r_[keys, found], return_inverse=True)
+                counts = np.bincount(at, weights=np.r_[counts, n], minlength=len(keys)).astype(np.int64)
+                if len(keys) > HELD_CELLS or len(seen) > HELD:
+                    yield from told()
+                    seen.clear()
+                    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(keys):
+            yield from told()
+
+    return texts.mapInArrow(count, "word string, cells array<int>, ns array<long>")
+
+
+def best_classes(g: np.ndarray, classes: int, rare: int, word: np.ndarray, cell: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The class that each word gains most in, as in the exchange. ``g``: class
+    bigrams in which the words are still rare. ``word``: numbers from 0, in
+    order, each with an entry at least; ``cell``: as in ``count_sides``."""
+    size, words = len(g), int(word[-1]) + 1 if len(word) else 0
+    if not words:
+        return np.zeros(0, np.int64)
+    sums = np.bincount(word * (2 * size + 1) + cell, weights=n, minlength=words * (2 * size + 1)).reshape(words, -1)
+    out, into, own = sums[:, :size], sums[:, size:-1], sums[:, -1:]
+    cell, behind = np.where(cell == 2 * size, -1, cell), cell < size
+    at = np.where(behind, cell, cell - size)
+    was = np.where(behind[:, None], g[:classes, at % size].T, g[at % size, :classes])
+    # The word itself leaves the rare class.
+    was = was - np.where((at == rare)[:, None], np.where(behind[:, None], into[word, :classes], out[word, :classes]), 0)
+    part = np.where((cell >= 0)[:, None], xlogx(was + n[:, None]) - xlogx(was), 0)
+    gain = np.add.reduceat(part, np.flatnonzero(np.r_[True, np.diff(word) > 0]), axis=0)
+    here, o, i = g.diagonal()[:classes], out[:, :classes], into[:, :classes]
+    gain += xlogx(here + o + i + own) - xlogx(here + o) - xlogx(here + i) + xlogx(here)
+    rows, cols = g.sum(1)[:classes], g.sum(0)[:classes]
+    gain -= xlogx(rows + out.sum(1, keepdims=True) + own) - xlogx(rows) + xlogx(cols + into.sum(1, keepdims=True) + own) - xlogx(cols)
+    return gain.argmax(1)
+
+
+def assign_classes(sides: DataFrame, g: np.ndarray, classes: int, rare: int) -> DataFrame:
+    """word, c, cls of the words with ``ENOUGH`` counts. ``sides``: of count_sides."""
+    size, enough = len(g), ENOUGH
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 500):
+                batch = whole.slice(k, 500)
+                lengths = np.array(batch.column(1).value_lengths())
+                word = np.repeat(np.arange(batch.num_rows), lengths)
+                cell, n = (np.array(batch.column(c).flatten()) for c in (1, 2))
+                key, at = np.unique(word * (2 * size + 1) + cell, return_inverse=True)
+                n = np.bincount(at, weights=n)
+                word, cell = key // (2 * size + 1), key % (2 * size + 1)
+                c = np.bincount(word, weights=np.where((cell < size) | (cell == 2 * size), n, 0), minlength=batch.num_rows)
+                keep = c >= enough
+                at = keep[word]
+                cls = best_classes(g, classes, rare, (np.cumsum(keep) - 1)[word[at]], cell[at], n[at])
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), pa.array(c[keep], pa.int64()), pa.array(cls, pa.int32())], ["word", "c", "cls"])
+
+    every = sides.groupBy("word").agg(F.flatten(F.collect_list("cells")).alias("cells"), F.flatten(F.collect_list("ns")).alias("ns"))
+    return every.mapInArrow(assign, "word string, c long, cls int")
+
+
+def look_up(parts: DataFrame, every: DataFrame) -> DataFrame:
+    """Adds ``found``: (word, c, cls) of the words in ``rest`` that ``every``
+    word's table holds; null without any. ``parts``: row, rest."""
+    each = parts.select("row", F.explode(F.array_distinct("rest")).alias("word"))
+    found = each.join(every, "word").groupBy("row").agg(F.collect_list(F.struct("word", "c", "cls")).alias("found"))
+    return parts.join(found, "row", "left")
+
+
+@dataclass
+class Late:
+    """The words outside the dictionary of some rows, one behind the other."""
+
+    row: np.ndarray  # its place among the rows
+    c: np.ndarray  # its count, 0 if it was never seen
+    cls: np.ndarray
+    before: np.ndarray  # class of the word before
+    after: np.ndarray  # what stands behind; -1 another such word
+
+    @staticmethod
+    def of(batch: pa.RecordBatch, rare: int) -> Late:
+        """``batch``: of look_up, with ``before`` (-1: another such word) and ``after``."""
+        rest, found = batch.column("rest"), batch.column("found")
+        sizes = np.array(rest.value_lengths().fill_null(0), np.int64)
+        flat = found.flatten()
+        names, told = flat.field("word").to_pylist(), np.array(found.value_lengths().fill_null(0), np.int64)
+        at = []
+        for said, known, first in zip(split_lists(rest.flatten().to_pylist(), sizes), split_lists(names, told), (np.cumsum(told) - told).tolist(), strict=True):
+            place = {w: first + k for k, w in enumerate(known)}
+            at += [place.get(w, -1) for w in said]
+        at = np.array(at, np.int64)
+        c, cls = (np.r_[np.array(flat.field(k), np.int64), none] for k, none in (("c", 0), ("cls", rare)))
+        before, after = (np.array(batch.column(k).flatten(), np.int64) for k in ("before", "after"))
+        cls = cls[at]
+        return Late(np.repeat(np.arange(batch.num_rows), sizes), c[at], cls, np.where(before >= 0, before, np.r_[rare, cls[:-1]] if len(cls) else cls), after)
+
+
+def count_classes(texts: DataFrame, lexicon: Lexicon, every: DataFrame) -> np.ndarray:
+    """Class bigrams of the whole text, with the classes of ``every`` word."""
+    size = lexicon.size
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, row = np.zeros(size * size, np.int64), TaskContext.get().partitionId() << 40
+        for pdf in batches:
+            for k in range(0, len(pdf), 512):
+                x, sizes, rest = lexicon.read(pdf["text"].iloc[k : k + 512].tolist())
+                c, before = lexicon.classes(x, sizes)
+                if lexicon.late:
+                    at = np.flatnonzero(x < 0)
+                    lengths = np.array([len(r) for r in rest])
+                    out = pd.DataFrame({"row": row + np.arange(len(rest)), "rest": [[w.decode() for w in r] for r in rest]})
+                    out["before"], out["after"] = split_lists(before[at], lengths), split_lists(c[at + 1], lengths)
+                    row += len(rest)
+                    if lengths.any():
+                        yield out[lengths > 0].assign(pair=-1, n=0)
+                else:
+                    c, before = np.where(c < 0, lexicon.rare, c), np.where(before < 0, lexicon.rare, before)
+                closed = (c >= 0) & (before >= 0)
+                total += np.bincount(before[closed] * size + c[closed], minlength=size * size)
+        pair = np.flatnonzero(total)
+        if len(pair):
+            yield pd.DataFrame({"row": -1, "rest": [[] for _ in pair], "before": [[] for _ in pair], "after": [[] for _ in pair], "pair": pair, "n": total[pair]})
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size, np.int64)
+        for whole in batches:
+            for k in range(0, whole.num_rows, 512):
+                x = Late.of(whole.slice(k, 512), lexicon.rare)
+                known = x.after >= 0
+                total += np.bincount(np.r_[x.before * size + x.cls, x.cls[known] * size + x.after[known]], minlength=size * size)
+        pair = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int32()), pa.array(total[pair])], ["pair", "n"])
+
+    parts = texts.mapInPandas(count, "row long, rest array<string>, before array<int>, after array<int>, pair int, n long")
+    if lexicon.late:
+        parts = materialize(parts, "lm-open")
+        parts = parts.filter("pair >= 0").select("pair", "n").unionByName(look_up(parts.filter("pair < 0"), every).mapInArrow(resolve, "pair int, n long"))
+    found = parts.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    g = np.zeros(size * size)
+    g[found.column("pair").to_numpy()] = found.column("n").to_numpy()
+    return g.reshape(size, size)
+
+
+@dataclass
+class BrownModel:
+    lexicon: Lexicon
+    plus: np.ndarray  # count + 1 of each word of the dictionary
+    emit: np.ndarray  # p(word | class) of each
+    follow: np.ndarray  # p(class | class before)
+    weight: float  # of the class bigram
+    into: np.ndarray  # counts of each class
+    rare_total: float
+    total: float  # N + V + 1
+    tokens: int  # N
+
+    def mix(self, before: np.ndarray, c: np.ndarray, emit: np.ndarray, plus: np.ndarray) -> np.ndarray:
+        return np.log10(self.weight * self.follow[before, c] * emit + (1 - self.weight) * plus / self.total)
+
+    def batch(self, texts: list[str | None]) -> pd.DataFrame:
+        """Sums over the words that need no others' counts, and each text's
+        words outside the dictionary with what stands around them: the class
+        before, and the number behind (of the dictionary)."""
+        x, sizes, rest = self.lexicon.read(texts)
+        c, before = self.lexicon.classes(x, sizes)
+        opens = np.cumsum(sizes) - sizes
+        known, lengths = x >= 0, np.array([len(r) for r in rest])
+        if not self.tokens:
+            known[np.cumsum(sizes) - 1] = False  # not even ends were seen
+        closed = (c >= 0) & (before >= 0)
+        score = np.where(closed, self.mix(before, c, self.emit[x], self.plus[x]), 0.0)
+        at = np.flatnonzero(x < 0)
+        out = pd.DataFrame({"n_tokens": sizes, "n_known": np.add.reduceat(known.astype(np.int64), opens), "base": np.add.reduceat(np.where(known, np.log10(self.plus[x]), 0.0), opens), "score": np.add.reduceat(score, opens)})
+        out["rest"] = [[w.decode() for w in r] for r in rest]
+        out["before"], out["after"] = split_lists(before[at], lengths), split_lists(x[at + 1], lengths)
+        return out
+
+    def late(self, x: Late, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What these words add to each row's n_known, base and score."""
+        own = self.mix(x.before, x.cls, np.where(x.cls == self.lexicon.rare, (x.c + 1) / self.rare_total, x.c / np.maximum(self.into[x.cls], 1.0)), x.c + 1)
+        behind = np.where(x.after >= 0, self.mix(x.cls, self.lexicon.cls[x.after], self.emit[x.after], self.plus[x.after]), 0.0)
+        add = lambda v: np.bincount(x.row, weights=v, minlength=rows)
+        return add(x.c > 0), add(np.log10(x.c + 1)), add(own + behind)
 
 
 def fit(texts: DataFrame) -> tuple[BrownModel, DataFrame]:
-    """``texts``: text. The model, and the table of all word counts."""
+    """``texts``: text. The model, and the table of all words: word, c, cls
+    (the class of the dictionary's words is the model's)."""
     counts = materialize(count_words(texts), "word-counts")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    tokens, distinct = int(total[0]), int(total[1])
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") >= ENOUGH)).first()
+    tokens, distinct, frequent = map(int, total)
     levels = sorted(((r["c"], r["count"]) for r in counts.groupBy("c").count().collect()), reverse=True)
     least, room = 1, DICTIONARY
     for c, n in levels:
@@ -195,7 +415,8 @@ def fit(texts: DataFrame) -> tuple[BrownModel, DataFrame]:
         if room < 0:
             least = c + 1
             break
-    short = counts.filter((F.col("c") >= least) & (F.octet_length("word") <= LONGEST)).toArrow()
+    in_dictionary = ((F.col("c") >= least) & (F.octet_length("word") <= LONGEST)) | (F.col("word") == END)
+    short = counts.filter(in_dictionary).toArrow()
     names, c = short.column("word").to_pylist(), short.column("c").to_numpy()
     order = sorted(range(len(names)), key=lambda k: (-c[k], names[k]))
     words = {names[k].encode(): i for i, k in enumerate(order)}
@@ -208,21 +429,31 @@ def fit(texts: DataFrame) -> tuple[BrownModel, DataFrame]:
     a, b, n = count_pairs(texts, number, rare, end)
     classes = min(CLASSES, max(1, len(top)))
     cls = exchange(a, b, n.astype(float), len(top), classes, 2)
-    size = classes + 2
+    size, rare_class, end_class = classes + 2, classes, classes + 1
     g = np.zeros((size, size))
     np.add.at(g, (cls[a], cls[b]), n)
+
+    # The further words, each by its own neighbours.
+    of = np.array([cls[number[w]] if w in number else end_class if w == end_key else rare_class for w in words] or [end_class])
+    wanted = np.r_[(of[: len(c)] == rare_class) & (c >= ENOUGH), np.zeros(int(not len(c)), bool)]
+    late = frequent > int((c >= ENOUGH).sum())
+    every, assigned = counts.withColumn("cls", F.lit(rare_class)), 0
+    if late or wanted.any():
+        placed = materialize(assign_classes(count_sides(texts, Lexicon(words, of, rare_class, end_class, size, late), wanted), g, classes, rare_class), "word-classes")
+        assigned = placed.count()
+        near = placed.filter(in_dictionary).toArrow()
+        of[[words[w.encode()] for w in near.column("word").to_pylist()]] = near.column("cls").to_numpy()
+        if late:
+            every = materialize(counts.join(placed.select("word", "cls"), "word", "left").withColumn("cls", F.coalesce("cls", F.lit(rare_class))), "words")
+    lexicon = Lexicon(words, of, rare_class, end_class, size, late)
+    g = count_classes(texts, lexicon, every)
     into = g.sum(0)
     share = (into + 1e-9) / (into + 1e-9).sum()
     follow = (g + SMOOTH * share) / (g.sum(1, keepdims=True) + SMOOTH)
 
-    rare_class, end_class = classes, classes + 1
-    of = np.array([cls[number[w]] if w in number else end_class if w == end_key else rare_class for w in words] or [rare_class])
-    plus = np.r_[c + 1, 1.0] if not len(c) else c + 1
-    clustered = np.bincount(of[: len(c)], weights=c, minlength=size)
-    outside = distinct - len(top) - (1 if tokens else 0)
-    rare_tokens = tokens - sum(c[i] for i, w in enumerate(words) if w in number or w == end_key)
-    rare_total = rare_tokens + outside + 1.0
-    emit = np.where(of == rare_class, plus / rare_total, (plus - 1) / np.maximum(clustered[of], 1.0))
+    plus = c + 1 if len(c) else np.ones(1)
+    rare_total = into[rare_class] + distinct - len(top) - assigned - (1 if tokens else 0) + 1.0
+    emit = np.where(of == rare_class, plus / rare_total, (plus - 1) / np.maximum(into[of], 1.0)) if tokens else np.ones(1)
 
     # Leave-one-out: how much likelier a class bigram makes its second class.
     at = g > 0
@@ -232,11 +463,10 @@ def fit(texts: DataFrame) -> tuple[BrownModel, DataFrame]:
         if tokens:
             part = weight * ratio / (weight * ratio + 1 - weight)
             weight = float(np.clip((part * g[at]).sum() / g[at].sum(), 0.01, 0.99))
-    model = BrownModel(words, plus, of, emit, follow, weight, rare_class, end_class, rare_total, tokens + distinct + 1.0, tokens)
-    return model, counts
+    return BrownModel(lexicon, plus, emit, follow, weight, into, rare_total, tokens + distinct + 1.0, tokens), every
 
 
-def score_documents(docs: DataFrame, model: BrownModel, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, model: BrownModel, every: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_tokens, n_known, train_tokens, base_score,
     score, perplexity (of the score, per token).
 
@@ -249,31 +479,33 @@ def score_documents(docs: DataFrame, model: BrownModel, counts: DataFrame, id_co
         for pdf in batches:
             for k in range(0, len(pdf), 512):
                 part = pdf.iloc[k : k + 512]
-                out, rest = model.batch(part["text"].tolist())
+                out = model.batch(part["text"].tolist())
                 out.insert(0, "id", part["id"].to_numpy())
                 out.insert(0, "row", row + np.arange(len(out)))
-                out["rest"] = [[w.decode("utf-8", "replace") for w in r] for r in rest]
                 row += len(out)
                 yield out
 
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 512):
+                part = whole.slice(k, 512)
+                known, base, score = model.late(Late.of(part, model.lexicon.rare), part.num_rows)
+                sums = [np.array(part.column(name)) + add for name, add in (("n_known", known.astype(np.int64)), ("base", base), ("score", score))]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n_tokens"), *map(pa.array, sums)], ["id", "n_tokens", "n_known", "base", "score"])
+
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    parts = materialize(rows.mapInPandas(first, f"row long, id {kind}, n_tokens long, n_known long, base double, score double, rest array<string>"), "lm-parts")
-
-    # Words that were never seen add log10(1) = 0 and are not known: an inner join will do.
-    each = parts.select("row", F.explode("rest").alias("word"))
-    late = each.join(counts, "word").groupBy("row").agg(F.count(F.lit(1)).alias("late_n"), F.sum(F.log10(F.col("c") + 1.0)).alias("late"))
-    seen, add = F.coalesce("late_n", F.lit(0)), F.coalesce("late", F.lit(0.0))
+    parts = materialize(rows.mapInPandas(first, f"row long, id {kind}, n_tokens long, n_known long, base double, score double, rest array<string>, before array<int>, after array<int>"), "lm-parts")
     return (
-        parts.drop("rest")
-        .join(late, "row", "left")
+        look_up(parts, every)
+        .mapInArrow(second, f"id {kind}, n_tokens long, n_known long, base double, score double")
         .select(
             F.col("id").alias(id_col),
             "n_tokens",
-            (F.col("n_known") + seen).alias("n_known"),
+            "n_known",
             F.lit(model.tokens).cast("long").alias("train_tokens"),
-            (F.col("base") + add - F.col("n_tokens") * float(np.log10(model.total))).alias("base_score"),
-            (F.col("score") + add).alias("score"),
+            (F.col("base") - F.col("n_tokens") * float(np.log10(model.total))).alias("base_score"),
+            "score",
         )
         .withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
     )
@@ -282,5 +514,5 @@ def score_documents(docs: DataFrame, model: BrownModel, counts: DataFrame, id_co
 def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
     """Learn from all documents outside the held-out fold and score every one."""
     out = fold(F.col(id_col), folds) == held
-    model, counts = fit(docs.filter(~out).select(F.col(text_col).alias("text")))
-    return score_documents(docs, model, counts, id_col, text_col).withColumn("held_out", fold(F.col(id_col), folds) == held)
+    model, every = fit(docs.filter(~out).select(F.col(text_col).alias("text")))
+    return score_documents(docs, model, every, id_col, text_col).withColumn("held_out", fold(F.col(id_col), folds) == held)

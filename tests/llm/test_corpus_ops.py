@@ -336,6 +336,71 @@ def test_language_model(spark, odd, none, monkeypatch):
     assert brown.language_model_scores(none).count() == 0
 
 
+def brute_classes(rows, model, cls):
+    """Class bigrams and scores of all texts, from every word's class and count."""
+    x = model.lexicon
+    count, g = Counter(w for _, t in rows for w in words(t)), np.zeros((x.size, x.size))
+    out = {}
+    for i, t in rows:
+        before, s = x.end, 0.0
+        for w in [*words(t), None]:
+            c = x.end if w is None else cls.get(w, x.rare)
+            n = len(rows) if w is None else count[w]
+            g[before, c] += 1
+            emit = (n + 1) / model.rare_total if c == x.rare else n / model.into[c]
+            s += math.log10(model.weight * model.follow[before, c] * emit + (1 - model.weight) * (n + 1) / model.total)
+            before = c
+        out[i] = s
+    return g, out
+
+
+@pytest.mark.parametrize("dictionary", [60, 5000])
+def test_words_outside_the_exchange_get_classes(spark, monkeypatch, dictionary):
+    for name, value in (("CLUSTERED", 20), ("CLASSES", 2), ("DICTIONARY", dictionary)):
+        monkeypatch.setattr(brown, name, value)
+    r = np.random.default_rng(4)
+    rows = []  # ten frequent words of either kind, a hundred less frequent ones
+    for i in range(400):
+        said = []
+        for _ in range(20):
+            for kind in "ab":
+                said.append(f"{kind}{r.integers(0, 10)}" if r.random() < 0.6 else f"{kind}{r.integers(10, 110)}")
+        rows.append((i, " ".join([*said, f"once{i}"])))
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    model, every = brown.fit(texts.select("text"))
+    assert model.lexicon.late == (dictionary == 60)
+    known = {x.word.encode(): x.cls for x in every.collect()} | {w: int(model.lexicon.cls[k]) for w, k in model.lexicon.words.items()}
+    kinds = {k: {c for w, c in known.items() if w[:1] == k and w[1:].isdigit()} for k in (b"a", b"b")}
+    assert all(len(c) == 1 for c in kinds.values()) and kinds[b"a"] != kinds[b"b"]
+    assert {known[b"once%d" % i] for i in range(400)} == {model.lexicon.rare}
+    known.pop(b"\n", None)
+    g, want = brute_classes(rows, model, known)
+    assert (g.sum(0) == model.into).all()
+    got = {x.doc_id: x.score for x in brown.score_documents(texts, model, every).collect()}
+    assert all(got[i] == pytest.approx(s) for i, s in want.items())
+    assert sum(model.emit[k] for w, k in model.lexicon.words.items() if known.get(w) == known[b"a1"]) <= 1 + 1e-9
+
+
+def test_best_class_equals_the_exchange():
+    r = np.random.default_rng(2)
+    seq = np.concatenate([[r.integers(0, 5), r.integers(5, 10), 10 if r.random() < 0.1 else r.integers(0, 10)] for _ in range(900)])
+    cls = np.array([0] * 5 + [1] * 5 + [2])
+    g = np.zeros((4, 4))
+    np.add.at(g, (cls[seq[:-1]], cls[seq[1:]]), 1)
+    at = np.flatnonzero(seq[:-1] == 10)
+    sides = Counter(8 if seq[i + 1] == 10 else int(cls[seq[i + 1]]) for i in at) + Counter(4 + int(cls[seq[i - 1]]) for i in at if seq[i - 1] != 10)
+    cell, n = np.array(sorted(sides)), np.array([sides[c] for c in sorted(sides)], float)
+
+    def likelihood(k):
+        new = np.where(np.arange(11) == 10, k, cls)
+        h = np.zeros((4, 4))
+        np.add.at(h, (new[seq[:-1]], new[seq[1:]]), 1)
+        return brown.xlogx(h).sum() - brown.xlogx(h.sum(0)).sum() - brown.xlogx(h.sum(1)).sum()
+
+    got = brown.best_classes(g, 2, 2, np.zeros(len(cell), int), cell, n)
+    assert got.tolist() == [max((0, 1), key=likelihood)]
+
+
 def test_exchange_finds_alternating_classes():
     r = np.random.default_rng(0)
     seq = np.concatenate([[r.integers(0, 5), r.integers(5, 10)] for _ in range(2000)])
