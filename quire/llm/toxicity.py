@@ -6,19 +6,19 @@ toxic unless every sentence is harmless: noisy-or, ``P = 1 - prod(1 - p)``. The
 gradient of the document's log-loss flows through the noisy-or to the sentences
 that carry it, so the model also locates the offending sentences.
 
-Words are hashed to ``BUCKETS`` weights. The model is fitted on a bounded sample
-(``SAMPLE_PER_LABEL`` documents a label, ``SAMPLE_CHARS`` characters a label);
-scoring reads every whole text, with no shuffle. Words
-that follow few different words in the sample (fewer than ``MIN_CONTEXTS``, or
-a fortieth of the toxic documents) get no weight, so that the chance words of a much-copied document do not.
+The model is fitted on a bounded sample (``SAMPLE_PER_LABEL`` documents a label,
+``SAMPLE_CHARS`` characters a label) without the copies in it; scoring reads
+every whole text, with no shuffle. Words that fewer than ``MIN_DOCUMENTS``
+different texts of the sample hold get no weight; of the others those that the
+penalty leaves one are kept by name.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -27,13 +27,10 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import bounded_sample, fold
 
-BUCKETS = 1 << 18
 SAMPLE_PER_LABEL, SAMPLE_CHARS = 3000, 8_000_000
 #: Clean documents weigh ``NEGATIVES`` times as much, so that few are rejected.
-MIN_CONTEXTS, STEPS, RATE, PENALTY, BIAS, NEGATIVES = 5, 200, 1.0, 1e-4, -10.0, 3.0
+MIN_DOCUMENTS, STEPS, RATE, PENALTY, BIAS, NEGATIVES = 5, 200, 1.0, 1e-4, -10.0, 3.0
 BIAS_RATE = 0.3
-#: Words that a worker keeps the weights of.
-KEPT = 200_000
 
 #: ASCII letters, digits and bytes of other scripts form words; these end a
 #: sentence; the rest separates words.
@@ -46,42 +43,28 @@ def tokens(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(_TABLE).replace(b"\n", b" | ").split()
 
 
-def bucket(word: bytes) -> int:
-    return zlib.crc32(word) & (BUCKETS - 1)
-
-
 @dataclass
 class NoisyOrModel:
-    weights: np.ndarray  # float32, BUCKETS
+    words: dict[bytes, int]  # those with a weight, from 1; the end of a sentence is -1
+    weights: np.ndarray  # by number; 0 of all other words
     bias: float
 
-    def scores(self, texts: list[str], known: dict[bytes, float]) -> list[np.ndarray]:
+    def scores(self, texts: list[str]) -> list[np.ndarray]:
         """For each text the scores of its sentences that have words."""
-        if len(known) > KEPT:
-            known.clear()
-        w, out = self.weights, []
-        known[b"|"] = np.inf
+        get, size, out = self.words.get, len(self.weights), []
         for text in texts:
-            words = tokens(text)
-            try:
-                z = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-            except KeyError:
-                for x in set(words).difference(known):
-                    known[x] = float(w[bucket(x)])
-                z = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-            end = np.isinf(z)
+            said = tokens(text)
+            x = np.fromiter(map(get, said, repeat(0)), np.int64, len(said))
+            end = x < 0
             sentence = np.cumsum(end)[~end]
             if not len(sentence):
                 out.append(np.zeros(0))
                 continue
             number = np.cumsum(np.r_[False, sentence[1:] != sentence[:-1]])
-            z = z[~end]
-            told = np.flatnonzero(z)
-            at, z = number[told], z[told]
-            order = np.lexsort((z, at))  # a word counts once in a sentence; its weight stands for it
-            at, z = at[order], z[order]
-            new = np.r_[True, (at[1:] != at[:-1]) | (z[1:] != z[:-1])][: len(z)]
-            total = np.bincount(at[new], weights=z[new], minlength=number[-1] + 1)
+            x = x[~end]
+            told = np.flatnonzero(x)
+            pairs = np.unique(number[told] * size + x[told])  # a word counts once in a sentence
+            total = np.bincount(pairs // size, weights=self.weights[pairs % size], minlength=number[-1] + 1)
             out.append(1 / (1 + np.exp(-np.clip(self.bias + total, -30, 30))))
         return out
 
@@ -92,44 +75,44 @@ def noisy_or(p: np.ndarray) -> float:
 
 def fit(labelled: list[tuple[int, str]]) -> NoisyOrModel:
     """Fit on (label, text) pairs; without both labels, all weights are zero."""
-    flat, labels = [], []
-    for label, text in labelled:
-        x = np.array([-1 if w == b"|" else bucket(w) for w in tokens(text)], np.int32)
+    flat, labels, number = [], [], {}
+    for label, text in dict.fromkeys(labelled):
+        x = np.array([-1 if w == b"|" else number.setdefault(w, len(number)) for w in tokens(text)], np.int32)
         if (x >= 0).any():
             flat.append(np.r_[x, np.int32(-1)])
             labels.append(label)
-    model = NoisyOrModel(np.zeros(BUCKETS, np.float32), BIAS)
     if len(set(labels)) < 2:
-        return model
+        return NoisyOrModel({b"|": -1}, np.zeros(1), BIAS)
+    size = len(number)
     y = np.array(labels, float)
     x = np.concatenate(flat).astype(np.int64)
     doc = np.repeat(np.arange(len(flat)), [len(f) for f in flat])
-    before = np.r_[-1, x[:-1]]
-    contexts = np.unique((before + 1)[x >= 0] * BUCKETS + x[x >= 0]) % BUCKETS
-    use = np.bincount(contexts, minlength=BUCKETS) >= max(MIN_CONTEXTS, sum(labels) // 40)
+    use = np.bincount(np.unique(doc[x >= 0] * size + x[x >= 0]) % size, minlength=size) >= MIN_DOCUMENTS
     # A word counts once in a sentence.
     sentence, doc = np.cumsum(x < 0)[x >= 0], doc[x >= 0]
-    pairs, at = np.unique(sentence * BUCKETS + x[x >= 0], return_index=True)
-    word, doc = (pairs % BUCKETS).astype(np.int32), doc[at]
-    opens = np.flatnonzero(np.r_[True, np.diff(pairs // BUCKETS) > 0])
+    pairs, at = np.unique(sentence * size + x[x >= 0], return_index=True)
+    word, doc = (pairs % size).astype(np.int32), doc[at]
+    opens = np.flatnonzero(np.r_[True, np.diff(pairs // size) > 0])
     of = np.repeat(np.arange(len(opens), dtype=np.int32), np.diff(np.r_[opens, len(word)]))
     bag = doc[opens]
     first = np.flatnonzero(np.r_[True, np.diff(bag) > 0])
-    w, bias = np.zeros(BUCKETS), BIAS
-    g2, b2 = np.full(BUCKETS, 1e-8), 1e-8
+    w, bias = np.zeros(size), BIAS
+    g2, b2 = np.full(size, 1e-8), 1e-8
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(bias + np.add.reduceat(w[word], opens), -30, 30)))
         clean = np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-9)), first)
         big = np.maximum(-np.expm1(clean), 1e-9)
         dz = p * np.where(y > 0, -np.exp(clean) / big, NEGATIVES)[bag] / len(y)
-        g = np.bincount(word, weights=dz[of], minlength=BUCKETS)
+        g = np.bincount(word, weights=dz[of], minlength=size)
         g2 += g * g
         w -= RATE * g / np.sqrt(g2)
         w = np.where(use, np.sign(w) * np.maximum(np.abs(w) - RATE * PENALTY / np.sqrt(g2), 0), 0)
         gb = dz.sum()
         b2 += gb * gb
         bias -= BIAS_RATE * gb / np.sqrt(b2)
-    return NoisyOrModel(w.astype(np.float32), float(bias))
+    told = np.flatnonzero(w)
+    names = list(number)
+    return NoisyOrModel({b"|": -1} | {names[i]: k for k, i in enumerate(told.tolist(), 1)}, np.r_[0.0, w[told]], float(bias))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held: int = 0) -> NoisyOrModel:
@@ -153,9 +136,8 @@ def score_documents(docs: DataFrame, model: NoisyOrModel, id_col: str = "doc_id"
     columns are not read."""
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[bytes, float] = {}
         for pdf in batches:
-            found = model.scores(pdf["text"].tolist(), known)
+            found = model.scores(pdf["text"].tolist())
             s = np.array([noisy_or(p) for p in found])
             worst = pd.array([int(p.argmax()) if len(p) else None for p in found], dtype="Int32")
             yield pd.DataFrame({"id": pdf["id"], "score": s, "predicted": (s >= threshold).astype("int32"), "worst_sentence": worst})
@@ -170,10 +152,9 @@ def offending_sentences(docs: DataFrame, model: NoisyOrModel, id_col: str = "doc
     (number among those with words), score, words (its words, in order)."""
 
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[bytes, float] = {}
         for pdf in batches:
             out = []
-            for name, text, p in zip(pdf["id"], pdf["text"], model.scores(pdf["text"].tolist(), known), strict=True):
+            for name, text, p in zip(pdf["id"], pdf["text"], model.scores(pdf["text"].tolist()), strict=True):
                 said = [s for s in re.split(rb" ?\| ?", b" ".join(tokens(text))) if s]
                 out += [(name, k, float(p[k]), said[k].decode()) for k in np.flatnonzero(p >= threshold).tolist()]
             yield pd.DataFrame(out, columns=["id", "sentence", "score", "words"])
@@ -192,9 +173,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[bytes, float] = {}
         for text in parts:
-            yield pd.Series([noisy_or(p) for p in model.scores(text.tolist(), known)], dtype=float)
+            yield pd.Series([noisy_or(p) for p in model.scores(text.tolist())], dtype=float)
 
     return plain.filter(score(F.coalesce(F.col(f"c{at}"), F.lit(""))) < threshold).toDF(*names)
 

@@ -263,6 +263,15 @@ def test_toxicity(spark, odd, none):
     assert toxicity.keep_clean(none, marks.filter("false")).columns == odd.columns
 
 
+def test_rare_insults_get_a_weight_and_copies_do_not():
+    r = np.random.default_rng(7)
+    said = [" ".join(f"w{k}" for k in r.integers(0, 300, 12)) for _ in range(4000)]
+    rows = [(0, t) for t in said[:2000]] + [(1, t + " vile") for t in said[2000:3600]] + [(1, t + " foul") for t in said[3600:3630]] + [(1, said[3630] + " chance")] * 60
+    model = toxicity.fit(rows)
+    assert set(model.words) >= {b"vile", b"foul"} and b"chance" not in model.words
+    assert [toxicity.noisy_or(p) >= 0.5 for p in model.scores([said[10] + " foul", said[10], said[20] + " vile"])] == [True, False, True]
+
+
 def test_noisy_or_gradient_finds_the_sentence():
     assert toxicity.noisy_or(np.array([0.5, 0.5])) == pytest.approx(0.75)
     assert toxicity.noisy_or(np.zeros(0)) == 0
