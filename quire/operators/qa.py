@@ -35,30 +35,46 @@ def missing_numbers(source: Column, target: Column) -> Column:
     return F.when(F.length(source) >= MIN_LENGTH, lost).otherwise(F.array().cast("array<string>"))
 
 
+def _pieces(c: Column, n: int) -> Column:
+    return F.regexp_extract_all(c, F.lit(f"(?s)(?=({'.' * n}))"), F.lit(1))
+
+
 def glossary_misses(pairs: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, term: terms of policy "translate" that the source holds (any case)
-    and whose target form the translation lacks. ``pairs``: keys, source,
-    target; ``terms``: term, target_form, policy, enabled - a dimension, which
-    the planner broadcasts if it is small."""
-    wanted = terms.filter((F.col("policy") == "translate") & F.col("enabled") & (F.coalesce("target_form", F.lit("")) != ""))
+    """keys, term: terms of policy "translate" that the source holds (any case,
+    parts of words too) and whose target form the translation lacks. ``pairs``:
+    keys, source, target; ``terms``: term, target_form, policy, enabled.
+
+    Sources and terms meet on three characters (all of a shorter term): of the
+    term's, those that the fewest sources hold."""
+    wanted = terms.filter((F.col("policy") == "translate") & F.col("enabled") & (F.coalesce("target_form", F.lit("")) != "") & (F.col("term") != ""))
     wanted = wanted.select("term", F.lower("term").alias("low_term"), F.lower("target_form").alias("low_form"))
     low = pairs.select(*keys, F.lower("source").alias("low_source"), F.lower("target").alias("low_target"))
-    first = F.regexp_extract("low_term", "[a-z0-9]+", 0)
-    words = F.array_distinct(F.regexp_extract_all("low_source", F.lit("[a-z0-9]+"), F.lit(0)))
-    hits = low.withColumn("word", F.explode(words)).join(wanted.withColumn("word", first), "word")
+    anchored = low.withColumn("anchor", F.explode(F.array_distinct(F.concat(*[_pieces(F.col("low_source"), n) for n in (1, 2, 3)]))))
+    held = anchored.groupBy("anchor").agg(F.count(F.lit(1)).alias("held"))
+    size = F.least(F.length("low_term"), F.lit(3))
+    starts = F.sequence(F.lit(1), F.length("low_term") - size + 1)
+    own = wanted.select("low_term", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("low_term", i, size)))).alias("anchor")).distinct()
+    rarest = own.join(held, "anchor").groupBy("low_term").agg(F.min(F.struct("held", "anchor")).alias("r")).select("low_term", F.col("r.anchor").alias("anchor"))
+    hits = anchored.join(wanted.join(rarest, "low_term"), "anchor")
     return hits.filter(F.col("low_source").contains(F.col("low_term")) & ~F.col("low_target").contains(F.col("low_form"))).select(*keys, "term").distinct()
 
 
-def run_qa(pairs: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
+def run_qa(pairs: DataFrame, source: str = "source", target: str = "target", misses: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
     """Adds ``flags`` (rules that fired, in order) and ``status``; an empty
-    output skips the other rules."""
+    output skips the other rules. ``misses``: of glossary_misses by the same
+    ``keys``; without them the glossary rule is not run."""
     s, t = F.col(source), F.col(target)
+    if misses is None:
+        marked = pairs.withColumn("_missed", F.lit(False))
+    else:
+        marked = pairs.join(misses.select(*keys).distinct().withColumn("_missed", F.lit(True)), keys, "left")
     others = F.array_compact(
         F.array(
             F.when(placeholders_left(t) > 0, "unresolved-placeholder"),
             F.when(length_ratio(s, t).isNotNull(), "length-ratio"),
             F.when(F.size(missing_numbers(s, t)) > 0, "altered-number"),
+            F.when(F.col("_missed"), "glossary-inconsistency"),
         )
     )
     flags = F.when(empty_output(s, t), F.array(F.lit("empty-output"))).otherwise(others)
-    return pairs.withColumn("flags", flags).withColumn("status", F.when(F.size("flags") > 0, "flagged").otherwise("translated"))
+    return marked.withColumn("flags", flags).drop("_missed").withColumn("status", F.when(F.size("flags") > 0, "flagged").otherwise("translated"))

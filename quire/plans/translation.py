@@ -87,7 +87,8 @@ def q25_glossary_misses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q26_run_qa(spark: SparkSession, sf: str) -> DataFrame:
-    return qa.run_qa(pairs(spark, sf)).select("conv_id", "turn", F.array_join("flags", ",").alias("flags"), "status")
+    both, keys = pairs(spark, sf), ["conv_id", "turn"]
+    return qa.run_qa(both, misses=qa.glossary_misses(both, _terms(spark, sf), keys), keys=keys).select("conv_id", "turn", F.array_join("flags", ",").alias("flags"), "status")
 
 
 def q64_batch_prompts(spark: SparkSession, sf: str) -> DataFrame:

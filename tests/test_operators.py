@@ -106,6 +106,19 @@ def test_qa_rules(spark):
     assert got == {1: (["empty-output"], "flagged"), 2: (["unresolved-placeholder", "altered-number"], "flagged"), 3: ([], "translated")}
 
 
+def test_glossary_terms_are_substrings(spark):
+    said = ["Two Computers a中文b", "no term", "comp uter", "x-ß+ c++"]
+    pairs = [(i, s, t) for i, s in enumerate(said) for t in ["nothing"]] + [(9, said[0], "RECHNER zh")]
+    terms = [("computer", "Rechner"), ("中文", "zh"), ("+", "plus"), ("c++", "cpp"), ("uter", None), ("puters", "q")]
+    p = spark.createDataFrame(pairs, "i int, source string, target string")
+    t = spark.createDataFrame([(a, b, "translate", True) for a, b in terms] + [("no", "n", "keep", True), ("no", "n2", "translate", False)], "term string, target_form string, policy string, enabled boolean")
+    misses = qa.glossary_misses(p, t, ["i"])
+    want = {(i, a) for i, s, x in pairs for a, b in terms if b and a in s.lower() and b.lower() not in x.lower()}
+    assert {(r.i, r.term) for r in misses.collect()} == want and len(want) == 6
+    got = {r.i: (r.flags, r.status) for r in qa.run_qa(p, misses=misses, keys=["i"]).collect()}
+    assert {i for i, (f, s) in got.items() if f[-1:] == ["glossary-inconsistency"] and s == "flagged"} == {i for i, _ in want}
+
+
 def test_tables_round_trip_bars(spark):
     rows = F.array(F.array(F.lit("a|b"), F.lit("")), F.array(F.lit("c"), F.lit("d\ne")))
     md = one(spark, tables.to_markdown(rows))
