@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import MAX_SEGMENT_CHARS, PROTECTED_KINDS, is_blank, segment_id, sentences
+from quire.operators import tables
+
+#: Behind the node id of a table, for its caption.
+CAPTION = ":caption"
 
 
 def pack_sentences(text: Column, limit: int = MAX_SEGMENT_CHARS) -> Column:
@@ -29,10 +33,17 @@ def pack_sentences(text: Column, limit: int = MAX_SEGMENT_CHARS) -> Column:
 def build_segments(nodes: DataFrame, limit: int = MAX_SEGMENT_CHARS) -> DataFrame:
     """``nodes``: doc_id, pos, node_id, kind, text, heading_path. One row per
     translation unit: protected kinds and blank texts have none; long texts
-    have several parts; ``ordinal`` counts through the document."""
+    have several parts; ``ordinal`` counts through the document. A table with
+    ``cells`` is a unit of pipe rows, and its text, the caption, one behind it."""
+    if "cells" in nodes.columns:
+        grid = (F.col("kind") == "table") & F.exists(F.flatten("cells"), lambda c: ~is_blank(c["text"]))
+        rows = tables.to_markdown(F.transform("cells", lambda row: F.transform(row, lambda c: c["text"])))
+        own = F.struct("node_id", F.col("text"))
+        both = F.array(F.struct("node_id", rows.alias("text")), F.struct(F.concat("node_id", F.lit(CAPTION)).alias("node_id"), F.col("text")))
+        nodes = nodes.withColumn("_unit", F.explode(F.when(grid, both).otherwise(F.array(own)))).withColumns({"node_id": F.col("_unit.node_id"), "text": F.col("_unit.text")})
     units = nodes.filter(~F.col("kind").isin(*PROTECTED_KINDS) & ~is_blank(F.col("text")))
     parts = units.select("doc_id", "pos", "node_id", "kind", "heading_path", F.posexplode(pack_sentences(F.col("text"), limit)).alias("part", "source_text"))
-    order = Window.partitionBy("doc_id").orderBy("pos", "part")
+    order = Window.partitionBy("doc_id").orderBy("pos", F.endswith("node_id", F.lit(CAPTION)), "part")
     return parts.withColumns(
         {
             "ordinal": F.row_number().over(order) - 1,
@@ -55,6 +66,7 @@ def reconcile(desired: DataFrame, stored: DataFrame) -> DataFrame:
 def apply_translations(nodes: DataFrame, segments: DataFrame, translations: DataFrame) -> DataFrame:
     """Nodes with translated text: the parts of a node in order, each translated
     or else as it was; a node without any translation is unchanged.
+    Pipe rows of a table go back to its cells by row and column.
     ``translations``: doc_id, id, target_text."""
     done = translations.filter(F.coalesce("target_text", F.lit("")) != "")
     parts = segments.join(done, ["doc_id", "id"], "left")
@@ -62,4 +74,15 @@ def apply_translations(nodes: DataFrame, segments: DataFrame, translations: Data
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", F.coalesce("target_text", "source_text").alias("text")))), lambda x: x["text"]), " ").alias("merged"),
         F.max(F.col("target_text").isNotNull()).alias("any"),
     )
-    return nodes.join(merged, ["doc_id", "node_id", "pos"], "left").withColumn("text", F.when(F.col("any"), F.col("merged")).otherwise(F.col("text"))).drop("merged", "any")
+    def put(to: DataFrame, found: DataFrame, where: Column) -> DataFrame:
+        return to.join(found, ["doc_id", "node_id", "pos"], "left").withColumn("text", F.when(F.col("any") & where, F.col("merged")).otherwise(F.col("text")))
+
+    if "cells" not in nodes.columns:
+        return put(nodes, merged, F.lit(True)).drop("merged", "any")
+    captions = merged.filter(F.endswith("node_id", F.lit(CAPTION))).withColumn("node_id", F.expr(f"left(node_id, length(node_id) - {len(CAPTION)})"))
+    grid = (F.col("kind") == "table") & F.exists(F.flatten("cells"), lambda c: ~is_blank(c["text"]))
+    done = put(nodes, merged, ~F.coalesce(grid, F.lit(False)))
+    texts = tables.onto_template(tables.from_markdown(F.col("merged")), F.transform("cells", lambda row: F.transform(row, lambda c: c["text"])))
+    cells = F.zip_with("cells", texts, lambda row, new: F.zip_with(row, new, lambda c, x: c.withField("text", x)))
+    done = done.withColumn("cells", F.when(F.col("any") & grid, cells).otherwise(F.col("cells"))).drop("merged", "any")
+    return put(done, captions, F.lit(True)).select(*nodes.columns)

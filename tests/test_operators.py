@@ -127,6 +127,21 @@ def test_tables_round_trip_bars(spark):
     assert one(spark, tables.onto_template(tables.from_markdown(F.lit("| x |")), rows)) == [["x", ""], ["c", "d\ne"]]
 
 
+def test_tables_of_a_page_are_translated(spark):
+    page = "<p>before</p><table><caption>Cap</caption><tr><th colspan=2>Head</th></tr><tr><td></td><td></td></tr><tr><td>a|b</td><td>two</td></tr></table><table><tr><td>x</td></tr></table><p>after</p>"
+    nodes = readers.parse_nodes(spark.createDataFrame([("d", page)], "doc_id string, content string"), "html")
+    segs = S.build_segments(tree.heading_paths(nodes))
+    got = [r.source_text for r in segs.orderBy("ordinal").collect()]
+    assert got == ["before", "| Head |  |\n| --- | --- |\n|  |  |\n| a\\|b | two |", "Cap", "| x |\n| --- |", "after"]
+    done = segs.select("doc_id", "id", F.upper("source_text").alias("target_text"))
+    out = S.apply_translations(nodes, segs, done)
+    assert out.columns == nodes.columns
+    rows = out.orderBy("pos").collect()
+    assert [r.text for r in rows] == ["BEFORE", "CAP", None, "AFTER"]
+    assert [[c.text for c in r] for r in rows[1].cells] == [["HEAD", ""], ["", ""], ["A|B", "TWO"]] and rows[2].cells[0][0].text == "X"
+    assert (rows[1].cells[0][0].colspan, rows[1].cells[0][0].is_header) == (2, True)
+
+
 def test_text_functions(spark):
     assert one(spark, T.slug(F.lit(" a/b:  c?. "))) == "a-b-c"
     assert one(spark, T.safe_filename(F.lit(" my/book.PDF"), F.lit("x"))) == "mybook"
