@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, as the word definitions of the corpus queries have it.
 ASCII_WORD = r"[^\x20\x09-\x0D]+"
+#: Most bytes of an Arrow batch of rows.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +45,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_BYTES``: what a Python worker and the
+    buffers before it hold must not grow with the length of texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if _bytes(spark.conf.get(name, "64m")) not in range(1, BATCH_BYTES + 1):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def _bytes(setting: str) -> int:
+    digits = setting.rstrip("bB").lower()
+    unit = {"k": 10, "m": 20, "g": 30, "t": 40}.get(digits[-1:], 0)
+    return int(digits.rstrip("kmgt")) << unit
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

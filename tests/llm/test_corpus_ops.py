@@ -142,16 +142,39 @@ def test_encoder_equals_the_tokenizer():
 
 def test_wavelet_matrix():
     v = np.random.default_rng(0).integers(0, 900, 3000)
-    m = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(v).to_bytes())
-    assert (m.decode() == v).all()
-    for i in (0, 1, 511, 512, 513, 2999):
-        x = int(v[i])
-        assert m.access(i) == x and m.rank(x, i) == (v[:i] == x).sum() and m.count(x) == (v == x).sum()
-        assert m.select(x, m.rank(x, i)) == i
-    assert m.count(901) == 0 and m.count(1 << 40) == 0
-    with pytest.raises(IndexError):
-        m.select(901, 0)
-    assert len(wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(np.zeros(0, int)).to_bytes()).decode()) == 0
+    built = wavelet.WaveletMatrix.build(v)
+    m = wavelet.WaveletMatrix.from_parts(*built.to_parts(), len(v))
+    assert (m.decode() == v).all() and (m.access(np.arange(3000)) == v).all()
+    i = np.array([0, 1, 63, 64, 511, 512, 513, 1024, 2999, 3000])
+    for x in (int(v[0]), int(v[2999]), 899, 901, 1 << 40):
+        assert (m.rank(x, i) == [(v[:k] == x).sum() for k in i]).all() and m.count(x) == (v == x).sum()
+        assert (m.positions(x) == np.flatnonzero(v == x)).all()
+    assert (m.count(np.arange(900)) == np.bincount(v, minlength=900)).all()
+    for bad in (lambda: m.select(901, 0), lambda: m.select(int(v[0]), 3000), lambda: m.access(3000)):
+        with pytest.raises(IndexError):
+            bad()
+    empty = wavelet.WaveletMatrix.from_parts(*wavelet.WaveletMatrix.build(np.zeros(0, int)).to_parts(), 0)
+    assert len(empty.decode()) == 0 and empty.count(5) == 0 and len(empty.access([])) == 0
+
+
+def test_token_lookups_from_the_files(spark, odd, none, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK_IDS", 64)
+    rows = [(i, t) for i, t, *_ in ODD if i not in (7, None)] + [(100 + k, f"word number {k} of the cat " * (k % 9)) for k in range(80)]
+    token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "t"), shards=3)
+    ids = whole_ids([t for _, t in sorted(rows)])
+    flat, owner = np.concatenate(ids), np.repeat([i for i, _ in sorted(rows)], [len(x) for x in ids])
+    place = np.concatenate([np.arange(len(x)) for x in ids])
+    asked = spark.createDataFrame([(p,) for p in [*range(0, len(flat), 3), 0, len(flat) - 1, len(flat), -1, None]], "position long")
+    got = {r.position: r.token for r in token_files.tokens_at(spark, str(tmp_path / "t"), asked).collect()}
+    assert got == {p: flat[p] for p in {*range(0, len(flat), 3), len(flat) - 1}}
+    some = [1, int(flat[0]), int(flat[-2]), 48000]
+    counts = {r.token: r.n for r in token_files.count_tokens(spark, str(tmp_path / "t"), some).collect()}
+    assert counts == {t: int((flat == t).sum()) for t in some}
+    found = sorted(tuple(r) for r in token_files.find_tokens(spark, str(tmp_path / "t"), some).select("token", "position", "doc_id", "place").collect())
+    assert found == sorted((int(flat[p]), int(p), int(owner[p]), int(place[p])) for p in np.flatnonzero(np.isin(flat, some)))
+    token_files.write_token_files(none, str(tmp_path / "e"))
+    assert token_files.find_tokens(spark, str(tmp_path / "e"), some).count() == 0
+    assert {r.n for r in token_files.count_tokens(spark, str(tmp_path / "e"), some).collect()} == {0}
 
 
 def test_token_files_round_trip(odd, none):
@@ -193,15 +216,35 @@ def test_packing(odd, none):
     assert packing.pack_documents(none).count() == 0
 
 
-def test_packing_uses_exact_combinations():
-    lengths = np.array([1024] * 10 + [1500] * 4 + [548] * 4 + [700, 700, 648])
-    sequences = packing.pack(lengths)
-    assert all(sum(n for *_, n in s) == 2048 for s in sequences)
-    assert all(n == lengths[d] for s in sequences for d, _, n in s)
-    h = np.bincount(lengths, minlength=2049)
-    combos = packing.combinations(h, 2048)
-    x = packing.solve_counts(combos, h)
-    assert (x >= 0).all() and (combos.sum(1) == 2048).all()
+def test_solved_counts_fit_the_histogram():
+    a, h = packing.combination_matrix(16, 3), np.random.default_rng(1).integers(0, 60, 16).astype(float)
+    x = packing.solve_counts(a, h)
+    assert (x >= 0).all() and (x > 0).sum() <= 16
+    w = a.T @ (h - a @ x)  # the conditions of an optimum
+    assert w.max() < 1e-6 and np.abs(w[x > 0]).max() < 1e-6
+    exact = packing.solve_counts(a, a @ np.r_[5.0, np.zeros(a.shape[1] - 2), 3.0])
+    assert a @ exact == pytest.approx(a @ np.r_[5.0, np.zeros(a.shape[1] - 2), 3.0])
+
+
+def test_most_of_the_corpus_is_placed_by_the_solved_counts(spark):
+    """The share of remainders' tokens in windows of solved combinations."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    lengths = np.array([len(x) for x in encode_documents(default_vocabulary(), texts)])
+    share = Counter()
+    for pieces, placed in packing.pack(lengths):
+        share[placed] += sum(n for *_, n in pieces)
+    assert share[packing.SOLVED] > 0.7 * (share[packing.SOLVED] + share[packing.GREEDY])
+
+
+@pytest.mark.parametrize("lengths", [[], [1], [2048], [5000, 1], [700] * 50, [1500] * 30, [2047] * 9 + [1] * 9, list(range(1, 2048))])
+def test_pack_loses_no_token(lengths):
+    seen = defaultdict(list)
+    for pieces, _ in packing.pack(np.array(lengths, int)):
+        total = sum(n for *_, n in pieces)
+        assert total == 2048 or total & (total - 1) == 0
+        for d, start, n in pieces:
+            seen[d] += range(start, start + n)
+    assert all(sorted(seen[d]) == list(range(n)) for d, n in enumerate(lengths))
 
 
 def test_license_scan(odd, none):
