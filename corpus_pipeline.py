@@ -19,22 +19,34 @@ from quire.llm.toxicity import keep_clean
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5, learned from ``labels``. Null and empty
+    texts and ids are clean; repeated rows are scored alike; very long texts are
+    scored whole; without usable labels, or of an empty table, nothing goes."""
     return keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest id. Null counts as empty text; a
+    null id stays only where its group has no other; of repeated rows one stays."""
     return drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by 0.8 or more of their five-word shingles, the one
+    with the smallest id. Null, empty and wordless texts stay; a text of fewer
+    words is one shingle; very long texts are compared whole."""
     return drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in training order, each as often as its source's target
+    takes it. A null source is a source; documents without words come once."""
     return training_stream(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the token stream in windows of 2048. Null and empty texts are
+    the end id alone; repeated and null ids are documents of their own."""
     return pack_documents(docs)
 
 
