@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import fold, materialize
+from quire.llm.common import discard, fold, materialize, small_batches
 
 CLUSTERED, CLASSES, ROUNDS = 1000, 48, 3
 #: Counts from which a word outside the exchange gets a class.
@@ -42,9 +42,9 @@ SMOOTH = 2.0
 #: The end of a text, as a word; words hold no white space.
 END = "\n"
 #: Words that a task counts before it hands them on.
-HELD = 400_000
+HELD = 250_000
 #: Neighbour counts of words that a task holds before it hands them on.
-HELD_CELLS = 500_000
+HELD_CELLS = 400_000
 
 
 def lm_words(text: str | None) -> list[bytes]:
@@ -351,11 +351,14 @@ def count_classes(texts: DataFrame, lexicon: Lexicon, every: DataFrame) -> np.nd
         pair = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int32()), pa.array(total[pair])], ["pair", "n"])
 
+    opened = None
     parts = texts.mapInPandas(count, "row long, rest array<string>, before array<int>, after array<int>, pair int, n long")
     if lexicon.late:
-        parts = materialize(parts, "lm-open")
+        parts = opened = materialize(parts, "lm-open")
         parts = parts.filter("pair >= 0").select("pair", "n").unionByName(look_up(parts.filter("pair < 0"), every).mapInArrow(resolve, "pair int, n long"))
     found = parts.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    if opened is not None:
+        discard(opened)
     g = np.zeros(size * size)
     g[found.column("pair").to_numpy()] = found.column("n").to_numpy()
     return g.reshape(size, size)
@@ -404,7 +407,10 @@ class BrownModel:
 
 def fit(texts: DataFrame) -> tuple[BrownModel, DataFrame]:
     """``texts``: text. The model, and the table of all words: word, c, cls
-    (the class of the dictionary's words is the model's)."""
+    (the class of the dictionary's words is the model's). Null and empty texts
+    are an end each; repeated rows count each; very long texts are counted
+    whole; of an empty table every word is unseen."""
+    small_batches(texts.sparkSession)
     counts = materialize(count_words(texts), "word-counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") >= ENOUGH)).first()
     tokens, distinct, frequent = map(int, total)
@@ -474,6 +480,8 @@ def score_documents(docs: DataFrame, model: BrownModel, every: DataFrame, id_col
     with nothing to learn from, every token is unseen; an empty table gives an
     empty result; other columns are not read."""
 
+    small_batches(docs.sparkSession)
+
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         row = TaskContext.get().partitionId() << 40
         for pdf in batches:

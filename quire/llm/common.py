@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, as the word definitions of the corpus queries have it.
 ASCII_WORD = r"[^\x20\x09-\x0D]+"
+#: Most labels of a sample, and characters of text in all.
+MOST_LABELS, SAMPLE_TOTAL = 10_000, 24_000_000
 #: Most bytes of an Arrow batch of rows.
 BATCH_BYTES = 8 << 20
 
@@ -20,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary folder of our own where that is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where
+    that is unset a temporary folder takes its place in local mode; on a cluster
+    it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -34,7 +40,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write a table in the shared folder and read it again.
+    """Cut lineage: write a table in the shared folder and read it again. It
+    stays there until ``discard`` or whoever clears that folder removes it.
 
     A lost executor costs nothing that was written, and later jobs do not run
     the work before it again."""
@@ -42,7 +49,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     gc.collect()  # shuffles of steps that nothing refers to any more are removed
     df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``materialize`` that nothing will read any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -77,11 +94,16 @@ def word_count(text: Column) -> Column:
 def bounded_sample(marks: DataFrame, texts: DataFrame, per_label: int, max_chars: int) -> list[tuple]:
     """(label, text) pairs to fit a classifier on: of each label about
     ``per_label`` rows, spread over all rows by a hash of the id, and no more
-    than ``max_chars`` characters of text (a longer text is passed over).
+    than ``max_chars`` characters of text (a longer text is passed over), all
+    labels together no more than ``SAMPLE_TOTAL``. Over ``MOST_LABELS`` labels
+    are an error.
 
     ``marks``: id, label. ``texts``: id, text. Null and empty texts are left
     out. Only ids, lengths and the chosen texts reach the driver."""
-    counts = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
+    counts = {r["label"]: r["count"] for r in marks.groupBy("label").count().limit(MOST_LABELS + 1).collect()}
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} different labels")
+    max_chars = min(max_chars, SAMPLE_TOTAL // max(len(counts), 1))
     spread = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.lit(0.0)
     for label, n in counts.items():

@@ -79,7 +79,8 @@ def place(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     rows of their own, in the order of their sizes. An empty table gives an
     empty result. Names cannot clash: input columns live in ``row``.
     """
-    h = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    # Rows without an id are spread by their texts.
+    h = F.md5(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("~"), F.col(text_col)), F.lit("")).cast("binary"))
     rows = docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
@@ -124,7 +125,12 @@ def place(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **mix) -> DataFrame:
     """One row per document with its first training position (null where
-    nothing is taken), range-sorted by it."""
+    nothing is taken), range-sorted by it.
+
+    Null texts and texts without words have size 0 and no position; null sources
+    are a source, the last one; rows with null ids are ordered by their texts;
+    rows that repeat have a row and a place each; an empty table gives an empty
+    result; other columns, whatever their names, are not read."""
     placed = place(docs, id_col, text_col, source_col, **mix)
     at = F.when(F.col("taken") > 0, due(F.col("offset") / F.col("target"), F.col("slope")))
     return (
@@ -141,7 +147,8 @@ def training_stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents stay whole here: the one that a source's target cuts comes once
     more if at least half of it is taken, so a source is off by half a document
     at most. A document without words takes no part in a mix of words; it comes
-    once, at its source's offset."""
+    once, at its source's offset. Nulls, repeats and empty tables are as in
+    ``mixture``; all columns are carried, whatever their names."""
     placed = place(docs, id_col, text_col, source_col, carry=True, **mix)
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5)).cast("int")
     each = placed.withColumn("copies", copies).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))

@@ -107,7 +107,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with the columns and types they came with."""
+    """The documents that stay, with the columns and types they came with. Null
+    texts and empty ones are one group, of which the row that stays keeps its
+    own; null ids lose to any id; of rows that repeat one stays; an empty table
+    gives an empty result; columns may have any names."""
     kept = sort_groups(docs, id_col, text_col).filter(F.col("rank") == 1)
     text = F.when(~F.col("text_null"), F.col("key"))
     return kept.select(*[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

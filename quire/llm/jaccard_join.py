@@ -45,13 +45,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialize
+from quire.llm.common import discard, materialize, small_batches
 from quire.llm.components import connected_components
 
 WORDS, PERCENT = 5, 80
 BANDS, PART, CHUNK = 4, 64, 256
 SHARED, LEADERS, SKETCH, ALIKE = 4, 8, 16, 6
-HEAVY, COUNT_BLOCK, REPEATS, FLAG_BITS = 1 << 19, 2_000_000, 3, 17
+HEAVY, COUNT_BLOCK, REPEATS, FLAG_BITS = 1 << 19, 1_500_000, 3, 17
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BAND_KEYS = np.random.default_rng(7).integers(1, 2**63, 2 * BANDS, dtype=np.uint64) | np.uint64(1)
 _PLACES = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
@@ -281,6 +281,7 @@ def group_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Two tables: documents (id, n, key) and sets (key, first_id, comp_id,
     comp_key): the smallest id that holds the set, the smallest id of the
     set's component, and the set that stands for the component."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     table = materialize(set_table(docs, words), "sets")
     each = table.filter("heavy is null").select("id", "n", "key")
@@ -301,6 +302,7 @@ def group_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = materialize(shared.filter("lo <> hi").select("token"), "shared-tokens")
     cells = heads.select("sid", F.posexplode("tokens").alias("pos", "token")).join(shared, "token")
     cells = materialize(cells.join(placed, "sid"), "shared-cells")
+    discard(heads, shared)
     part = F.xxhash64("comp", F.pmod(F.xxhash64("sid"), F.ceil(F.col("held") / PART)))
     parts = materialize(placed.select("sid", part.alias("g")), "parts")
     matrix = cells.join(parts, "sid").groupBy("token", "g", "comp", "held").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("at"))
@@ -320,6 +322,7 @@ def group_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("q", "g")
     )
     pairs = materialize(pairs, "pairs")
+    discard(cells)
     members = parts.join(pairs.select("g").distinct(), "g")
     late = materialize(verify(docs, sets, pairs, members, words, percent), "late-links")
 

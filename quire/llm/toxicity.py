@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bounded_sample, fold
+from quire.llm.common import bounded_sample, fold, small_batches
 
 SAMPLE_PER_LABEL, SAMPLE_CHARS = 3000, 8_000_000
 #: Clean documents weigh ``NEGATIVES`` times as much, so that few are rejected.
@@ -133,7 +133,8 @@ def score_documents(docs: DataFrame, model: NoisyOrModel, id_col: str = "doc_id"
     worst_sentence (its number among the sentences that have words, from 0;
     null without any). Null and empty texts have no sentence and score 0. Rows
     that repeat are scored alike; an empty table gives an empty result; other
-    columns are not read."""
+    columns are not read. Very long texts are scored whole, a batch of few."""
+    small_batches(docs.sparkSession)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -149,23 +150,34 @@ def score_documents(docs: DataFrame, model: NoisyOrModel, id_col: str = "doc_id"
 
 def offending_sentences(docs: DataFrame, model: NoisyOrModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """One row per sentence that alone reaches the threshold: id, sentence
-    (number among those with words), score, words (its words, in order)."""
+    (number among those with words), score, words (its words, in order). Null
+    and empty texts have none; rows with null or repeated ids are searched each;
+    an empty table gives an empty result; other columns are not read."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
 
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for name, text, p in zip(pdf["id"], pdf["text"], model.scores(pdf["text"].tolist()), strict=True):
+            out, at = [], []
+            for row, (text, p) in enumerate(zip(pdf["text"], model.scores(pdf["text"].tolist()), strict=True)):
                 said = [s for s in re.split(rb" ?\| ?", b" ".join(tokens(text))) if s]
-                out += [(name, k, float(p[k]), said[k].decode()) for k in np.flatnonzero(p >= threshold).tolist()]
-            yield pd.DataFrame(out, columns=["id", "sentence", "score", "words"])
+                for k in np.flatnonzero(p >= threshold).tolist():
+                    at.append(row)
+                    out.append((k, float(p[k]), said[k].decode()))
+            found = pd.DataFrame(out, columns=["sentence", "score", "words"])
+            found.insert(0, "id", pdf["id"].iloc[at].to_numpy())
+            yield found
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(locate, "id long, sentence int, score double, words string").withColumnRenamed("id", id_col)
+    return rows.mapInPandas(locate, f"id {kind}, sentence int, score double, words string").withColumnRenamed("id", id_col)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The documents that score below the threshold, with their own columns, in
-    one pass without a shuffle. Null and empty texts are clean."""
+    one pass without a shuffle. Null and empty texts are clean; a score at the
+    threshold goes; rows that repeat stay or go alike; without labels of both
+    kinds all stay; an empty table gives an empty result."""
+    small_batches(docs.sparkSession)
     model = train(docs, labels, id_col, text_col)
     names = docs.columns
     at = names.index(text_col)
