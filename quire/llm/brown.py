@@ -27,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,10 +42,12 @@ DICTIONARY, LONGEST = 150_000, 64
 SMOOTH = 2.0
 #: The end of a text, as a word; words hold no white space.
 END = "\n"
+#: Bits that tell which words outside the dictionary may have ``ENOUGH`` counts.
+FLAG_BITS = 26
 #: Words that a task counts before it hands them on.
 HELD = 250_000
 #: Neighbour counts of words that a task holds before it hands them on.
-HELD_CELLS = 400_000
+HELD_CELLS = 1_500_000
 
 
 def lm_words(text: str | None) -> list[bytes]:
@@ -152,15 +155,28 @@ class Lexicon:
     end: int  # class of the end
     size: int  # number of classes
     late: bool  # words outside the dictionary may have a class
+    flags: np.ndarray  # a bit of each that may, by its hash; false ones do no harm
 
-    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
+    def may(self, word: bytes) -> bool:
+        """Whether a word outside the dictionary may have a class of its own."""
+        h = xxhash.xxh64_intdigest(word, 42) & ((1 << FLAG_BITS) - 1)
+        return bool(self.flags[h >> 6] >> np.uint64(h & 63) & np.uint64(1))
+
+    def read(self, texts: list[str | None], flagged: bool = False) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
         """Numbers of all words (-1 outside the dictionary) with an end behind
-        each text, the sizes, and each text's words outside the dictionary."""
+        each text, the sizes, and each text's words outside the dictionary.
+        ``flagged``: words that are certainly rare have -2 and are left out."""
         get, end, numbers, sizes, rest = self.words.get, self.words.get(END.encode(), 0), [], [], []
+        told: dict[bytes, bool] = {}
         for text in texts:
             words = lm_words(text)
             ids = list(map(get, words))
-            if None in ids:
+            if flagged and None in ids:
+                new = {w for w, i in zip(words, ids, strict=True) if i is None and w not in told}
+                told.update((w, self.may(w)) for w in new)
+                rest.append([w for w, i in zip(words, ids, strict=True) if i is None and told[w]])
+                ids = [(-1 if told[w] else -2) if i is None else i for w, i in zip(words, ids, strict=True)]
+            elif None in ids:
                 rest.append([w for w, i in zip(words, ids, strict=True) if i is None])
                 ids = [-1 if i is None else i for i in ids]
             else:
@@ -173,7 +189,7 @@ class Lexicon:
     def classes(self, x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each word its class and the class before; -1 where a word is
         outside the dictionary. An end opens each text."""
-        c = np.where(x >= 0, self.cls[x], -1)
+        c = np.where(x >= 0, self.cls[x], np.where(x == -2, self.rare, -1))
         c[np.cumsum(sizes) - 1] = self.end
         return c, np.r_[self.end, c[:-1]]
 
@@ -183,20 +199,34 @@ def split_lists(values: list | np.ndarray, lengths: np.ndarray) -> list:
     return [values[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
 
 
+def flag_words(words: DataFrame) -> np.ndarray:
+    """2^FLAG_BITS bits, one of each word's hash set: 8 MB at any input size.
+    More words only set more bits, so fewer words can be told to be rare."""
+    h = F.xxhash64("word").bitwiseAND(F.lit((1 << FLAG_BITS) - 1))
+    found = words.select(F.shiftright(h, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    found = found.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (FLAG_BITS - 6), np.uint64)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
 def count_sides(texts: DataFrame, lexicon: Lexicon, wanted: np.ndarray) -> DataFrame:
     """Neighbours of words by class. word, cells, ns: cell ``c`` counts class c
     behind the word, ``size + c`` class c before it, and ``2 * size`` the word
-    behind itself. ``wanted``: which words of the dictionary to count; others
-    are counted if ``lexicon.late``. A word has a row for each time a task
+    behind itself. ``wanted``: which words of the dictionary to count; of the
+    others those that may have a class. A word has a row for each time a task
     hands its counts on."""
     names, size, late = [w.decode() for w in lexicon.words], lexicon.size, lexicon.late
     width, base = 2 * size + 1, len(lexicon.words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
 
         def told() -> Iterator[pa.RecordBatch]:
+            keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            counts = np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.int32)
             others = [w.decode() for w in seen]
             word, cell = keys // width, keys % width
             opens = np.flatnonzero(np.r_[True, np.diff(word) > 0])
@@ -205,31 +235,31 @@ def count_sides(texts: DataFrame, lexicon: Lexicon, wanted: np.ndarray) -> DataF
                 at = ends[k : k + 20_001]
                 of = [names[i] if i < base else others[i - base] for i in word[at[:-1]].tolist()]
                 offsets = pa.array(at - at[0], pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(v[at[0] : at[-1]], kind)) for v, kind in ((cell, pa.int32()), (counts, pa.int64()))]
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(v[at[0] : at[-1]], kind)) for v, kind in ((cell, pa.int32()), (counts, pa.int32()))]
                 yield pa.RecordBatch.from_arrays([pa.array(of, pa.string()), *lists], ["word", "cells", "ns"])
 
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
-                x, sizes, rest = lexicon.read(batch.column(0).slice(k, 512).to_pylist())
+                x, sizes, rest = lexicon.read(batch.column(0).slice(k, 512).to_pylist(), flagged=True)
                 c, before = lexicon.classes(x, sizes)
                 c, before = np.where(c < 0, lexicon.rare, c), np.where(before < 0, lexicon.rare, before)
-                want = np.where(x >= 0, wanted[x], late)
+                want = np.where(x >= 0, wanted[x], x == -1)
                 if late:
-                    x[x < 0] = [base + seen.setdefault(w, len(seen)) for r in rest for w in r]
+                    x[x == -1] = [base + seen.setdefault(w, len(seen)) for r in rest for w in r]
                 i = np.flatnonzero(want)  # never an end, so a word stands behind each
                 behind = np.where(x[i + 1] == x[i], 2 * size, c[i + 1])
                 j = i[np.r_[-1, x[:-1]][i] != x[i]]
                 found, n = np.unique(np.r_[x[i] * width + behind, x[j] * width + size + before[j]], return_counts=True)
-                keys, at = np.unique(np.r_[keys, found], return_inverse=True)
-                counts = np.bincount(at, weights=np.r_[counts, n], minlength=len(keys)).astype(np.int64)
-                if len(keys) > HELD_CELLS or len(seen) > HELD:
+                parts.append((found, n))
+                held += len(found)
+                if held > HELD_CELLS or len(seen) > HELD:
                     yield from told()
                     seen.clear()
-                    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(keys):
+                    parts, held = [], 0
+        if held:
             yield from told()
 
-    return texts.mapInArrow(count, "word string, cells array<int>, ns array<long>")
+    return texts.mapInArrow(count, "word string, cells array<int>, ns array<int>")
 
 
 def best_classes(g: np.ndarray, classes: int, rare: int, word: np.ndarray, cell: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -323,18 +353,16 @@ def count_classes(texts: DataFrame, lexicon: Lexicon, every: DataFrame) -> np.nd
         total, row = np.zeros(size * size, np.int64), TaskContext.get().partitionId() << 40
         for pdf in batches:
             for k in range(0, len(pdf), 512):
-                x, sizes, rest = lexicon.read(pdf["text"].iloc[k : k + 512].tolist())
+                x, sizes, rest = lexicon.read(pdf["text"].iloc[k : k + 512].tolist(), flagged=True)
                 c, before = lexicon.classes(x, sizes)
                 if lexicon.late:
-                    at = np.flatnonzero(x < 0)
+                    at = np.flatnonzero(x == -1)
                     lengths = np.array([len(r) for r in rest])
                     out = pd.DataFrame({"row": row + np.arange(len(rest)), "rest": [[w.decode() for w in r] for r in rest]})
                     out["before"], out["after"] = split_lists(before[at], lengths), split_lists(c[at + 1], lengths)
                     row += len(rest)
                     if lengths.any():
                         yield out[lengths > 0].assign(pair=-1, n=0)
-                else:
-                    c, before = np.where(c < 0, lexicon.rare, c), np.where(before < 0, lexicon.rare, before)
                 closed = (c >= 0) & (before >= 0)
                 total += np.bincount(before[closed] * size + c[closed], minlength=size * size)
         pair = np.flatnonzero(total)
@@ -443,15 +471,16 @@ def fit(texts: DataFrame) -> tuple[BrownModel, DataFrame]:
     of = np.array([cls[number[w]] if w in number else end_class if w == end_key else rare_class for w in words] or [end_class])
     wanted = np.r_[(of[: len(c)] == rare_class) & (c >= ENOUGH), np.zeros(int(not len(c)), bool)]
     late = frequent > int((c >= ENOUGH).sum())
+    flags = flag_words(counts.filter((F.col("c") >= ENOUGH) & ~in_dictionary))
     every, assigned = counts.withColumn("cls", F.lit(rare_class)), 0
     if late or wanted.any():
-        placed = materialize(assign_classes(count_sides(texts, Lexicon(words, of, rare_class, end_class, size, late), wanted), g, classes, rare_class), "word-classes")
+        placed = materialize(assign_classes(count_sides(texts, Lexicon(words, of, rare_class, end_class, size, late, flags), wanted), g, classes, rare_class), "word-classes")
         assigned = placed.count()
         near = placed.filter(in_dictionary).toArrow()
         of[[words[w.encode()] for w in near.column("word").to_pylist()]] = near.column("cls").to_numpy()
         if late:
             every = materialize(counts.join(placed.select("word", "cls"), "word", "left").withColumn("cls", F.coalesce("cls", F.lit(rare_class))), "words")
-    lexicon = Lexicon(words, of, rare_class, end_class, size, late)
+    lexicon = Lexicon(words, of, rare_class, end_class, size, late, flags)
     g = count_classes(texts, lexicon, every)
     into = g.sum(0)
     share = (into + 1e-9) / (into + 1e-9).sum()

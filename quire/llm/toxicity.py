@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import bounded_sample, fold, small_batches
 
-SAMPLE_PER_LABEL, SAMPLE_CHARS = 3000, 8_000_000
+SAMPLE_PER_LABEL, SAMPLE_CHARS = 3000, 5_000_000
 #: Clean documents weigh ``NEGATIVES`` times as much, so that few are rejected.
 MIN_DOCUMENTS, STEPS, RATE, PENALTY, BIAS, NEGATIVES = 5, 200, 1.0, 1e-4, -10.0, 3.0
 BIAS_RATE = 0.3

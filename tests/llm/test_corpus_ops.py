@@ -623,3 +623,24 @@ def test_nearest(spark):
 def test_fold_is_crc32(spark):
     got = spark.range(50).select("id", fold(F.col("id"), 7).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 7 for r in got)
+
+
+def test_probabilities_of_the_model_add_up(spark, monkeypatch):
+    """Over all words seen, after each class; what is left is for unseen words."""
+    for name, value in (("CLUSTERED", 20), ("CLASSES", 3), ("DICTIONARY", 40)):
+        monkeypatch.setattr(brown, name, value)
+    r = np.random.default_rng(6)
+    rows = [(" ".join(f"w{int(k)}" for k in r.zipf(1.3, 30) if k < 500),) for _ in range(300)]
+    model, every = brown.fit(spark.createDataFrame(rows, "text string"))
+    assert model.lexicon.late
+    x = model.lexicon
+    table = {w.word.encode(): (w.c, x.cls[x.words[w.word.encode()]] if w.word.encode() in x.words else w.cls) for w in every.collect()}
+    assert {c for _, c in table.values()} == set(range(5))
+    assert all(x.may(w) for w, (c, _) in table.items() if c >= brown.ENOUGH and w not in x.words)
+    for before in range(x.size):
+        total = 0.0
+        for c, k in table.values():
+            emit = (c + 1) / model.rare_total if k == x.rare else c / model.into[k]
+            total += 10 ** model.mix(np.array([before]), np.array([k]), np.array([emit]), np.array([c + 1.0]))[0]
+        unseen = 10 ** model.mix(np.array([before]), np.array([x.rare]), np.array([1 / model.rare_total]), np.array([1.0]))[0]
+        assert total + unseen == pytest.approx(1.0)
