@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import excerpt
-from quire.operators.glossary import letter_triples
+from quire.operators.glossary import substring_hits
 
 MAX_CHARS, MAX_SEGMENTS, GLOSSARY_LINES, EXCERPT = 5000, 24, 40, 240
 #: The marks around a protected term and around a block's number.
@@ -44,12 +44,11 @@ def pack_batches(segments: DataFrame, key: str = "doc_id", order: str = "ordinal
 
 def batch_glossary(batches: DataFrame, terms: DataFrame, key: str, most: int = GLOSSARY_LINES) -> DataFrame:
     """The terms that occur in each batch, the most frequent first. ``batches``:
-    key, batch keys, hay; ``terms``: key, term, count. Both sides are lower-cased
-    before the join; terms meet batches on their first three characters."""
-    low = batches.withColumn("low", F.lower("hay")).drop("hay")
-    wanted = terms.withColumn("low_term", F.lower("term")).withColumn("anchor", F.substring("low_term", 1, 3))
-    hits = low.withColumn("anchor", F.explode(letter_triples(F.col("low")))).join(wanted, [key, "anchor"]).filter(F.col("low").contains(F.col("low_term")))
+    key, batch keys, hay; ``terms``: key, term, count. Terms are substrings of
+    any length, in any case."""
     ids = [c for c in batches.columns if c != "hay"]
+    wanted = terms.withColumn("low_term", F.lower("term"))
+    hits = substring_hits(batches.select(*ids, F.lower("hay").alias("low")), wanted, ids, [key]).join(wanted, [key, "low_term"])
     rank = F.row_number().over(Window.partitionBy(*ids).orderBy(F.col("count").desc(), "term"))
     return hits.select(*ids, "term", "count").withColumn("rank", rank).filter(F.col("rank") <= most)
 
@@ -70,17 +69,17 @@ def apportion(batches: DataFrame, keys: list[str], order: str, size: str, totals
 def rolling_context(segments: DataFrame, key: str, order: str, done: Column, source: str, target: str, most: int = 2, limit: int = EXCERPT) -> DataFrame:
     """Adds ``context``: excerpts of the nearest earlier finished segments,
     oldest first."""
-    past = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     pair = F.when(done, F.concat(excerpt(F.col(source), limit), F.lit(" → "), excerpt(F.col(target), limit)))
-    nearest = [F.last(pair, ignorenulls=True).over(past)]
-    place = F.when(done, F.col(order))
-    last = F.last(place, ignorenulls=True).over(past)
-    out = segments.withColumns({"_p": pair, "_n1": nearest[0], "_o1": last})
-    # The one before the nearest: what the nearest finished segment saw itself.
-    seen = F.when(F.col("_p").isNotNull(), F.struct(F.col("_n1").alias("x")))
-    out = out.withColumn("_n2", F.last(seen, ignorenulls=True).over(past)["x"])
-    chosen = F.array("_n2", "_n1") if most == 2 else F.array("_n1")
-    return out.withColumn("context", F.array_join(F.array_compact(chosen), "\n")).drop("_p", "_n1", "_n2", "_o1")
+    # Finished segments are numbered; each looks back over as many of them.
+    w = Window.partitionBy(key).orderBy(order)
+    out = segments.withColumn("_p", pair)
+    out = out.withColumn("_n", F.count("_p").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    places = Window.partitionBy(key).orderBy("_n").rangeBetween(-most, 0)
+    # Rows with _n in [n - most, n]: those before the segment are the finished
+    # ones numbered n - most to n - 1.
+    near = F.collect_list(F.when(F.col("_p").isNotNull(), F.struct("_n", "_p"))).over(places)
+    chosen = F.array_sort(F.filter(near, lambda x: (x["_n"] < F.col("_n")) & (x["_n"] >= F.col("_n") - most)))
+    return out.withColumn("context", F.array_join(F.transform(chosen, lambda x: x["_p"]), "\n")).drop("_p", "_n")
 
 
 def section_lines(batches: DataFrame, keys: list[str], order: str, path: str) -> DataFrame:

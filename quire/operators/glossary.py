@@ -12,25 +12,43 @@ from quire.functions.text import trim_all
 #: Words that start no term, and words that no n-gram may hold.
 DETERMINERS = ("The", "A", "An", "This", "That", "These", "Those", "Our", "Your", "Their", "Its")
 STOPWORDS = (
-    "the a an and or of to in on for with by at from as is are was were it its this that "
-    "these those his her their our your we they be being been have has had which not but then when"
-).split()
-#: Fixed patterns. They see texts whose non-ASCII characters read "0", so that
-#: a letter with an accent is no word boundary in any regular-expression dialect.
-PHRASE = r"\b(?:[A-Z][a-z]+\s+)+[A-Z][a-z]+\b"
-ACRONYM = r"(?:^|[^A-Z])((?:[A-Z]{2,}(?:/[A-Z]+)+|[A-Z](?:\.[A-Z])+\.?|[A-Z]{2,})\b)"
-IDENTIFIER = r"\b(?:[a-z]+[A-Z][a-zA-Z]*|[a-z]+(?:_[a-z]+)+|[A-Za-z_]\w*\.[\w.]+)\b"
+    "the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "with", "by", "at", "from", "as", "is", "are", "was", "were", "it", "its", "this", "that",
+    "these", "those", "his", "her", "their", "our", "your", "we", "they", "be", "being", "been", "have", "has", "had", "which", "not", "but", "then", "when",
+)
+#: Fixed patterns. With (?U) every letter is a word character, so one with an
+#: accent is no border of a word.
+PHRASE = r"(?U)\b(?:[A-Z][a-z]+\s+)+[A-Z][a-z]+\b"
+ACRONYM = r"(?U)(?<![A-Z])(?:[A-Z]{2,}(?:/[A-Z]+)+|[A-Z](?:\.[A-Z])+\.?|[A-Z]{2,})\b"
+IDENTIFIER = r"(?U)\b(?:[a-z]+[A-Z][a-zA-Z]*|[a-z]+(?:_[a-z]+)+|[A-Za-z_]\w*\.[\w.]+)\b"
 WORD = r"[A-Za-z][A-Za-z0-9'’-]*"
 MIN_LENGTH, MIN_COUNT, MOST = 3, 2, 400
 
 
-def ascii_view(c: Column) -> Column:
-    return F.regexp_replace(c, r"[^\x00-\x7F]", "0")
+def letter_runs(c: Column, n: int) -> Column:
+    """All different runs of n characters."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=({'.' * n}))"), F.lit(1)))
 
 
-def letter_triples(c: Column) -> Column:
-    """All different runs of three characters."""
-    return F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)(?=(...))"), F.lit(1)))
+def substring_hits(texts: DataFrame, terms: DataFrame, ids: list[str], on: list[str]) -> DataFrame:
+    """ids, on, low_term of each text and term of the same ``on`` where the text
+    contains the term. ``texts``: ids, on, low; ``terms``: on, low_term.
+
+    Texts and terms meet on three characters (all of a shorter term): of the
+    term's, those that the fewest texts hold. Only ids travel with the pieces;
+    a text is fetched for the pairs that met."""
+    terms = terms.select(*on, "low_term").filter("low_term <> ''").distinct()
+    pieces = texts.select(*ids, *[c for c in on if c not in ids], F.explode(F.concat(*[letter_runs(F.col("low"), n) for n in (1, 2, 3)])).alias("piece"))
+    size = F.least(F.length("low_term"), F.lit(3))
+    starts = F.sequence(F.lit(1), F.length("low_term") - size + 1)
+    own = terms.select(*on, "low_term", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("low_term", i, size)))).alias("piece"))
+    keys = [*on, "piece"]
+    met = saved(pieces.join(own.select(*keys).distinct(), keys, "left_semi"), "pieces")
+    held = met.groupBy(*keys).agg(F.count(F.lit(1)).alias("held"))
+    # A piece that no text holds rules the term out.
+    counted = own.join(held, keys, "left").groupBy(*on, "low_term").agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "piece")).alias("r"))
+    rarest = counted.filter("r.held > 0").select(*on, "low_term", F.col("r.piece").alias("piece"))
+    pairs = met.join(rarest, keys).select(*ids, *[c for c in on if c not in ids], "low_term")
+    return pairs.join(texts.select(*ids, "low"), ids).filter(F.col("low").contains(F.col("low_term"))).drop("low")
 
 
 def _count(df: DataFrame, key: str, terms: Column) -> DataFrame:
@@ -39,32 +57,35 @@ def _count(df: DataFrame, key: str, terms: Column) -> DataFrame:
 
 def capitalized_phrases(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Runs of capitalised words, leading determiners dropped, two words at least."""
-    found = F.regexp_extract_all(ascii_view(F.col(text)), F.lit(PHRASE), F.lit(0))
+    found = F.regexp_extract_all(F.col(text), F.lit(PHRASE), F.lit(0))
     bare = F.transform(found, lambda x: F.regexp_replace(x, rf"^(?:(?:{'|'.join(DETERMINERS)})\s+)+", ""))
     flat = F.transform(bare, lambda x: F.regexp_replace(x, r"\s+", " "))
     return _count(df, key, F.filter(flat, lambda x: x.contains(" ")))
 
 
 def acronyms(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    found = F.regexp_extract_all(ascii_view(F.col(text)), F.lit(ACRONYM), F.lit(1))
+    found = F.regexp_extract_all(F.col(text), F.lit(ACRONYM), F.lit(0))
     return _count(df, key, F.transform(found, lambda x: F.regexp_replace(x, r"\.+$", "")))
 
 
 def code_identifiers(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """camelCase, snake_case and dotted names."""
-    return _count(df, key, F.regexp_extract_all(ascii_view(F.col(text)), F.lit(IDENTIFIER), F.lit(0)))
+    return _count(df, key, F.regexp_extract_all(F.col(text), F.lit(IDENTIFIER), F.lit(0)))
 
 
 def ngrams(df: DataFrame, key: str, text: str = "text", least: int = MIN_COUNT) -> DataFrame:
-    """Adjacent words, 2 to 4, without stop words, that repeat."""
-    words = df.select(key, F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
-    words = words.withColumn("stop", F.transform("words", lambda w: F.lower(w).isin(*STOPWORDS)))
-    grams = []
+    """Adjacent words, 2 to 4, without stop words, that repeat.
+
+    Stop words are null, so a gram over one is null; each length comes from the
+    one before it and the word behind."""
+    words = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.when(~F.lower(w).isin(*STOPWORDS), w))
+    out = df.select(key, words.alias("w"))
+    grams = "w"
     for n in (2, 3, 4):
-        at = F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        clean = F.filter(at, lambda i: ~F.exists(F.slice("stop", i, n), lambda s: s))  # noqa: B023
-        grams.append(F.transform(clean, lambda i: F.array_join(F.slice("words", i, n), " ")))  # noqa: B023
-    return _count(words, key, F.filter(F.concat(*grams), lambda g: F.length(g) >= MIN_LENGTH + 1)).filter(F.col("count") >= least)
+        longer = F.zip_with(F.col(grams), F.slice("w", n, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+        out, grams = out.withColumn(f"g{n}", longer), f"g{n}"
+    found = F.filter(F.concat("g2", "g3", "g4"), lambda g: g.isNotNull() & (F.length(g) >= MIN_LENGTH + 1))
+    return _count(out, key, found).filter(F.col("count") >= least)
 
 
 def merge_candidates(mined: list[tuple[str, DataFrame]], key: str) -> DataFrame:
@@ -87,39 +108,33 @@ def mine(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 def drop_subsumed(terms: DataFrame, key: str) -> DataFrame:
     """Drop terms that are part of a longer term of the same collection.
 
-    A longer term holds every three-letter piece of the shorter one, so it is
-    enough to compare terms that share the shorter one's rarest piece: an equi
-    join on (collection, piece) instead of all pairs."""
+    A term is part of a longer one when it begins one of its suffixes. Among
+    all sorted suffixes those that begin with a term follow it at once, so one
+    look at the next row decides: the work grows with the terms' characters,
+    not with pairs of terms. Runs are cut by the first characters, which a term
+    and what begins with it share."""
     terms = saved(terms, "terms")
-    starts = F.sequence(F.lit(1), F.length("term") - 2)
-    pieces = terms.select(key, "term", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("term", i, F.lit(3))))).alias("piece"))
-    held = pieces.groupBy(key, "piece").agg(F.count(F.lit(1)).alias("held"))
-    rarest = pieces.join(held, [key, "piece"]).groupBy(key, "term").agg(F.min(F.struct("held", "piece")).alias("r")).select(key, "term", F.col("r.piece").alias("piece"))
-    longer = pieces.withColumnRenamed("term", "longer")
-    gone = rarest.join(longer, [key, "piece"]).filter((F.length("longer") > F.length("term")) & F.col("longer").contains(F.col("term"))).select(key, "term").distinct()
+    rows = terms.filter(F.length("term") >= MIN_LENGTH).select(key, "term", F.explode(F.sequence(F.lit(1), F.length("term") - (MIN_LENGTH - 1))).alias("at"))
+    suffixes = rows.select(key, F.expr("substring(term, at)").alias("suffix"), (F.col("at") == 1).alias("whole"))
+    run = Window.partitionBy(key, F.substring("suffix", 1, MIN_LENGTH)).orderBy("suffix", F.col("whole").desc())
+    follows = suffixes.withColumn("next", F.lead("suffix").over(run)).filter("whole")
+    gone = follows.filter(F.startswith("next", "suffix")).select(key, F.col("suffix").alias("term"))
     return terms.join(gone, [key, "term"], "left_anti")
 
 
 def first_occurrences(terms: DataFrame, nodes: DataFrame, key: str, radius: int = 44) -> DataFrame:
     """The first node (by ``order``) that holds each term in any case, with the
-    text around it; terms without one are dropped. ``nodes``: key, order, node, text.
-
-    Nodes and terms meet on three characters: of the term's, those that the
-    fewest nodes hold, so the join is on (collection, triple)."""
-    terms = saved(terms, "terms")
+    text around it; terms without one are dropped. ``nodes``: key, order, node, text."""
+    terms = saved(terms, "terms").withColumn("low_term", F.lower("term"))
     low = nodes.withColumn("low", F.lower("text"))
-    anchored = low.withColumn("anchor", F.explode(letter_triples(F.col("low"))))
-    held = anchored.groupBy(key, "anchor").agg(F.count(F.lit(1)).alias("held"))
-    own = terms.withColumn("low_term", F.lower("term"))
-    rarest = own.select(key, "term", F.explode(letter_triples(F.col("low_term"))).alias("anchor")).join(held, [key, "anchor"]).groupBy(key, "term").agg(F.min(F.struct("held", "anchor")).alias("r"))
-    wanted = own.join(rarest.select(key, "term", F.col("r.anchor").alias("anchor")), [key, "term"])
-    hits = anchored.join(wanted, [key, "anchor"]).filter(F.col("low").contains(F.col("low_term")))
-    first = hits.groupBy(key, "term").agg(F.min_by(F.struct("node", "text", "low_term"), "order").alias("f"))
-    place = F.instr(F.lower("f.text"), F.col("f.low_term"))
+    hits = substring_hits(low.select(key, "order", "low"), terms, [key, "order"], [key])
+    first = hits.groupBy(key, "low_term").agg(F.min("order").alias("order")).join(nodes.select(key, "order", "node", "text"), [key, "order"])
+    place = F.instr(F.lower("text"), F.col("low_term"))
     begin = F.greatest(place - radius, F.lit(1))
-    around = F.substring("f.text", begin, place + F.length("f.low_term") + radius - begin)
-    sample = F.replace(F.coalesce(F.nullif(trim_all(around), F.lit("")), F.col("f.text")), F.lit("\n"), F.lit(" "))
-    return terms.join(first, [key, "term"]).select(*terms.columns, F.col("f.node").alias("first_seen_node"), sample.alias("sample"))
+    around = F.substring("text", begin, place + F.length("low_term") + radius - begin)
+    sample = F.replace(F.coalesce(F.nullif(trim_all(around), F.lit("")), F.col("text")), F.lit("\n"), F.lit(" "))
+    seen = first.select(key, "low_term", F.col("node").alias("first_seen_node"), sample.alias("sample"))
+    return terms.join(seen, [key, "low_term"]).drop("low_term")
 
 
 def top_terms(terms: DataFrame, key: str, least: int = MIN_COUNT, most: int = MOST) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import is_blank
 from quire.operators.batches import CLOSE, OPEN
+from quire.operators.glossary import substring_hits
 
 MIN_LENGTH, MIN_RATIO, MAX_RATIO = 12, 0.25, 4.0
 #: Rules and their severities, in the order of the flags.
@@ -35,28 +36,15 @@ def missing_numbers(source: Column, target: Column) -> Column:
     return F.when(F.length(source) >= MIN_LENGTH, lost).otherwise(F.array().cast("array<string>"))
 
 
-def _pieces(c: Column, n: int) -> Column:
-    return F.regexp_extract_all(c, F.lit(f"(?s)(?=({'.' * n}))"), F.lit(1))
-
-
 def glossary_misses(pairs: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, term: terms of policy "translate" that the source holds (any case,
-    parts of words too) and whose target form the translation lacks. ``pairs``:
-    keys, source, target; ``terms``: term, target_form, policy, enabled.
-
-    Sources and terms meet on three characters (all of a shorter term): of the
-    term's, those that the fewest sources hold."""
+    """keys, term, target_form: terms of policy "translate" that the source holds
+    (any case, parts of words too) and whose target form the translation lacks.
+    ``pairs``: keys, source, target; ``terms``: term, target_form, policy, enabled."""
     wanted = terms.filter((F.col("policy") == "translate") & F.col("enabled") & (F.coalesce("target_form", F.lit("")) != "") & (F.col("term") != ""))
-    wanted = wanted.select("term", F.lower("term").alias("low_term"), F.lower("target_form").alias("low_form"))
-    low = pairs.select(*keys, F.lower("source").alias("low_source"), F.lower("target").alias("low_target"))
-    anchored = low.withColumn("anchor", F.explode(F.array_distinct(F.concat(*[_pieces(F.col("low_source"), n) for n in (1, 2, 3)]))))
-    held = anchored.groupBy("anchor").agg(F.count(F.lit(1)).alias("held"))
-    size = F.least(F.length("low_term"), F.lit(3))
-    starts = F.sequence(F.lit(1), F.length("low_term") - size + 1)
-    own = wanted.select("low_term", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("low_term", i, size)))).alias("anchor")).distinct()
-    rarest = own.join(held, "anchor").groupBy("low_term").agg(F.min(F.struct("held", "anchor")).alias("r")).select("low_term", F.col("r.anchor").alias("anchor"))
-    hits = anchored.join(wanted.join(rarest, "low_term"), "anchor")
-    return hits.filter(F.col("low_source").contains(F.col("low_term")) & ~F.col("low_target").contains(F.col("low_form"))).select(*keys, "term").distinct()
+    wanted = wanted.select("term", "target_form", F.lower("term").alias("low_term"))
+    hits = substring_hits(pairs.select(*keys, F.lower("source").alias("low")), wanted, keys, [])
+    both = hits.join(wanted, "low_term").join(pairs.select(*keys, F.lower("target").alias("low_target")), keys)
+    return both.filter(~F.coalesce(F.col("low_target"), F.lit("")).contains(F.lower("target_form"))).select(*keys, "term", "target_form").distinct()
 
 
 def run_qa(pairs: DataFrame, source: str = "source", target: str = "target", misses: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
@@ -78,3 +66,29 @@ def run_qa(pairs: DataFrame, source: str = "source", target: str = "target", mis
     )
     flags = F.when(empty_output(s, t), F.array(F.lit("empty-output"))).otherwise(others)
     return marked.withColumn("flags", flags).drop("_missed").withColumn("status", F.when(F.size("flags") > 0, "flagged").otherwise("translated"))
+
+
+def findings(pairs: DataFrame, keys: list[str], misses: DataFrame | None = None) -> DataFrame:
+    """One row per finding: keys, rule, severity, message, detail (a string).
+    ``pairs``: keys, source, target; ``misses``: of glossary_misses. An empty
+    output is the only finding of its pair."""
+    s, t = F.col("source"), F.col("target")
+    empty, left, ratio, lost = empty_output(s, t), placeholders_left(t), length_ratio(s, t), missing_numbers(s, t)
+
+    def finding(rule: str, message: Column, detail: Column) -> Column:
+        return F.struct(F.lit(rule).alias("rule"), F.lit(SEVERITY[rule]).alias("severity"), message.alias("message"), detail.cast("string").alias("detail"))
+
+    others = F.array_compact(
+        F.array(
+            F.when(left > 0, finding("unresolved-placeholder", F.concat(left.cast("string"), F.lit(" placeholders are left in the translation.")), F.array_join(F.regexp_extract_all(t, F.lit(rf"{OPEN}[0-9]+{CLOSE}"), F.lit(0)), " "))),
+            F.when(ratio.isNotNull(), finding("length-ratio", F.lit("The translation is much shorter or longer than the source."), ratio)),
+            F.when(F.size(lost) > 0, finding("altered-number", F.concat(F.size(lost).cast("string"), F.lit(" numbers of the source are not in the translation.")), F.array_join(lost, " "))),
+        )
+    )
+    first = F.array(finding("empty-output", F.lit("The translation is empty."), F.lit("")))
+    found = pairs.select(*keys, F.explode(F.when(empty, first).otherwise(others)).alias("f")).select(*keys, "f.*")
+    if misses is None:
+        return found
+    full = misses.join(pairs.filter(~empty).select(*keys), keys, "left_semi")
+    terms = full.select(*keys, finding("glossary-inconsistency", F.concat(F.lit("The term "), F.col("term"), F.lit(" should be rendered as "), F.col("target_form"), F.lit(".")), F.col("term")).alias("f")).select(*keys, "f.*")
+    return found.unionByName(terms)

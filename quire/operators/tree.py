@@ -90,11 +90,17 @@ def delete_subtrees(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 def merge_with_next(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     """Join each target node's text with its next sibling's; the sibling's
-    children become the target's, behind its own; its table is lost."""
+    children become the target's, behind its own, and so do its ``images``
+    (where nodes have such a column); its table is lost."""
     siblings = Window.partitionBy("doc_id", "parent_id").orderBy("child_idx")
     marked = nodes.withColumns({"next_id": F.lead("node_id").over(siblings), "next_text": F.lead("text").over(siblings)}).join(targets.withColumn("merge", F.lit(True)), ["doc_id", "node_id"], "left")
     merged = marked.filter("merge and next_id is not null").select("doc_id", F.col("next_id").alias("gone"), F.col("node_id").alias("into"))
     text = F.when(F.col("merge") & F.col("next_id").isNotNull(), F.concat_ws(" ", "text", "next_text")).otherwise(F.col("text"))
+    if "images" in nodes.columns:
+        none = F.array().cast(nodes.schema["images"].dataType)
+        both = F.concat(F.coalesce("images", none), F.coalesce("next_images", none))
+        marked = marked.withColumn("next_images", F.lead("images").over(siblings))
+        marked = marked.withColumn("images", F.when(F.col("merge") & F.col("next_id").isNotNull(), both).otherwise(F.col("images"))).drop("next_images")
     kept = marked.withColumn("text", text).join(merged.select("doc_id", F.col("gone").alias("node_id")), ["doc_id", "node_id"], "left_anti")
     moved = kept.join(merged.select("doc_id", F.col("gone").alias("parent_id"), "into"), ["doc_id", "parent_id"], "left")
     order = Window.partitionBy("doc_id", "parent_id").orderBy("was_moved", "child_idx")
@@ -103,12 +109,15 @@ def merge_with_next(nodes: DataFrame, targets: DataFrame) -> DataFrame:
 
 def split_node(nodes: DataFrame, cuts: DataFrame) -> DataFrame:
     """Cut nodes' texts in two: ``cuts`` doc_id, node_id, split_at. The second
-    half is a sibling right behind, without children, trimmed at the cut."""
+    half is a sibling right behind, without children, trimmed at the cut; its id
+    comes of the node's, the cut and its text, so it differs at each split. A
+    cut that leaves nothing behind it changes nothing."""
     with_cut = nodes.join(cuts, ["doc_id", "node_id"], "left")
     cut = F.col("split_at")
-    halves = F.when(cut.isNull(), F.array(F.col("text"))).otherwise(F.array(F.rtrim(F.substring("text", F.lit(1), cut)), F.ltrim(F.substring("text", cut + 1, F.length("text")))))
-    parts = with_cut.select(*[c for c in nodes.columns if c != "text"], F.posexplode(halves).alias("half", "text"))
-    parts = parts.withColumn("node_id", F.when(F.col("half") == 0, F.col("node_id")).otherwise(F.concat("node_id", F.lit("-b"))))
+    behind = F.regexp_replace(F.substring("text", cut + 1, F.length("text")), r"^\s+", "")
+    halves = F.when(cut.isNull() | (F.coalesce(behind, F.lit("")) == ""), F.array(F.col("text"))).otherwise(F.array(F.regexp_replace(F.substring("text", F.lit(1), cut), r"\s+$", ""), behind))
+    parts = with_cut.select(*[c for c in nodes.columns if c != "text"], "split_at", F.posexplode(halves).alias("half", "text"))
+    parts = parts.withColumn("node_id", F.when(F.col("half") == 0, F.col("node_id")).otherwise(F.concat("node_id", F.lit("-"), F.substring(F.sha2(F.concat_ws("\0", "node_id", F.col("split_at").cast("string"), "text"), 256), 1, 8))))
     order = Window.partitionBy("doc_id", "parent_id").orderBy("child_idx", "half")
     return parts.withColumn("child_idx", F.row_number().over(order) - 1).drop("half").select(*nodes.columns)
 
@@ -130,3 +139,55 @@ def visible(nodes: DataFrame, collapsed: DataFrame, key: str = "doc_id") -> Data
     the nodes above, own id not included); ``collapsed``: key, node_id."""
     above = nodes.select(key, "node_id", F.explode("ancestors").alias("above")).join(collapsed.select(key, F.col("node_id").alias("above")), [key, "above"], "left_semi")
     return nodes.join(above.select(key, "node_id").distinct(), [key, "node_id"], "left_anti")
+
+
+def siblings_of(nodes: DataFrame) -> DataFrame:
+    """Adds what can be done to each node: can_move_up, can_move_down,
+    can_indent (there is a sibling before it), can_outdent (it has a parent) and
+    can_merge (there is one behind it)."""
+    w = Window.partitionBy("doc_id", "parent_id").orderBy("child_idx")
+    before, behind = F.lag("node_id").over(w).isNotNull(), F.lead("node_id").over(w).isNotNull()
+    return nodes.withColumns({"can_move_up": before, "can_move_down": behind, "can_indent": before, "can_outdent": F.col("parent_id").isNotNull(), "can_merge": behind})
+
+
+def update_nodes(nodes: DataFrame, patches: DataFrame) -> DataFrame:
+    """``patches``: doc_id, node_id and any of the nodes' columns; what a patch
+    states (null: keep) takes the place of the node's own."""
+    fields = [c for c in patches.columns if c not in ("doc_id", "node_id")]
+    p = patches.select("doc_id", "node_id", *[F.col(c).alias(f"_{c}") for c in fields])
+    return nodes.join(p, ["doc_id", "node_id"], "left").select(*[F.coalesce(f"_{c}", c).alias(c) if c in fields else c for c in nodes.columns])
+
+
+def shift_nodes(nodes: DataFrame, moves: DataFrame) -> DataFrame:
+    """Swap each moved node with its neighbour: ``moves``: doc_id, node_id, dir
+    (-1 before, 1 behind). At an end of its siblings a node stays."""
+    w = Window.partitionBy("doc_id", "parent_id").orderBy("child_idx")
+    marked = nodes.join(moves.select("doc_id", "node_id", "dir"), ["doc_id", "node_id"], "left")
+    before, behind = F.lag("dir").over(w) == 1, F.lead("dir").over(w) == -1
+    first, last = F.row_number().over(w) == 1, F.lead("node_id").over(w).isNull()
+    step = F.when((F.col("dir") == -1) & ~first, -1.5).when((F.col("dir") == 1) & ~last, 1.5).otherwise(0.0)
+    at = F.row_number().over(w) + F.when(F.coalesce(before | behind, F.lit(False)), 0.0).otherwise(step)
+    order = Window.partitionBy("doc_id", "parent_id").orderBy("_at")
+    return marked.withColumn("_at", at).withColumn("child_idx", F.row_number().over(order) - 1).select(*nodes.columns)
+
+
+def indent_nodes(nodes: DataFrame, targets: DataFrame) -> DataFrame:
+    """Each target (doc_id, node_id) becomes the last child of the sibling
+    before it; the first sibling stays."""
+    w = Window.partitionBy("doc_id", "parent_id").orderBy("child_idx")
+    marked = nodes.withColumn("_before", F.lag("node_id").over(w)).join(targets.select("doc_id", "node_id", F.lit(True).alias("_go")), ["doc_id", "node_id"], "left")
+    go = F.col("_go") & F.col("_before").isNotNull()
+    moved = marked.withColumns({"parent_id": F.when(go, F.col("_before")).otherwise(F.col("parent_id")), "_late": F.coalesce(go, F.lit(False))})
+    order = Window.partitionBy("doc_id", "parent_id").orderBy("_late", "child_idx")
+    return moved.withColumn("child_idx", F.row_number().over(order) - 1).select(*nodes.columns)
+
+
+def outdent_nodes(nodes: DataFrame, targets: DataFrame) -> DataFrame:
+    """Each target (doc_id, node_id) becomes a sibling of its parent, right
+    behind it; a node without a parent stays."""
+    above = nodes.select("doc_id", F.col("node_id").alias("parent_id"), F.col("parent_id").alias("_upper"), F.col("child_idx").alias("_place"))
+    marked = nodes.join(above, ["doc_id", "parent_id"], "left").join(targets.select("doc_id", "node_id", F.lit(True).alias("_go")), ["doc_id", "node_id"], "left")
+    go = F.coalesce(F.col("_go"), F.lit(False)) & F.col("parent_id").isNotNull()
+    moved = marked.withColumns({"_at": F.when(go, F.col("_place") + 0.5).otherwise(F.col("child_idx").cast("double")), "parent_id": F.when(go, F.col("_upper")).otherwise(F.col("parent_id"))})
+    order = Window.partitionBy("doc_id", "parent_id").orderBy("_at", "child_idx")
+    return moved.withColumn("child_idx", F.row_number().over(order) - 1).select(*nodes.columns)

@@ -7,22 +7,32 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from quire.functions.text import asset_id, file_format
+from quire.functions.text import asset_id, decoded, file_format, node_id
 from quire.sources.blocks import NODE_SCHEMA, PARSERS, node_rows
 
+#: The kind of the node that stands for what can't be read.
+ERROR = "error"
 COLUMNS = [part.split()[0] for part in NODE_SCHEMA.split(", ")]
 
 
 def parse_nodes(docs: DataFrame, fmt: str) -> DataFrame:
-    """``docs``: doc_id (string), content (string; binary for EPUB)."""
+    """``docs``: doc_id (string), content (string; binary for EPUB). A document
+    that its parser can't read is one node of kind ``error``."""
     parser = PARSERS[fmt]
 
+    def parsed(doc_id: str, content: str | bytes) -> list[dict]:
+        try:
+            return list(node_rows(doc_id, parser(content)))
+        except Exception as e:  # whatever is wrong with one file must not end the job
+            return list(node_rows(doc_id, iter([{"kind": ERROR, "text": f"{type(e).__name__}: {e}"}])))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for k in range(0, len(pdf), 64):
                 part = pdf.iloc[k : k + 64]
-                rows = [r for d, c in zip(part["doc_id"], part["content"], strict=True) if c is not None for r in node_rows(d, parser(bytes(c) if fmt == "epub" else c))]
+                rows = [r for d, c in zip(part["doc_id"], part["content"], strict=True) if c is not None for r in parsed(d, bytes(c) if fmt == "epub" else c)]
                 yield pd.DataFrame(rows, columns=COLUMNS).astype({"level": "Int32"})
 
     return docs.select("doc_id", "content").mapInPandas(run, NODE_SCHEMA)
@@ -36,15 +46,18 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Nodes of all files that have an importer; others are in
-    ``inventory(...)`` with a null or unsupported format."""
+    """Nodes of all files. A file without an importer is one node of kind
+    ``error``, and so is one that its importer can't read."""
     files = inventory(spark, path)
-    out = None
+    others = files.filter(~F.coalesce(F.col("format").isin(*PARSERS), F.lit(False)))
+    message = F.concat(F.lit("unsupported file: "), F.element_at(F.split("path", "/"), -1))
+    failed = others.select("doc_id", message.alias("text"), F.lit(ERROR).alias("kind"), node_id(F.lit(ERROR), message, F.lit(0)).alias("node_id"), *[F.lit(0).alias(c) for c in ("pos", "depth", "child_idx")])
+    out = failed.select(*[F.col(c) if c in failed.columns else F.lit(None).alias(c) for c in COLUMNS]).to(StructType.fromDDL(NODE_SCHEMA))
     for fmt in PARSERS:
         own = files.filter(F.col("format") == fmt)
-        text = F.col("content") if fmt == "epub" else F.decode("content", "UTF-8")
+        text = F.col("content") if fmt == "epub" else decoded(F.col("content"))
         nodes = parse_nodes(own.select("doc_id", text.alias("content")), fmt)
-        out = nodes if out is None else out.unionByName(nodes)
+        out = out.unionByName(nodes)
     return out
 
 

@@ -287,3 +287,98 @@ def test_prompts(spark):
     body = prompts.batch_bodies(segs, ["doc_id", "batch"], "ordinal", "text", "path").first()
     assert (body.body, body["count"]) == ("Section: A\n\n⟦#1⟧\none\n\n⟦#2⟧\ntwo\n\n⟦#3⟧\nthree", 3)
     assert one(spark, prompts.last_lines(F.lit("a\n\nb\nc\nd\ne\n"))) == "b\nc\nd\ne"
+
+
+def test_short_and_foreign_terms_meet_batches(spark):
+    hays = spark.createDataFrame([("b", 1, "The IO port; internet"), ("b", 2, "سلام دنیا"), ("c", 3, "io")], "k string, batch int, hay string")
+    terms = spark.createDataFrame([("b", "IO", 5), ("b", "net", 4), ("b", "دنی", 3), ("b", "zzz", 9), ("c", "i", 1)], "k string, term string, count int")
+    got = {(r.batch, r.term, r.rank) for r in B.batch_glossary(hays, terms, "k").collect()}
+    assert got == {(1, "IO", 1), (1, "net", 2), (2, "دنی", 1), (3, "i", 1)}
+    assert {(r.batch, r.term) for r in B.batch_glossary(hays, terms, "k", most=1).collect()} == {(1, "IO"), (2, "دنی"), (3, "i")}
+
+
+def test_subsumption_equals_brute_force(spark):
+    r = random.Random(3)
+    terms = {("".join(r.choice("ab ") for _ in range(r.randrange(3, 9)))) for _ in range(200)} | {"éa b", "x éa bc"}
+    df = spark.createDataFrame([(k, t, 2, "x") for k in "pq" for t in terms if k == "p" or len(t) % 2], "k string, term string, count int, reason string")
+    rows = [(x.k, x.term) for x in df.collect()]
+    want = {(k, t) for k, t in rows if not any(k == j and t in u and len(u) > len(t) for j, u in rows)}
+    assert {(x.k, x.term) for x in G.drop_subsumed(df, "k").collect()} == want
+
+
+def test_mining_sees_the_true_text(spark):
+    df = spark.createDataFrame([("b", "größe.wert fooBar fooBaré Écoles Foo Bar. Foo Baré X.Y.Z TCP/IP ABé")], "k string, text string")
+    assert {x.term for x in G.code_identifiers(df, "k").collect()} == {"größe.wert", "fooBar", "X.Y.Z"}
+    assert {x.term for x in G.capitalized_phrases(df, "k").collect()} == {"Foo Bar"}
+    assert {x.term for x in G.acronyms(df, "k").collect()} == {"X.Y.Z", "TCP/IP"}
+
+
+def test_context_of_three_segments(spark):
+    rows = [(1, k, f"s{k}", None if k in (1, 3) else f"t{k}") for k in range(6)]
+    df = spark.createDataFrame(rows, "d int, o int, s string, t string")
+    got = [r.context for r in B.rolling_context(df, "d", "o", F.col("t").isNotNull(), "s", "t", most=3).orderBy("o").collect()]
+    assert got == ["", "s0 → t0", "s0 → t0", "s0 → t0\ns2 → t2", "s0 → t0\ns2 → t2", "s0 → t0\ns2 → t2\ns4 → t4"]
+
+
+def test_findings(spark):
+    p = spark.createDataFrame([(1, "A long enough source 12.5", " "), (2, "The net and 34 more", "≧3≨")], "i int, source string, target string")
+    t = spark.createDataFrame([("net", "Netz", "translate", True)], "term string, target_form string, policy string, enabled boolean")
+    got = {(r.i, r.rule, r.severity, r.detail) for r in qa.findings(p, ["i"], qa.glossary_misses(p, t, ["i"])).collect()}
+    assert got == {(1, "empty-output", "error", ""), (2, "unresolved-placeholder", "error", "≧3≨"), (2, "length-ratio", "warning", "0.158"), (2, "altered-number", "warning", "34"), (2, "glossary-inconsistency", "warning", "net")}
+
+
+def test_directions_and_contents_lines(spark):
+    got = spark.createDataFrame([("dv",), ("iw",), ("fa_IR",), ("en",), (None,)], "l string").select(T.direction(F.col("l")).alias("d")).collect()
+    assert [r.d for r in got] == ["rtl", "ltr", "rtl", "ltr", "ltr"]
+    lines = spark.createDataFrame([("Chapter 1 ..... 12",), ("Chapter 1 12",), ("Intro\t\t3 ",), (None,)], "l string").select(T.is_toc_line(F.col("l")).alias("t")).collect()
+    assert [r.t for r in lines] == [True, False, True, False]
+
+
+def test_what_cannot_be_read_is_an_error_node(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"bad \xff byte\r\nsecond line")
+    (tmp_path / "b.epub").write_bytes(b"no zip")
+    (tmp_path / "c.xyz").write_bytes(b"?")
+    (tmp_path / "d.html").write_text("<div>" * 3000 + "deep")
+    got = {r.doc_id: (r.kind, r.text) for r in readers.read_documents(spark, str(tmp_path)).collect()}
+    assert got["a"] == ("paragraph", "bad \ufffd byte second line")
+    assert {k: v[0] for k, v in got.items() if k != "a"} == {"b": "error", "c": "error", "d": "error"}
+    assert got["c"][1] == "unsupported file: c.xyz"
+
+
+def tree_rows(spark):
+    rows = [("d", "a", None, 0, "A"), ("d", "b", None, 1, "B"), ("d", "c", None, 2, "C"), ("d", "b1", "b", 0, "b one"), ("d", "b2", "b", 1, "b two")]
+    return spark.createDataFrame(rows, "doc_id string, node_id string, parent_id string, child_idx int, text string")
+
+
+def shape(nodes):
+    out = {}
+    for r in sorted(nodes.collect(), key=lambda r: r.child_idx):
+        out.setdefault(r.parent_id, []).append(r.node_id)
+    return out
+
+
+def test_tree_edits(spark):
+    n = tree_rows(spark)
+    pick = lambda *ids: spark.createDataFrame([("d", i) for i in ids], "doc_id string, node_id string")
+    assert shape(tree.indent_nodes(n, pick("c"))) == {None: ["a", "b"], "b": ["b1", "b2", "c"]}
+    assert shape(tree.indent_nodes(n, pick("a"))) == shape(n)
+    assert shape(tree.outdent_nodes(n, pick("b1"))) == {None: ["a", "b", "b1", "c"], "b": ["b2"]}
+    assert shape(tree.outdent_nodes(n, pick("a"))) == shape(n)
+    moves = lambda *m: spark.createDataFrame([("d", i, k) for i, k in m], "doc_id string, node_id string, dir int")
+    assert shape(tree.shift_nodes(n, moves(("c", -1), ("b1", 1)))) == {None: ["a", "c", "b"], "b": ["b2", "b1"]}
+    assert shape(tree.shift_nodes(n, moves(("a", -1), ("c", 1)))) == shape(n)
+    can = {r.node_id: (r.can_move_up, r.can_move_down, r.can_indent, r.can_outdent, r.can_merge) for r in tree.siblings_of(n).collect()}
+    assert can["a"] == (False, True, False, False, True) and can["b2"] == (True, False, True, True, False)
+    patched = tree.update_nodes(n, spark.createDataFrame([("d", "a", "new")], "doc_id string, node_id string, text string"))
+    assert {r.node_id: r.text for r in patched.collect()} == {"a": "new", "b": "B", "c": "C", "b1": "b one", "b2": "b two"}
+    once = tree.split_node(n, spark.createDataFrame([("d", "b1", 2), ("d", "b2", 5)], "doc_id string, node_id string, split_at int"))
+    twice = tree.split_node(once, spark.createDataFrame([("d", "b2", 1)], "doc_id string, node_id string, split_at int"))
+    rows = sorted((r for r in twice.collect() if r.parent_id == "b"), key=lambda r: r.child_idx)
+    assert [r.text for r in rows] == ["b", "one", "b", "two"] and len({r.node_id for r in rows}) == 4
+
+
+def test_merge_takes_the_images_along(spark):
+    rows = [("d", "a", None, 0, "A", ["x"]), ("d", "b", None, 1, "B", ["y", "z"]), ("d", "c", None, 2, None, None)]
+    n = spark.createDataFrame(rows, "doc_id string, node_id string, parent_id string, child_idx int, text string, images array<string>")
+    got = {r.node_id: (r.text, r.images) for r in tree.merge_with_next(n, spark.createDataFrame([("d", "a")], "doc_id string, node_id string")).collect()}
+    assert got == {"a": ("A B", ["x", "y", "z"]), "c": (None, None)}
