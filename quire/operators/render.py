@@ -7,15 +7,19 @@ import io
 import re
 import zipfile
 from collections.abc import Callable
+from dataclasses import dataclass, fields
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import RTL_LANGUAGES, escape_html
+from quire.operators.tables import columns_of
 
-#: The inline dialect, one alternative for each form: code, link, strong, em.
+#: Fixed pattern: the inline dialect, one alternative for each form: code, link,
+#: strong, em.
 INLINE = re.compile(r"`(?P<code>[^`]+)`|\[(?P<label>[^\]]*)\]\((?P<url>[^)]+)\)|\*\*(?P<strong>.+?)\*\*|(?<!\*)\*(?!\*)(?P<em>.+?)(?<!\*)\*(?!\*)")
+CELLS = "array<array<struct<text:string,is_header:boolean,colspan:int,rowspan:int>>>"
 TYPST_MARKS = re.compile(r"([*_`#@$<>\[\]\\])")
 
 
@@ -53,6 +57,37 @@ def rendered(text: Column, form: str) -> Column:
     return F.pandas_udf(run, "string")(F.coalesce(text, F.lit("")))
 
 
+def rendered_all(texts: Column, form: str) -> Column:
+    """As ``rendered``, for each text of an array; null texts are empty."""
+    fn = {"xhtml": inline_xhtml, "typst": inline_typst}[form]
+
+    def run(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda x: None if x is None else [fn(t) for t in x])
+
+    return F.pandas_udf(run, "array<string>")(texts)
+
+
+def _with_cells(nodes: DataFrame, form: str) -> DataFrame:
+    """Adds ``grid``: the nodes' cells with rendered texts (null without any).
+    One call of Python renders all texts of a table."""
+    if "cells" not in nodes.columns:
+        return nodes.withColumn("grid", F.lit(None).cast(CELLS))
+    flat = F.transform(F.flatten("cells"), lambda c: c["text"])
+    widths = F.transform("cells", lambda r: F.size(r))
+    begins = F.transform(F.sequence(F.lit(1), F.size("cells")), lambda k: F.aggregate(F.slice(widths, F.lit(1), k - 1), F.lit(0), lambda a, b: a + b))
+    out = nodes.withColumn("_t", rendered_all(flat, form))
+    grid = F.zip_with("cells", begins, lambda row, b: F.transform(row, lambda c, k: F.struct(F.element_at("_t", b + k + 1).alias("text"), c["is_header"].alias("is_header"), c["colspan"].alias("colspan"), c["rowspan"].alias("rowspan"))))
+    return out.withColumn("grid", F.when(F.size("cells") > 0, grid)).drop("_t")
+
+
+def _with_images(nodes: DataFrame) -> DataFrame:
+    """Adds ``paths``, ``alts`` of the images that have a source; empty without."""
+    if "images" not in nodes.columns:
+        return nodes.withColumns({"paths": F.array().cast("array<string>"), "alts": F.array().cast("array<string>")})
+    some = F.filter(F.coalesce("images", F.array().cast(nodes.schema["images"].dataType)), lambda i: F.coalesce(i["src"], F.lit("")) != "")
+    return nodes.withColumns({"paths": F.transform(some, lambda i: i["src"]), "alts": F.transform(some, lambda i: F.coalesce(i["alt"], F.lit("")))})
+
+
 def _items(nodes: DataFrame) -> DataFrame:
     """Rendered items of each list, in order: doc_id, parent_id, items."""
     own = nodes.filter(F.col("kind") == "list_item").select("doc_id", "parent_id", "pos", "inline")
@@ -61,8 +96,9 @@ def _items(nodes: DataFrame) -> DataFrame:
 
 def xhtml_blocks(nodes: DataFrame) -> DataFrame:
     """Adds ``block``: the markup of each top-level node. ``nodes``: doc_id,
-    node_id, parent_id, pos, kind, level, text, attrs (map)."""
-    n = nodes.withColumn("inline", rendered(F.col("text"), "xhtml"))
+    node_id, parent_id, pos, kind, level, text, attrs (map), and where there are
+    tables and figures cells and images (src: a path below the book's assets)."""
+    n = _with_images(_with_cells(nodes.withColumn("inline", rendered(F.col("text"), "xhtml")), "xhtml"))
     top = n.filter((F.col("kind") != "list_item") | F.col("parent_id").isNull())
     both = top.join(_items(n).withColumnRenamed("parent_id", "node_id"), ["doc_id", "node_id"], "left")
     h = F.least(F.greatest(F.coalesce("level", F.lit(1)), F.lit(1)), F.lit(6)).cast("string")
@@ -87,12 +123,15 @@ def xhtml_blocks(nodes: DataFrame) -> DataFrame:
         .when(kind == "footnote", F.concat(F.lit('<aside epub:type="footnote">'), F.col("inline"), F.lit("</aside>")))
         .when(kind == "page_break", F.lit('<div style="page-break-after: always;"></div>'))
         .when(kind == "equation", F.concat(F.lit("<p>"), plain, F.lit("</p>")))
+        .when(kind == "table", table_xhtml(F.coalesce("grid", F.array().cast(CELLS)), F.nullif("inline", F.lit(""))))
+        .when(kind == "figure", figure_xhtml(F.col("paths"), F.col("alts"), F.col("inline"), F.try_element_at("attrs", F.lit("width_ratio")).cast("double")))
     )
-    return both.withColumn("block", block).drop("inline", "items")
+    return both.withColumn("block", block).drop("inline", "items", "grid", "paths", "alts")
 
 
 def typst_blocks(nodes: DataFrame) -> DataFrame:
-    n = nodes.withColumn("inline", rendered(F.col("text"), "typst"))
+    """As ``xhtml_blocks``, in Typst."""
+    n = _with_images(_with_cells(nodes.withColumn("inline", rendered(F.col("text"), "typst")), "typst"))
     top = n.filter((F.col("kind") != "list_item") | F.col("parent_id").isNull())
     both = top.join(_items(n).withColumnRenamed("parent_id", "node_id"), ["doc_id", "node_id"], "left")
     kind, plain = F.col("kind"), F.coalesce("text", F.lit(""))
@@ -108,8 +147,10 @@ def typst_blocks(nodes: DataFrame) -> DataFrame:
         .when(kind == "footnote", F.concat(F.lit("#footnote["), F.col("inline"), F.lit("]")))
         .when(kind == "page_break", F.lit("#pagebreak()"))
         .when(kind == "equation", F.concat(F.lit("$ "), plain, F.lit(" $")))
+        .when(kind == "table", table_typst(F.coalesce("grid", F.array().cast(CELLS)), columns_of(F.transform("grid", lambda r: F.transform(r, lambda c: c["colspan"]))), F.nullif("inline", F.lit(""))))
+        .when(kind == "figure", figure_typst(F.col("paths"), F.col("inline"), F.try_element_at("attrs", F.lit("width_ratio")).cast("double")))
     )
-    return both.withColumn("block", block).drop("inline", "items")
+    return both.withColumn("block", block).drop("inline", "items", "grid", "paths", "alts")
 
 
 def bodies(blocks: DataFrame, keys: list[str], glue: str) -> DataFrame:
@@ -135,38 +176,112 @@ def direction_of(lang: str | None) -> str:
     return "rtl" if (lang or "").replace("_", "-").split("-")[0].lower() in RTL_LANGUAGES else "ltr"
 
 
+@dataclass(frozen=True)
+class Typography:
+    """How a book is set. Lengths in millimetres, points or multiples of the
+    body size (em); the heading sizes are multiples of the body size, by level."""
+
+    body_font: str = "serif"
+    heading_font: str | None = None
+    code_font: str = "monospace"
+    body_size_pt: float = 11.0
+    leading: float = 1.75
+    justify: bool = True
+    paragraph_indent_em: float = 0.0
+    paragraph_spacing_em: float = 0.6
+    heading_scale: tuple[float, ...] = (2.0, 1.6, 1.3, 1.15, 1.05, 1.0)
+    margin_inner_mm: float = 22
+    margin_outer_mm: float = 16
+    margin_top_mm: float = 20
+    margin_bottom_mm: float = 20
+    page_size: str = "a5"
+    running_heads: bool = False
+    digit_style: str = "latin"
+    font_files: tuple[str, ...] = ()
+
+    @classmethod
+    def of(cls, settings: dict) -> "Typography":
+        """From settings by name; texts of numbers and flags are read as such."""
+        known = {f.name: f for f in fields(cls)}
+        out = {}
+        for name, value in settings.items():
+            if name in known and value is not None:
+                default = known[name].default
+                if isinstance(default, bool):
+                    value = value if isinstance(value, bool) else str(value).lower() == "true"
+                elif isinstance(default, (int, float)):
+                    value = float(value)
+                elif isinstance(default, tuple):
+                    value = tuple(value)
+                out[name] = value
+        return cls(**out)
+
+    def heading_sizes(self) -> list[tuple[int, float]]:
+        return [(k, round(self.body_size_pt * scale, 2)) for k, scale in enumerate(self.heading_scale, 1)]
+
+
+#: Widths and heights of page sizes in millimetres.
+PAGES = {"a4": (210, 297), "a5": (148, 210), "b5": (176, 250), "letter": (215.9, 279.4), "trade": (152.4, 228.6)}
+
+
+def _rule(selector: str, **properties: object) -> str:
+    told = "; ".join(f"{name.replace('_', '-')}: {value}" for name, value in properties.items() if value is not None)
+    return f"{selector} {{ {told}; }}"
+
+
 def style_sheet(typography: dict, lang: str) -> str:
-    """CSS of a book from its typography."""
-    t, side = typography, direction_of(lang)
-    size = float(t.get("body_size_pt", 11))
-    outer, inner = t.get("margin_outer_mm", 16), t.get("margin_inner_mm", 22)
-    start, end = (inner, outer) if side == "rtl" else (outer, inner)
-    rules = {
-        "html": {"direction": side},
-        "body": {"font-family": f'"{t.get("body_font", "serif")}", serif', "font-size": f"{size}pt", "line-height": t.get("leading", 1.75), "direction": side, "margin": f"{t.get('margin_top_mm', 20)}mm {end}mm {t.get('margin_bottom_mm', 20)}mm {start}mm", "text-align": "justify" if t.get("justify", True) else "start"},
-        "p": {"margin": f"0 0 {t.get('paragraph_spacing_em', 0.6)}em 0", "text-indent": f"{t.get('paragraph_indent_em', 0)}em"},
-        **{f"h{k}": {"font-size": f"{size * scale}pt"} for k, scale in enumerate(t.get("heading_scale", (2.0, 1.6, 1.3, 1.15, 1.05, 1.0)), 1)},
-        "code, pre, a": {"direction": "ltr", "unicode-bidi": "isolate"},
-        "table": {"width": "100%", "border-collapse": "collapse", "direction": side},
-        "th, td": {"border": "1px solid currentColor", "padding": "0.4em 0.6em", "text-align": "start"},
-        "figure": {"margin": "1em 0", "text-align": "center"},
-        "blockquote": {"margin-inline-start": "1.5em", "padding-inline-start": "1em"},
-    }
-    return "\n\n".join(f"{name} {{\n" + "\n".join(f"  {k}: {v};" for k, v in body.items()) + "\n}" for name, body in rules.items()) + "\n"
+    """CSS of a book. Sides are logical (inline start and end), so nothing is
+    mirrored by hand: the page's own direction does it."""
+    t, side = Typography.of(typography), direction_of(lang)
+    css = [f'@font-face {{ font-family: "{t.body_font}"; src: url("../fonts/{name}"); }}' for name in t.font_files]
+    css.append(_rule("@page", margin_block=f"{t.margin_top_mm:g}mm {t.margin_bottom_mm:g}mm", margin_inline=f"{t.margin_inner_mm:g}mm {t.margin_outer_mm:g}mm"))
+    css.append(_rule(":root", direction=side, font=f'{t.body_size_pt:g}pt/{t.leading:g} "{t.body_font}", serif'))
+    css.append(_rule("p", margin_block=f"0 {t.paragraph_spacing_em:g}em", text_indent=f"{t.paragraph_indent_em:g}em", text_align="justify" if t.justify else "start"))
+    css += [_rule(f"h{k}", font_size=f"{size:g}pt", break_after="avoid") for k, size in t.heading_sizes()]
+    if t.heading_font:
+        css.append(_rule(", ".join(f"h{k}" for k, _ in t.heading_sizes()), font_family=f'"{t.heading_font}", serif'))
+    css.append(_rule("pre, code", font_family=f'"{t.code_font}", monospace', direction="ltr", unicode_bidi="isolate", white_space="pre-wrap"))
+    css.append(_rule("a", unicode_bidi="isolate"))
+    css.append(_rule("blockquote", margin_inline_start="2em"))
+    css.append(_rule("img", max_width="100%"))
+    css.append(_rule("figure, table", margin_block="1em", break_inside="avoid"))
+    css.append(_rule("table", border_collapse="collapse", inline_size="100%"))
+    css.append(_rule("td, th", border="thin solid", padding="0.3em", text_align="start"))
+    if t.digit_style in COUNTERS:
+        css.append(_rule("ol", list_style_type=COUNTERS[t.digit_style]))
+    return "\n".join(css) + "\n"
+
+
+#: List counters and Typst numberings of digit styles.
+COUNTERS = {"persian": "persian", "arabic": "arabic-indic"}
+NUMBERINGS = {"persian": "۱", "arabic": "١"}
 
 
 def typst_preamble(typography: dict, lang: str) -> str:
-    """Page, text and heading settings ahead of a Typst body."""
-    t, side = typography, direction_of(lang)
-    size = float(t.get("body_size_pt", 11))
-    lines = [
-        f'#set page(paper: "{t.get("page_size", "a5")}")',
-        f'#set page(binding: {"right" if side == "rtl" else "left"}, margin: (inside: {t.get("margin_inner_mm", 22)}mm, outside: {t.get("margin_outer_mm", 16)}mm, top: {t.get("margin_top_mm", 20)}mm, bottom: {t.get("margin_bottom_mm", 20)}mm), numbering: "1")',
-        f'#set text(dir: {side}, lang: "{lang.split("-")[0]}", font: "{t.get("body_font", "serif")}", size: {size}pt)',
-        f"#set par(justify: {str(bool(t.get('justify', True))).lower()}, leading: {t.get('leading', 1.75)}em)",
-        *[f"#show heading.where(level: {k}): set text(size: {size * scale}pt)" for k, scale in enumerate(t.get("heading_scale", (2.0, 1.6, 1.3, 1.15, 1.05, 1.0)), 1)],
+    """What a Typst source sets ahead of its body."""
+    t, side = Typography.of(typography), direction_of(lang)
+    width, height = PAGES.get(t.page_size.lower(), PAGES["a5"])
+    number = NUMBERINGS.get(t.digit_style, "1")
+    head = ", header: context { let found = query(selector(heading.where(level: 1)).before(here())); if found.len() > 0 { align(center, found.last().body) } }" if t.running_heads else ""
+    margin = ", ".join(f"{name}: {mm:g}mm" for name, mm in (("inside", t.margin_inner_mm), ("outside", t.margin_outer_mm), ("top", t.margin_top_mm), ("bottom", t.margin_bottom_mm)))
+    font = ", ".join(f'"{f}"' for f in (t.body_font, "serif") if f)
+    out = [
+        f"#set page(width: {width:g}mm, height: {height:g}mm, margin: ({margin}), binding: {'right' if side == 'rtl' else 'left'}, numbering: \"{number}\"{head})",
+        f"#set text(font: ({font},), size: {t.body_size_pt:g}pt, lang: \"{lang.replace('_', '-').split('-')[0]}\", dir: {side})",
+        # Typst's leading is the space between lines, not their distance.
+        f"#set par(leading: {max(t.leading - 1, 0):g}em, spacing: {max(t.leading - 1, 0) + t.paragraph_spacing_em:g}em, first-line-indent: {t.paragraph_indent_em:g}em, justify: {'true' if t.justify else 'false'})",
+        f'#show raw: set text(font: "{t.code_font}", dir: ltr)',
     ]
-    return "\n".join(lines) + "\n"
+    named = f'font: "{t.heading_font}", ' if t.heading_font else ""
+    out += [f"#show heading.where(level: {k}): set text({named}size: {size:g}pt)" for k, size in t.heading_sizes()]
+    if t.digit_style in NUMBERINGS:
+        out.append(f'#set enum(numbering: "{number}.")')
+    return "\n".join(out) + "\n"
+
+
+def typst_sources(bodies_: DataFrame, typography: dict, lang: str) -> DataFrame:
+    """Whole Typst sources: ``bodies_`` with ``source``, the settings and the body."""
+    return bodies_.withColumn("source", F.concat(F.lit(typst_preamble(typography, lang) + "\n"), F.col("body"), F.lit("\n")))
 
 
 def epub_file(title: str, lang: str, chapters: list[tuple[str, str]], css: str, identifier: str) -> bytes:
@@ -215,7 +330,8 @@ def table_typst(cells: Column, columns: Column, caption: Column) -> Column:
 
     def cell(c: Column) -> Column:
         body = F.when(c["is_header"], F.concat(F.lit("*"), c["text"], F.lit("*"))).otherwise(c["text"])
-        span = F.when(c["colspan"] > 1, F.concat(F.lit("table.cell(colspan: "), c["colspan"].cast("string"), F.lit(")"))).otherwise("")
+        wide, high = (F.when(c[k] > 1, F.concat(F.lit(f"{k}: "), c[k].cast("string"))) for k in ("colspan", "rowspan"))
+        span = F.when((c["colspan"] > 1) | (c["rowspan"] > 1), F.concat(F.lit("table.cell("), F.concat_ws(", ", wide, high), F.lit(")"))).otherwise("")
         return F.concat(span, F.lit("["), body, F.lit("]"))
 
     flat = F.flatten(F.transform(cells, lambda r: F.transform(r, cell)))
@@ -223,6 +339,15 @@ def table_typst(cells: Column, columns: Column, caption: Column) -> Column:
     return F.when(F.size(cells) == 0, "").otherwise(F.coalesce(F.concat(F.lit("#figure("), table, F.lit(", caption: ["), caption, F.lit("])")), F.concat(F.lit("#"), table)))
 
 
+def figure_typst(paths: Column, caption: Column, width_ratio: Column) -> Column:
+    """One Typst figure of all images, side by side where there are several."""
+    width = F.when((width_ratio > 0) & (width_ratio <= 1), F.concat(F.lit(", width: "), F.bround(width_ratio * 100, 1).cast("string"), F.lit("%"))).otherwise("")
+    images = F.transform(paths, lambda p: F.concat(F.lit('image("assets/'), F.replace(p, F.lit('"'), F.lit('\\"')), F.lit('"'), F.coalesce(width, F.lit("")), F.lit(")")))
+    body = F.when(F.size(paths) == 1, images[0]).otherwise(F.concat(F.lit("grid(columns: "), F.size(paths).cast("string"), F.lit(", "), F.array_join(images, ", "), F.lit(")")))
+    below = F.coalesce(F.concat(F.lit(", caption: ["), F.nullif(caption, F.lit("")), F.lit("]")), F.lit(""))
+    return F.when(F.size(paths) > 0, F.concat(F.lit("#figure("), body, below, F.lit(")"))).otherwise("")
+
+
 def covers(books: DataFrame, translated: DataFrame) -> DataFrame:
     """Each book's cover: a translated one takes the place of its own.
     ``books``: doc_id, cover_asset_id; ``translated``: doc_id, asset_id."""

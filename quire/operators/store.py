@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: From which stages an action may start, and where it leads.
@@ -84,29 +84,10 @@ def stage_violations(events: DataFrame, key: str, order: list[str], stage: str,
     return checked.join(F.broadcast(pairs.withColumnRenamed("to_stage", stage)), ["from_stage", stage], "left_anti")
 
 
-class Snapshots:
-    """Versions of a table in a folder: a writer writes version v + 1 and then
-    a pointer to it; readers follow the pointer. One writer at a time."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def version(self) -> int:
-        jvm = self.spark.sparkContext._jvm
-        pointer = jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
-        fs = pointer.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(pointer):
-            return 0
-        return int(self.spark.read.text(f"{self.path}/current").agg(F.max(F.col("value").cast("long"))).first()[0])
-
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v={self.version()}")
-
-    def write(self, rows: DataFrame) -> int:
-        new = self.version() + 1
-        rows.write.mode("overwrite").parquet(f"{self.path}/v={new}")
-        self.spark.range(1).select(F.lit(str(new)).alias("value")).coalesce(1).write.mode("append").text(f"{self.path}/current")
-        return new
+def write_tree(nodes: DataFrame, path: str) -> None:
+    """Write node tables, one folder for each document and variant; those that
+    the rows name are replaced, others stay."""
+    nodes.repartition("doc_id", "variant").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id", "variant").parquet(path)
 
 
 def run_stats(segments: DataFrame, key: str) -> DataFrame:
@@ -136,3 +117,54 @@ def may_start(projects: DataFrame, action: str) -> DataFrame:
     """Adds ``allowed`` and the stage that the action leads to."""
     _, sources, to = next(t for t in TRANSITIONS if t[0] == action)
     return projects.withColumns({"allowed": F.col("stage").isin(*sources), "next_stage": F.when(F.col("stage").isin(*sources), to)})
+
+
+def start_runs(runs: DataFrame, new: DataFrame) -> DataFrame:
+    """``runs`` with a running row for each of ``new`` (id, key, stage, at);
+    ids that are there already are not started again."""
+    fresh = new.join(runs.select("id"), "id", "left_anti").withColumns({"status": F.lit("running"), "started_at": F.col("at"), "finished_at": F.lit(None).cast("timestamp"), "error": F.lit(None).cast("string")})
+    return runs.unionByName(fresh.select(*runs.columns))
+
+
+def latest_first(rows: DataFrame, at: str, tie: str) -> DataFrame:
+    """Runs by start, or projects by update: the latest first, ties by id."""
+    return rows.orderBy(F.col(at).desc_nulls_last(), tie)
+
+
+def update_meta(projects: DataFrame, updates: DataFrame, fields: list[str]) -> DataFrame:
+    """Write the fields that an update names in ``sent``, and its time ``at`` as
+    updated_at. ``updates``: project_id, sent, at and the fields."""
+    out = update_fields(projects, updates.drop("at"), ["project_id"], fields)
+    times = updates.select("project_id", F.col("at").alias("_at"))
+    return out.join(times, "project_id", "left").withColumn("updated_at", F.coalesce("_at", "updated_at")).select(*projects.columns)
+
+
+def update_terms(terms: DataFrame, updates: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """Edits by hand: as ``update_fields``, and every edited term is locked."""
+    edited = updates.select(*keys, F.lit(True).alias("_edited")).distinct()
+    out = update_fields(terms, updates, keys, fields).join(edited, keys, "left")
+    return out.withColumn("locked", F.coalesce("_edited", "locked")).select(*terms.columns)
+
+
+def create_projects(projects: DataFrame, new: DataFrame) -> DataFrame:
+    """Adds ``outcome`` to the projects and the new ones: a new one whose id is
+    taken, here or by an earlier one of ``new`` (by ``seq``), is refused."""
+    first = F.row_number().over(Window.partitionBy("project_id").orderBy("seq")) == 1
+    taken = projects.select("project_id", F.lit(True).alias("_taken")).distinct()
+    told = new.withColumn("_first", first).join(taken, "project_id", "left")
+    outcome = F.when(F.coalesce("_taken", F.lit(False)) | ~F.col("_first"), "refused").otherwise("created")
+    return projects.withColumn("outcome", F.lit("kept")).unionByName(told.withColumn("outcome", outcome).select(*projects.columns, "outcome"))
+
+
+def delete_projects(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Any keyed table without the rows of projects that are gone."""
+    return rows.join(gone.select("project_id").distinct(), "project_id", "left_anti")
+
+
+def registry(items: DataFrame) -> DataFrame:
+    """Projects read from their stored JSON (project_id, json); a corrupt one is
+    a row with an error."""
+    fields = "name string, stage string, source_lang string, target_lang string, updated_at timestamp"
+    read = items.withColumn("p", F.from_json("json", fields + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
+    bad = F.col("p").isNull() | F.col("p._corrupt").isNotNull() | F.col("p.name").isNull()
+    return read.select("project_id", "p.name", "p.stage", "p.source_lang", "p.target_lang", F.to_utc_timestamp("p.updated_at", F.current_timezone()).alias("updated_at"), F.when(bad, "cannot be read").alias("error"))

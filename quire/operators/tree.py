@@ -95,7 +95,7 @@ def merge_with_next(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     siblings = Window.partitionBy("doc_id", "parent_id").orderBy("child_idx")
     marked = nodes.withColumns({"next_id": F.lead("node_id").over(siblings), "next_text": F.lead("text").over(siblings)}).join(targets.withColumn("merge", F.lit(True)), ["doc_id", "node_id"], "left")
     merged = marked.filter("merge and next_id is not null").select("doc_id", F.col("next_id").alias("gone"), F.col("node_id").alias("into"))
-    text = F.when(F.col("merge") & F.col("next_id").isNotNull(), F.concat_ws(" ", "text", "next_text")).otherwise(F.col("text"))
+    text = F.when(F.col("merge") & F.col("next_id").isNotNull(), F.nullif(F.concat_ws(" ", F.nullif("text", F.lit("")), F.nullif("next_text", F.lit(""))), F.lit(""))).otherwise(F.col("text"))
     if "images" in nodes.columns:
         none = F.array().cast(nodes.schema["images"].dataType)
         both = F.concat(F.coalesce("images", none), F.coalesce("next_images", none))

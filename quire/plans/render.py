@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import escape_html, escape_typst
 from quire.operators import render as R
 from quire.operators import tree
-from quire.plans.common import LINES, documents, nodes, table
+from quire.plans.common import LINES, NODES, documents, nodes, table
 from quire.sources.readers import parse_nodes
 
 
@@ -46,7 +46,8 @@ def q45_inline_escapes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _attributed(spark: SparkSession, sf: str) -> DataFrame:
-    n = nodes(spark, sf)
+    """Without the marks of the inline dialect, which SQL does not parse."""
+    n = nodes(spark, sf).withColumn("text", F.translate("text", "*`", ""))
     return n.withColumns({"parent_id": F.lit(None).cast("string"), "attrs": F.create_map().cast("map<string,string>")})
 
 
@@ -55,6 +56,26 @@ def q46_xhtml_body(spark: SparkSession, sf: str) -> DataFrame:
     return R.bodies(blocks, ["doc_id", "chapter_no", "chapter_title"], "\n").select("doc_id", "chapter_no", F.length("body").alias("n"), F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 
+def _tables(spark: SparkSession, sf: str) -> DataFrame:
+    """A table node of each region's nations, with a header over both columns."""
+    cell = lambda text, header, span: F.struct(text.alias("text"), F.lit(header).alias("is_header"), F.lit(span).alias("colspan"), F.lit(1).alias("rowspan"))
+    n = table(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("l"))
+    rows = F.transform("l", lambda x: F.array(cell(x["n_nationkey"].cast("string"), False, 1), cell(F.concat(x["n_name"], F.lit(" & co")), False, 1)))
+    cells = F.concat(F.array(F.array(cell(F.lit("Nations"), True, 2))), rows)
+    r = table(spark, sf, "region").select(F.col("r_regionkey").alias("doc_id"), F.col("r_name").alias("text"))
+    figure = F.array(F.struct(F.lit("map.png").alias("src"), F.lit("a map").alias("alt"), F.lit(None).cast("string").alias("caption")))
+    both = n.select("doc_id", cells.alias("cells")).join(r, "doc_id")
+    base = {"parent_id": F.lit(None).cast("string"), "level": F.lit(None).cast("int"), "attrs": F.create_map().cast("map<string,string>")}
+    one = both.withColumns(base | {"node_id": F.lit("t"), "pos": F.lit(0), "kind": F.lit("table"), "images": F.lit(None).cast(both.select(figure.alias("f")).schema["f"].dataType)})
+    two = both.withColumns(base | {"node_id": F.lit("f"), "pos": F.lit(1), "kind": F.lit("figure"), "images": figure, "cells": F.lit(None).cast(both.schema["cells"].dataType)})
+    return one.unionByName(two)
+
+
+def q68_tables_and_figures(spark: SparkSession, sf: str) -> DataFrame:
+    xhtml = R.bodies(R.xhtml_blocks(_tables(spark, sf)), ["doc_id"], "\n").withColumnRenamed("body", "xhtml")
+    return xhtml.join(R.bodies(R.typst_blocks(_tables(spark, sf)), ["doc_id"], "\n").withColumnRenamed("body", "typst"), "doc_id")
+
+
 def q47_typst_body(spark: SparkSession, sf: str) -> DataFrame:
     blocks = R.typst_blocks(_attributed(spark, sf))
     return R.bodies(blocks, ["doc_id"], "\n\n").select("doc_id", F.length("body").alias("n"), F.md5(F.col("body").cast("binary")).alias("body_md5"))
@@ -68,11 +89,25 @@ def q63_epub_books(spark: SparkSession, sf: str) -> DataFrame:
     return back.select(F.col("doc_id").cast("long").alias("doc_id"), "n")
 
 
-QUERIES = {f.__name__: f for f in (q36_html_nodes, q37_txt_nodes, q38_markdown_nodes, q45_inline_escapes, q46_xhtml_body, q47_typst_body, q63_epub_books)}
+QUERIES = {f.__name__: f for f in (q36_html_nodes, q37_txt_nodes, q38_markdown_nodes, q45_inline_escapes, q46_xhtml_body, q47_typst_body, q63_epub_books, q68_tables_and_figures)}
 
 _HTML = "replace(replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
 
+_PLAIN = "translate(text, '*`', '')"
+_ESCAPED = _HTML.replace("line", _PLAIN)
+
 ORACLES = {
+    "q46_xhtml_body": f"""WITH {NODES}, c AS (SELECT *, sum(CASE WHEN kind = 'heading' AND level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS chapter_no,
+            CASE WHEN kind = 'heading' THEN '<h' || level || '>' || {_ESCAPED} || '</h' || level || '>' WHEN {_PLAIN} <> '' THEN '<p>' || {_ESCAPED} || '</p>' END AS block FROM nodes),
+        b AS (SELECT doc_id, chapter_no, string_agg(block, chr(10) ORDER BY pos) AS body FROM c WHERE block IS NOT NULL GROUP BY ALL)
+        SELECT doc_id, CAST(chapter_no AS BIGINT) AS chapter_no, CAST(length(body) AS INT) AS n, md5(body) AS body_md5 FROM b""",
+    "q47_typst_body": f"""WITH {NODES}, t AS (SELECT doc_id, pos, CASE WHEN kind = 'heading' THEN repeat('=', CAST(level AS INT)) || ' ' ELSE '' END || regexp_replace({_PLAIN}, '([*_`#@$<>\\[\\]\\\\])', '\\\\\\1', 'g') AS block FROM nodes),
+        b AS (SELECT doc_id, string_agg(block, chr(10) || chr(10) ORDER BY pos) AS body FROM t WHERE block <> '' GROUP BY doc_id)
+        SELECT doc_id, CAST(length(body) AS INT) AS n, md5(body) AS body_md5 FROM b""",
+    "q68_tables_and_figures": """WITH r AS (SELECT n_regionkey AS doc_id, string_agg('<tr><td>' || n_nationkey || '</td><td>' || n_name || ' &amp; co</td></tr>', '' ORDER BY n_nationkey) AS x, string_agg('[' || n_nationkey || '], [' || replace(n_name, '_', '\\_') || ' & co]', ', ' ORDER BY n_nationkey) AS t FROM nation GROUP BY n_regionkey)
+        SELECT doc_id, '<table><caption>' || r_name || '</caption><tr><th colspan="2">Nations</th></tr>' || x || '</table>' || chr(10) || '<figure><img src="../assets/map.png" alt="a map"/><figcaption>' || r_name || '</figcaption></figure>' AS xhtml,
+               '#figure(table(columns: 2, table.cell(colspan: 2)[*Nations*], ' || t || '), caption: [' || r_name || '])' || chr(10) || '#figure(image("assets/map.png"), caption: [' || r_name || '])' AS typst
+        FROM r JOIN region ON r_regionkey = doc_id""",
     "q36_html_nodes": "SELECT page_id, len(regexp_extract_all(html, '<h[1-6][ >]')) AS headings, len(regexp_extract_all(html, '<li[ >]')) AS items FROM pages",
     "q38_markdown_nodes": f"WITH {LINES} SELECT doc_id, count(*) FILTER (length(line) % 7 = 0) AS headings, count(*) FILTER (length(line) % 7 = 1) AS quotes, count(*) FILTER (length(line) % 7 = 2) AS items FROM lines GROUP BY doc_id",
     "q45_inline_escapes": f"WITH {LINES} SELECT doc_id, pos, md5({_HTML}) AS xhtml, md5(regexp_replace(line, '([*_`#@$<>\\[\\]\\\\])', '\\\\\\1', 'g')) AS typst FROM lines",

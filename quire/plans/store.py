@@ -104,8 +104,9 @@ def q55_resume_pending(spark: SparkSession, sf: str) -> DataFrame:
 def q62_record_translations(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as segments, their lines as results that came in."""
     o = table(spark, sf, "orders").select(F.lit(0).alias("doc_id"), F.col("o_orderkey").alias("id"), F.lit("pending").alias("status"), F.lit(None).cast("string").alias("target_text"), F.lit(0).alias("attempts"), F.lit(0.0).alias("cost_usd"), F.lit("old").alias("error"), (F.col("o_orderpriority") == "1-URGENT").alias("locked"))
-    r = table(spark, sf, "lineitem").filter("l_linenumber = 1").select(F.lit(0).alias("doc_id"), F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("new_target"), F.col("l_tax").alias("cost_usd"), F.when(F.col("l_returnflag") == "A", F.array(F.lit("length-ratio"))).otherwise(F.array().cast("array<string>")).alias("flags"), F.when(F.col("l_linestatus") == "O", F.lit("refused")).alias("error"))
-    out = K.record_translations(o, r.dropDuplicates(["id"]))
+    r = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.min("l_returnflag").alias("l_returnflag"), F.sum("l_tax").alias("l_tax"), F.max("l_linestatus").alias("l_linestatus"))
+    r = r.select(F.lit(0).alias("doc_id"), F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("new_target"), F.col("l_tax").alias("cost_usd"), F.when(F.col("l_returnflag") == "A", F.array(F.lit("length-ratio"))).otherwise(F.array().cast("array<string>")).alias("flags"), F.when(F.col("l_linestatus") == "O", F.lit("refused")).alias("error"))
+    out = K.record_translations(o, r)
     return out.groupBy("status", "error", "attempts").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("cost_usd"), 4).alias("cost"))
 
 
@@ -138,7 +139,7 @@ ORACLES = {
     "q54_stage_violations": f"""WITH e AS (SELECT user_id, event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_stage, event_type FROM events)
         SELECT user_id, event_id, from_stage, event_type FROM e WHERE from_stage IS NOT NULL AND (from_stage, event_type) NOT IN ({", ".join(map(str, TRANSITIONS))})""",
     "q55_resume_pending": "SELECT o_orderkey, 'pending' AS status FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority <> '1-URGENT' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
-    "q62_record_translations": """WITH r AS (SELECT l_orderkey AS id, any_value(l_returnflag) AS f, any_value(l_tax) AS tax, any_value(l_linestatus) AS s FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey),
+    "q62_record_translations": """WITH r AS (SELECT l_orderkey AS id, min(l_returnflag) AS f, sum(l_tax) AS tax, max(l_linestatus) AS s FROM lineitem GROUP BY l_orderkey),
         j AS (SELECT o_orderpriority = '1-URGENT' AS locked, r.id IS NOT NULL AND o_orderpriority <> '1-URGENT' AS take, r.s = 'O' AS bad, f, tax FROM orders LEFT JOIN r ON o_orderkey = r.id)
         SELECT CASE WHEN take AND bad THEN 'failed' WHEN take AND f = 'A' THEN 'flagged' WHEN take THEN 'translated' ELSE 'pending' END AS status, CASE WHEN take AND bad THEN 'refused' WHEN NOT take THEN 'old' END AS error,
                CAST(CASE WHEN take THEN 1 ELSE 0 END AS INT) AS attempts, count(*) AS n, round(sum(CASE WHEN take AND NOT bad THEN tax ELSE 0 END), 4) AS cost FROM j GROUP BY ALL""",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import batches as B
 from quire.operators import glossary as G
-from quire.operators import layout, prompts, qa, render, store, tables, tree
+from quire.operators import agents, layout, prompts, qa, render, store, tables, tree
 from quire.operators import segments as S
 from quire.sources import blocks, presets, readers
 from quire.streaming import progress
@@ -215,12 +215,65 @@ def test_presets(spark, tmp_path):
     assert len(both) == 7 and both["general"].name == "Mine" and not both["general"].builtin
 
 
-def test_snapshots_and_updates(spark, tmp_path):
-    s = store.Snapshots(spark, str(tmp_path / "t"))
-    s.write(spark.createDataFrame([(1, "a", "x")], "k int, a string, b string"))
-    sent = spark.createDataFrame([(1, ["b"], "ignored", None)], "k int, sent array<string>, a string, b string")
-    assert s.write(store.update_fields(s.read(), sent, ["k"], ["a", "b"])) == 2
-    assert [tuple(r) for r in s.read().collect()] == [(1, "a", None)]
+def test_write_tree_replaces_what_it_names(spark, tmp_path):
+    path = str(tmp_path / "t")
+    cols = "doc_id string, variant string, node_id string"
+    store.write_tree(spark.createDataFrame([("a", "source", "1"), ("b", "source", "2")], cols), path)
+    store.write_tree(spark.createDataFrame([("a", "source", "3"), ("a", "fa", "4")], cols), path)
+    assert sorted((r.doc_id, r.variant, str(r.node_id)) for r in spark.read.parquet(path).collect()) == [("a", "fa", "4"), ("a", "source", "3"), ("b", "source", "2")]
+
+
+def test_registry_and_runs(spark):
+    items = spark.createDataFrame([("p", '{"name": "A", "stage": "created", "updated_at": "2024-01-01T02:00:00+02:00"}'), ("q", "{broken")], "project_id string, json string")
+    got = {r.project_id: (r.name, r.error, str(r.updated_at)) for r in store.registry(items).collect()}
+    assert got["p"] == ("A", None, "2024-01-01 00:00:00") and got["q"][1] == "cannot be read"
+    runs = spark.createDataFrame([("r1", "p", "done", "2024-01-01")], "id string, project_id string, status string, t string").selectExpr("id", "project_id", "status", "cast(t as timestamp) as started_at", "cast(null as timestamp) as finished_at", "cast(null as string) as error")
+    new = spark.createDataFrame([("r1", "p", "2024-01-02"), ("r2", "p", "2024-01-03")], "id string, project_id string, t string").selectExpr("id", "project_id", "cast(t as timestamp) as at")
+    out = store.latest_first(store.start_runs(runs, new), "started_at", "id").collect()
+    assert [(r.id, r.status) for r in out] == [("r2", "running"), ("r1", "done")]
+
+
+def test_update_meta_writes_sent_fields(spark):
+    p = spark.createDataFrame([("a", "created", "x"), ("b", "created", "x")], "project_id string, stage string, preset string").selectExpr("*", "timestamp '2024-01-01' as updated_at")
+    u = spark.createDataFrame([("a", ["stage", "preset"], "review", None)], "project_id string, sent array<string>, stage string, preset string").selectExpr("*", "timestamp '2024-02-01' as at")
+    got = {r.project_id: (r.stage, r.preset, r.updated_at.month) for r in store.update_meta(p, u, ["stage", "preset"]).collect()}
+    assert got == {"a": ("review", None, 2), "b": ("created", "x", 1)}
+
+
+def test_model_steps(spark):
+    calls = []
+
+    def flaky(x):
+        calls.append(x)
+        if len(calls) < 3:
+            raise ValueError("busy")
+        return x
+
+    waits = []
+    assert agents.with_retries(flaky, sleep=waits.append)(7) == 7 and waits == [1.0, 2.0]
+    c = spark.createDataFrame([("b", "T%02d" % k, 99 - k, None) for k in range(3)] + [("x", "boom", 1, "s")], "book string, term string, count int, sample string")
+
+    def model(prompt):
+        if "boom" in prompt:
+            raise ValueError("refused")
+        return {"decisions": [{"index": 1, "kept": False, "target": None, "policy": None, "part_of_speech": None, "explanation": None}, {"index": 1, "kept": True, "target": "t", "policy": "keep", "part_of_speech": None, "explanation": None}, {"index": 9, "kept": True, "target": "t", "policy": "keep", "part_of_speech": None, "explanation": None}], "prompt_tokens": 5, "completion_tokens": 2}
+
+    kept, totals = agents.adjudicate(c, model, "book")
+    assert [(r.book, r.term, r.target, r.policy) for r in kept.collect()] == [("b", "T01", "t", "keep")]
+    assert {r.book: (r.requests, r.prompt_tokens, r.failed) for r in totals.collect()} == {"b": (1, 5, 0), "x": (1, 0, 1)}
+    s = spark.createDataFrame([("d", "i", "x", "translated", "e", False), ("d", "j", "y", "flagged", "e", True)], "doc_id string, id string, target_text string, status string, error string, locked boolean")
+    again = {r.id: (r.status, r.target_text) for r in agents.retranslate(s, s.select("doc_id", "id")).collect()}
+    assert again == {"i": ("pending", None), "j": ("flagged", "y")}
+    terms = spark.createDataFrame([("a", "keep", True), ("b", "translate", True), ("c", "translate_paren", True), ("d", "keep", False)], "term string, policy string, enabled boolean")
+    assert {r.term for r in agents.protected_terms(terms).collect()} == {"a", "c"}
+    assert agents.only(s, s.filter("id = 'i'"), ["doc_id", "id"]).count() == 1
+
+
+def test_typography():
+    css = render.style_sheet({"body_size_pt": "12", "justify": "false", "heading_font": "H", "digit_style": "persian", "font_files": ["a.ttf"]}, "fa")
+    assert "direction: rtl" in css and "12pt/1.75" in css and "text-align: start" in css and "list-style-type: persian" in css and 'url("../fonts/a.ttf")' in css and "h1 { font-size: 24pt" in css
+    typ = render.typst_preamble({"page_size": "TRADE", "running_heads": True, "paragraph_indent_em": 1.5, "digit_style": "persian"}, "fa-IR")
+    assert "width: 152.4mm" in typ and 'lang: "fa", dir: rtl' in typ and "header: context" in typ and "first-line-indent: 1.5em" in typ and "binding: right" in typ and 'numbering: "۱"' in typ
 
 
 def test_tree_edits(spark):
@@ -357,7 +410,7 @@ def shape(nodes):
     return out
 
 
-def test_tree_edits(spark):
+def test_indents_moves_and_splits(spark):
     n = tree_rows(spark)
     pick = lambda *ids: spark.createDataFrame([("d", i) for i in ids], "doc_id string, node_id string")
     assert shape(tree.indent_nodes(n, pick("c"))) == {None: ["a", "b"], "b": ["b1", "b2", "c"]}
