@@ -346,7 +346,10 @@ class Late:
 
 
 def count_classes(texts: DataFrame, lexicon: Lexicon, every: DataFrame) -> np.ndarray:
-    """Class bigrams of the whole text, with the classes of ``every`` word."""
+    """Class bigrams of the whole text, with the classes of ``every`` word.
+
+    A word outside the dictionary that may have a class meets its class by a
+    join on the word; only chains of them need each other's."""
     size = lexicon.size
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -355,14 +358,20 @@ def count_classes(texts: DataFrame, lexicon: Lexicon, every: DataFrame) -> np.nd
             for k in range(0, len(pdf), 512):
                 x, sizes, rest = lexicon.read(pdf["text"].iloc[k : k + 512].tolist(), flagged=True)
                 c, before = lexicon.classes(x, sizes)
-                if lexicon.late:
-                    at = np.flatnonzero(x == -1)
-                    lengths = np.array([len(r) for r in rest])
-                    out = pd.DataFrame({"row": row + np.arange(len(rest)), "rest": [[w.decode() for w in r] for r in rest]})
-                    out["before"], out["after"] = split_lists(before[at], lengths), split_lists(c[at + 1], lengths)
-                    row += len(rest)
-                    if lengths.any():
-                        yield out[lengths > 0].assign(pair=-1, n=0)
+                at = np.flatnonzero(x == -1)
+                if len(at):
+                    words = [w.decode() for r in rest for w in r]
+                    alone = (before[at] >= 0) & (c[at + 1] >= 0)
+                    one = np.flatnonzero(alone)
+                    if len(one):
+                        yield pd.DataFrame({"row": -2, "rest": [[words[i]] for i in one.tolist()], "before": [[] for _ in one], "after": [[] for _ in one], "pair": (before[at] * size + c[at + 1])[one], "n": 1})
+                    run = np.flatnonzero(~alone)
+                    if len(run):  # such words behind one another, a row for each chain
+                        lengths = np.diff(np.r_[np.flatnonzero(before[at[run]] >= 0), len(run)])
+                        out = pd.DataFrame({"row": row + np.arange(len(lengths)), "rest": split_lists([words[i] for i in run.tolist()], lengths)})
+                        out["before"], out["after"] = split_lists(before[at[run]], lengths), split_lists(c[at[run] + 1], lengths)
+                        row += len(lengths)
+                        yield out.assign(pair=-1, n=0)
                 closed = (c >= 0) & (before >= 0)
                 total += np.bincount(before[closed] * size + c[closed], minlength=size * size)
         pair = np.flatnonzero(total)
@@ -383,7 +392,12 @@ def count_classes(texts: DataFrame, lexicon: Lexicon, every: DataFrame) -> np.nd
     parts = texts.mapInPandas(count, "row long, rest array<string>, before array<int>, after array<int>, pair int, n long")
     if lexicon.late:
         parts = opened = materialize(parts, "lm-open")
-        parts = parts.filter("pair >= 0").select("pair", "n").unionByName(look_up(parts.filter("pair < 0"), every).mapInArrow(resolve, "pair int, n long"))
+        classed = every.filter(F.col("cls") < lexicon.rare)
+        singles = parts.filter("row = -2").select(F.element_at("rest", 1).alias("word"), "pair").join(classed.select("word", "cls"), "word", "left").withColumn("cls", F.coalesce("cls", F.lit(lexicon.rare)))
+        sides = F.array(F.floor(F.col("pair") / size) * size + F.col("cls"), F.col("cls") * size + F.col("pair") % size)
+        singles = singles.select(F.explode(sides.cast("array<int>")).alias("pair"), F.lit(1).cast("long").alias("n"))
+        chains = look_up(parts.filter("row >= 0"), classed).mapInArrow(resolve, "pair int, n long")
+        parts = parts.filter("row = -1").select("pair", "n").unionByName(singles).unionByName(chains)
     found = parts.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     if opened is not None:
         discard(opened)
