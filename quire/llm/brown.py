@@ -364,7 +364,8 @@ def count_classes(texts: DataFrame, lexicon: Lexicon, every: DataFrame) -> np.nd
                     alone = (before[at] >= 0) & (c[at + 1] >= 0)
                     one = np.flatnonzero(alone)
                     if len(one):
-                        yield pd.DataFrame({"row": -2, "rest": [[words[i]] for i in one.tolist()], "before": [[] for _ in one], "after": [[] for _ in one], "pair": (before[at] * size + c[at + 1])[one], "n": 1})
+                        # A block's words side by side, with the classes around each in ``before``.
+                        yield pd.DataFrame({"row": [-2], "rest": [[words[i] for i in one.tolist()]], "before": [(before[at] * size + c[at + 1])[one]], "after": [[]], "pair": [-1], "n": [0]})
                     run = np.flatnonzero(~alone)
                     if len(run):  # such words behind one another, a row for each chain
                         lengths = np.diff(np.r_[np.flatnonzero(before[at[run]] >= 0), len(run)])
@@ -393,7 +394,7 @@ def count_classes(texts: DataFrame, lexicon: Lexicon, every: DataFrame) -> np.nd
     if lexicon.late:
         parts = opened = materialize(parts, "lm-open")
         classed = every.filter(F.col("cls") < lexicon.rare)
-        singles = parts.filter("row = -2").select(F.element_at("rest", 1).alias("word"), "pair").join(classed.select("word", "cls"), "word", "left").withColumn("cls", F.coalesce("cls", F.lit(lexicon.rare)))
+        singles = parts.filter("row = -2").select(F.explode(F.arrays_zip("rest", "before")).alias("z")).select(F.col("z.rest").alias("word"), F.col("z.before").alias("pair")).join(classed.select("word", "cls"), "word", "left").withColumn("cls", F.coalesce("cls", F.lit(lexicon.rare)))
         sides = F.array(F.floor(F.col("pair") / size) * size + F.col("cls"), F.col("cls") * size + F.col("pair") % size)
         singles = singles.select(F.explode(sides.cast("array<int>")).alias("pair"), F.lit(1).cast("long").alias("n"))
         chains = look_up(parts.filter("row >= 0"), classed).mapInArrow(resolve, "pair int, n long")
