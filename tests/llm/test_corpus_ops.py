@@ -620,6 +620,23 @@ def test_nearest(spark):
     assert hnsw.nearest(df.filter("false"), every=10).count() == 0
 
 
+def test_recall_over_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "SHARD", 900)
+    r = np.random.default_rng(8)
+    v = r.normal(size=(4000, 64))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for x in hnsw.nearest(df, every=50).collect():
+        got[x.query_id].add(x.vec_id)
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    hits = 0
+    for q in range(0, 4000, 50):
+        s = u @ u[q]
+        s[q] = -2
+        hits += len(got[q].intersection(np.argsort(-s)[:5].tolist()))
+    assert hits >= 0.9 * 5 * 80
+
+
 def test_fold_is_crc32(spark):
     got = spark.range(50).select("id", fold(F.col("id"), 7).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 7 for r in got)

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from tests.llm.test_corpus_ops import brute_components, check_pieces
+from tests.llm.test_corpus_ops import ODD, SCHEMA, brute_components, check_pieces
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data here")
@@ -44,3 +44,19 @@ def test_stages(spark, tmp_path):
 
 def test_run_returns_pieces(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark):
+    """Nulls, empty and long texts, repeats, ties, and columns with names of ours."""
+    odd = spark.createDataFrame(ODD, SCHEMA).selectExpr("*", "'r' as row", "0 as size", "true as kept", "0 as id")
+    left = {"toxicity": len(ODD), "exact_dedup": 8, "near_dedup": 10}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, SF)
+        if name in left:
+            assert out.columns == odd.columns and out.count() == left[name]
+        elif name == "mix":
+            assert out.columns == odd.columns
+    none = odd.filter("false")
+    for name, stage in corpus_pipeline.STAGES:
+        if name != "near_dedup":
+            assert stage(spark, none, SF).count() == 0
