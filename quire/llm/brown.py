@@ -3,9 +3,10 @@
 A word's probability is a mixture of a class bigram, ``p(c | c') * p(w | c)``,
 and a unigram with one count added to each word. Exchange clustering assigns
 the ``CLUSTERED`` most frequent words to ``CLASSES`` classes: each word in turn
-moves to the class that raises the likelihood of the class bigrams most. Every
-further word with ``ENOUGH`` counts then joins the class that gains most from
-the word's own neighbours. Words below that, unseen ones too, form one more
+moves to the class that raises the likelihood of the class bigrams most. The other
+words of the dictionary with ``ENOUGH`` counts then join the class that gains
+most from the word's own neighbours, and with their classes known so do the
+words outside the dictionary. Words below that, unseen ones too, form one more
 class, and the end of a text is a class of its own. The weight of the mixture
 comes from leave-one-out EM over the class bigrams of the final classes.
 
@@ -14,8 +15,10 @@ clustered words and the other words' neighbours by class are summed by tasks,
 then shuffled; only the bigrams of the clustered words (at most
 (CLUSTERED + 2)^2 numbers) and of the classes reach the driver. The most
 frequent words (``DICTIONARY`` at most, none over ``LONGEST`` bytes) go to every
-task with their classes. A rarer word's count and class, and with it the
-probability of the word behind, wait for a join with the table of all words.
+task with their classes. A rarer word travels once, with the classes around it:
+they give it its class, and with that class the bigrams it stands in. Its count
+and class, and with it the probability of the word behind, wait for a join with
+the table of all words.
 """
 
 from __future__ import annotations
@@ -23,9 +26,9 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import compress, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -42,6 +45,7 @@ DICTIONARY, LONGEST = 150_000, 64
 SMOOTH = 2.0
 #: The end of a text, as a word; words hold no white space.
 END = "\n"
+END_KEY = END.encode()
 #: Bits that tell which words outside the dictionary may have ``ENOUGH`` counts.
 FLAG_BITS = 26
 #: Words that a task counts before it hands them on.
@@ -50,56 +54,83 @@ HELD = 250_000
 HELD_CELLS = 1_500_000
 
 
-def lm_words(text: str | None) -> list[bytes]:
+def lm_words(text: bytes | None) -> list[bytes]:
     """Words between ASCII white space, A-Z lower-cased."""
-    return (text or "").encode("utf-8", "replace").lower().split()
+    return (text or b"").lower().split()
+
+
+def blocks(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Parts of a few rows, with their texts in UTF-8."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            part = batch.slice(k, rows)
+            yield part, part.column("text").cast(pa.binary()).to_pylist()
+
+
+def running_words(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray]:
+    """The words of all texts with an end behind each, and where the ends are."""
+    said: list[bytes] = []
+    ends = []
+    for text in texts:
+        said += lm_words(text)
+        ends.append(len(said))
+        said.append(END_KEY)
+    return said, np.array(ends, np.int64)
+
+
+def strings(words: list[bytes]) -> pa.Array:
+    return pa.array(words, pa.binary()).cast(pa.string())
+
+
+def lists(values: np.ndarray | pa.Array, lengths: np.ndarray, kind: pa.DataType = pa.int32()) -> pa.ListArray:
+    offsets = pa.array(np.r_[0, np.cumsum(lengths)], pa.int32())
+    return pa.ListArray.from_arrays(offsets, values if isinstance(values, pa.Array) else pa.array(values, kind))
 
 
 def count_words(texts: DataFrame) -> DataFrame:
     """``texts``: text. word, c: in all texts, with the ends."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
-        def told() -> pd.DataFrame:
-            return pd.DataFrame({"word": [w.decode() for w in seen], "c": list(seen.values())})
-
-        for pdf in batches:
-            for k in range(0, len(pdf), 512):
-                part = pdf["text"].iloc[k : k + 512]
-                for text in part:
-                    seen.update(lm_words(text))
-                seen[END.encode()] += len(part)
-                if len(seen) > HELD:
-                    yield told()
-                    seen.clear()
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([strings(list(seen)), pa.array(seen.values(), pa.int64())], ["word", "c"])
+
+        for _, part in blocks(batches):
+            for text in part:
+                seen.update(lm_words(text))
+            seen[END_KEY] += len(part)
+            if len(seen) > HELD:
+                yield told()
+                seen.clear()
         if seen:
             yield told()
 
-    return texts.mapInPandas(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def sum_pairs(parts: DataFrame, size: int) -> np.ndarray:
+    """``parts``: cells, ns, of size * size cells. Their sums."""
+    each = parts.select(F.explode(F.arrays_zip("cells", "ns")).alias("z")).groupBy("z.cells").agg(F.sum("z.ns").alias("n")).toArrow()
+    out = np.zeros(size * size, np.int64)
+    out[each.column(0).to_numpy()] = each.column(1).to_numpy()
+    return out.reshape(size, size)
 
 
 def count_pairs(texts: DataFrame, number: dict[bytes, int], rare: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bigrams of word numbers: (first, second, count). A text follows an end."""
-    size = max(rare, end) + 1
+    size, number = max(rare, end) + 1, number | {END_KEY: end}
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * size, np.int64)
-        for pdf in batches:
-            for k in range(0, len(pdf), 512):
-                ids = [end]
-                for text in pdf["text"].iloc[k : k + 512]:
-                    ids += [number.get(w, rare) for w in lm_words(text)]
-                    ids.append(end)
-                x = np.array(ids)
-                pairs, n = np.unique(x[:-1] * size + x[1:], return_counts=True)
-                total[pairs] += n
+        for _, part in blocks(batches):
+            said, _ = running_words(part)
+            x = np.fromiter(map(number.get, said, repeat(rare)), np.int64, len(said))
+            total += np.bincount(np.r_[end, x[:-1]] * size + x, minlength=size * size)
         pairs = np.flatnonzero(total)
-        for k in range(0, len(pairs), 100_000):
-            part = pairs[k : k + 100_000]
-            yield pd.DataFrame({"pair": part, "n": total[part]})
+        yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.int32()), pa.array(total[pairs])], ["pair", "n"])
 
-    found = texts.mapInPandas(count, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    found = texts.mapInArrow(count, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     pair, n = (found.column(k).to_numpy() for k in ("pair", "n"))
     return pair // size, pair % size, n
 
@@ -157,40 +188,34 @@ class Lexicon:
     late: bool  # words outside the dictionary may have a class
     flags: np.ndarray  # a bit of each that may, by its hash; false ones do no harm
 
-    def may(self, word: bytes) -> bool:
-        """Whether a word outside the dictionary may have a class of its own."""
-        h = xxhash.xxh64_intdigest(word, 42) & ((1 << FLAG_BITS) - 1)
-        return bool(self.flags[h >> 6] >> np.uint64(h & 63) & np.uint64(1))
+    def may(self, words: list[bytes]) -> np.ndarray:
+        """Which words outside the dictionary may have a class of their own."""
+        mask = (1 << FLAG_BITS) - 1
+        h = np.fromiter((xxhash.xxh64_intdigest(w, 42) & mask for w in words), np.int64, len(words))
+        return (self.flags[h >> 6] >> (h & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
-    def read(self, texts: list[str | None], flagged: bool = False) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
+    def read(self, texts: list[bytes | None], flagged: bool = False) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Numbers of all words (-1 outside the dictionary) with an end behind
-        each text, the sizes, and each text's words outside the dictionary.
+        each text, where the ends are, and the words outside the dictionary.
         ``flagged``: words that are certainly rare have -2 and are left out."""
-        get, end, numbers, sizes, rest = self.words.get, self.words.get(END.encode(), 0), [], [], []
-        told: dict[bytes, bool] = {}
-        for text in texts:
-            words = lm_words(text)
-            ids = list(map(get, words))
-            if flagged and None in ids:
-                new = {w for w, i in zip(words, ids, strict=True) if i is None and w not in told}
-                told.update((w, self.may(w)) for w in new)
-                rest.append([w for w, i in zip(words, ids, strict=True) if i is None and told[w]])
-                ids = [(-1 if told[w] else -2) if i is None else i for w, i in zip(words, ids, strict=True)]
-            elif None in ids:
-                rest.append([w for w, i in zip(words, ids, strict=True) if i is None])
-                ids = [-1 if i is None else i for i in ids]
-            else:
-                rest.append([])
-            ids.append(end)
-            numbers += ids
-            sizes.append(len(ids))
-        return np.array(numbers, np.int64), np.array(sizes, np.int64), rest
-
-    def classes(self, x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        said, ends = running_words(texts)
+        x = np.fromiter(map(self.words.get, said, repeat(-1)), np.int64, len(said))
+        x[ends] = self.words.get(END_KEY, 0)
+        at = np.flatnonzero(x < 0)
+        rest = [said[i] for i in at.tolist()]
+        if flagged and rest:
+            new = list(set(rest))
+            told = dict(zip(new, self.may(new).tolist(), strict=True))
+            keep = list(map(told.__getitem__, rest))
+            x[at[~np.array(keep)]] = -2
+            rest = list(compress(rest, keep))
+        return x, ends, rest
+
+    def classes(self, x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each word its class and the class before; -1 where a word is
         outside the dictionary. An end opens each text."""
         c = np.where(x >= 0, self.cls[x], np.where(x == -2, self.rare, -1))
-        c[np.cumsum(sizes) - 1] = self.end
+        c[ends] = self.end
         return c, np.r_[self.end, c[:-1]]
 
 
@@ -199,6 +224,37 @@ def split_lists(values: list | np.ndarray, lengths: np.ndarray) -> list:
     return [values[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
 
 
+class Cells:
+    """Counts of cells by word, summed within a task; ``handed`` gives a row a
+    word (its number, its cells, their counts) and starts anew."""
+
+    def __init__(self, width: int) -> None:
+        self.width, self.parts, self.held, self.counted = width, [], 0, 0
+
+    def add(self, word: np.ndarray, cell: np.ndarray) -> None:
+        found, n = np.unique(word * self.width + cell, return_counts=True)
+        self.parts.append((found, n))
+        self.held += len(found)
+        self.counted += len(word)
+
+    @property
+    def full(self) -> bool:
+        return self.held > HELD_CELLS or self.counted > 1 << 30  # counts are 32 bits
+
+    def handed(self, rows: int = 20_000) -> Iterator[tuple[np.ndarray, pa.ListArray, pa.ListArray]]:
+        if not self.held:
+            return
+        keys, at = np.unique(np.concatenate([p[0] for p in self.parts]), return_inverse=True)
+        counts = np.bincount(at, weights=np.concatenate([p[1] for p in self.parts]), minlength=len(keys))
+        word, cell = keys // self.width, keys % self.width
+        bounds = np.r_[np.flatnonzero(np.r_[True, np.diff(word) > 0]), len(word)]
+        self.parts, self.held, self.counted = [], 0, 0
+        for k in range(0, len(bounds) - 1, rows):
+            b = bounds[k : k + rows + 1]
+            lengths, here = np.diff(b), slice(b[0], b[-1])
+            yield word[b[:-1]], lists(cell[here], lengths), lists(counts[here].astype(np.int32), lengths)
+
+
 def flag_words(words: DataFrame) -> np.ndarray:
     """2^FLAG_BITS bits, one of each word's hash set: 8 MB at any input size.
     More words only set more bits, so fewer words can be told to be rare."""
@@ -211,55 +267,32 @@ def flag_words(words: DataFrame) -> np.ndarray:
 
 
 def count_sides(texts: DataFrame, lexicon: Lexicon, wanted: np.ndarray) -> DataFrame:
-    """Neighbours of words by class. word, cells, ns: cell ``c`` counts class c
-    behind the word, ``size + c`` class c before it, and ``2 * size`` the word
-    behind itself. ``wanted``: which words of the dictionary to count; of the
-    others those that may have a class. A word has a row for each time a task
-    hands its counts on."""
-    names, size, late = [w.decode() for w in lexicon.words], lexicon.size, lexicon.late
-    width, base = 2 * size + 1, len(lexicon.words)
+    """Neighbours of the ``wanted`` words of the dictionary by class. word (its
+    number), cells, ns: cell ``c`` counts class c behind the word, ``size + c``
+    class c before it, and ``2 * size`` the word behind itself. A word has a row
+    for each time a task hands its counts on."""
+    size = lexicon.size
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
+        cells = Cells(2 * size + 1)
 
         def told() -> Iterator[pa.RecordBatch]:
-            keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            counts = np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.int32)
-            others = [w.decode() for w in seen]
-            word, cell = keys // width, keys % width
-            opens = np.flatnonzero(np.r_[True, np.diff(word) > 0])
-            ends = np.r_[opens, len(word)]
-            for k in range(0, len(opens), 20_000):
-                at = ends[k : k + 20_001]
-                of = [names[i] if i < base else others[i - base] for i in word[at[:-1]].tolist()]
-                offsets = pa.array(at - at[0], pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(v[at[0] : at[-1]], kind)) for v, kind in ((cell, pa.int32()), (counts, pa.int32()))]
-                yield pa.RecordBatch.from_arrays([pa.array(of, pa.string()), *lists], ["word", "cells", "ns"])
-
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                x, sizes, rest = lexicon.read(batch.column(0).slice(k, 512).to_pylist(), flagged=True)
-                c, before = lexicon.classes(x, sizes)
-                c, before = np.where(c < 0, lexicon.rare, c), np.where(before < 0, lexicon.rare, before)
-                want = np.where(x >= 0, wanted[x], x == -1)
-                if late:
-                    x[x == -1] = [base + seen.setdefault(w, len(seen)) for r in rest for w in r]
-                i = np.flatnonzero(want)  # never an end, so a word stands behind each
-                behind = np.where(x[i + 1] == x[i], 2 * size, c[i + 1])
-                j = i[np.r_[-1, x[:-1]][i] != x[i]]
-                found, n = np.unique(np.r_[x[i] * width + behind, x[j] * width + size + before[j]], return_counts=True)
-                parts.append((found, n))
-                held += len(found)
-                if held > HELD_CELLS or len(seen) > HELD:
-                    yield from told()
-                    seen.clear()
-                    parts, held = [], 0
-        if held:
-            yield from told()
-
-    return texts.mapInArrow(count, "word string, cells array<int>, ns array<int>")
+            for word, cell, n in cells.handed():
+                yield pa.RecordBatch.from_arrays([pa.array(word, pa.int32()), cell, n], ["word", "cells", "ns"])
+
+        for _, part in blocks(batches):
+            x, ends, _ = lexicon.read(part)
+            c, before = lexicon.classes(x, ends)
+            c, before = np.where(c < 0, lexicon.rare, c), np.where(before < 0, lexicon.rare, before)
+            i = np.flatnonzero((x >= 0) & wanted[x])  # never an end, so a word stands behind each
+            behind = np.where(x[i + 1] == x[i], 2 * size, c[i + 1])
+            j = i[np.r_[-1, x[:-1]][i] != x[i]]
+            cells.add(np.r_[x[i], x[j]], np.r_[behind, size + before[j]])
+            if cells.full:
+                yield from told()
+        yield from told()
+
+    return texts.mapInArrow(count, "word int, cells array<int>, ns array<int>")
 
 
 def best_classes(g: np.ndarray, classes: int, rare: int, word: np.ndarray, cell: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -285,28 +318,125 @@ def best_classes(g: np.ndarray, classes: int, rare: int, word: np.ndarray, cell:
     return gain.argmax(1)
 
 
+def merged(rows: DataFrame) -> DataFrame:
+    """One row a word, with all its cells."""
+    return rows.groupBy("word").agg(F.flatten(F.collect_list("cells")).alias("cells"), F.flatten(F.collect_list("ns")).alias("ns"))
+
+
+def unlisted(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, count) of a batch of ``merged``, each cell of a row once."""
+    row = np.repeat(np.arange(batch.num_rows), np.array(batch.column("cells").value_lengths()))
+    cell, n = (np.array(batch.column(c).flatten(), np.int64) for c in ("cells", "ns"))
+    key, at = np.unique(row * width + cell, return_inverse=True)
+    return key // width, key % width, np.bincount(at, weights=n, minlength=len(key))
+
+
 def assign_classes(sides: DataFrame, g: np.ndarray, classes: int, rare: int) -> DataFrame:
-    """word, c, cls of the words with ``ENOUGH`` counts. ``sides``: of count_sides."""
+    """word, cls. ``sides``: of count_sides."""
+    size = len(g)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 500):
+                batch = whole.slice(k, 500)
+                cls = best_classes(g, classes, rare, *unlisted(batch, 2 * size + 1))
+                yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(cls, pa.int32())], ["word", "cls"])
+
+    return merged(sides).mapInArrow(assign, "word int, cls int")
+
+
+def count_open(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """What the whole text says about class bigrams once the dictionary's words
+    have their classes, in three kinds of rows:
+
+    * ``row`` -1, cells, sums: class bigrams with all other words in the rare class;
+    * ``row`` -2, word, cells, ns: a word outside the dictionary that may have
+      a class, for each time a task hands its counts on. Cell ``b * (size + 2) +
+      a`` counts class b before and a behind it; ``size`` is the word itself and
+      ``size + 1`` another such word;
+    * ``row`` >= 0, rest: a chain of such words, one behind the other."""
+    size, late = lexicon.size, lexicon.late
+    width = size + 2
+    names = ["row", "word", "cells", "ns", "sums", "rest"]
+    part_ints, whole, text = pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.string())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, row = np.zeros(size * size, np.int64), TaskContext.get().partitionId() << 40
+        seen: dict[bytes, int] = {}
+        cells = Cells(width * width)
+
+        def told() -> Iterator[pa.RecordBatch]:
+            others = list(seen)
+            for word, cell, n in cells.handed():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), -2)), strings([others[i] for i in word.tolist()]), cell, n, pa.nulls(len(word), whole), pa.nulls(len(word), text)], names)
+            seen.clear()
+
+        for _, part in blocks(batches):
+            x, ends, rest = lexicon.read(part, flagged=late)
+            c, before = lexicon.classes(x, ends)
+            known, prior = np.where(c < 0, lexicon.rare, c), np.where(before < 0, lexicon.rare, before)
+            total += np.bincount(prior * size + known, minlength=size * size)
+            if not (late and rest):
+                continue
+            at = np.flatnonzero(x == -1)
+            word = np.array([seen.setdefault(w, len(seen)) for w in rest])
+            follows = np.r_[False, np.diff(at) == 1]  # another such word
+            again = follows & np.r_[False, word[1:] == word[:-1]]
+            b = np.where(follows, np.where(again, size, size + 1), before[at])
+            followed, twice = np.r_[follows[1:], False], np.r_[again[1:], False]
+            a = np.where(followed, np.where(twice, size, size + 1), c[at + 1])
+            cells.add(word, b * width + a)
+            run = np.flatnonzero(follows | followed)
+            if len(run):
+                lengths = np.diff(np.r_[np.flatnonzero(~follows[run]), len(run)])
+                n = len(lengths)
+                chains = lists(strings([rest[i] for i in run.tolist()]), lengths)
+                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), pa.nulls(n, pa.string()), pa.nulls(n, part_ints), pa.nulls(n, part_ints), pa.nulls(n, whole), chains], names)
+                row += n
+            if cells.full or len(seen) > HELD:
+                yield from told()
+        yield from told()
+        pair = np.flatnonzero(total)
+        n = np.array([len(pair)])
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.nulls(1, pa.string()), lists(pair, n), pa.nulls(1, part_ints), lists(total[pair], n, pa.int64()), pa.nulls(1, text)], names)
+
+    return texts.mapInArrow(count, "row long, word string, cells array<int>, ns array<int>, sums array<long>, rest array<string>")
+
+
+def assign_open(opened: DataFrame, g: np.ndarray, classes: int, rare: int) -> DataFrame:
+    """word, cls of the words outside the dictionary with ``ENOUGH`` counts;
+    rows without a word say in cells, ns how the class bigrams ``g``, in which
+    they are rare, change. Bigrams within chains are left as they are.
+    ``opened``: of count_open."""
     size, enough = len(g), ENOUGH
+    width = size + 2
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        change = np.zeros(size * size)
+        kinds = pa.list_(pa.int32()), pa.list_(pa.int64())
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
                 batch = whole.slice(k, 500)
-                lengths = np.array(batch.column(1).value_lengths())
-                word = np.repeat(np.arange(batch.num_rows), lengths)
-                cell, n = (np.array(batch.column(c).flatten()) for c in (1, 2))
-                key, at = np.unique(word * (2 * size + 1) + cell, return_inverse=True)
-                n = np.bincount(at, weights=n)
-                word, cell = key // (2 * size + 1), key % (2 * size + 1)
-                c = np.bincount(word, weights=np.where((cell < size) | (cell == 2 * size), n, 0), minlength=batch.num_rows)
-                keep = c >= enough
-                at = keep[word]
-                cls = best_classes(g, classes, rare, (np.cumsum(keep) - 1)[word[at]], cell[at], n[at])
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), pa.array(c[keep], pa.int64()), pa.array(cls, pa.int32())], ["word", "c", "cls"])
-
-    every = sides.groupBy("word").agg(F.flatten(F.collect_list("cells")).alias("cells"), F.flatten(F.collect_list("ns")).alias("ns"))
-    return every.mapInArrow(assign, "word string, c long, cls int")
+                word, cell, n = unlisted(batch, width * width)
+                keep = np.bincount(word, weights=n, minlength=batch.num_rows) >= enough
+                word, cell, n = word[keep[word]], cell[keep[word]], n[keep[word]]
+                word = (np.cumsum(keep) - 1)[word]
+                b, a = cell // width, cell % width
+                first = b != size  # a word behind itself counts once
+                side = np.r_[np.where(a == size, 2 * size, np.where(a > size, rare, a)), size + np.where(b > size, rare, b)[first]]
+                key, at = np.unique(np.r_[word, word[first]] * (2 * size + 1) + side, return_inverse=True)
+                cls = best_classes(g, classes, rare, key // (2 * size + 1), key % (2 * size + 1), np.bincount(at, weights=np.r_[n, n[first]], minlength=len(key)))
+                own = cls[word]
+                x, y = b < size, a < size
+                for pair, m in ((b * size + own, n * x), (b * size + rare, -n * x), (own * size + a, n * y), (rare * size + a, -n * y)):
+                    change += np.bincount(np.where(m != 0, pair, 0), weights=m, minlength=size * size)
+                names = batch.column("word").filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([names, pa.array(cls, pa.int32()), pa.nulls(len(cls), kinds[0]), pa.nulls(len(cls), kinds[1])], ["word", "cls", "cells", "ns"])
+        pair = np.flatnonzero(change)
+        n = np.array([len(pair)])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.int32()), lists(pair, n), lists(change[pair].astype(np.int64), n, pa.int64())], ["word", "cls", "cells", "ns"])
+
+    return merged(opened.filter("row = -2")).mapInArrow(assign, "word string, cls int, cells array<int>, ns array<long>")
 
 
 def look_up(parts: DataFrame, every: DataFrame) -> DataFrame:
@@ -317,6 +447,44 @@ def look_up(parts: DataFrame, every: DataFrame) -> DataFrame:
     return parts.join(found, "row", "left")
 
 
+def met(batch: pa.RecordBatch, rare: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of ``look_up``: the sizes of ``rest``, and of each word its
+    count (0 if it was never seen) and class."""
+    rest, found = batch.column("rest"), batch.column("found")
+    sizes = np.array(rest.value_lengths().fill_null(0), np.int64)
+    flat = found.flatten()
+    names, told = flat.field("word").to_pylist(), np.array(found.value_lengths().fill_null(0), np.int64)
+    at = []
+    for said, known, first in zip(split_lists(rest.flatten().to_pylist(), sizes), split_lists(names, told), (np.cumsum(told) - told).tolist(), strict=True):
+        place = {w: first + k for k, w in enumerate(known)}
+        at += [place.get(w, -1) for w in said]
+    at = np.array(at, np.int64)
+    c, cls = (np.r_[np.array(flat.field(k), np.int64), none] for k, none in (("c", 0), ("cls", rare)))
+    return sizes, c[at], cls[at]
+
+
+def count_chains(opened: DataFrame, placed: DataFrame, rare: int, size: int) -> np.ndarray:
+    """How class bigrams within chains change. ``placed``: word, cls."""
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        change = np.zeros(size * size, np.int64)
+        for whole in batches:
+            for k in range(0, whole.num_rows, 512):
+                sizes, _, cls = met(whole.slice(k, 512), rare)
+                inside = np.ones(len(cls), bool)
+                inside[np.cumsum(sizes) - 1] = False
+                i = np.flatnonzero(inside)
+                change += np.bincount(cls[i] * size + cls[i + 1], minlength=size * size)
+                change[rare * size + rare] -= len(i)
+        pair = np.flatnonzero(change)
+        n = np.array([len(pair)])
+        yield pa.RecordBatch.from_arrays([lists(pair, n), lists(change[pair], n, pa.int64())], ["cells", "ns"])
+
+    chains = opened.filter("row >= 0").select("row", "rest")
+    found = look_up(chains, placed.withColumn("c", F.lit(0).cast("long")))
+    return sum_pairs(found.mapInArrow(resolve, "cells array<int>, ns array<long>"), size)
+
+
 @dataclass
 class Late:
     """The words outside the dictionary of some rows, one behind the other."""
@@ -330,81 +498,9 @@ class Late:
     @staticmethod
     def of(batch: pa.RecordBatch, rare: int) -> Late:
         """``batch``: of look_up, with ``before`` (-1: another such word) and ``after``."""
-        rest, found = batch.column("rest"), batch.column("found")
-        sizes = np.array(rest.value_lengths().fill_null(0), np.int64)
-        flat = found.flatten()
-        names, told = flat.field("word").to_pylist(), np.array(found.value_lengths().fill_null(0), np.int64)
-        at = []
-        for said, known, first in zip(split_lists(rest.flatten().to_pylist(), sizes), split_lists(names, told), (np.cumsum(told) - told).tolist(), strict=True):
-            place = {w: first + k for k, w in enumerate(known)}
-            at += [place.get(w, -1) for w in said]
-        at = np.array(at, np.int64)
-        c, cls = (np.r_[np.array(flat.field(k), np.int64), none] for k, none in (("c", 0), ("cls", rare)))
+        sizes, c, cls = met(batch, rare)
         before, after = (np.array(batch.column(k).flatten(), np.int64) for k in ("before", "after"))
-        cls = cls[at]
-        return Late(np.repeat(np.arange(batch.num_rows), sizes), c[at], cls, np.where(before >= 0, before, np.r_[rare, cls[:-1]] if len(cls) else cls), after)
-
-
-def count_classes(texts: DataFrame, lexicon: Lexicon, every: DataFrame) -> np.ndarray:
-    """Class bigrams of the whole text, with the classes of ``every`` word.
-
-    A word outside the dictionary that may have a class meets its class by a
-    join on the word; only chains of them need each other's."""
-    size = lexicon.size
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, row = np.zeros(size * size, np.int64), TaskContext.get().partitionId() << 40
-        for pdf in batches:
-            for k in range(0, len(pdf), 512):
-                x, sizes, rest = lexicon.read(pdf["text"].iloc[k : k + 512].tolist(), flagged=True)
-                c, before = lexicon.classes(x, sizes)
-                at = np.flatnonzero(x == -1)
-                if len(at):
-                    words = [w.decode() for r in rest for w in r]
-                    alone = (before[at] >= 0) & (c[at + 1] >= 0)
-                    one = np.flatnonzero(alone)
-                    if len(one):
-                        # A block's words side by side, with the classes around each in ``before``.
-                        yield pd.DataFrame({"row": [-2], "rest": [[words[i] for i in one.tolist()]], "before": [(before[at] * size + c[at + 1])[one]], "after": [[]], "pair": [-1], "n": [0]})
-                    run = np.flatnonzero(~alone)
-                    if len(run):  # such words behind one another, a row for each chain
-                        lengths = np.diff(np.r_[np.flatnonzero(before[at[run]] >= 0), len(run)])
-                        out = pd.DataFrame({"row": row + np.arange(len(lengths)), "rest": split_lists([words[i] for i in run.tolist()], lengths)})
-                        out["before"], out["after"] = split_lists(before[at[run]], lengths), split_lists(c[at[run] + 1], lengths)
-                        row += len(lengths)
-                        yield out.assign(pair=-1, n=0)
-                closed = (c >= 0) & (before >= 0)
-                total += np.bincount(before[closed] * size + c[closed], minlength=size * size)
-        pair = np.flatnonzero(total)
-        if len(pair):
-            yield pd.DataFrame({"row": -1, "rest": [[] for _ in pair], "before": [[] for _ in pair], "after": [[] for _ in pair], "pair": pair, "n": total[pair]})
-
-    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size * size, np.int64)
-        for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                x = Late.of(whole.slice(k, 512), lexicon.rare)
-                known = x.after >= 0
-                total += np.bincount(np.r_[x.before * size + x.cls, x.cls[known] * size + x.after[known]], minlength=size * size)
-        pair = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int32()), pa.array(total[pair])], ["pair", "n"])
-
-    opened = None
-    parts = texts.mapInPandas(count, "row long, rest array<string>, before array<int>, after array<int>, pair int, n long")
-    if lexicon.late:
-        parts = opened = materialize(parts, "lm-open")
-        classed = every.filter(F.col("cls") < lexicon.rare)
-        singles = parts.filter("row = -2").select(F.explode(F.arrays_zip("rest", "before")).alias("z")).select(F.col("z.rest").alias("word"), F.col("z.before").alias("pair")).join(classed.select("word", "cls"), "word", "left").withColumn("cls", F.coalesce("cls", F.lit(lexicon.rare)))
-        sides = F.array(F.floor(F.col("pair") / size) * size + F.col("cls"), F.col("cls") * size + F.col("pair") % size)
-        singles = singles.select(F.explode(sides.cast("array<int>")).alias("pair"), F.lit(1).cast("long").alias("n"))
-        chains = look_up(parts.filter("row >= 0"), classed).mapInArrow(resolve, "pair int, n long")
-        parts = parts.filter("row = -1").select("pair", "n").unionByName(singles).unionByName(chains)
-    found = parts.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    if opened is not None:
-        discard(opened)
-    g = np.zeros(size * size)
-    g[found.column("pair").to_numpy()] = found.column("n").to_numpy()
-    return g.reshape(size, size)
+        return Late(np.repeat(np.arange(batch.num_rows), sizes), c, cls, np.where(before >= 0, before, np.r_[rare, cls[:-1]] if len(cls) else cls), after)
 
 
 @dataclass
@@ -422,23 +518,22 @@ class BrownModel:
     def mix(self, before: np.ndarray, c: np.ndarray, emit: np.ndarray, plus: np.ndarray) -> np.ndarray:
         return np.log10(self.weight * self.follow[before, c] * emit + (1 - self.weight) * plus / self.total)
 
-    def batch(self, texts: list[str | None]) -> pd.DataFrame:
+    def batch(self, texts: list[bytes | None]) -> dict[str, pa.Array]:
         """Sums over the words that need no others' counts, and each text's
         words outside the dictionary with what stands around them: the class
         before, and the number behind (of the dictionary)."""
-        x, sizes, rest = self.lexicon.read(texts)
-        c, before = self.lexicon.classes(x, sizes)
-        opens = np.cumsum(sizes) - sizes
-        known, lengths = x >= 0, np.array([len(r) for r in rest])
+        x, ends, rest = self.lexicon.read(texts)
+        c, before = self.lexicon.classes(x, ends)
+        opens = np.r_[0, ends[:-1] + 1]
+        known = x >= 0
+        at = np.flatnonzero(~known)
+        lengths = np.add.reduceat((~known).astype(np.int64), opens)
         if not self.tokens:
-            known[np.cumsum(sizes) - 1] = False  # not even ends were seen
+            known[ends] = False  # not even ends were seen
         closed = (c >= 0) & (before >= 0)
         score = np.where(closed, self.mix(before, c, self.emit[x], self.plus[x]), 0.0)
-        at = np.flatnonzero(x < 0)
-        out = pd.DataFrame({"n_tokens": sizes, "n_known": np.add.reduceat(known.astype(np.int64), opens), "base": np.add.reduceat(np.where(known, np.log10(self.plus[x]), 0.0), opens), "score": np.add.reduceat(score, opens)})
-        out["rest"] = [[w.decode() for w in r] for r in rest]
-        out["before"], out["after"] = split_lists(before[at], lengths), split_lists(x[at + 1], lengths)
-        return out
+        sums = {"n_tokens": ends - opens + 1, "n_known": np.add.reduceat(known.astype(np.int64), opens), "base": np.add.reduceat(np.where(known, np.log10(self.plus[x]), 0.0), opens), "score": np.add.reduceat(score, opens)}
+        return {k: pa.array(v) for k, v in sums.items()} | {"rest": lists(strings(rest), lengths), "before": lists(before[at], lengths), "after": lists(x[at + 1], lengths)}
 
     def late(self, x: Late, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """What these words add to each row's n_known, base and score."""
@@ -471,8 +566,7 @@ def fit(texts: DataFrame) -> tuple[BrownModel, DataFrame]:
     words = {names[k].encode(): i for i, k in enumerate(order)}
     c = c[order].astype(float) if order else np.zeros(0)
 
-    end_key = END.encode()
-    top = [w for w in list(words)[: CLUSTERED + 1] if w != end_key][:CLUSTERED]
+    top = [w for w in list(words)[: CLUSTERED + 1] if w != END_KEY][:CLUSTERED]
     number = {w: i for i, w in enumerate(top)}
     rare, end = len(top), len(top) + 1
     a, b, n = count_pairs(texts, number, rare, end)
@@ -482,21 +576,30 @@ def fit(texts: DataFrame) -> tuple[BrownModel, DataFrame]:
     g = np.zeros((size, size))
     np.add.at(g, (cls[a], cls[b]), n)
 
-    # The further words, each by its own neighbours.
-    of = np.array([cls[number[w]] if w in number else end_class if w == end_key else rare_class for w in words] or [end_class])
+    # The further words of the dictionary, each by its own neighbours.
+    of = np.array([cls[number[w]] if w in number else end_class if w == END_KEY else rare_class for w in words] or [end_class])
     wanted = np.r_[(of[: len(c)] == rare_class) & (c >= ENOUGH), np.zeros(int(not len(c)), bool)]
     late = frequent > int((c >= ENOUGH).sum())
-    flags = flag_words(counts.filter((F.col("c") >= ENOUGH) & ~in_dictionary))
-    every, assigned = counts.withColumn("cls", F.lit(rare_class)), 0
-    if late or wanted.any():
-        placed = materialize(assign_classes(count_sides(texts, Lexicon(words, of, rare_class, end_class, size, late, flags), wanted), g, classes, rare_class), "word-classes")
-        assigned = placed.count()
-        near = placed.filter(in_dictionary).toArrow()
-        of[[words[w.encode()] for w in near.column("word").to_pylist()]] = near.column("cls").to_numpy()
-        if late:
-            every = materialize(counts.join(placed.select("word", "cls"), "word", "left").withColumn("cls", F.coalesce("cls", F.lit(rare_class))), "words")
+    assigned = int(wanted.sum())
+    if assigned:
+        near = assign_classes(count_sides(texts, Lexicon(words, of, rare_class, end_class, size, False, np.zeros(1, np.uint64)), wanted), g, classes, rare_class).toArrow()
+        of = of.copy()
+        of[near.column("word").to_numpy()] = near.column("cls").to_numpy()
+
+    # Then the words outside it.
+    flags = flag_words(counts.filter((F.col("c") >= ENOUGH) & ~in_dictionary)) if late else np.zeros(1, np.uint64)
     lexicon = Lexicon(words, of, rare_class, end_class, size, late, flags)
-    g = count_classes(texts, lexicon, every)
+    every = counts.withColumn("cls", F.lit(rare_class))
+    opened = materialize(count_open(texts, lexicon), "lm-open")
+    g = sum_pairs(opened.filter("row = -1").select("cells", F.col("sums").alias("ns")), size)
+    if late:
+        told = materialize(assign_open(opened, g.astype(float), classes, rare_class), "word-classes")
+        placed = told.filter("word is not null").select("word", "cls")
+        assigned += placed.count()
+        g = g + sum_pairs(told.filter("word is null"), size) + count_chains(opened, placed, rare_class, size)
+        every = counts.join(placed, "word", "left").withColumn("cls", F.coalesce("cls", F.lit(rare_class)))
+    discard(opened)
+    g = g.astype(float)
     into = g.sum(0)
     share = (into + 1e-9) / (into + 1e-9).sum()
     follow = (g + SMOOTH * share) / (g.sum(1, keepdims=True) + SMOOTH)
@@ -526,16 +629,12 @@ def score_documents(docs: DataFrame, model: BrownModel, every: DataFrame, id_col
 
     small_batches(docs.sparkSession)
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        for pdf in batches:
-            for k in range(0, len(pdf), 512):
-                part = pdf.iloc[k : k + 512]
-                out = model.batch(part["text"].tolist())
-                out.insert(0, "id", part["id"].to_numpy())
-                out.insert(0, "row", row + np.arange(len(out)))
-                row += len(out)
-                yield out
+        for part, texts in blocks(batches):
+            out = model.batch(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(texts))), part.column("id"), *out.values()], ["row", "id", *out])
+            row += len(texts)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -547,7 +646,7 @@ def score_documents(docs: DataFrame, model: BrownModel, every: DataFrame, id_col
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    parts = materialize(rows.mapInPandas(first, f"row long, id {kind}, n_tokens long, n_known long, base double, score double, rest array<string>, before array<int>, after array<int>"), "lm-parts")
+    parts = materialize(rows.mapInArrow(first, f"row long, id {kind}, n_tokens long, n_known long, base double, score double, rest array<string>, before array<int>, after array<int>"), "lm-parts")
     return (
         look_up(parts, every)
         .mapInArrow(second, f"id {kind}, n_tokens long, n_known long, base double, score double")
