@@ -30,6 +30,7 @@ from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -318,17 +319,35 @@ def best_classes(g: np.ndarray, classes: int, rare: int, word: np.ndarray, cell:
     return gain.argmax(1)
 
 
-def merged(rows: DataFrame) -> DataFrame:
-    """One row a word, with all its cells."""
-    return rows.groupBy("word").agg(F.flatten(F.collect_list("cells")).alias("cells"), F.flatten(F.collect_list("ns")).alias("ns"))
-
-
-def unlisted(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cell, count) of a batch of ``merged``, each cell of a row once."""
-    row = np.repeat(np.arange(batch.num_rows), np.array(batch.column("cells").value_lengths()))
-    cell, n = (np.array(batch.column(c).flatten(), np.int64) for c in ("cells", "ns"))
-    key, at = np.unique(row * width + cell, return_inverse=True)
-    return key // width, key % width, np.bincount(at, weights=n, minlength=len(key))
+def words_together(rows: DataFrame) -> DataFrame:
+    """Rows of a word one behind the other in a partition. However often a word
+    was handed on, ``by_word`` holds each of its cells once."""
+    return rows.repartition("word").sortWithinPartitions("word")
+
+
+def by_word(batches: Iterator[pa.RecordBatch], width: int, rows: int = 2000) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of rows sorted by word: some words, each with all its counts, as
+    (words, place of the word, cell, count), each cell of a word once."""
+    names, word, cell, n = None, *(np.zeros(0, np.int64) for _ in range(3))
+    for whole in batches:
+        for k in range(0, whole.num_rows, rows):
+            part = whole.slice(k, rows)
+            said = part.column("word") if names is None else pa.concat_arrays([names, part.column("word")])
+            opens = np.r_[True, np.array(pc.not_equal(said[1:], said[:-1]), bool)]
+            held = 0 if names is None else 1  # the last word so far, which may go on
+            at = np.repeat((np.cumsum(opens) - 1)[held:], np.array(part.column("cells").value_lengths()))
+            more = (np.array(part.column(c).flatten(), np.int64) for c in ("cells", "ns"))
+            word, cell, n = np.r_[word, at], *(np.r_[x, y] for x, y in zip((cell, n), more, strict=True))
+            key, of = np.unique(word * width + cell, return_inverse=True)
+            word, cell, n = key // width, key % width, np.bincount(of, weights=n, minlength=len(key)).astype(np.int64)
+            names = said.filter(pa.array(opens))
+            done = word < len(names) - 1
+            if len(names) > 1:
+                yield names[:-1], word[done], cell[done], n[done]
+            names, cell, n = names[-1:], cell[~done], n[~done]
+            word = np.zeros(len(cell), np.int64)
+    if names is not None:
+        yield names, word, cell, n
 
 
 def assign_classes(sides: DataFrame, g: np.ndarray, classes: int, rare: int) -> DataFrame:
@@ -336,13 +355,11 @@ def assign_classes(sides: DataFrame, g: np.ndarray, classes: int, rare: int) ->
     size = len(g)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                batch = whole.slice(k, 500)
-                cls = best_classes(g, classes, rare, *unlisted(batch, 2 * size + 1))
-                yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(cls, pa.int32())], ["word", "cls"])
+        for names, word, cell, n in by_word(batches, 2 * size + 1):
+            cls = best_classes(g, classes, rare, word, cell, n)
+            yield pa.RecordBatch.from_arrays([names, pa.array(cls, pa.int32())], ["word", "cls"])
 
-    return merged(sides).mapInArrow(assign, "word int, cls int")
+    return words_together(sides).mapInArrow(assign, "word int, cls int")
 
 
 def count_open(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -414,29 +431,24 @@ def assign_open(opened: DataFrame, g: np.ndarray, classes: int, rare: int) -> Da
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         change = np.zeros(size * size)
         kinds = pa.list_(pa.int32()), pa.list_(pa.int64())
-        for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                batch = whole.slice(k, 500)
-                word, cell, n = unlisted(batch, width * width)
-                keep = np.bincount(word, weights=n, minlength=batch.num_rows) >= enough
-                word, cell, n = word[keep[word]], cell[keep[word]], n[keep[word]]
-                word = (np.cumsum(keep) - 1)[word]
-                b, a = cell // width, cell % width
-                first = b != size  # a word behind itself counts once
-                side = np.r_[np.where(a == size, 2 * size, np.where(a > size, rare, a)), size + np.where(b > size, rare, b)[first]]
-                key, at = np.unique(np.r_[word, word[first]] * (2 * size + 1) + side, return_inverse=True)
-                cls = best_classes(g, classes, rare, key // (2 * size + 1), key % (2 * size + 1), np.bincount(at, weights=np.r_[n, n[first]], minlength=len(key)))
-                own = cls[word]
-                x, y = b < size, a < size
-                for pair, m in ((b * size + own, n * x), (b * size + rare, -n * x), (own * size + a, n * y), (rare * size + a, -n * y)):
-                    change += np.bincount(np.where(m != 0, pair, 0), weights=m, minlength=size * size)
-                names = batch.column("word").filter(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([names, pa.array(cls, pa.int32()), pa.nulls(len(cls), kinds[0]), pa.nulls(len(cls), kinds[1])], ["word", "cls", "cells", "ns"])
+        for names, word, cell, n in by_word(batches, width * width):
+            keep = np.bincount(word, weights=n, minlength=len(names)) >= enough
+            word, cell, n = word[keep[word]], cell[keep[word]], n[keep[word]]
+            word = (np.cumsum(keep) - 1)[word]
+            b, a = cell // width, cell % width
+            first = b != size  # a word behind itself counts once
+            side = np.r_[np.where(a == size, 2 * size, np.where(a > size, rare, a)), size + np.where(b > size, rare, b)[first]]
+            key, at = np.unique(np.r_[word, word[first]] * (2 * size + 1) + side, return_inverse=True)
+            cls = best_classes(g, classes, rare, key // (2 * size + 1), key % (2 * size + 1), np.bincount(at, weights=np.r_[n, n[first]], minlength=len(key)))
+            own, x, y = cls[word], b < size, a < size
+            for pair, m in ((b * size + own, n * x), (b * size + rare, -n * x), (own * size + a, n * y), (rare * size + a, -n * y)):
+                change += np.bincount(np.where(m != 0, pair, 0), weights=m, minlength=size * size)
+            yield pa.RecordBatch.from_arrays([names.filter(pa.array(keep)), pa.array(cls, pa.int32()), pa.nulls(len(cls), kinds[0]), pa.nulls(len(cls), kinds[1])], ["word", "cls", "cells", "ns"])
         pair = np.flatnonzero(change)
         n = np.array([len(pair)])
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.int32()), lists(pair, n), lists(change[pair].astype(np.int64), n, pa.int64())], ["word", "cls", "cells", "ns"])
 
-    return merged(opened.filter("row = -2")).mapInArrow(assign, "word string, cls int, cells array<int>, ns array<long>")
+    return words_together(opened.filter("row = -2").select("word", "cells", "ns")).mapInArrow(assign, "word string, cls int, cells array<int>, ns array<long>")
 
 
 def look_up(parts: DataFrame, every: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -503,6 +504,19 @@ def test_words_outside_the_exchange_get_classes(spark, monkeypatch, dictionary):
     assert sum(model.emit[k] for w, k in model.lexicon.words.items() if known.get(w) == known[b"a1"]) <= 1 + 1e-9
 
 
+@pytest.mark.parametrize("rows", [1, 3, 100])
+def test_counts_of_a_word_meet_across_batches(rows):
+    told = [(w, [c, c + 1], [1, k]) for k, (w, c) in enumerate([("a", 0), ("a", 1), ("a", 1), ("b", 2), ("c", 0), ("c", 5), ("d", 1)])]
+    want = Counter()
+    for w, cells, ns in told:
+        for c, n in zip(cells, ns, strict=True):
+            want[w, c] += n
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("word", "cells", "ns"), r, strict=True)) for r in told[k : k + 4]]) for k in (0, 4)]
+    got = [(names[i].as_py(), int(c), int(n)) for names, word, cell, count in brown.by_word(iter(batches), 10, rows) for i, c, n in zip(word.tolist(), cell, count, strict=True)]
+    assert {(w, c): n for w, c, n in got} == dict(want) and len(got) == len(want)
+    assert list(brown.by_word(iter([]), 10)) == []
+
+
 def test_best_class_equals_the_exchange():
     r = np.random.default_rng(2)
     seq = np.concatenate([[r.integers(0, 5), r.integers(5, 10), 10 if r.random() < 0.1 else r.integers(0, 10)] for _ in range(900)])
