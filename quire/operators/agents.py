@@ -6,18 +6,20 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.storage import saved
-from quire.functions.text import needs_model
-from quire.operators import batches, glossary, prompts, qa, store
+from quire.functions.text import cost, needs_model
+from quire.operators import batches, glossary, prompts, qa, requests, store
 
 #: Characters of a batch of candidates, and what each adds to its texts.
 CANDIDATE_CHARS, CANDIDATE_EXTRA = 6000, 40
 FALLBACK_PRESET = "general"
+MOST_PRESETS = 1000
 DECISIONS = "array<struct<index:int,kept:boolean,target:string,policy:string,part_of_speech:string,explanation:string>>"
 
 
@@ -86,8 +88,11 @@ def adjudicate(candidates: DataFrame, model: Callable[[str], dict], key: str, de
 
 
 def preset_catalogue(presets: DataFrame) -> str:
-    """One line for each preset, by id. Presets are a small table."""
-    lines = presets.select("id", "name", "description").orderBy("id").limit(1000).collect()
+    """One line for each preset, by id. Presets are a small table, as all of them
+    go into a prompt: more than ``MOST_PRESETS`` are an error."""
+    lines = presets.select("id", "name", "description").orderBy("id").limit(MOST_PRESETS + 1).collect()
+    if len(lines) > MOST_PRESETS:
+        raise ValueError(f"more than {MOST_PRESETS} presets in one prompt")
     return "\n".join(f"* {r.id}: {r.name}. {r.description}" for r in lines)
 
 
@@ -107,7 +112,7 @@ def segment_glossary(segments: DataFrame, terms: DataFrame, keys: list[str], on:
     keys, on, source_text; ``terms``: on, term."""
     wanted = terms.select(on, "term", F.lower("term").alias("low_term")).distinct()
     ids = list(dict.fromkeys([*keys, on]))
-    return glossary.substring_hits(segments.select(*ids, F.lower("source_text").alias("low")), wanted, ids, [on]).join(wanted, [on, "low_term"]).select(*ids, "term")
+    return glossary.substring_hits(segments.select(*ids, F.lower("source_text").alias("low")), wanted, ids, [on], ("term",)).select(*ids, "term")
 
 
 def protected_terms(terms: DataFrame) -> DataFrame:
@@ -129,22 +134,67 @@ def retranslate(segments: DataFrame, ids: DataFrame) -> DataFrame:
     return both.withColumns({"status": F.when(go, "pending").otherwise(F.col("status"))} | cleared).select(*segments.columns)
 
 
-def translate_book(segments: DataFrame, model: Callable, terms: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
-    """Segments after one run over those that wait: texts that need no model are
-    ``skipped`` and stand for themselves, the others go in batches, are checked
-    and recorded. ``segments``: doc_id, id, ordinal, source_text, target_text,
-    status, attempts, cost_usd, error, locked; ``terms``: as in
-    ``qa.glossary_misses``. Running it again takes up what failed."""
-    waiting = store.pending(segments)
-    packed = batches.pack_batches(waiting.filter(needs_model(F.col("source_text"))), key)
-    items = packed.groupBy(key, "batch").agg(F.array_sort(F.collect_list(F.struct("ordinal", "id", F.col("source_text").alias("source")))).alias("items"))
-    done = saved(batches.translate_batches(items, model, [key, "batch"]), "translated")
-    pairs = done.filter("target_text is not null").join(segments.select(key, "id", F.col("source_text").alias("source")), [key, "id"]).withColumnRenamed("target_text", "target")
+class Run(NamedTuple):
+    """What a run leaves: segments; usage (one row per segment or request that
+    used anything); stats (one row per document)."""
+
+    segments: DataFrame
+    usage: DataFrame
+    stats: DataFrame
+
+
+def batch_requests(segments: DataFrame, waiting: DataFrame, terms: DataFrame | None, key: str = "doc_id") -> DataFrame:
+    """key, batch, items, terms: the segments that wait, packed in order, each
+    with the section and the finished segments before it, and the batch's terms
+    (all of them: a request renders the most frequent of those it holds)."""
+    path = F.array_join("heading_path", " › ") if "heading_path" in segments.columns else F.lit("")
+    finished = F.col("status").isin("translated", "approved", "flagged") & (F.coalesce("target_text", F.lit("")) != "")
+    context = batches.rolling_context(segments, key, "ordinal", finished, "source_text", "target_text").select(key, "id", "context", path.alias("path"))
+    packed = batches.pack_batches(waiting, key).join(context, [key, "id"])
+    item = F.struct("ordinal", "id", F.col("source_text").alias("source"), "path", "context")
+    listed = packed.groupBy(key, "batch").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    if terms is None:
+        return listed.withColumn("terms", F.lit(None).cast("array<struct<count:bigint,term:string,target:string,policy:string>>"))
+    wanted = terms.filter("enabled").select(F.lower("term").alias("low_term"), "term", F.coalesce("count", F.lit(0)).cast("long").alias("count"), F.col("target_form").alias("target"), "policy")
+    hay = listed.select(key, "batch", F.lower(F.array_join(F.transform("items", lambda x: x["source"]), "\n")).alias("low"))
+    hits = glossary.substring_hits(hay, wanted, [key, "batch"], [], ("term", "count", "target", "policy"))
+    held = hits.groupBy(key, "batch").agg(F.collect_list(F.struct("count", "term", "target", "policy")).alias("terms"))
+    return listed.join(held, [key, "batch"], "left")
+
+
+def translate_run(segments: DataFrame, model: Callable[[str], dict], terms: DataFrame | None = None, ids: DataFrame | None = None, prices: tuple[float, float] = (0.0, 0.0), language: str = "the target language", key: str = "doc_id") -> Run:
+    """One run over the segments that wait (of them, those in ``ids``: doc_id,
+    id). Texts that need no model are ``skipped`` and stand for themselves; the
+    others go out in batches (``requests.run_requests``), are checked and
+    recorded, with their share of tokens and its cost at ``prices`` (dollars a
+    million tokens in and out). Running it again takes up what failed.
+
+    ``segments``: doc_id, id, ordinal, source_text, target_text, status,
+    attempts, cost_usd, error, locked and, if known, heading_path,
+    prompt_tokens, completion_tokens. ``terms``: term, target_form, policy,
+    enabled, count. ``model(prompt)``: a dict of text and tokens."""
     keys = [key, "id"]
+    waiting = store.pending(segments)
+    waiting = waiting if ids is None else only(waiting, ids, keys)
+    asked = batch_requests(segments, waiting.filter(needs_model(F.col("source_text"))), terms, key)
+    rows = saved(requests.run_requests(asked, model, [key, "batch"], language), "translated")
+    rows = rows.withColumn("cost_usd", cost(F.col("prompt_tokens"), F.col("completion_tokens"), F.lit(prices[0]), F.lit(prices[1])))
+    done = rows.filter("id is not null")
+    pairs = done.filter("target_text is not null").join(segments.select(key, "id", F.col("source_text").alias("source")), keys).withColumnRenamed("target_text", "target")
     checked = qa.run_qa(pairs, misses=None if terms is None else qa.glossary_misses(pairs, terms, keys), keys=keys).select(*keys, "flags")
-    error = F.when(F.col("target_text").isNull(), "the model gave no translation")
-    none = F.array().cast("array<string>")
-    results = done.join(checked, keys, "left").select(*keys, F.col("target_text").alias("new_target"), F.lit(0.0).alias("cost_usd"), F.coalesce("flags", none).alias("flags"), error.alias("error"))
+    flags = F.coalesce("flags", F.array().cast("array<string>")).alias("flags")
+    results = done.join(checked, keys, "left").select(*keys, F.col("target_text").alias("new_target"), "prompt_tokens", "completion_tokens", "cost_usd", flags, "error")
     recorded = store.record_translations(segments, results)
-    trivial = ~F.coalesce("locked", F.lit(False)) & F.col("status").isin("pending", "failed") & ~needs_model(F.col("source_text"))
-    return recorded.withColumns({"target_text": F.when(trivial, F.col("source_text")).otherwise(F.col("target_text")), "status": F.when(trivial, "skipped").otherwise(F.col("status"))})
+    trivial = waiting.filter(~needs_model(F.col("source_text"))).select(*keys, F.lit(True).alias("_trivial")).distinct()
+    settled = recorded.join(trivial, keys, "left")
+    settled = settled.withColumns({"target_text": F.when(F.col("_trivial"), F.col("source_text")).otherwise(F.col("target_text")), "status": F.when(F.col("_trivial"), "skipped").otherwise(F.col("status")), "error": F.when(F.col("_trivial").isNull(), F.col("error"))}).drop("_trivial")
+    one = F.when(F.col("id").isNull(), 1).otherwise(0).alias("requests")
+    counted = rows.select(key, "status", one, "prompt_tokens", "completion_tokens", "cost_usd")
+    skipped = waiting.filter(~needs_model(F.col("source_text"))).select(key, F.lit("skipped").alias("status"), F.lit(0).alias("requests"), F.lit(0).cast("long").alias("prompt_tokens"), F.lit(0).cast("long").alias("completion_tokens"), F.lit(0.0).alias("cost_usd"))
+    usage = store.usage_rows(rows.select(key, "id", "prompt_tokens", "completion_tokens", "cost_usd"))
+    return Run(settled.select(*segments.columns), usage, store.run_stats(counted.unionByName(skipped), key))
+
+
+def translate_book(segments: DataFrame, model: Callable[[str], dict], terms: DataFrame | None = None, key: str = "doc_id", **options) -> DataFrame:
+    """The segments after ``translate_run``."""
+    return translate_run(segments, model, terms, key=key, **options).segments

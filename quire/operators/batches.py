@@ -14,7 +14,8 @@ from quire.functions.text import excerpt
 from quire.operators.glossary import substring_hits
 
 MAX_CHARS, MAX_SEGMENTS, GLOSSARY_LINES, EXCERPT = 5000, 24, 40, 240
-#: The marks around a protected term and around a block's number.
+#: The marks around a protected term and around a block's number,
+#: and the pattern of such a mark in a reply.
 OPEN, CLOSE = "≧", "≨"
 BLOCK_OPEN, BLOCK_CLOSE = "⟦", "⟧"
 MARKER = r"^[ \t>*-]*(?:⟦|\[\[)#(\d+)(?:⟧|\]\])[ \t]*"
@@ -48,7 +49,7 @@ def batch_glossary(batches: DataFrame, terms: DataFrame, key: str, most: int = G
     any length, in any case."""
     ids = [c for c in batches.columns if c != "hay"]
     wanted = terms.withColumn("low_term", F.lower("term"))
-    hits = substring_hits(batches.select(*ids, F.lower("hay").alias("low")), wanted, ids, [key]).join(wanted, [key, "low_term"])
+    hits = substring_hits(batches.select(*ids, F.lower("hay").alias("low")), wanted, ids, [key], ("term", "count"), most)
     rank = F.row_number().over(Window.partitionBy(*ids).orderBy(F.col("count").desc(), "term"))
     return hits.select(*ids, "term", "count").withColumn("rank", rank).filter(F.col("rank") <= most)
 
@@ -146,8 +147,10 @@ def missing_blocks(asked: DataFrame, parsed: DataFrame, keys: list[str]) -> Data
 def translate_batches(batches: DataFrame, model, keys: list[str]) -> DataFrame:
     """Run a model over batches of segments. ``batches``: keys, items (array of
     struct id, source). ``model(list of texts) -> list of texts or None``; an
-    exception or nothing halves the group, a missing text is asked for again,
-    and one that fails alone is ``failed``. keys, id, target_text, status, requests."""
+    exception, nothing or a list of another length halves the group, a missing
+    text is asked for again, and one that fails alone is ``failed``. keys, id,
+    target_text, status, and requests: the batch's on its first row, so that
+    they add up."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in batches.schema if f.name in keys)
 
     def group(items: list, out: dict, calls: list) -> None:
@@ -155,12 +158,10 @@ def translate_batches(batches: DataFrame, model, keys: list[str]) -> DataFrame:
             return
         calls[0] += 1
         try:
-            got = model([x["source"] for x in items])
+            got = dict(zip([x["id"] for x in items], model([x["source"] for x in items]), strict=True))
         except Exception:  # the model seam: any failure is retried in halves
-            got = [None] * len(items)
-        for x, t in zip(items, got, strict=True):
-            if t:
-                out[x["id"]] = t
+            got = {}
+        out |= {i: t for i, t in got.items() if t}
         left = [x for x in items if x["id"] not in out]
         if len(left) == len(items):
             if len(items) > 1:
@@ -176,7 +177,7 @@ def translate_batches(batches: DataFrame, model, keys: list[str]) -> DataFrame:
             for row in pdf.to_dict("records"):
                 out, calls = {}, [0]
                 group(list(row["items"]), out, calls)
-                rows += [{**{k: row[k] for k in keys}, "id": x["id"], "target_text": out.get(x["id"]), "status": "translated" if x["id"] in out else "failed", "requests": calls[0]} for x in row["items"]]
+                rows += [{**{k: row[k] for k in keys}, "id": x["id"], "target_text": out.get(x["id"]), "status": "translated" if x["id"] in out else "failed", "requests": 0 if n else calls[0]} for n, x in enumerate(row["items"])]
             yield pd.DataFrame(rows, columns=[*keys, "id", "target_text", "status", "requests"])
 
     return batches.select(*keys, "items").mapInPandas(run, f"{schema}, id string, target_text string, status string, requests int")

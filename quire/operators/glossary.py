@@ -3,8 +3,13 @@ decisions and upserts. The key of a collection (a book, a source) is generic."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quire.functions.storage import saved
 from quire.functions.text import trim_all
@@ -22,104 +27,206 @@ ACRONYM = r"(?U)(?<![A-Z])(?:[A-Z]{2,}(?:/[A-Z]+)+|[A-Z](?:\.[A-Z])+\.?|[A-Z]{2,
 IDENTIFIER = r"(?U)\b(?:[a-z]+[A-Z][a-zA-Z]*|[a-z]+(?:_[a-z]+)+|[A-Za-z_]\w*\.[\w.]+)\b"
 WORD = r"[A-Za-z][A-Za-z0-9'’-]*"
 MIN_LENGTH, MIN_COUNT, MOST = 3, 2, 400
+#: Characters of a suffix that are sorted.
+HEAD = 64
+
+
+#: Characters of terms in one automaton, which takes about 100 bytes for each,
+#: and of texts that are dealt to one group.
+TERM_CHARS, TEXT_CHARS = 1 << 20, 8 << 20
+#: Most collections whose sizes are broadcast.
+MOST_KEYS = 100_000
+
+
+class TermFinder:
+    """An automaton over rows of terms (an Arrow table with ``low_term``)."""
+
+    def __init__(self, rows: pa.Table):
+        places: dict[str, list[int]] = {}
+        for k, term in enumerate(rows["low_term"].to_pylist()):
+            places.setdefault(term, []).append(k)
+        self.rows, self.automaton = rows, ahocorasick.Automaton()
+        for term, at in places.items():
+            self.automaton.add_word(term, at)
+        self.automaton.make_automaton()
+
+    def find(self, text: str, most: int | None) -> list[int]:
+        """Rows of the terms that a text holds; the first ``most`` of them."""
+        if not len(self.automaton):
+            return []
+        found = sorted({k for _, at in self.automaton.iter(text) for k in at})
+        return found[:most]
+
+    def hits(self, texts: pa.Table, columns: list[str], carry: list[str], most: int | None) -> pa.Table:
+        """``columns`` of the texts and ``carry`` of the terms that they hold."""
+        which, found = [], []
+        for k, text in enumerate(texts["low"].to_pylist()):
+            rows = self.find(text, most) if text else []
+            which += [k] * len(rows)
+            found += rows
+        left, right = texts.select(columns).take(pa.array(which, pa.int64())), self.rows.select(carry).take(pa.array(found, pa.int64()))
+        return pa.table([*left.columns, *right.columns], names=[*columns, *carry])
+
+
+def substring_hits(texts: DataFrame, terms: DataFrame, ids: list[str], on: list[str], carry: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
+    """ids, on, low_term and the terms' ``carry`` for each text that contains a
+    term of the same ``on``. ``texts``: ids, on, low; ``terms``: on, low_term,
+    carry. With ``most``, rows beyond a text's first ``most`` terms by count
+    (then term; both in ``carry``) may be missing.
+
+    Each text is read once by an automaton of the terms. Terms of at most
+    ``TERM_CHARS`` characters in all go to every task, and texts stay where they
+    are. More are cut into chunks of that size within their collection, and its
+    texts into salted groups of about ``TEXT_CHARS``, so that a task holds one
+    chunk and one group however large a collection is."""
+    columns, carried = [*ids, *[c for c in on if c not in ids]], ["low_term", *carry]
+    terms = saved(terms.select(*on, *carried).filter("low_term <> ''").distinct(), "terms")
+    found = StructType([*[texts.schema[c] for c in columns], *[terms.schema[c] for c in carried]])
+    order = [("count", "descending"), ("term", "ascending")]
+
+    def finder(rows: pa.Table) -> TermFinder:
+        return TermFinder(rows.sort_by(order) if most else rows)
+
+    if (terms.agg(F.sum(F.length("low_term"))).first()[0] or 0) <= TERM_CHARS:
+        every = terms.toArrow()
+        keys = list(zip(*[every[c].to_pylist() for c in on], strict=True)) if on else [()] * every.num_rows
+        at: dict[tuple, list[int]] = {}
+        for k, key in enumerate(keys):
+            at.setdefault(key, []).append(k)
+        given = texts.sparkSession.sparkContext.broadcast({key: every.take(pa.array(rows)) for key, rows in at.items()})
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            built: dict[tuple, TermFinder] = {}
+            for batch in batches:
+                table = pa.Table.from_batches([batch])
+                here: dict[tuple, list[int]] = {}
+                for k, key in enumerate(zip(*[batch[c].to_pylist() for c in on], strict=True) if on else [()] * len(batch)):
+                    here.setdefault(key, []).append(k)
+                for key, rows in here.items():
+                    if key not in built and key in given.value:
+                        built[key] = finder(given.value[key])
+                    if key in built:
+                        yield from built[key].hits(table.take(pa.array(rows)), columns, carried, most).to_batches()
+
+        return texts.select(*columns, "low").mapInArrow(scan, found)
+
+    keys = on or ["_on"]
+    if not on:
+        texts, terms = texts.withColumn("_on", F.lit(0)), terms.withColumn("_on", F.lit(0))
+    groups = texts.groupBy(*keys).agg(F.ceil(F.sum(F.length("low")) / TEXT_CHARS).alias("_salts")).join(terms.groupBy(*keys).agg(F.ceil(F.sum(F.length("low_term")) / TERM_CHARS).alias("_chunks")), keys)
+    groups = saved(groups, "term-groups")
+    if groups.count() <= MOST_KEYS:
+        groups = F.broadcast(groups)
+    dealt = ["_chunk", "_salt"]
+    salted = texts.join(groups, keys).withColumn("_salt", F.pmod(F.xxhash64(*ids), F.col("_salts"))).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1)))
+    cut = terms.join(groups, keys).withColumn("_chunk", F.pmod(F.xxhash64("low_term"), F.col("_chunks"))).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)))
+
+    def meet(some: pa.Table, chunk: pa.Table) -> pa.Table:
+        return finder(chunk).hits(some, columns, carried, most)
+
+    left = salted.select(*dict.fromkeys([*columns, *keys]), "low", *dealt).groupBy(*keys, *dealt)
+    return left.cogroup(cut.select(*keys, *carried, *dealt).groupBy(*keys, *dealt)).applyInArrow(meet, found)
 
 
-def letter_runs(c: Column, n: int) -> Column:
-    """All different runs of n characters."""
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=({'.' * n}))"), F.lit(1)))
+def _count(df: DataFrame, key: str, terms: Column) -> DataFrame:
+    return df.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("count"))
 
 
-def substring_hits(texts: DataFrame, terms: DataFrame, ids: list[str], on: list[str]) -> DataFrame:
-    """ids, on, low_term of each text and term of the same ``on`` where the text
-    contains the term. ``texts``: ids, on, low; ``terms``: on, low_term.
+def phrase_terms(text: Column) -> Column:
+    """Runs of capitalised words, leading determiners dropped, two words at least."""
+    found = F.regexp_extract_all(text, F.lit(PHRASE), F.lit(0))
+    bare = F.transform(found, lambda x: F.regexp_replace(x, rf"^(?:(?:{'|'.join(DETERMINERS)})\s+)+", ""))
+    return F.filter(F.transform(bare, lambda x: F.regexp_replace(x, r"\s+", " ")), lambda x: x.contains(" "))
 
-    Texts and terms meet on three characters (all of a shorter term): of the
-    term's, those that the fewest texts hold. Only ids travel with the pieces;
-    a text is fetched for the pairs that met."""
-    terms = terms.select(*on, "low_term").filter("low_term <> ''").distinct()
-    pieces = texts.select(*ids, *[c for c in on if c not in ids], F.explode(F.concat(*[letter_runs(F.col("low"), n) for n in (1, 2, 3)])).alias("piece"))
-    size = F.least(F.length("low_term"), F.lit(3))
-    starts = F.sequence(F.lit(1), F.length("low_term") - size + 1)
-    own = terms.select(*on, "low_term", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("low_term", i, size)))).alias("piece"))
-    keys = [*on, "piece"]
-    met = saved(pieces.join(own.select(*keys).distinct(), keys, "left_semi"), "pieces")
-    held = met.groupBy(*keys).agg(F.count(F.lit(1)).alias("held"))
-    # A piece that no text holds rules the term out.
-    counted = own.join(held, keys, "left").groupBy(*on, "low_term").agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "piece")).alias("r"))
-    rarest = counted.filter("r.held > 0").select(*on, "low_term", F.col("r.piece").alias("piece"))
-    pairs = met.join(rarest, keys).select(*ids, *[c for c in on if c not in ids], "low_term")
-    return pairs.join(texts.select(*ids, "low"), ids).filter(F.col("low").contains(F.col("low_term"))).drop("low")
 
+def acronym_terms(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(ACRONYM), F.lit(0)), lambda x: F.regexp_replace(x, r"\.+$", ""))
 
-def _count(df: DataFrame, key: str, terms: Column) -> DataFrame:
-    return df.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("count"))
+
+def identifier_terms(text: Column) -> Column:
+    """camelCase, snake_case and dotted names."""
+    return F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0))
 
 
 def capitalized_phrases(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Runs of capitalised words, leading determiners dropped, two words at least."""
-    found = F.regexp_extract_all(F.col(text), F.lit(PHRASE), F.lit(0))
-    bare = F.transform(found, lambda x: F.regexp_replace(x, rf"^(?:(?:{'|'.join(DETERMINERS)})\s+)+", ""))
-    flat = F.transform(bare, lambda x: F.regexp_replace(x, r"\s+", " "))
-    return _count(df, key, F.filter(flat, lambda x: x.contains(" ")))
+    return _count(df, key, phrase_terms(F.col(text)))
 
 
 def acronyms(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    found = F.regexp_extract_all(F.col(text), F.lit(ACRONYM), F.lit(0))
-    return _count(df, key, F.transform(found, lambda x: F.regexp_replace(x, r"\.+$", "")))
+    return _count(df, key, acronym_terms(F.col(text)))
 
 
-def code_identifiers(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """camelCase, snake_case and dotted names."""
-    return _count(df, key, F.regexp_extract_all(F.col(text), F.lit(IDENTIFIER), F.lit(0)))
+def code_identifiers(df: DataFrame, key: str, text: str = "text", kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """``kinds``: of nodes (column ``kind``) that are looked at; all without."""
+    return _count(df if kinds is None else df.filter(F.col("kind").isin(*kinds)), key, identifier_terms(F.col(text)))
 
 
-def ngrams(df: DataFrame, key: str, text: str = "text", least: int = MIN_COUNT) -> DataFrame:
-    """Adjacent words, 2 to 4, without stop words, that repeat.
+def _with_grams(df: DataFrame, text: str) -> DataFrame:
+    """Adds ``_grams``: adjacent words, 2 to 4, without stop words.
 
     Stop words are null, so a gram over one is null; each length comes from the
     one before it and the word behind."""
     words = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.when(~F.lower(w).isin(*STOPWORDS), w))
-    out = df.select(key, words.alias("w"))
-    grams = "w"
+    out, grams = df.withColumn("_w", words), "_w"
     for n in (2, 3, 4):
-        longer = F.zip_with(F.col(grams), F.slice("w", n, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
-        out, grams = out.withColumn(f"g{n}", longer), f"g{n}"
-    found = F.filter(F.concat("g2", "g3", "g4"), lambda g: g.isNotNull() & (F.length(g) >= MIN_LENGTH + 1))
-    return _count(out, key, found).filter(F.col("count") >= least)
-
-
-def merge_candidates(mined: list[tuple[str, DataFrame]], key: str) -> DataFrame:
-    """One row per term: the largest count; ties go to the earlier heuristic."""
-    union = None
-    for rank, (reason, df) in enumerate(mined):
-        part = df.select(key, "term", "count", F.lit(reason).alias("reason"), F.lit(rank).alias("rank"))
-        union = part if union is None else union.unionByName(part)
-    best = union.filter(F.length("term") >= MIN_LENGTH).groupBy(key, "term").agg(F.max(F.struct("count", (-F.col("rank")).alias("rank"), "reason")).alias("best"))
-    return best.select(key, "term", "best.count", "best.reason")
+        longer = F.zip_with(F.col(grams), F.slice("_w", n, F.greatest(F.size("_w"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+        out, grams = out.withColumn(f"_g{n}", longer), f"_g{n}"
+    return out.withColumn("_grams", F.filter(F.concat("_g2", "_g3", "_g4"), lambda g: g.isNotNull() & (F.length(g) >= MIN_LENGTH + 1)))
 
 
-def mine(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    return merge_candidates(
-        [("capitalized_phrase", capitalized_phrases(df, key, text)), ("acronym", acronyms(df, key, text)), ("code_span", code_identifiers(df, key, text)), ("rare_ngram", ngrams(df, key, text))],
-        key,
-    )
+def ngrams(df: DataFrame, key: str, text: str = "text", least: int = MIN_COUNT) -> DataFrame:
+    """Adjacent words, 2 to 4, without stop words, that repeat."""
+    return _count(_with_grams(df, text), key, F.col("_grams")).filter(F.col("count") >= least)
+
+
+def mine(df: DataFrame, key: str, text: str = "text", least: int = MIN_COUNT) -> DataFrame:
+    """One row per term of any heuristic: key, term, count, reason. The largest
+    count decides; ties go to the earlier heuristic. All heuristics read a text
+    in one scan, and one aggregation counts them side by side."""
+    reasons = ("capitalized_phrase", "acronym", "code_span", "rare_ngram")
+    grams = _with_grams(df.select(key, F.col(text).alias("_text")), "_text")
+    found = (phrase_terms(F.col("_text")), acronym_terms(F.col("_text")), identifier_terms(F.col("_text")), F.col("_grams"))
+
+    def marked(terms: Column, rank: int) -> Column:
+        none = F.array().cast("array<struct<term:string,rank:int>>")
+        return F.coalesce(F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(rank).alias("rank"))), none)
+
+    rows = grams.select(key, F.explode(F.concat(*[marked(c, k) for k, c in enumerate(found)])).alias("t"))
+    rows = rows.select(key, "t.term", "t.rank").filter(F.length("term") >= MIN_LENGTH)
+    counts = rows.groupBy(key, "term").agg(*[F.count(F.when(F.col("rank") == k, True)).alias(r) for k, r in enumerate(reasons)])
+    held = [F.when(F.col(r) >= (least if r == "rare_ngram" else 1), F.struct(F.col(r).alias("count"), F.lit(-k).alias("rank"), F.lit(r).alias("reason"))) for k, r in enumerate(reasons)]
+    best = counts.select(key, "term", F.greatest(*held).alias("best")).filter("best is not null")
+    return best.select(key, "term", "best.count", "best.reason")
 
 
 def drop_subsumed(terms: DataFrame, key: str) -> DataFrame:
     """Drop terms that are part of a longer term of the same collection.
 
-    A term is part of a longer one when it begins one of its suffixes. Among
-    all sorted suffixes those that begin with a term follow it at once, so one
-    look at the next row decides: the work grows with the terms' characters,
-    not with pairs of terms. Runs are cut by the first characters, which a term
-    and what begins with it share."""
+    A term is part of a longer one when it begins one of its suffixes. Of a
+    suffix only the first ``HEAD`` characters are kept, so a term of n characters
+    costs n times HEAD at most. Different heads are range-partitioned and sorted;
+    those that begin with a term follow it at once, so one look at the next head
+    decides; the last head of a range looks at the first of the range behind it.
+    Many terms with one prefix just fill several ranges. Terms that are longer
+    than a head are rare: they meet the places of the same head in longer terms,
+    and are compared there in full."""
     terms = saved(terms, "terms")
-    rows = terms.filter(F.length("term") >= MIN_LENGTH).select(key, "term", F.explode(F.sequence(F.lit(1), F.length("term") - (MIN_LENGTH - 1))).alias("at"))
-    suffixes = rows.select(key, F.expr("substring(term, at)").alias("suffix"), (F.col("at") == 1).alias("whole"))
-    run = Window.partitionBy(key, F.substring("suffix", 1, MIN_LENGTH)).orderBy("suffix", F.col("whole").desc())
-    follows = suffixes.withColumn("next", F.lead("suffix").over(run)).filter("whole")
-    gone = follows.filter(F.startswith("next", "suffix")).select(key, F.col("suffix").alias("term"))
-    return terms.join(gone, [key, "term"], "left_anti")
+    spots = terms.filter(F.length("term") >= MIN_LENGTH).select(key, "term", F.explode(F.sequence(F.lit(1), F.length("term") - (MIN_LENGTH - 1))).alias("at"))
+    heads = spots.select(key, F.expr(f"substring(term, at, {HEAD})").alias("head"), ((F.col("at") == 1) & (F.length("term") <= HEAD)).alias("whole")).distinct()
+    parts = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = saved(heads.repartitionByRange(parts, key, "head", F.col("whole").desc()).withColumn("range", F.spark_partition_id()), "heads")
+    order = [F.col(key), F.col("head"), F.col("whole").desc()]
+    first = dealt.groupBy("range").agg(F.min(F.struct(key, "head")).alias("first"))
+    # One row a range.
+    behind = first.select("range", F.lead("first").over(Window.orderBy("range")).alias("behind"))
+    own = F.lead(F.struct(key, "head")).over(Window.partitionBy("range").orderBy(*order))
+    follows = dealt.withColumn("own", own).filter("whole").join(F.broadcast(behind), "range").withColumn("next", F.coalesce("own", "behind"))
+    gone = follows.filter(F.col(f"next.{key}").eqNullSafe(F.col(key)) & F.startswith("next.head", "head")).select(key, F.col("head").alias("term"))
+
+    long = terms.filter(F.length("term") > HEAD).select(key, "term", F.substring("term", 1, HEAD).alias("head"))
+    inside = spots.filter(F.length("term") > HEAD).select(key, F.col("term").alias("longer"), F.expr(f"substring(term, at, {HEAD})").alias("head")).distinct()
+    held = long.join(inside, [key, "head"]).filter((F.length("longer") > F.length("term")) & F.contains("longer", "term")).select(key, "term")
+    return terms.join(gone.unionByName(held).distinct(), [key, "term"], "left_anti")
 
 
 def first_occurrences(terms: DataFrame, nodes: DataFrame, key: str, radius: int = 44) -> DataFrame:

@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from quire.operators.batches import BLOCK_CLOSE, BLOCK_OPEN, section_lines
 
 
+GLOSSARY_TITLE = "Glossary (use these forms):"
+CONTEXT_TITLE = "Recently translated (keep terms and voice):"
+
+
+def task_text(count: str, language: str) -> str:
+    return f"Translate the {count} numbered blocks below into {language}. Repeat each block's mark {BLOCK_OPEN}#N{BLOCK_CLOSE} on a line of its own and put its translation on the lines behind it; leave placeholders as they are."
+
+
 def batch_bodies(segments: DataFrame, keys: list[str], order: str, text: str, path: str) -> DataFrame:
     """One row per batch: keys, body, count. Blocks are numbered from 1; a line
     names the section where it changes."""
@@ -22,12 +30,13 @@ def glossary_lines(terms: DataFrame, keys: list[str]) -> DataFrame:
     """One row per batch: keys, glossary. ``terms``: keys, rank, term, target."""
     line = F.concat(F.lit("- "), F.col("term"), F.lit(" → "), F.coalesce("target", F.lit("")))
     listed = terms.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("t")))).alias("l"))
-    return listed.select(*keys, F.concat(F.lit("Glossary (use these forms):\n"), F.array_join(F.transform("l", lambda x: x["t"]), "\n")).alias("glossary"))
+    return listed.select(*keys, F.concat(F.lit(GLOSSARY_TITLE + "\n"), F.array_join(F.transform("l", lambda x: x["t"]), "\n")).alias("glossary"))
 
 
 def batch_prompts(bodies: DataFrame, glossary: DataFrame, keys: list[str], language: Column) -> DataFrame:
     """The glossary, the task and the numbered blocks, with blank lines between."""
-    task = F.concat(F.lit("Translate the "), F.col("count").cast("string"), F.lit(" numbered blocks below into "), language, F.lit(f". Repeat each block's mark {BLOCK_OPEN}#N{BLOCK_CLOSE} on a line of its own and put its translation on the lines behind it; leave placeholders as they are."))
+    before, between, behind = task_text("\0", "\1").replace("\1", "\0").split("\0")
+    task = F.concat(F.lit(before), F.col("count").cast("string"), F.lit(between), language, F.lit(behind))
     return bodies.join(glossary, keys, "left").select(*keys, F.concat_ws("\n\n", "glossary", task, "body").alias("prompt"))
 
 

@@ -42,8 +42,8 @@ def glossary_misses(pairs: DataFrame, terms: DataFrame, keys: list[str]) -> Data
     ``pairs``: keys, source, target; ``terms``: term, target_form, policy, enabled."""
     wanted = terms.filter((F.col("policy") == "translate") & F.col("enabled") & (F.coalesce("target_form", F.lit("")) != "") & (F.col("term") != ""))
     wanted = wanted.select("term", "target_form", F.lower("term").alias("low_term"))
-    hits = substring_hits(pairs.select(*keys, F.lower("source").alias("low")), wanted, keys, [])
-    both = hits.join(wanted, "low_term").join(pairs.select(*keys, F.lower("target").alias("low_target")), keys)
+    hits = substring_hits(pairs.select(*keys, F.lower("source").alias("low")), wanted, keys, [], ("term", "target_form"))
+    both = hits.join(pairs.select(*keys, F.lower("target").alias("low_target")), keys)
     return both.filter(~F.coalesce(F.col("low_target"), F.lit("")).contains(F.lower("target_form"))).select(*keys, "term", "target_form").distinct()
 
 

@@ -21,8 +21,10 @@ def record_translations(segments: DataFrame, results: DataFrame) -> DataFrame:
     """Segments after results came in. ``results``: doc_id, id, new_target,
     prompt_tokens, completion_tokens, cost_usd, flags (array) and error (null:
     it went well). Locked segments are left alone, by failures too; flags make
-    a segment flagged; attempts count up and an error is cleared."""
-    r = results.select("doc_id", "id", "new_target", "flags", F.col("error").alias("new_error"), F.col("cost_usd").alias("new_cost"), F.lit(True).alias("tried"))
+    a segment flagged; attempts count up and an error is cleared. Tokens are
+    written where segments have such columns."""
+    used = [c for c in ("prompt_tokens", "completion_tokens") if c in segments.columns and c in results.columns]
+    r = results.select("doc_id", "id", "new_target", "flags", F.col("error").alias("new_error"), F.col("cost_usd").alias("new_cost"), *[F.col(c).alias(f"new_{c}") for c in used], F.lit(True).alias("tried"))
     both = segments.join(r, ["doc_id", "id"], "left")
     take = F.coalesce("tried", F.lit(False)) & ~F.coalesce("locked", F.lit(False))
     ok = take & F.col("new_error").isNull()
@@ -35,7 +37,8 @@ def record_translations(segments: DataFrame, results: DataFrame) -> DataFrame:
             "cost_usd": F.when(ok, F.col("new_cost")).otherwise(F.col("cost_usd")),
             "error": F.when(take, F.col("new_error")).otherwise(F.col("error")),
         }
-    ).drop("new_target", "flags", "new_error", "new_cost", "tried")
+        | {c: F.when(ok, F.col(f"new_{c}")).otherwise(F.col(c)) for c in used}
+    ).drop(*[f"new_{c}" for c in used], "new_target", "flags", "new_error", "new_cost", "tried")
 
 
 def usage_rows(results: DataFrame) -> DataFrame:
@@ -92,10 +95,11 @@ def write_tree(nodes: DataFrame, path: str) -> None:
 
 def run_stats(segments: DataFrame, key: str) -> DataFrame:
     """What a run did, in one aggregation. ``segments``: status, requests,
-    prompt_tokens, completion_tokens, cost_usd."""
+    prompt_tokens, completion_tokens, cost_usd; a row without a status is no
+    segment, but what it used counts."""
     status = F.col("status")
     return segments.groupBy(key).agg(
-        F.count(F.lit(1)).alias("queued"),
+        F.count(status).alias("queued"),
         F.count_if(status.isin("translated", "flagged")).alias("done"),
         F.count_if(status == "skipped").alias("skipped"),
         F.count_if(status == "failed").alias("failed"),

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.storage import saved
 from quire.functions.text import is_blank, node_id
 
 MAX_LEVEL = 6
+#: Rounds of doubling that see any tree of up to 2 ** ROUNDS levels.
+ROUNDS = 24
 
 
 def line_nodes(docs: DataFrame, heading: Column, level: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -81,10 +84,58 @@ def move_children(nodes: DataFrame, edits: DataFrame) -> DataFrame:
     return edited.withColumn("child_idx", F.row_number().over(order) - 1).drop("new_parent_id", "new_idx", "at")
 
 
+def renumber(nodes: DataFrame) -> DataFrame:
+    """Nodes in reading order again, after any edits of ``parent_id`` and
+    ``child_idx``: adds or replaces ``pos`` (preorder place in the document, from
+    0), ``depth`` (0 at the top), ``ancestors`` (ids above, outermost first) and
+    ``child_idx`` (0, 1, 2, ... among siblings; ties by id).
+
+    Each node's path (the child places from its top to itself) is put together
+    by pointer doubling: every round joins a node with the one its pointer has
+    reached and takes over that one's pointer and path, so a tree of d levels
+    needs log2(d) rounds, whatever its number of nodes. Nodes that have reached
+    the top leave the rounds. Paths in order are the preorder, as a path comes
+    before those it begins; one window a document numbers them. A node whose
+    parent isn't there is a top-level one, behind those of the top by its own
+    place; a circle of parents is an error."""
+    siblings = Window.partitionBy("doc_id", "parent_id").orderBy("child_idx", "node_id")
+    placed = saved(nodes.withColumn("child_idx", (F.row_number().over(siblings) - 1).cast("int")), "placed")
+    exists = placed.select("doc_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("_known"))
+    # Lost parents sort behind the true top and among themselves by their id.
+    start = placed.join(exists, ["doc_id", "parent_id"], "left").select(
+        "doc_id",
+        "node_id",
+        F.when(F.col("_known"), F.col("parent_id")).alias("up"),
+        F.array(F.struct(F.when(F.col("_known").isNull(), F.col("parent_id")).alias("lost"), F.col("child_idx").alias("place"))).alias("path"),
+        F.when(F.col("_known"), F.array("parent_id")).otherwise(F.array().cast("array<string>")).alias("ancestors"),
+    )
+    live, done = saved(start, "paths"), []
+    for _ in range(ROUNDS):
+        done.append(live.filter("up is null"))
+        climbing = live.filter("up is not null")
+        if climbing.isEmpty():
+            break
+        reached = live.select("doc_id", F.col("node_id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("ancestors").alias("_ancestors"))
+        for finished in done[:-1]:
+            reached = reached.unionByName(finished.select("doc_id", F.col("node_id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("ancestors").alias("_ancestors")))
+        joined = climbing.join(reached, ["doc_id", "up"])
+        live = saved(joined.select("doc_id", "node_id", F.col("_up").alias("up"), F.concat("_path", "path").alias("path"), F.concat("_ancestors", "ancestors").alias("ancestors")), "paths")
+    else:
+        raise ValueError("parents that lead in a circle")
+    paths = done[0]
+    for part in done[1:]:
+        paths = paths.unionByName(part)
+    order = Window.partitionBy("doc_id").orderBy("path")
+    found = paths.select("doc_id", "node_id", (F.row_number().over(order) - 1).cast("int").alias("pos"), (F.size("path") - 1).alias("depth"), "ancestors")
+    kept = [c for c in placed.columns if c not in ("pos", "depth", "ancestors")]
+    return placed.select(*kept).join(found, ["doc_id", "node_id"])
+
+
 def delete_subtrees(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Drop nodes and all below them: ``nodes`` has ``ancestors`` (ids, own id
-    included); ``roots`` doc_id, node_id."""
-    gone = nodes.select("doc_id", "node_id", F.explode("ancestors").alias("root")).join(roots.select("doc_id", F.col("node_id").alias("root")), ["doc_id", "root"], "left_semi")
+    """Drop nodes and all below them: ``nodes`` has ``ancestors`` (ids above;
+    the own id may be among them); ``roots`` doc_id, node_id."""
+    line = F.array_distinct(F.concat("ancestors", F.array("node_id")))
+    gone = nodes.select("doc_id", "node_id", F.explode(line).alias("root")).join(roots.select("doc_id", F.col("node_id").alias("root")), ["doc_id", "root"], "left_semi")
     return nodes.join(gone.select("doc_id", "node_id").distinct(), ["doc_id", "node_id"], "left_anti")
 
 

@@ -83,7 +83,9 @@ def q65_titles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q66_nodes_by_id(spark: SparkSession, sf: str) -> DataFrame:
-    n = nodes(spark, sf).withColumn("node_id", F.substring("node_id", 1, 12))
+    """Of nodes that repeat an id the last; ids are those of a line's kind and
+    text, so that repeated lines meet."""
+    n = nodes(spark, sf).withColumn("node_id", T.node_id(F.col("kind"), F.col("text"), F.lit(0)))
     return tree.by_id(n).select("doc_id", "node_id", "pos", "kind")
 
 
@@ -98,7 +100,7 @@ def q49_direction(spark: SparkSession, sf: str) -> DataFrame:
 
 def q50_slugs(spark: SparkSession, sf: str) -> DataFrame:
     title = F.split("text", "\n").getItem(0)
-    named = documents(spark, sf).select("doc_id", F.coalesce(F.nullif(T.slug(F.substring(title, 1, 24)), F.lit("")), F.lit("book")).alias("stem"))
+    named = documents(spark, sf).select("doc_id", F.coalesce(F.nullif(T.slug(title), F.lit("")), F.lit("book")).alias("stem"))
     n = F.row_number().over(Window.partitionBy("stem").orderBy("doc_id"))
     return named.withColumn("n", n).select("doc_id", F.when(F.col("n") == 1, F.col("stem")).otherwise(F.concat_ws("-", "stem", F.col("n").cast("string"))).alias("slug"))
 
@@ -109,7 +111,7 @@ def q51_asset_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q60_safe_filenames(spark: SparkSession, sf: str) -> DataFrame:
-    name = F.concat(F.lit(" . "), F.substring("url", 9, 40), F.lit(".PDF"))
+    name = F.concat(F.lit(" . "), F.col("url"), F.lit(".PDF"))
     return table(spark, sf, "pages").select("page_id", T.safe_filename(name, F.lit("book")).alias("filename"), T.file_format(F.concat("url", F.lit(".html"))).alias("format"))
 
 
@@ -167,12 +169,12 @@ ORACLES = {
             FROM nodes WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
         SELECT doc_id, chapter_no, chapter_title, count(*) AS n_nodes FROM c GROUP BY ALL""",
     "q65_titles": f"WITH {NODES} SELECT doc_id, arg_min(text, pos) AS title FROM nodes WHERE kind = 'heading' AND level = 1 GROUP BY doc_id",
-    "q66_nodes_by_id": f"WITH {NODES} SELECT doc_id, substr(node_id, 1, 12) AS node_id, max(pos) AS pos, arg_max(kind, pos) AS kind FROM nodes GROUP BY doc_id, substr(node_id, 1, 12)",
+    "q66_nodes_by_id": f"WITH {NODES}, i AS (SELECT * REPLACE (kind || '-' || substr(sha256(kind || chr(0) || text || chr(0) || '0'), 1, 12) AS node_id) FROM nodes) SELECT doc_id, node_id, max(pos) AS pos, arg_max(kind, pos) AS kind FROM i GROUP BY doc_id, node_id",
     "q48_digits": "SELECT doc_id, md5(translate(text, '0123456789', '۰۱۲۳۴۵۶۷۸۹')) AS persian, md5(translate(text, '0123456789', '٠١٢٣٤٥٦٧٨٩')) AS arabic FROM documents",
     "q49_direction": "SELECT lang, CASE WHEN doc_id % 3 = 1 THEN 'ltr' ELSE 'rtl' END AS direction, count(*) AS n FROM documents GROUP BY ALL",
-    "q50_slugs": r"""WITH n AS (SELECT doc_id, coalesce(nullif(substr(regexp_replace(regexp_replace(regexp_replace(trim(substr(string_split(text, chr(10))[1], 1, 24)), '[/\\:*?"<>|\x00\s]', '-', 'g'), '-+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), 1, 80), ''), 'book') AS stem FROM documents),
+    "q50_slugs": r"""WITH n AS (SELECT doc_id, coalesce(nullif(substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(string_split(text, chr(10))[1], '^\s+|\s+$', '', 'g'), '[/\\:*?"<>|\x00\s]', '-', 'g'), '-+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), 1, 80), ''), 'book') AS stem FROM documents),
         r AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY doc_id) AS n FROM n)
         SELECT doc_id, CASE WHEN n = 1 THEN stem ELSE stem || '-' || n END AS slug FROM r""",
     "q51_asset_dedupe": "SELECT 'asset-' || substr(sha256(coalesce(text, '')), 1, 16) AS asset_id, count(*) AS refs, min(doc_id) AS first_doc, CAST(min(strlen(coalesce(text, ''))) AS INT) AS n_bytes FROM documents GROUP BY sha256(coalesce(text, ''))",
-    "q60_safe_filenames": r"""SELECT page_id, coalesce(nullif(substr(trim(regexp_replace(regexp_replace(regexp_replace(trim(' . ' || substr(url, 9, 40) || '.PDF'), '[/\\:*?"<>|\x00]', '', 'g'), '^[ .]+|[ .]+$', '', 'g'), '(?i)\.(pdf|epub)$', '')), 1, 120), ''), 'book') AS filename, 'html' AS format FROM pages""",
+    "q60_safe_filenames": r"""SELECT page_id, coalesce(nullif(substr(trim(regexp_replace(regexp_replace(regexp_replace(trim(' . ' || url || '.PDF'), '[/\\:*?"<>|\x00]', '', 'g'), '^[ .]+|[ .]+$', '', 'g'), '(?i)\.(pdf|epub)$', '')), 1, 120), ''), 'book') AS filename, 'html' AS format FROM pages""",
 }

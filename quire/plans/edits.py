@@ -107,9 +107,10 @@ def q79_update_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q80_create_projects(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers as projects; customers ask for new ones under their nation's number."""
-    old = table(spark, sf, "supplier").filter("s_suppkey <= 12").select(F.col("s_suppkey").alias("project_id"), F.col("s_name").alias("name"))
-    new = table(spark, sf, "customer").select(F.col("c_nationkey").cast("long").alias("project_id"), F.col("c_name").alias("name"), F.col("c_custkey").alias("seq"))
+    """Suppliers as projects; customers ask for new ones under their number
+    modulo 2000."""
+    old = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("project_id"), F.col("s_name").alias("name"))
+    new = table(spark, sf, "customer").select((F.col("c_custkey") % 2000).cast("long").alias("project_id"), F.col("c_name").alias("name"), F.col("c_custkey").alias("seq"))
     return store.create_projects(old.withColumn("project_id", F.col("project_id").cast("long")), new).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("first_name"))
 
 
@@ -161,9 +162,9 @@ ORACLES = {
         CASE WHEN turn = 2 THEN NULL WHEN NOT regexp_matches(text, '[\\p{L}\\p{Nl}\\p{No}]') THEN text ELSE '[fa] ' || text END AS target_text, CAST(CASE WHEN turn = 2 OR NOT regexp_matches(text, '[\\p{L}\\p{Nl}\\p{No}]') THEN 0 ELSE 1 END AS INT) AS attempts FROM conversations""",
     "q78_segment_glossary": f"WITH {LINES}, t AS (SELECT * FROM ({_ACRONYMS}) WHERE count >= 2) SELECT l.source, term, count(*) AS n FROM lines l JOIN t ON l.source = t.source AND contains(lower(line), lower(term)) GROUP BY ALL",
     "q79_update_terms": "SELECT p_partkey AS id, CASE WHEN p_size > 10 THEN p_name END AS target, p_brand AS policy, p_size > 40 OR p_size <= 10 AS locked FROM part",
-    "q80_create_projects": """WITH n AS (SELECT c_nationkey, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) = 1 AND c_nationkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey <= 12) AS fresh FROM customer)
+    "q80_create_projects": """WITH n AS (SELECT c_name, row_number() OVER (PARTITION BY c_custkey % 2000 ORDER BY c_custkey) = 1 AND c_custkey % 2000 NOT IN (SELECT s_suppkey FROM supplier) AS fresh FROM customer)
         SELECT CASE WHEN fresh THEN 'created' ELSE 'refused' END AS outcome, count(*) AS n, min(c_name) AS first_name FROM n GROUP BY ALL
-        UNION ALL SELECT 'kept', count(*), min(s_name) FROM supplier WHERE s_suppkey <= 12""",
+        UNION ALL SELECT 'kept', count(*), min(s_name) FROM supplier""",
     "q81_contents_lines": f"""WITH {LINES}, s AS (SELECT doc_id, line, CASE WHEN length(line) % 2 = 0 THEN line || ' .... 12' ELSE line END AS shown FROM lines)
         SELECT doc_id, count(*) FILTER (regexp_matches(shown, '^.{{1,120}}?[ \\t.․·]{{2,}}[0-9]{{1,4}}\\s*$')) AS entries, count(*) FILTER (lower(trim(line)) IN ('contents', 'table of contents', 'toc')) AS titles FROM s GROUP BY doc_id""",
     "q82_allowed_stages": """SELECT CASE o_orderstatus WHEN 'O' THEN 'review' WHEN 'F' THEN 'failed' ELSE 'created' END AS stage, o_orderstatus IN ('O', 'F') AS allowed, CASE WHEN o_orderstatus IN ('O', 'F') THEN 'review' END AS next_stage, count(*) AS n FROM orders GROUP BY ALL""",

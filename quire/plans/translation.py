@@ -179,6 +179,6 @@ ORACLES = {
         UNION ALL SELECT conv_id, turn, 'length-ratio', 'warning', CAST(round_even(length(target) / length(source), 3) AS VARCHAR) FROM full_ WHERE {_OUT}
         UNION ALL SELECT conv_id, turn, 'altered-number', 'warning', array_to_string({_LOST.format(s="source", t="target")}, ' ') FROM full_ WHERE len({_LOST.format(s="source", t="target")}) > 0
         UNION ALL SELECT conv_id, turn, 'glossary-inconsistency', 'warning', term FROM misses SEMI JOIN full_ USING (conv_id, turn)""",
-    "q56_translate_echo": "SELECT conv_id, turn, '[fa] ' || text AS target_text, 'translated' AS status, CAST(1 AS INT) AS requests FROM conversations",
+    "q56_translate_echo": "SELECT conv_id, turn, '[fa] ' || text AS target_text, 'translated' AS status, CAST(CASE WHEN turn = min(turn) OVER (PARTITION BY conv_id) THEN 1 ELSE 0 END AS INT) AS requests FROM conversations",
     "q57_translate_poison": "SELECT conv_id, turn, CASE WHEN NOT contains(text, '?') THEN '[fa] ' || text END AS target_text, CASE WHEN contains(text, '?') THEN 'failed' ELSE 'translated' END AS status FROM conversations",
 }
