@@ -6,7 +6,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -161,8 +163,10 @@ def code_identifiers(df: DataFrame, key: str, text: str = "text", kinds: tuple[s
     return _count(df if kinds is None else df.filter(F.col("kind").isin(*kinds)), key, identifier_terms(F.col(text)))
 
 
-def _with_grams(df: DataFrame, text: str) -> DataFrame:
-    """Adds ``_grams``: adjacent words, 2 to 4, without stop words.
+def _with_grams(df: DataFrame, text: str) -> tuple[DataFrame, Column]:
+    """The rows with some columns more, and an array over these: adjacent words,
+    2 to 4, without stop words. (To explode a plain column of it would let the
+    optimizer repeat the whole chain in a filter.)
 
     Stop words are null, so a gram over one is null; each length comes from the
     one before it and the word behind."""
@@ -171,12 +175,13 @@ def _with_grams(df: DataFrame, text: str) -> DataFrame:
     for n in (2, 3, 4):
         longer = F.zip_with(F.col(grams), F.slice("_w", n, F.greatest(F.size("_w"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
         out, grams = out.withColumn(f"_g{n}", longer), f"_g{n}"
-    return out.withColumn("_grams", F.filter(F.concat("_g2", "_g3", "_g4"), lambda g: g.isNotNull() & (F.length(g) >= MIN_LENGTH + 1)))
+    return out, F.filter(F.concat("_g2", "_g3", "_g4"), lambda g: g.isNotNull() & (F.length(g) >= MIN_LENGTH + 1))
 
 
 def ngrams(df: DataFrame, key: str, text: str = "text", least: int = MIN_COUNT) -> DataFrame:
     """Adjacent words, 2 to 4, without stop words, that repeat."""
-    return _count(_with_grams(df, text), key, F.col("_grams")).filter(F.col("count") >= least)
+    rows, grams = _with_grams(df.select(key, text), text)
+    return _count(rows, key, grams).filter(F.col("count") >= least)
 
 
 def mine(df: DataFrame, key: str, text: str = "text", least: int = MIN_COUNT) -> DataFrame:
@@ -184,14 +189,14 @@ def mine(df: DataFrame, key: str, text: str = "text", least: int = MIN_COUNT) ->
     count decides; ties go to the earlier heuristic. All heuristics read a text
     in one scan, and one aggregation counts them side by side."""
     reasons = ("capitalized_phrase", "acronym", "code_span", "rare_ngram")
-    grams = _with_grams(df.select(key, F.col(text).alias("_text")), "_text")
-    found = (phrase_terms(F.col("_text")), acronym_terms(F.col("_text")), identifier_terms(F.col("_text")), F.col("_grams"))
+    read, grams = _with_grams(df.select(key, F.col(text).alias("_text")), "_text")
+    found = (phrase_terms(F.col("_text")), acronym_terms(F.col("_text")), identifier_terms(F.col("_text")), grams)
 
     def marked(terms: Column, rank: int) -> Column:
         none = F.array().cast("array<struct<term:string,rank:int>>")
         return F.coalesce(F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(rank).alias("rank"))), none)
 
-    rows = grams.select(key, F.explode(F.concat(*[marked(c, k) for k, c in enumerate(found)])).alias("t"))
+    rows = read.select(key, F.explode(F.concat(*[marked(c, k) for k, c in enumerate(found)])).alias("t"))
     rows = rows.select(key, "t.term", "t.rank").filter(F.length("term") >= MIN_LENGTH)
     counts = rows.groupBy(key, "term").agg(*[F.count(F.when(F.col("rank") == k, True)).alias(r) for k, r in enumerate(reasons)])
     held = [F.when(F.col(r) >= (least if r == "rare_ngram" else 1), F.struct(F.col(r).alias("count"), F.lit(-k).alias("rank"), F.lit(r).alias("reason"))) for k, r in enumerate(reasons)]
@@ -199,29 +204,55 @@ def mine(df: DataFrame, key: str, text: str = "text", least: int = MIN_COUNT) ->
     return best.select(key, "term", "best.count", "best.reason")
 
 
+def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a sorted range of heads: the whole ones that the head behind begins
+    with (gone), and what the neighbouring ranges need, the first head and the
+    last if it is a whole one. Only whole heads and those behind them are read."""
+    part, first, last = TaskContext.get().partitionId(), None, None
+
+    def rows(found: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.string(), kind, pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(kinds)], names=["range", "role", "key", "head"])
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys, heads, whole = batch.columns
+        at = np.flatnonzero(whole.to_numpy(zero_copy_only=False)[:-1])
+        here, behind = pa.array(at), pa.array(at + 1)
+        pairs = zip(keys.take(here).to_pylist(), heads.take(here).to_pylist(), keys.take(behind).to_pylist(), heads.take(behind).to_pylist(), strict=True)
+        top = (keys[0].as_py(), heads[0].as_py())
+        first = first or top
+        ahead = [] if last is None else [(*last, *top)]
+        yield rows([(part, "gone", k, h) for k, h, next_k, next_h in [*ahead, *pairs] if k == next_k and next_h.startswith(h)], keys.type)
+        last = (keys[-1].as_py(), heads[-1].as_py()) if whole[-1].as_py() else None
+    if first is not None:
+        yield rows([(part, "first", *first)] + ([(part, "last", *last)] if last else []), keys.type)
+
+
 def drop_subsumed(terms: DataFrame, key: str) -> DataFrame:
     """Drop terms that are part of a longer term of the same collection.
 
     A term is part of a longer one when it begins one of its suffixes. Of a
     suffix only the first ``HEAD`` characters are kept, so a term of n characters
-    costs n times HEAD at most. Different heads are range-partitioned and sorted;
+    costs n times HEAD at most. Heads are range-partitioned and sorted once;
     those that begin with a term follow it at once, so one look at the next head
-    decides; the last head of a range looks at the first of the range behind it.
-    Many terms with one prefix just fill several ranges. Terms that are longer
+    decides; the last head of a range meets the first of the range behind it.
+    Many terms with one prefix fill several ranges, and so do equal heads, as a
+    hash of their origin is the last part of the order. Terms that are longer
     than a head are rare: they meet the places of the same head in longer terms,
     and are compared there in full."""
     terms = saved(terms, "terms")
     spots = terms.filter(F.length("term") >= MIN_LENGTH).select(key, "term", F.explode(F.sequence(F.lit(1), F.length("term") - (MIN_LENGTH - 1))).alias("at"))
-    heads = spots.select(key, F.expr(f"substring(term, at, {HEAD})").alias("head"), ((F.col("at") == 1) & (F.length("term") <= HEAD)).alias("whole")).distinct()
-    parts = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = saved(heads.repartitionByRange(parts, key, "head", F.col("whole").desc()).withColumn("range", F.spark_partition_id()), "heads")
-    order = [F.col(key), F.col("head"), F.col("whole").desc()]
-    first = dealt.groupBy("range").agg(F.min(F.struct(key, "head")).alias("first"))
-    # One row a range.
-    behind = first.select("range", F.lead("first").over(Window.orderBy("range")).alias("behind"))
-    own = F.lead(F.struct(key, "head")).over(Window.partitionBy("range").orderBy(*order))
-    follows = dealt.withColumn("own", own).filter("whole").join(F.broadcast(behind), "range").withColumn("next", F.coalesce("own", "behind"))
-    gone = follows.filter(F.col(f"next.{key}").eqNullSafe(F.col(key)) & F.startswith("next.head", "head")).select(key, F.col("head").alias("term"))
+    heads = spots.select(F.col(key).alias("key"), F.expr(f"substring(term, at, {HEAD})").alias("head"), ((F.col("at") == 1) & (F.length("term") <= HEAD)).alias("whole"), F.xxhash64("term", "at").alias("tie"))
+    order = ["key", "head", F.col("whole").desc(), "tie"]
+    ranges = heads.repartitionByRange(int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    kind = terms.schema[key].dataType.simpleString()
+    looked = saved(ranges.select("key", "head", "whole").mapInArrow(_followed, f"range int, role string, key {kind}, head string"), "followed")
+    # At most two rows a range; a range without rows is passed over.
+    ends = looked.filter("role <> 'gone'").withColumn("next", F.lead(F.struct("role", "key", "head")).over(Window.orderBy("range", F.col("role") == "last")))
+    edge = ends.filter((F.col("role") == "last") & F.col("next.key").eqNullSafe(F.col("key")) & F.startswith("next.head", "head"))
+    gone = looked.filter("role = 'gone'").unionByName(edge.drop("next")).select(F.col("key").alias(key), F.col("head").alias("term"))
 
     long = terms.filter(F.length("term") > HEAD).select(key, "term", F.substring("term", 1, HEAD).alias("head"))
     inside = spots.filter(F.length("term") > HEAD).select(key, F.col("term").alias("longer"), F.expr(f"substring(term, at, {HEAD})").alias("head")).distinct()

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import agents, glossary, store, tree
-from quire.plans.common import LINES, documents, table
+from quire.operators import agents, glossary, segments, store, tree
+from quire.plans.common import LINES, NODES, PATHS, documents, table
 from quire.plans.glossary import _ACRONYMS
 from quire.sources.presets import builtin_presets
 
@@ -83,14 +83,74 @@ def q76_analyze(spark: SparkSession, sf: str) -> DataFrame:
     return agents.analyze(samples, builtin_presets(spark), analyst, "doc_id").select("doc_id", "preset_id", "error")
 
 
-def echo(texts: list[str]) -> list[str | None]:
-    return ["[fa] " + t for t in texts]
+def echo(prompt: str) -> dict:
+    """Gives every numbered block back with a mark before it, and numbers of
+    tokens that follow the number of blocks."""
+    parts = re.split(r"(?m)^⟦#([0-9]+)⟧\n", prompt.rsplit("leave placeholders as they are.", 1)[1])[1:]
+    blocks = list(zip(parts[::2], parts[1::2], strict=True))
+    text = "\n\n".join(f"⟦#{n}⟧\n[fa] {body.rstrip()}" for n, body in blocks)
+    return {"text": text, "prompt_tokens": 1000 * len(blocks), "completion_tokens": 7 * len(blocks) + 1}
+
+
+def _book(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as books, turns as segments; the second of each is locked."""
+    empty = {"target_text": F.lit(None).cast("string"), "status": F.lit("pending"), "attempts": F.lit(0), "cost_usd": F.lit(0.0), "error": F.lit("old"), "prompt_tokens": F.lit(0).cast("long"), "completion_tokens": F.lit(0).cast("long")}
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("string").alias("id"), F.col("turn").alias("ordinal"), F.col("text").alias("source_text"), (F.col("turn") == 2).alias("locked"))
+    return c.withColumns(empty)
+
+
+def _book_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of 8 letters or more that 5 turns hold at least; those of an even
+    length must stay as they are."""
+    words = table(spark, sf, "conversations").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), F.lit(0)))).alias("term"))
+    many = words.groupBy("term").agg(F.count(F.lit(1)).alias("count")).filter("count >= 5")
+    return many.select("term", F.col("term").alias("target_form"), F.when(F.length("term") % 2 == 0, "keep").otherwise("translate").alias("policy"), F.lit(True).alias("enabled"), "count")
 
 
 def q77_translate_book(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations")
-    segments = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("string").alias("id"), F.col("turn").alias("ordinal"), F.col("text").alias("source_text"), F.lit(None).cast("string").alias("target_text"), F.lit("pending").alias("status"), F.lit(0).alias("attempts"), F.lit(0.0).alias("cost_usd"), F.lit("old").alias("error"), (F.col("turn") == 2).alias("locked"))
-    return agents.translate_book(segments, echo).select("doc_id", "ordinal", "status", "target_text", "attempts")
+    """Through rendered requests with glossary, context and placeholders."""
+    done = agents.translate_book(_book(spark, sf), echo, _book_terms(spark, sf), prices=(2.0, 6.0))
+    return done.select("doc_id", "ordinal", "status", "target_text", "attempts", "prompt_tokens", "completion_tokens", F.round("cost_usd", 9).alias("cost_usd"))
+
+
+def q85_translation_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """What the same run did, for each book, and the usage that it leaves."""
+    run = agents.translate_run(_book(spark, sf), echo, _book_terms(spark, sf), prices=(2.0, 6.0))
+    used = run.usage.groupBy("doc_id").agg(F.count(F.lit(1)).alias("usage_rows"), F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("usage_tokens"))
+    return run.stats.join(used, "doc_id", "left").select("doc_id", "queued", "done", "skipped", "failed", "requests", "tokens", F.round("cost_usd", 9).alias("cost_usd"), F.coalesce("usage_rows", F.lit(0)).alias("usage_rows"), F.coalesce("usage_tokens", F.lit(0)).alias("usage_tokens"))
+
+
+def _nested(spark: SparkSession, sf: str) -> DataFrame:
+    """A document's lines as a tree: a line's parent is the line whose number
+    lacks its lowest bit, so the reading order is that of the lines."""
+    lines = documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    name = lambda n: F.concat_ws(":", F.col("doc_id").cast("string"), n.cast("string"))
+    above = F.col("line_no").bitwiseAND(F.col("line_no") - 1)
+    size = F.length("text")
+    return lines.select("doc_id", "line_no", name(F.col("line_no")).alias("node_id"), F.when(F.col("line_no") > 0, name(above)).alias("parent_id"), F.col("line_no").alias("child_idx"), "text", F.when(size % 5 == 0, "heading").otherwise("paragraph").alias("kind"), F.when(size % 5 == 0, 1 + size % 3).alias("level"))
+
+
+def _edited(spark: SparkSession, sf: str) -> DataFrame:
+    """The tree after lines were moved in and out and parts of it deleted."""
+    n = _nested(spark, sf)
+    chosen = lambda rule: n.filter(rule).select("doc_id", "node_id")
+    moved = tree.outdent_nodes(tree.indent_nodes(n, chosen("line_no % 6 = 4")), chosen("line_no % 10 = 7"))
+    return tree.renumber(tree.delete_subtrees(tree.renumber(moved), chosen("line_no % 16 = 12")))
+
+
+def q86_edit_nested_trees(spark: SparkSession, sf: str) -> DataFrame:
+    return _edited(spark, sf).select("doc_id", "node_id", "parent_id", "child_idx", "pos", "depth", F.size("ancestors").alias("above"), F.get("ancestors", F.lit(0)).alias("top"))
+
+
+def q87_resegment_edits(spark: SparkSession, sf: str) -> DataFrame:
+    """The segments after the edits and after every tenth line was rewritten:
+    those that are kept keep their work and take their new place and headings."""
+    before = segments.build_segments(tree.heading_paths(tree.renumber(_nested(spark, sf)), levels=3), limit=1_000_000)
+    stored = before.select("doc_id", "id", "node_id", "ordinal", "source_text", "heading_path", F.lit("translated").alias("status"), F.concat(F.lit("[fa] "), "source_text").alias("target_text"))
+    text = F.when(F.col("line_no") % 10 == 3, F.concat(F.lit("Edited. "), F.col("text"))).otherwise(F.col("text"))
+    after = tree.heading_paths(_edited(spark, sf).withColumn("text", text), levels=3)
+    out = segments.resegment(after.drop("parts"), stored)
+    return out.select("doc_id", "node_id", "ordinal", "status", F.array_join("heading_path", " › ").alias("heading_path"), F.md5(F.coalesce("target_text", F.lit("")).cast("binary")).alias("target_md5"))
 
 
 def q78_segment_glossary(spark: SparkSession, sf: str) -> DataFrame:
@@ -140,11 +200,34 @@ def q84_costs(spark: SparkSession, sf: str) -> DataFrame:
     return l.groupBy("l_orderkey").agg(F.round(F.sum("usd"), 6).alias("usd"))
 
 
-QUERIES = {f.__name__: f for f in (q69_shift_nodes, q70_indent_outdent, q71_merge_nodes, q72_split_nodes, q73_possible_edits, q74_adjudicate, q75_adjudication_totals, q76_analyze, q77_translate_book, q78_segment_glossary, q79_update_terms, q80_create_projects, q81_contents_lines, q82_allowed_stages, q83_run_stats, q84_costs)}
+QUERIES = {f.__name__: f for f in (q69_shift_nodes, q70_indent_outdent, q71_merge_nodes, q72_split_nodes, q73_possible_edits, q74_adjudicate, q75_adjudication_totals, q76_analyze, q77_translate_book, q85_translation_stats, q86_edit_nested_trees, q87_resegment_edits, q78_segment_glossary, q79_update_terms, q80_create_projects, q81_contents_lines, q82_allowed_stages, q83_run_stats, q84_costs)}
 
 _NODES = f"""{LINES}, n AS (SELECT doc_id, pos, line, doc_id || ':' || pos AS node_id, count(*) OVER (PARTITION BY doc_id) AS total FROM lines)"""
 _RANKED = f"""c AS (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY count DESC, term) - 1 AS INT) AS index FROM ({_ACRONYMS}) QUALIFY row_number() OVER (PARTITION BY source ORDER BY count DESC, term) <= 400)"""
 
+#: Batches of the turns that go to the model, and each turn's share of tokens.
+_RUN = """w AS (SELECT conv_id, list(turn ORDER BY turn) AS t, list_transform(list({'b': [0::BIGINT], 'n': 1::BIGINT, 'size': length(text)} ORDER BY turn), lambda x: x) AS x
+        FROM conversations WHERE turn <> 2 AND regexp_matches(text, '[\\p{L}\\p{Nl}\\p{No}]') GROUP BY conv_id),
+    k AS (SELECT conv_id, t, list_reduce(x, lambda a, y: CASE WHEN a.size + y.size > 5000 OR a.n >= 24 THEN {'b': list_append(a.b, a.b[len(a.b)] + 1), 'n': 1::BIGINT, 'size': y.size}
+        ELSE {'b': list_append(a.b, a.b[len(a.b)]), 'n': a.n + 1, 'size': a.size + y.size} END).b AS b FROM w),
+    z AS (SELECT conv_id, unnest(t) AS turn, unnest(b) AS batch FROM k),
+    y AS (SELECT z.*, length(text) AS n, sum(length(text)) OVER m AS total, count(*) OVER m AS blocks, turn = max(turn) OVER m AS is_last FROM z JOIN conversations USING (conv_id, turn) WINDOW m AS (PARTITION BY conv_id, batch)),
+    v AS (SELECT *, 1000 * blocks AS p, 7 * blocks + 1 AS c FROM y),
+    f AS (SELECT *, p * n // total AS ps, c * n // total AS cs FROM v),
+    r AS (SELECT conv_id, turn, batch, CAST(CASE WHEN is_last THEN p - coalesce(sum(ps) OVER before, 0) ELSE ps END AS BIGINT) AS prompt_tokens, CAST(CASE WHEN is_last THEN c - coalesce(sum(cs) OVER before, 0) ELSE cs END AS BIGINT) AS completion_tokens
+        FROM f WINDOW before AS (PARTITION BY conv_id, batch ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+#: The tree of the lines, moved in and out, walked from its tops, and pruned.
+_EDITED = f"""{LINES}, t0 AS (SELECT doc_id, line, pos AS line_no, CASE WHEN pos > 0 THEN pos & (pos - 1) END AS parent FROM lines),
+    t1 AS (SELECT *, row_number() OVER s AS child_idx, lag(line_no) OVER s AS before FROM t0 WINDOW s AS (PARTITION BY doc_id, parent ORDER BY line_no)),
+    t2 AS (SELECT * REPLACE (CASE WHEN line_no % 6 = 4 AND before IS NOT NULL THEN before ELSE parent END AS parent), line_no % 6 = 4 AND before IS NOT NULL AS late FROM t1),
+    t3 AS (SELECT * REPLACE (row_number() OVER (PARTITION BY doc_id, parent ORDER BY late, child_idx) AS child_idx) FROM t2),
+    t4 AS (SELECT x.* REPLACE (CASE WHEN u.line_no IS NOT NULL AND x.line_no % 10 = 7 THEN u.parent ELSE x.parent END AS parent), CASE WHEN u.line_no IS NOT NULL AND x.line_no % 10 = 7 THEN u.child_idx + 0.5 ELSE x.child_idx END AS spot
+        FROM t3 x LEFT JOIN t3 u ON x.doc_id = u.doc_id AND x.parent = u.line_no),
+    t5 AS (SELECT * REPLACE (row_number() OVER (PARTITION BY doc_id, parent ORDER BY spot, child_idx) AS child_idx) FROM t4),
+    walk AS (SELECT doc_id, line_no, [child_idx] AS path, line_no % 16 = 12 AS gone, line_no AS top FROM t5 WHERE parent IS NULL
+        UNION ALL SELECT t5.doc_id, t5.line_no, list_append(path, child_idx), gone OR t5.line_no % 16 = 12, top FROM walk JOIN t5 ON walk.doc_id = t5.doc_id AND t5.parent = walk.line_no),
+    edited AS (SELECT doc_id, line_no, line, parent, path, top, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1 AS INT) AS pos, row_number() OVER (PARTITION BY doc_id, parent ORDER BY path) - 1 AS child_idx FROM walk JOIN t5 USING (doc_id, line_no) WHERE NOT gone)"""
+
 ORACLES = {
     "q69_shift_nodes": f"WITH {_NODES} SELECT doc_id, node_id, CAST(CASE WHEN pos % 6 = 3 THEN pos - 1 WHEN pos % 6 = 2 AND pos + 1 < total THEN pos + 1 ELSE pos END AS INT) AS child_idx FROM n",
     "q70_indent_outdent": f"""WITH {_NODES}, p AS (SELECT doc_id, node_id, pos, CASE WHEN pos % 12 = 9 THEN doc_id || ':' || (pos - 1) END AS parent_id FROM n)
@@ -158,8 +241,19 @@ ORACLES = {
     "q74_adjudicate": f"WITH {_RANKED} SELECT source, index, term, CASE WHEN index % 4 = 0 THEN '<' || term || '>' END AS target, CASE WHEN index % 4 = 0 THEN 'keep' ELSE 'translate' END AS policy FROM c WHERE index % 2 = 0",
     "q75_adjudication_totals": f"WITH {_RANKED} SELECT source, count(*) AS prompt_tokens, 0 AS failed FROM c GROUP BY source",
     "q76_analyze": "SELECT doc_id, CASE length(text) % 3 WHEN 0 THEN 'literary-fiction' WHEN 1 THEN 'general' ELSE 'technical-manual' END AS preset_id, CAST(NULL AS VARCHAR) AS error FROM documents",
-    "q77_translate_book": """SELECT conv_id AS doc_id, turn AS ordinal, CASE WHEN turn = 2 THEN 'pending' WHEN NOT regexp_matches(text, '[\\p{L}\\p{Nl}\\p{No}]') THEN 'skipped' WHEN length(text) >= 12 OR length(text) > 0 THEN 'translated' END AS status,
-        CASE WHEN turn = 2 THEN NULL WHEN NOT regexp_matches(text, '[\\p{L}\\p{Nl}\\p{No}]') THEN text ELSE '[fa] ' || text END AS target_text, CAST(CASE WHEN turn = 2 OR NOT regexp_matches(text, '[\\p{L}\\p{Nl}\\p{No}]') THEN 0 ELSE 1 END AS INT) AS attempts FROM conversations""",
+    "q77_translate_book": f"""WITH {_RUN} SELECT c.conv_id AS doc_id, c.turn AS ordinal, CASE WHEN c.turn = 2 THEN 'pending' WHEN r.turn IS NULL THEN 'skipped' ELSE 'translated' END AS status,
+        CASE WHEN c.turn = 2 THEN NULL WHEN r.turn IS NULL THEN c.text ELSE '[fa] ' || regexp_replace(c.text, '\\s+$', '') END AS target_text, CAST(CASE WHEN r.turn IS NULL THEN 0 ELSE 1 END AS INT) AS attempts,
+        coalesce(prompt_tokens, 0) AS prompt_tokens, coalesce(completion_tokens, 0) AS completion_tokens, round(coalesce(prompt_tokens, 0) / 1e6 * 2.0 + coalesce(completion_tokens, 0) / 1e6 * 6.0, 9) AS cost_usd
+        FROM conversations c LEFT JOIN r USING (conv_id, turn)""",
+    "q85_translation_stats": f"""WITH {_RUN}, b AS (SELECT conv_id, batch, 1000 * count(*) AS p, 7 * count(*) + 1 AS c FROM r GROUP BY ALL),
+        s AS (SELECT conv_id, count(*) AS requests, CAST(sum(p + c) AS BIGINT) AS tokens, round(sum(p) / 1e6 * 2.0 + sum(c) / 1e6 * 6.0, 9) AS cost_usd FROM b GROUP BY conv_id),
+        q AS (SELECT c.conv_id, count(*) AS queued, count(r.turn) AS done, count(*) - count(r.turn) AS skipped FROM conversations c LEFT JOIN r USING (conv_id, turn) WHERE c.turn <> 2 GROUP BY c.conv_id)
+        SELECT q.conv_id AS doc_id, queued, done, skipped, 0 AS failed, coalesce(requests, 0) AS requests, coalesce(tokens, 0) AS tokens, coalesce(cost_usd, 0.0) AS cost_usd, done AS usage_rows, coalesce(tokens, 0) AS usage_tokens FROM q LEFT JOIN s USING (conv_id)""",
+    "q86_edit_nested_trees": f"""WITH RECURSIVE {_EDITED} SELECT doc_id, doc_id || ':' || line_no AS node_id, doc_id || ':' || parent AS parent_id, CAST(child_idx AS INT) AS child_idx, pos, len(path) - 1 AS depth, len(path) - 1 AS above,
+        CASE WHEN len(path) > 1 THEN doc_id || ':' || top END AS top FROM edited""",
+    "q87_resegment_edits": f"""WITH RECURSIVE {_EDITED}, nodes AS (SELECT doc_id, pos, line_no, line AS was, CASE WHEN line_no % 10 = 3 THEN 'Edited. ' || line ELSE line END AS text, CASE WHEN length(line) % 5 = 0 THEN 'heading' ELSE 'paragraph' END AS kind, CASE WHEN length(line) % 5 = 0 THEN 1 + length(line) % 3 END AS level FROM edited){PATHS[len(NODES):]}
+        SELECT doc_id, doc_id || ':' || line_no AS node_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS ordinal, CASE WHEN text = was THEN 'translated' ELSE 'pending' END AS status, array_to_string(heading_path, ' › ') AS heading_path,
+               md5(CASE WHEN text = was THEN '[fa] ' || text ELSE '' END) AS target_md5 FROM paths WHERE regexp_matches(text, '\\S')""",
     "q78_segment_glossary": f"WITH {LINES}, t AS (SELECT * FROM ({_ACRONYMS}) WHERE count >= 2) SELECT l.source, term, count(*) AS n FROM lines l JOIN t ON l.source = t.source AND contains(lower(line), lower(term)) GROUP BY ALL",
     "q79_update_terms": "SELECT p_partkey AS id, CASE WHEN p_size > 10 THEN p_name END AS target, p_brand AS policy, p_size > 40 OR p_size <= 10 AS locked FROM part",
     "q80_create_projects": """WITH n AS (SELECT c_name, row_number() OVER (PARTITION BY c_custkey % 2000 ORDER BY c_custkey) = 1 AND c_custkey % 2000 NOT IN (SELECT s_suppkey FROM supplier) AS fresh FROM customer)
