@@ -94,7 +94,8 @@ def substring_hits(texts: DataFrame, terms: DataFrame, ids: list[str], on: list[
         keys = list(zip(*[every[c].to_pylist() for c in on], strict=True)) if on else [()] * every.num_rows
         at: dict[tuple, list[int]] = {}
         for k, key in enumerate(keys):
-            at.setdefault(key, []).append(k)
+            if None not in key:  # a null meets nothing
+                at.setdefault(key, []).append(k)
         given = texts.sparkSession.sparkContext.broadcast({key: every.take(pa.array(rows)) for key, rows in at.items()})
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

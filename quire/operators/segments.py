@@ -124,23 +124,25 @@ def apply_translations(nodes: DataFrame, segments: DataFrame, translations: Data
     )
     # Units of a node meet it at its place, by one join for all its slots.
     units = merged.filter("any").groupBy("doc_id", "pos").agg(F.map_from_entries(F.collect_list(F.struct("node_id", "merged"))).alias("_units"))
-    done = nodes.join(units, ["doc_id", "pos"], "left")
+    # The text as it was has a name of its own: a column list that replaces
+    # ``text`` would give lambdas of the same list the new one.
+    done = nodes.join(units, ["doc_id", "pos"], "left").withColumn("_text", F.col("text"))
 
     def put(unit: Column, value: Column) -> Column:
         return F.coalesce(F.element_at("_units", unit), value)
 
     own, values = F.col("node_id"), {}
-    values["text"] = put(own, F.col("text"))
+    values["text"] = put(own, F.col("_text"))
     if "cells" in nodes.columns:
         grid = F.coalesce((F.col("kind") == "table") & F.exists(F.flatten("cells"), lambda c: ~is_blank(c["text"])), F.lit(False))
-        values["text"] = F.when(grid, put(F.concat(own, F.lit(CAPTION)), F.col("text"))).otherwise(values["text"])
+        values["text"] = F.when(grid, put(F.concat(own, F.lit(CAPTION)), F.col("_text"))).otherwise(values["text"])
         texts = tables.onto_template(tables.from_markdown(F.element_at("_units", own)), F.transform("cells", lambda row: F.transform(row, lambda c: c["text"])))
         cells = F.zip_with("cells", texts, lambda row, new: F.zip_with(row, new, lambda c, x: c.withField("text", x)))
         values["cells"] = F.when(grid & F.element_at("_units", own).isNotNull(), cells).otherwise(F.col("cells"))
     if "images" in nodes.columns:
 
         def translated(image: Column, k: Column) -> Column:
-            caption = F.when(image["caption"].eqNullSafe(F.col("text")), values["text"]).otherwise(put(image_unit("caption", k), image["caption"]))
+            caption = F.when(image["caption"].eqNullSafe(F.col("_text")), values["text"]).otherwise(put(image_unit("caption", k), image["caption"]))
             return image.withField("caption", caption).withField("alt", put(image_unit("alt", k), image["alt"]))
 
         values["images"] = F.transform("images", translated)
