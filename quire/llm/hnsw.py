@@ -9,8 +9,9 @@ of every shard and the shards' best are merged; scores are cosines of the
 original vectors in double precision.
 
 Insertion and search run in numpy over a batch of vectors in step: each step
-opens the best unopened nodes of every beam at once. Queries meet shards in
-blocks of ``BLOCK``, so a task holds one shard and one block.
+opens the best unopened nodes of every beam at once. A shard goes to one task,
+once, and its queries stream past it in blocks of ``BLOCK``, so a task holds one
+shard and one block, and what travels is each query once for every shard.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialize
+from quire.llm.common import materialize, small_batches
 
 SHARD, BLOCK = 8192, 1024
 LINKS, BEAM_BUILD, BEAM, OPENED = 16, 64, 96, 4
@@ -193,6 +195,23 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     )
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Vectors times the power of two that brings their largest component into
+    [0.5, 1), so that squares neither overflow nor vanish; cosines stay."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True))[1])
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    v = scaled(v)
+    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+
+
+def beam_of(dim: int) -> int:
+    """Nodes that a search keeps: more in more dimensions, where neighbours are
+    harder to tell apart."""
+    return max(BEAM, 3 * dim // 2)
+
+
 def build_index(rows: DataFrame, k: int) -> DataFrame:
     """One row per shard: dim, shard, ids (of each node), vectors, levels."""
     h = F.xxhash64("v")
@@ -201,29 +220,26 @@ def build_index(rows: DataFrame, k: int) -> DataFrame:
         keyed = keyed.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).filter(F.col("r") <= k + 1)
     # At most k + 1 ids a vector are left.
     nodes = materialize(keyed.groupBy("h", "v").agg(F.first("dim").alias("dim"), F.array_sort(F.collect_list("id")).alias("ids")), "nodes")
-    sizes = {r["dim"]: r["count"] for r in nodes.groupBy("dim").count().collect()}
-    shard = F.lit(0)
-    for dim, n in sizes.items():
-        shard = F.when(F.col("dim") == dim, F.pmod(F.col("h"), F.lit(-(-n // SHARD)))).otherwise(shard)
+    shards = nodes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / SHARD).alias("shards"))
+    placed = nodes.join(shards, "dim").withColumn("shard", F.pmod("h", "shards").cast("int"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("h", kind="stable")
         v = np.stack(pdf["v"].to_numpy())
-        graph = Graph.build((v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32))
+        graph = Graph.build(unit(v))
         flat = [x for nodes, links in graph.levels for x in (nodes.astype(np.int32).tobytes(), links.tobytes())]
         return pd.DataFrame({"dim": pdf["dim"].iloc[:1].to_numpy(), "shard": pdf["shard"].iloc[:1].to_numpy(), "ids": [pdf["ids"].tolist()], "vectors": [v.tobytes()], "levels": [flat]})
 
-    index = nodes.withColumn("shard", shard.cast("int")).groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, ids array<array<bigint>>, vectors binary, levels array<binary>")
+    index = placed.select("dim", "shard", "h", "v", "ids").groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, ids array<array<bigint>>, vectors binary, levels array<binary>")
     return materialize(index, "vector-index")
 
 
-def unpack(row: pd.Series) -> tuple[np.ndarray, Graph]:
-    v = np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"])
-    flat, levels = row["levels"], []
+def unpack(dim: int, vectors: bytes, flat: list[bytes]) -> tuple[np.ndarray, Graph]:
+    v, levels = np.frombuffer(vectors, np.float64).reshape(-1, dim), []
     for k in range(0, len(flat), 2):
         nodes = np.frombuffer(flat[k], np.int32).astype(np.int64)
         levels.append((nodes, np.frombuffer(flat[k + 1], np.int32).reshape(len(nodes), -1)))
-    return v, Graph((v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32), levels)
+    return scaled(v), Graph(unit(v), levels)
 
 
 def nearest(vectors: DataFrame, every: int, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -231,35 +247,56 @@ def nearest(vectors: DataFrame, every: int, k: int = 5, id_col: str = "vec_id",
     rows but the query's own. query_id, rank (from 1), the id and the score of
     the k nearest found, ties to the smaller id.
 
-    Vectors that are null, empty, zero or hold null or non-finite components
-    take no part; vectors of another length than the query's are no candidates.
-    Rows that repeat an id take part each, but for a query of the same id. An
-    empty table gives an empty result; other columns are not read."""
+    Ids are integers: others are cast to long, and what is no number is an error
+    where ANSI mode is on, else takes no part. Vectors that are null, empty, zero
+    or hold null or non-finite components take no part; huge and tiny components
+    are scaled before they are squared. Vectors of another length than the
+    query's are no candidates. Rows that repeat an id take part each, but for a
+    query of the same id. An empty table gives an empty result; other columns
+    are not read."""
     rows = usable(vectors, id_col, vec_col)
     index = build_index(rows, k)
     shards = index.groupBy("dim").agg(F.max("shard").alias("last"))
     asks = rows.filter(F.col("id") % every == 0)
-    blocks = max(1, -(-asks.count() // BLOCK))
-    asks = asks.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    sent = asks.join(shards, "dim").select("dim", F.explode(F.sequence(F.lit(0), "last")).alias("shard"), "block", "id", "v")
-    dealt = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def search(queries: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(shard):
-            row = shard.iloc[0]
-            v, graph = unpack(row)
-            norm, ids = np.linalg.norm(v, axis=1), row["ids"]
-            q = np.stack(queries["v"].to_numpy())
-            found = graph.search((q / np.linalg.norm(q, axis=1, keepdims=True)).astype(np.float32), min(4 * k, len(v)))
-            for name, x, near in zip(queries["id"].tolist(), q, found, strict=True):
+    sent = asks.join(shards, "dim").select("dim", F.explode(F.sequence(F.lit(0), "last")).alias("shard"), "id", "v")
+    graphs = index.withColumns({"id": F.lit(None).cast("long"), "v": F.lit(None).cast("array<double>"), "asks": F.lit(False)})
+    queries = sent.withColumns({c: F.lit(None).cast(index.schema[c].dataType) for c in ("ids", "vectors", "levels")} | {"asks": F.lit(True)})
+    # A shard's graph comes first in its partition; its queries stream past it.
+    dealt = graphs.unionByName(queries).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "asks").select("dim", "ids", "vectors", "levels", "id", "v", "asks")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = graph = ids = None
+
+        def answers(part: pa.RecordBatch) -> pa.RecordBatch:
+            names, flat = part["id"].to_pylist(), part["v"].flatten().to_numpy()
+            q, out = flat.reshape(len(names), -1), []
+            found = graph.search(unit(q), min(4 * k, len(v)), beam_of(q.shape[1]))
+            for name, x, near in zip(names, scaled(q), found, strict=True):
                 near = near[near >= 0]
                 scores = (v[near] @ x) / (norm[near] * np.linalg.norm(x))
                 each = sorted((-s, i) for s, p in zip(scores.tolist(), near.tolist(), strict=True) for i in ids[p] if i != name)
                 out += [(name, i, -s) for s, i in each[:k]]
-        return pd.DataFrame(out, columns=["query_id", "id", "score"])
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "id", "score"])
+
+        for batch in batches:
+            asked = batch["asks"].to_numpy(zero_copy_only=False)
+            for start, end in _runs(asked):
+                if asked[start]:
+                    for at in range(start, end, BLOCK):
+                        yield answers(batch.slice(at, min(BLOCK, end - at)))
+                else:  # of graphs in a row the last one is asked
+                    row = end - 1
+                    ids = batch["ids"][row].as_py()
+                    v, graph = unpack(batch["dim"][row].as_py(), batch["vectors"][row].as_py(), batch["levels"][row].as_py())
+                    norm = np.linalg.norm(v, axis=1)
 
-    keys = ["dim", "shard", "block"]
-    found = sent.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(search, "query_id long, id long, score double")
+    small_batches(vectors.sparkSession)
+    found = dealt.mapInArrow(search, "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+
+
+def _runs(flags: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where runs of equal flags start and end."""
+    cuts = [0, *(np.flatnonzero(flags[1:] != flags[:-1]) + 1).tolist(), len(flags)]
+    yield from zip(cuts, cuts[1:]) if len(flags) else ()

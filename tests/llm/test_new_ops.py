@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import importance, merkle, ranks, url_filter
+from quire.llm import hnsw, importance, merkle, ranks, url_filter
 from tests.llm.test_corpus_ops import ODD, SCHEMA
 
 
@@ -235,3 +235,38 @@ def test_manifest_of_odd_rows(spark, odd):
     assert merkle.manifest(docs.filter("false")).count() == 0
     same = as_manifest(spark, [(1, "a", "en", 1, "Same")] * 40)
     assert Counter(map(tuple, merkle.manifest(same).collect())) == Counter(brute_manifest([(1, "a", "en", 1, "Same")] * 40))
+
+
+# Nearest neighbours: what the index promises at its full size
+
+
+@pytest.mark.parametrize(("dim", "clusters"), [(64, 0), (128, 0), (384, 0), (128, 64)])
+def test_recall_of_a_full_shard(dim, clusters):
+    r = np.random.default_rng(dim)
+    v = r.standard_normal((hnsw.SHARD, dim))
+    if clusters:
+        v = r.standard_normal((clusters, dim))[r.integers(0, clusters, len(v))] + 0.3 * v
+    u = hnsw.unit(v)
+    found = hnsw.Graph.build(u).search(u[:164], 20, hnsw.beam_of(dim))
+    best = np.argsort(-(u[:164] @ u.T), 1)[:, :6]
+    hits = sum(len(set(a[:6].tolist()) & set(b.tolist())) for a, b in zip(found, best, strict=True))
+    assert hits >= 0.94 * 6 * 164
+
+
+def test_nearest_of_huge_and_tiny_vectors(spark, monkeypatch):
+    """Squares that overflow or vanish, over several shards and lengths."""
+    monkeypatch.setattr(hnsw, "SHARD", 8)
+    monkeypatch.setattr(hnsw, "BLOCK", 3)
+    r = np.random.default_rng(3)
+    rows = [(i, (r.standard_normal(3) * 10.0 ** r.choice([-300, -200, 0, 200, 300])).tolist()) for i in range(60)] + [(100 + i, [float(i + 1), 1e200]) for i in range(5)]
+    rows += [(200, [5e-324, 0.0, 0.0]), (201, [1.7e308, 0.0, 0.0])]
+    got = defaultdict(list)
+    for x in hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=5).orderBy("query_id", "rank").collect():
+        got[x.query_id].append((x.vec_id, x.score))
+    known = {i: np.array(v) / np.abs(v).max() for i, v in rows}
+    assert set(got) == {i for i in known if i % 5 == 0}
+    for q, found in got.items():
+        score = {i: float(known[q] @ v / np.linalg.norm(known[q]) / np.linalg.norm(v)) for i, v in known.items() if i != q and len(v) == len(known[q])}
+        want = sorted(score, key=lambda i: (-round(score[i], 11), i))[:5]
+        assert [round(s, 9) for _, s in found] == [round(score[i], 9) for i in want]
+        assert all(abs(s - score[i]) < 1e-12 for i, s in found)
