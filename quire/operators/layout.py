@@ -6,7 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.text import is_blank, is_toc_page, is_toc_title
+
 LEAST_CHARS, MOST_COLUMNS, LEVELS, CODE_SHARE = 40, 3, 6, 0.9
+#: Rows and columns of a table, and points of an image's sides, at least.
+LEAST_CELLS, LEAST_SIDE = 2, 24
 
 
 def probe(spans: DataFrame) -> DataFrame:
@@ -81,3 +85,31 @@ def reading_order(items: DataFrame) -> DataFrame:
     """Adds ``pos``: items of a page from top to bottom and left to right, ties
     in the order they were found (``found``)."""
     return items.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("y0", "x0", "found")) - 1)
+
+
+def page_items(blocks: DataFrame, tables: DataFrame, images: DataFrame) -> DataFrame:
+    """One ordered stream of items a page: doc_id, page, pos, kind (table, image
+    or prose), found (the item's number among those of its kind), x0, y0.
+
+    ``blocks``, ``tables`` and ``images``: doc_id, page, found, x0, y0, x1, y1;
+    tables also rows and cols. Tables of less than two rows or columns are none,
+    and images with a side of less than 24 points are ornaments; prose whose box
+    meets a table's is that table's text. At one place tables come first, then
+    images, then prose."""
+    grids = tables.filter((F.col("rows") >= LEAST_CELLS) & (F.col("cols") >= LEAST_CELLS))
+    seen = images.filter((F.col("x1") - F.col("x0") >= LEAST_SIDE) & (F.col("y1") - F.col("y0") >= LEAST_SIDE))
+    prose = outside_tables(blocks, grids)
+    parts = [rows.select("doc_id", "page", "x0", "y0", "found", F.lit(kind).alias("kind"), F.lit(rank).alias("_rank")) for rank, (kind, rows) in enumerate((("table", grids), ("image", seen), ("prose", prose)))]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    place = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("y0", "x0", "_rank", "found")) - 1
+    return every.select("doc_id", "page", place.alias("pos"), "kind", "found", "x0", "y0")
+
+
+def leader_pages(lines: DataFrame) -> DataFrame:
+    """doc_id, page, titled, leader of each page, as ``contents_pages`` takes
+    them. ``lines``: doc_id, page, pos, text. A page is titled if its first line
+    that isn't blank names a table of contents, and leader-like by the share of
+    its lines that are entries."""
+    listed = lines.groupBy("doc_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("lines"))
+    first = F.try_element_at(F.filter("lines", lambda x: ~is_blank(x)), F.lit(1))
+    return listed.select("doc_id", "page", F.coalesce(is_toc_title(first), F.lit(False)).alias("titled"), is_toc_page(F.col("lines")).alias("leader"))

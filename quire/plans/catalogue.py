@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quire.plans import documents, edits, glossary, render, store, translation
+from quire.plans import documents, edits, glossary, pages, render, store, streams, translation
 
-MODULES = (documents, glossary, translation, store, render, edits)
+MODULES = (documents, glossary, translation, store, render, edits, pages, streams)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

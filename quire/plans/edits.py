@@ -175,9 +175,11 @@ def q80_create_projects(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q81_contents_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines with leaders and a page number behind those of even length."""
+    """Lines with leaders and a page number, of three scripts, behind those of
+    even length."""
     lines = documents(spark, sf).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    shown = F.when(F.length("line") % 2 == 0, F.concat("line", F.lit(" .... 12"))).otherwise(F.col("line"))
+    page = F.element_at(F.array(F.lit(" .... 12"), F.lit(" .... ۱۲"), F.lit(" .... ١٢")), (F.length("line") % 3 + 1).cast("int"))
+    shown = F.when(F.length("line") % 2 == 0, F.concat("line", page)).otherwise(F.col("line"))
     return lines.groupBy("doc_id").agg(F.count_if(T.is_toc_line(shown)).alias("entries"), F.count_if(T.is_toc_title(F.col("line"))).alias("titles"))
 
 
@@ -259,8 +261,8 @@ ORACLES = {
     "q80_create_projects": """WITH n AS (SELECT c_name, row_number() OVER (PARTITION BY c_custkey % 2000 ORDER BY c_custkey) = 1 AND c_custkey % 2000 NOT IN (SELECT s_suppkey FROM supplier) AS fresh FROM customer)
         SELECT CASE WHEN fresh THEN 'created' ELSE 'refused' END AS outcome, count(*) AS n, min(c_name) AS first_name FROM n GROUP BY ALL
         UNION ALL SELECT 'kept', count(*), min(s_name) FROM supplier""",
-    "q81_contents_lines": f"""WITH {LINES}, s AS (SELECT doc_id, line, CASE WHEN length(line) % 2 = 0 THEN line || ' .... 12' ELSE line END AS shown FROM lines)
-        SELECT doc_id, count(*) FILTER (regexp_matches(shown, '^.{{1,120}}?[ \\t.․·]{{2,}}[0-9]{{1,4}}\\s*$')) AS entries, count(*) FILTER (lower(trim(line)) IN ('contents', 'table of contents', 'toc')) AS titles FROM s GROUP BY doc_id""",
+    "q81_contents_lines": f"""WITH {LINES}, s AS (SELECT doc_id, line, CASE WHEN length(line) % 2 = 0 THEN line || [' .... 12', ' .... ۱۲', ' .... ١٢'][length(line) % 3 + 1] ELSE line END AS shown FROM lines)
+        SELECT doc_id, count(*) FILTER (regexp_matches(shown, '^.{{1,120}}?[ \\t.․·]{{2,}}\\p{{Nd}}{{1,4}}\\s*$')) AS entries, count(*) FILTER (lower(trim(line)) IN ('contents', 'table of contents', 'toc')) AS titles FROM s GROUP BY doc_id""",
     "q82_allowed_stages": """SELECT CASE o_orderstatus WHEN 'O' THEN 'review' WHEN 'F' THEN 'failed' ELSE 'created' END AS stage, o_orderstatus IN ('O', 'F') AS allowed, CASE WHEN o_orderstatus IN ('O', 'F') THEN 'review' END AS next_stage, count(*) AS n FROM orders GROUP BY ALL""",
     "q83_run_stats": """SELECT l_suppkey, count(*) AS queued, count(*) FILTER (l_returnflag = 'A') AS done, count(*) FILTER (l_returnflag NOT IN ('A', 'R')) AS skipped, count(*) FILTER (l_returnflag = 'R') AS failed,
         CAST(sum(l_linenumber) AS BIGINT) AS requests, CAST(sum(CAST(floor(l_quantity) AS BIGINT) + 1) AS BIGINT) AS tokens, round(sum(l_tax), 4) AS cost_usd FROM lineitem GROUP BY l_suppkey""",

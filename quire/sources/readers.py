@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quire.functions.text import asset_id, decoded, file_format, node_id
+from quire.functions.text import asset_id, decoded, file_format, node_id, normal_path
 from quire.sources.blocks import NODE_SCHEMA, PARSERS, node_rows
 
 #: The kind of the node that stands for what can't be read.
@@ -68,9 +68,34 @@ def stage_assets(blobs: DataFrame) -> DataFrame:
 
 
 def resolve_images(nodes: DataFrame, files: DataFrame) -> DataFrame:
-    """doc_id, node_id, src, path: local images of nodes, found among files of
-    the document (doc_id, path) by their name; remote and inline ones are not."""
-    images = nodes.select("doc_id", "node_id", F.explode("images").alias("i")).select("doc_id", "node_id", F.col("i.src").alias("src"))
-    local = images.filter(~F.coalesce("src", F.lit("")).rlike("^(https?:|data:|$)")).withColumn("base", F.element_at(F.split("src", "/"), -1))
-    named = files.select("doc_id", "path", F.element_at(F.split("path", "/"), -1).alias("base"))
-    return local.join(named, ["doc_id", "base"]).select("doc_id", "node_id", "src", "path")
+    """One row per image of a node: doc_id, node_id, image (its place), src,
+    path: the file that it names, null where there is none.
+
+    ``nodes``: doc_id, node_id, images and, if known, base (the path of the file
+    that they come from); ``files``: doc_id, path. Sources are decoded, cut at
+    ``?`` and ``#`` and taken from the base's folder; remote and inline ones are
+    looked up nowhere. Files of the image's own name meet it by an equi join;
+    the one at just that path wins, then the one that shares most path parts
+    from the end, then the first by path."""
+    base = F.regexp_extract(F.coalesce("base", F.lit("")), r"^(.*/)?[^/]*$", 1) if "base" in nodes.columns else F.lit("")
+    images = nodes.select("doc_id", "node_id", base.alias("folder"), F.posexplode("images").alias("image", "i")).select("doc_id", "node_id", "image", "folder", F.col("i.src").alias("src"))
+    remote = F.coalesce("src", F.lit("")).rlike("(?i)^(https?:|data:|//|$)")
+    bare = F.regexp_replace(F.coalesce("src", F.lit("")), "[?#].*$", "")
+    plain = F.coalesce(F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B"))), bare)
+    target = normal_path(F.when(F.startswith(plain, F.lit("/")), plain).otherwise(F.concat("folder", plain)))
+    asked = images.withColumn("target", F.when(~remote, target)).withColumn("name", F.nullif(F.element_at(F.split("target", "/"), -1), F.lit("")))
+    named = files.select("doc_id", "path", normal_path(F.col("path")).alias("place")).distinct().withColumn("name", F.element_at(F.split("place", "/"), -1))
+    ends = F.zip_with(F.reverse(F.split("target", "/")), F.reverse(F.split("place", "/")), lambda a, b: F.coalesce(a == b, F.lit(False)))
+    shared = F.aggregate(ends, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, same: F.struct(F.when(s["on"] & same, s["n"] + 1).otherwise(s["n"]).alias("n"), (s["on"] & same).alias("on")))["n"]
+    met = asked.join(named, ["doc_id", "name"]).withColumns({"far": F.when(F.col("target") == F.col("place"), 0).otherwise(1), "shared": shared})
+    best = met.groupBy("doc_id", "node_id", "image").agg(F.min(F.struct("far", (-F.col("shared")).alias("_"), "path")).alias("best"))
+    return asked.select("doc_id", "node_id", "image", "src").join(best.select("doc_id", "node_id", "image", "best.path"), ["doc_id", "node_id", "image"], "left")
+
+
+def with_assets(nodes: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Nodes whose images are those that were resolved, ``src`` being the file's
+    path; the others are dropped, as a renderer has nothing to show for them."""
+    found = resolved.filter("path is not null").groupBy("doc_id", "node_id").agg(F.map_from_entries(F.collect_list(F.struct("image", "path"))).alias("_paths"))
+    places = F.transform("images", lambda i, k: F.struct(i.alias("i"), F.element_at("_paths", k).alias("path")))
+    kept = F.transform(F.filter(places, lambda x: x["path"].isNotNull()), lambda x: x["i"].withField("src", x["path"]))
+    return nodes.join(found, ["doc_id", "node_id"], "left").withColumn("images", kept).select(*nodes.columns)
