@@ -4,7 +4,9 @@ Five stages, each on all that its predecessor kept: documents scored toxic go;
 of equal texts one stays; of near duplicates (five-word shingles, similarity of
 0.8 or more) one stays; sources are mixed to their target weights along the
 curriculum; and the stream is packed into windows of 2048 tokens. All but the
-last return the columns of ``documents``."""
+last return the columns of ``documents``, with whatever others came along: they
+are carried through, and their names may be those that operators use themselves.
+An empty table goes through every stage as an empty one."""
 
 from __future__ import annotations
 
@@ -27,26 +29,32 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id. Null counts as empty text; a
-    null id stays only where its group has no other; of repeated rows one stays."""
+    null id stays only where its group has no other; of repeated rows one stays;
+    very long texts are compared whole; an empty table gives an empty one."""
     return drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by 0.8 or more of their five-word shingles, the one
     with the smallest id. Null, empty and wordless texts stay; a text of fewer
-    words is one shingle; very long texts are compared whole."""
+    words is one shingle; very long texts are compared whole; rows that repeat
+    an id and a text stay or go together; an empty table gives an empty one."""
     return drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in training order, each as often as its source's target
-    takes it. A null source is a source; documents without words come once."""
+    takes it. A null source is a source; documents without words come once; rows
+    that repeat are documents of their own; very long texts are counted whole
+    and taken whole; an empty table gives an empty one."""
     return training_stream(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the token stream in windows of 2048. Null and empty texts are
-    the end id alone; repeated and null ids are documents of their own."""
+    the end id alone; repeated and null ids are documents of their own; very
+    long texts are cut over as many windows as they fill; an empty table gives
+    no piece. Other columns are not read."""
     return pack_documents(docs)
 
 

@@ -7,8 +7,9 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: ASCII white space, as the word definitions of the corpus queries have it.
 ASCII_WORD = r"[^\x20\x09-\x0D]+"
@@ -99,28 +100,32 @@ def bounded_sample(marks: DataFrame, texts: DataFrame, per_label: int, max_chars
     are an error.
 
     ``marks``: id, label. ``texts``: id, text. Null and empty texts are left
-    out. Only ids, lengths and the chosen texts reach the driver."""
+    out, and of rows that repeat an id and a text all but one, before anything
+    leaves the tasks; of a label the first ``2 * per_label`` texts are looked
+    at, and only their ids, lengths and hashes, then the chosen texts, reach the
+    driver."""
     counts = {r["label"]: r["count"] for r in marks.groupBy("label").count().limit(MOST_LABELS + 1).collect()}
     if len(counts) > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} different labels")
-    max_chars = min(max_chars, SAMPLE_TOTAL // max(len(counts), 1))
+    if not counts:
+        return []
+    max_chars = min(max_chars, SAMPLE_TOTAL // len(counts))
+    spark, label_type = marks.sparkSession, marks.schema["label"].dataType
+    shares = spark.createDataFrame([(label, min(1.0, per_label / n)) for label, n in counts.items()], StructType([StructField("label", label_type), StructField("share", DoubleType())]))
     spread = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.lit(0.0)
-    for label, n in counts.items():
-        share = F.when(F.col("label") == label, F.lit(min(1.0, per_label / n))).otherwise(share)
-    chosen = marks.withColumn("spread", spread).filter(F.col("spread") < share)
-    sized = texts.join(F.broadcast(chosen), "id").select("id", "label", "spread", F.length("text").alias("n")).filter("n > 0")
-    left = {label: [per_label * 2, max_chars] for label in counts}
+    chosen = marks.join(F.broadcast(shares), "label").withColumn("spread", spread).filter("spread < share").drop("share")
+    sized = texts.join(F.broadcast(chosen), "id").select("id", "label", "spread", F.length("text").alias("n"), F.xxhash64("text").alias("h"))
+    each = sized.filter((F.col("n") > 0) & (F.col("n") <= max_chars)).distinct()
+    place = F.row_number().over(Window.partitionBy("label").orderBy("spread", "id", "n", "h"))
+    seen = each.withColumn("place", place).filter(F.col("place") <= 2 * per_label).orderBy("spread", "id", "n", "h").collect()
+    left = dict.fromkeys(counts, max_chars)
     ids = []
-    for r in sorted(sized.collect(), key=lambda r: (r["spread"], r["id"], r["n"])):
-        room = left[r["label"]]
-        if room[0] > 0 and r["n"] <= room[1]:
-            room[0] -= 1
-            room[1] -= r["n"]
-            ids.append((r["id"], r["label"]))
+    for r in seen:
+        if r["n"] <= left[r["label"]]:
+            left[r["label"]] -= r["n"]
+            ids.append((r["id"], r["label"], r["h"]))
     if not ids:
         return []
-    spark = marks.sparkSession
-    wanted = spark.createDataFrame(list(dict(ids).items()), marks.select("id", "label").schema)
-    found = texts.join(F.broadcast(wanted), "id").filter("length(text) > 0").select("id", "label", "text").collect()
+    wanted = spark.createDataFrame(ids, each.select("id", "label", "h").schema)
+    found = texts.withColumn("h", F.xxhash64("text")).join(F.broadcast(wanted), ["id", "h"]).dropDuplicates(["id", "h", "label"]).select("id", "label", "text").collect()
     return [(r["label"], r["text"]) for r in sorted(found, key=lambda r: (r["id"], r["text"]))]

@@ -77,7 +77,8 @@ def place(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     Null text and text without words have size 0 and nothing is taken of them.
     A null source is a source. Null ids come first. Rows that repeat an id are
     rows of their own, in the order of their sizes. An empty table gives an
-    empty result. Names cannot clash: input columns live in ``row``.
+    empty result. Very long texts are counted whole. Names cannot clash: input
+    columns live in ``row``.
     """
     # Rows without an id are spread by their texts.
     h = F.md5(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("~"), F.col(text_col)), F.lit("")).cast("binary"))

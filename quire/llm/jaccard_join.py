@@ -339,15 +339,16 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     reachable by links, itself included).
 
     Null texts and texts without words have no shingle and link with nothing.
-    Rows that repeat an id are compared each; a null id never is the smallest
-    unless a component has no other. An empty table gives an empty result;
-    other columns are not read."""
+    Very long texts are compared whole. Rows that repeat an id are compared each;
+    a null id never is the smallest unless a component has no other. Ids are
+    integers: others are cast to long, and what is no number is an error where
+    ANSI mode is on, else a null id. An empty table gives an empty result; other
+    columns are not read."""
     each, sets = group_sets(docs, id_col, text_col, words, percent)
-    return each.join(sets.select("key", "comp_id"), "key", "left").select(
-        F.col("id").alias(id_col),
-        F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("comp_id")).alias("component_id"),
-    )
+    n = F.col("n").cast("long").alias("n_shingles")
+    linked = each.filter("key is not null").join(sets.select("key", "comp_id"), "key").select(F.col("id").alias(id_col), n, F.col("comp_id").alias("component_id"))
+    # Texts without words meet no set, and any number of them no join.
+    return linked.unionByName(each.filter("key is null").select(F.col("id").alias(id_col), n, F.col("id").alias("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -13,7 +13,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import hnsw, importance, merkle, ranks, url_filter
+from quire.llm import hnsw, importance, merkle, ranks, toxicity, url_filter
+from quire.llm.common import bounded_sample
 from tests.llm.test_corpus_ops import ODD, SCHEMA
 
 
@@ -270,3 +271,47 @@ def test_nearest_of_huge_and_tiny_vectors(spark, monkeypatch):
         want = sorted(score, key=lambda i: (-round(score[i], 11), i))[:5]
         assert [round(s, 9) for _, s in found] == [round(score[i], 9) for i in want]
         assert all(abs(s - score[i]) < 1e-12 for i, s in found)
+
+
+# Toxicity, and the samples that classifiers are fitted on
+
+
+def brute_toxicity(text, weights, bias):
+    """Noisy-or over sentences, each the logistic of its different words' weights."""
+    clean, worst = 1.0, None
+    for sentence in re.split(r"[.!?\n\r]+", text.lower()):
+        words = {w for w in re.split(rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", sentence.encode()) if w}
+        if words:
+            p = 1 / (1 + math.exp(-max(-30, min(30, bias + sum(weights.get(w, 0.0) for w in words)))))
+            clean *= 1 - min(p, 1 - 1e-12)
+            worst = p if worst is None else max(worst, p)
+    return 1 - clean, worst
+
+
+def test_toxicity_scores_equal_a_plain_loop(spark):
+    rng = np.random.default_rng(9)
+    names = [b"bad", b"awful", b"fine", "b\u00f6se".encode(), "\u574f".encode(), b"x9", b"ok", b"idiot"]
+    weights = {w: float(rng.normal() * 4) for w in names}
+    model = toxicity.NoisyOrModel({b"|": -1} | {w: k for k, w in enumerate(names, 1)}, np.r_[0.0, [weights[w] for w in names]], -2.0)
+    said = [w.decode() for w in names] + ["other", "unknown", "B\u00d6SE", "Bad"]
+    texts = ["", "...", "!?\n\r", "bad bad bad", "Bad. bad! BAD?", "bad, awful; \u574f.", "a\x00bad\x1fawful", "b\u00f6se\u2026 \u574f", ". bad", "bad .", "idiot" * 3, "x9x9 x9", "bad " * 250_000 + ". fine"]
+    texts += ["".join(rng.choice([*said, " ", ". ", "\n", "? ", ", "]) + rng.choice([" ", ""]) for _ in range(rng.integers(1, 60))) for _ in range(200)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(900, None)]
+    for r in toxicity.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), model).collect():
+        score, worst = brute_toxicity(rows[min(r.doc_id, len(texts))][1] or "", weights, -2.0)
+        assert r.score == pytest.approx(score, abs=1e-9) and r.predicted == int(score >= 0.5)
+        assert (r.worst_sentence is None) == (worst is None)
+
+
+def test_samples_hold_each_text_once(spark):
+    """An id that repeats, with one text or many, stays within the bounds."""
+    texts = spark.range(6000).selectExpr("id % 3 as id", "case when id % 3 = 0 then 'same' else concat('text ', id) end as text").unionByName(spark.createDataFrame([(3, None), (4, ""), (5, "long" * 300)], "id long, text string"))
+    marks = spark.createDataFrame([(0, "a"), (1, "b"), (2, "b"), (3, "a"), (4, "a"), (5, "c")], "id long, label string")
+    got = bounded_sample(marks, texts, 40, 1000)
+    count = Counter(label for label, _ in got)
+    assert [t for label, t in got if label == "a"] == ["same"] and count["c"] == 0
+    assert 1 < count["b"] <= 80 and sum(len(t) for label, t in got if label == "b") <= 1000
+    assert len(set(got)) == len(got)
+    assert bounded_sample(marks.filter("false"), texts, 40, 1000) == []
+    with pytest.raises(ValueError, match="labels"):
+        bounded_sample(spark.range(10_001).selectExpr("id", "id as label"), texts, 1, 10)
