@@ -435,3 +435,61 @@ def test_merge_takes_the_images_along(spark):
     n = spark.createDataFrame(rows, "doc_id string, node_id string, parent_id string, child_idx int, text string, images array<string>")
     got = {r.node_id: (r.text, r.images) for r in tree.merge_with_next(n, spark.createDataFrame([("d", "a")], "doc_id string, node_id string")).collect()}
     assert got == {"a": ("A B", ["x", "y", "z"]), "c": (None, None)}
+
+
+def test_paths_and_image_files(spark):
+    paths = ["a/./b//c", "a/../b", "../x", "a/../../x/.", "\\win\\..\\f", "", "..", "a/.."]
+    assert [one(spark, T.normal_path(F.lit(p))) for p in paths] == ["a/b/c", "b", "../x", "../x", "f", "", "..", ""]
+    image = "array<struct<src:string,alt:string,caption:string>>"
+    srcs = ["pics/a.png", "../pics/a.png", "a.png", "data:image/png;base64,x", "none.png", "HTTPS://x/a.png", None, "b+c%20d.png", "b%zz.png"]
+    n = spark.createDataFrame([("d", "n", "t/book.md", [(s, "x", None) for s in srcs]), ("e", "n", None, [("pics/a.png", None, None)])], f"doc_id string, node_id string, base string, images {image}")
+    files = spark.createDataFrame([("d", p) for p in ("t/pics/a.png", "pics/a.png", "other/a.png", "t/b+c d.png", "q/b%zz.png")], "doc_id string, path string")
+    found = readers.resolve_images(n, files)
+    got = {(r.doc_id, r.image): r.path for r in found.collect()}
+    assert [got["d", k] for k in range(len(srcs))] == ["t/pics/a.png", "pics/a.png", "other/a.png", None, None, None, None, "t/b+c d.png", "q/b%zz.png"]
+    assert got["e", 0] is None and len(got) == len(srcs) + 1
+    shown = {r.doc_id: r.images for r in readers.with_assets(n, found).collect()}
+    assert [i.src for i in shown["d"]] == ["t/pics/a.png", "pics/a.png", "other/a.png", "t/b+c d.png", "q/b%zz.png"] and shown["e"] == []
+
+
+def test_contents_pages_by_ratio(spark):
+    page = lambda *lines: one(spark, T.is_toc_page(F.array(*map(F.lit, lines))))
+    assert page("One ... 1", "", "Two     2", "Three\t\t۱۲", "prose") and not page("One ... 1", "Two ... 2", " ")
+    assert not page("One ... 1", "Two ... 2", "prose", "prose", "prose")
+
+
+def test_page_items(spark):
+    box = "doc_id int, page int, found int, x0 double, y0 double, x1 double, y1 double"
+    t = spark.createDataFrame([(1, 1, 0, 0.0, 50.0, 100.0, 80.0, 2, 2), (1, 1, 1, 0.0, 0.0, 100.0, 9.0, 1, 5)], box + ", rows int, cols int")
+    i = spark.createDataFrame([(1, 1, 0, 0.0, 90.0, 24.0, 114.0), (1, 1, 1, 0.0, 0.0, 90.0, 23.0)], box)
+    b = spark.createDataFrame([(1, 1, 0, 0.0, 0.0, 9.0, 9.0), (1, 1, 1, 5.0, 60.0, 9.0, 70.0), (1, 1, 2, 0.0, 90.0, 9.0, 99.0)], box)
+    assert [(r.kind, r.found) for r in layout.page_items(b, t, i).orderBy("pos").collect()] == [("prose", 0), ("table", 0), ("image", 0), ("prose", 2)]
+
+
+def test_replies_of_a_wrong_shape_are_halved(spark):
+    df = spark.createDataFrame([(1, [("a", "x"), ("b", "y"), ("c", "z")])], "k int, items array<struct<id:string,source:string>>")
+    for bad in (None, [], ["only one"], 7):
+        rows = B.translate_batches(df, lambda texts, bad=bad: [t + "!" for t in texts] if len(texts) == 1 else bad, ["k"]).collect()
+        assert {r.id: r.target_text for r in rows} == {"a": "x!", "b": "y!", "c": "z!"} and sum(r.requests for r in rows) == 5
+
+
+def test_scratch_tables_are_removed(spark):
+    import os
+
+    from quire.functions import storage
+
+    with storage.scratch_tables(spark):
+        kept = storage.saved(spark.range(3), "t")
+        assert kept.count() == 3
+        path = storage._WRITTEN[-1]
+    assert not os.path.exists(path) and path not in storage._WRITTEN
+
+
+def test_catalogues_and_kinds(spark):
+    many = spark.range(agents.MOST_PRESETS + 1).selectExpr("cast(id as string) as id", "'n' as name", "'d' as description")
+    with pytest.raises(ValueError, match="presets"):
+        agents.preset_catalogue(many)
+    assert agents.preset_catalogue(many.limit(1)).startswith("* ")
+    df = spark.createDataFrame([("k", "code", "fooBar"), ("k", "quote", "barFoo")], "k string, kind string, text string")
+    assert {r.term for r in G.code_identifiers(df, "k", kinds=("code", "paragraph", "heading")).collect()} == {"fooBar"}
+    assert one(spark, prompts.data_url(F.lit("ab").cast("binary"), F.lit("image/png"))) == "data:image/png;base64,YWI="
