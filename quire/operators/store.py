@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.storage import saved
+
+#: Folders of a table of trees.
+BUCKETS = 256
 #: From which stages an action may start, and where it leads.
 TRANSITIONS = [
     ("ingest", ("created", "failed"), "structure_review"),
@@ -87,10 +91,20 @@ def stage_violations(events: DataFrame, key: str, order: list[str], stage: str,
     return checked.join(F.broadcast(pairs.withColumnRenamed("to_stage", stage)), ["from_stage", stage], "left_anti")
 
 
-def write_tree(nodes: DataFrame, path: str) -> None:
-    """Write node tables, one folder for each document and variant; those that
-    the rows name are replaced, others stay."""
-    nodes.repartition("doc_id", "variant").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id", "variant").parquet(path)
+def write_tree(nodes: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Write node tables; the documents and variants that the rows name are
+    replaced, others stay. Documents lie in ``buckets`` folders by a hash of
+    their id, however many there are; only the folders of those that are written
+    are read and replaced. ``buckets`` must be the same at every write."""
+    spark = nodes.sparkSession
+    new = saved(nodes.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")), "tree")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most ``buckets``
+        old = spark.read.schema(new.schema).parquet(path).filter(F.col("bucket").isin(*touched))
+        named = new.select("doc_id", "variant").distinct()
+        new = saved(old.join(named, ["doc_id", "variant"], "left_anti").select(*new.columns).unionByName(new), "tree")
+    new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def run_stats(segments: DataFrame, key: str) -> DataFrame:

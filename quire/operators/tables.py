@@ -26,8 +26,8 @@ def to_markdown(rows: Column) -> Column:
 def from_markdown(text: Column) -> Column:
     """array<array<string>>: pipe rows without rules, split at bars that are not
     escaped."""
-    rows = F.filter(F.split(text, "\n"), lambda x: F.trim(x).startswith("|") & ~F.trim(x).rlike(r"^\|(\s*:?-{2,}:?\s*\|)+$"))
-    inner = F.transform(rows, lambda x: F.regexp_replace(F.trim(x), r"^\||(?<!\\)\|$", ""))
+    rows = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x.rlike(r"^\|(?!(?:\s*:?-{2,}:?\s*\|)+$)"))
+    inner = F.transform(rows, lambda x: F.regexp_replace(x, r"^\||(?<!\\)\|$", ""))
     return F.transform(inner, lambda x: F.transform(F.split(x, r"(?<!\\)\|"), lambda c: F.replace(F.trim(c), F.lit("\\|"), F.lit("|"))))
 
 

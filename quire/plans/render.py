@@ -46,9 +46,11 @@ def q45_inline_escapes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _attributed(spark: SparkSession, sf: str) -> DataFrame:
-    """Without the marks of the inline dialect, which SQL does not parse."""
-    n = nodes(spark, sf).withColumn("text", F.translate("text", "*`", ""))
-    return n.withColumns({"parent_id": F.lit(None).cast("string"), "attrs": F.create_map().cast("map<string,string>")})
+    """Lines as a whole in a form of the inline dialect, by their lengths."""
+    plain = F.translate("text", "*`", "")
+    form, link = F.length(plain) % 5, F.concat(F.lit("["), plain, F.lit("](http://x/"), F.col("pos").cast("string"), F.lit("?a=1&b=2)"))
+    marked = F.when((plain == "") | (form == 0), plain).when(form == 1, F.concat(F.lit("**"), plain, F.lit("**"))).when(form == 2, F.concat(F.lit("*"), plain, F.lit("*"))).when(form == 3, F.concat(F.lit("`"), plain, F.lit("`"))).when(plain.contains("]"), plain).otherwise(link)
+    return nodes(spark, sf).withColumns({"text": marked, "parent_id": F.lit(None).cast("string"), "attrs": F.create_map().cast("map<string,string>")})
 
 
 def q46_xhtml_body(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,12 +98,22 @@ _HTML = "replace(replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;
 _PLAIN = "translate(text, '*`', '')"
 _ESCAPED = _HTML.replace("line", _PLAIN)
 
+
+def _forms(plain: str, code: str, strong: str, em: str, link: str) -> str:
+    """A line in the form that its length gives it; ``plain`` escaped."""
+    return f"CASE WHEN {_PLAIN} = '' THEN '' ELSE CASE length({_PLAIN}) % 5 WHEN 1 THEN {strong} WHEN 2 THEN {em} WHEN 3 THEN {code} WHEN 4 THEN CASE WHEN contains({_PLAIN}, ']') THEN {plain} ELSE {link} END ELSE {plain} END END"
+
+
+_TYPST = f"regexp_replace({_PLAIN}, '([*_`#@$<>\\[\\]\\\\])', '\\\\\\1', 'g')"
+_XHTML_FORMS = _forms(_ESCAPED, f"'<code>' || {_ESCAPED} || '</code>'", f"'<strong>' || {_ESCAPED} || '</strong>'", f"'<em>' || {_ESCAPED} || '</em>'", f"'<a href=\"http://x/' || pos || '?a=1&amp;b=2\">' || {_ESCAPED} || '</a>'")
+_TYPST_FORMS = _forms(_TYPST, f"'`' || {_PLAIN} || '`'", f"'*' || {_TYPST} || '*'", f"'_' || {_TYPST} || '_'", f"'#link(\"http://x/' || pos || '?a=1&b=2\")[' || {_TYPST} || ']'")
+
 ORACLES = {
     "q46_xhtml_body": f"""WITH {NODES}, c AS (SELECT *, sum(CASE WHEN kind = 'heading' AND level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS chapter_no,
-            CASE WHEN kind = 'heading' THEN '<h' || level || '>' || {_ESCAPED} || '</h' || level || '>' WHEN {_PLAIN} <> '' THEN '<p>' || {_ESCAPED} || '</p>' END AS block FROM nodes),
+            CASE WHEN kind = 'heading' THEN '<h' || level || '>' || {_XHTML_FORMS} || '</h' || level || '>' WHEN {_PLAIN} <> '' THEN '<p>' || {_XHTML_FORMS} || '</p>' END AS block FROM nodes),
         b AS (SELECT doc_id, chapter_no, string_agg(block, chr(10) ORDER BY pos) AS body FROM c WHERE block IS NOT NULL GROUP BY ALL)
         SELECT doc_id, CAST(chapter_no AS BIGINT) AS chapter_no, CAST(length(body) AS INT) AS n, md5(body) AS body_md5 FROM b""",
-    "q47_typst_body": f"""WITH {NODES}, t AS (SELECT doc_id, pos, CASE WHEN kind = 'heading' THEN repeat('=', CAST(level AS INT)) || ' ' ELSE '' END || regexp_replace({_PLAIN}, '([*_`#@$<>\\[\\]\\\\])', '\\\\\\1', 'g') AS block FROM nodes),
+    "q47_typst_body": f"""WITH {NODES}, t AS (SELECT doc_id, pos, CASE WHEN kind = 'heading' THEN repeat('=', CAST(level AS INT)) || ' ' ELSE '' END || {_TYPST_FORMS} AS block FROM nodes),
         b AS (SELECT doc_id, string_agg(block, chr(10) || chr(10) ORDER BY pos) AS body FROM t WHERE block <> '' GROUP BY doc_id)
         SELECT doc_id, CAST(length(body) AS INT) AS n, md5(body) AS body_md5 FROM b""",
     "q68_tables_and_figures": """WITH r AS (SELECT n_regionkey AS doc_id, string_agg('<tr><td>' || n_nationkey || '</td><td>' || n_name || ' &amp; co</td></tr>', '' ORDER BY n_nationkey) AS x, string_agg('[' || n_nationkey || '], [' || replace(n_name, '_', '\\_') || ' & co]', ', ' ORDER BY n_nationkey) AS t FROM nation GROUP BY n_regionkey)
