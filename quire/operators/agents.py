@@ -162,28 +162,52 @@ def batch_requests(segments: DataFrame, waiting: DataFrame, terms: DataFrame | N
     return listed.join(held, [key, "batch"], "left")
 
 
-def translate_run(segments: DataFrame, model: Callable[[str], dict], terms: DataFrame | None = None, ids: DataFrame | None = None, prices: tuple[float, float] = (0.0, 0.0), language: str = "the target language", key: str = "doc_id") -> Run:
+def _asked(segments: DataFrame, model: Callable[[str], dict], terms: DataFrame | None, ids: DataFrame | None, prices: tuple[float, float], language: str, key: str, attempts: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The segments that wait, what the model was asked (blocks and requests,
+    with their cost), and a result per block, checked."""
+    keys = [key, "id"]
+    waiting = store.pending(segments)
+    waiting = waiting if ids is None else only(waiting, ids, keys)
+    batched = batch_requests(segments, waiting.filter(needs_model(F.col("source_text"))), terms, key)
+    answer = with_retries(model, attempts) if attempts > 1 else model
+    rows = saved(requests.run_requests(batched, answer, [key, "batch"], language), "translated")
+    rows = rows.withColumn("cost_usd", cost(F.col("prompt_tokens"), F.col("completion_tokens"), F.lit(prices[0]), F.lit(prices[1])))
+    done = rows.filter("id is not null")
+    pairs = done.filter("target_text is not null").join(segments.select(key, "id", F.col("source_text").alias("source")), keys).withColumnRenamed("target_text", "target")
+    checked = qa.run_qa(pairs, misses=None if terms is None else qa.glossary_misses(pairs, terms, keys), keys=keys).select(*keys, "flags")
+    flags = F.coalesce("flags", F.array().cast("array<string>")).alias("flags")
+    results = done.join(checked, keys, "left").select(*keys, F.col("target_text").alias("new_target"), "prompt_tokens", "completion_tokens", "cost_usd", flags, "error")
+    return waiting, rows, results
+
+
+def run_results(segments: DataFrame, model: Callable[[str], dict], terms: DataFrame | None = None, prices: tuple[float, float] = (0.0, 0.0), language: str = "the target language", attempts: int = 1) -> DataFrame:
+    """What a run over the segments that wait gives for each of them: doc_id,
+    id, new_target, prompt_tokens, completion_tokens, cost_usd, flags, error; a
+    text that needs no model stands for itself. The work of
+    ``streaming.runs.ResultSink`` for a stream of segments."""
+    waiting, _, results = _asked(segments, model, terms, None, prices, language, "doc_id", attempts)
+    nothing = F.lit(0).cast("long")
+    trivial = waiting.filter(~needs_model(F.col("source_text"))).select("doc_id", "id", F.col("source_text").alias("new_target"), nothing.alias("prompt_tokens"), nothing.alias("completion_tokens"), F.lit(0.0).alias("cost_usd"), F.array().cast("array<string>").alias("flags"), F.lit(None).cast("string").alias("error"))
+    return results.unionByName(trivial)
+
+
+def translate_run(
+    segments: DataFrame, model: Callable[[str], dict], terms: DataFrame | None = None, ids: DataFrame | None = None, prices: tuple[float, float] = (0.0, 0.0), language: str = "the target language", key: str = "doc_id", attempts: int = 1
+) -> Run:
     """One run over the segments that wait (of them, those in ``ids``: doc_id,
     id). Texts that need no model are ``skipped`` and stand for themselves; the
     others go out in batches (``requests.run_requests``), are checked and
     recorded, with their share of tokens and its cost at ``prices`` (dollars a
-    million tokens in and out). Running it again takes up what failed.
+    million tokens in and out). A request that fails is sent again, ``attempts``
+    times in all, before its group is halved. Running it again takes up what
+    failed.
 
     ``segments``: doc_id, id, ordinal, source_text, target_text, status,
     attempts, cost_usd, error, locked and, if known, heading_path,
     prompt_tokens, completion_tokens. ``terms``: term, target_form, policy,
     enabled, count. ``model(prompt)``: a dict of text and tokens."""
     keys = [key, "id"]
-    waiting = store.pending(segments)
-    waiting = waiting if ids is None else only(waiting, ids, keys)
-    asked = batch_requests(segments, waiting.filter(needs_model(F.col("source_text"))), terms, key)
-    rows = saved(requests.run_requests(asked, model, [key, "batch"], language), "translated")
-    rows = rows.withColumn("cost_usd", cost(F.col("prompt_tokens"), F.col("completion_tokens"), F.lit(prices[0]), F.lit(prices[1])))
-    done = rows.filter("id is not null")
-    pairs = done.filter("target_text is not null").join(segments.select(key, "id", F.col("source_text").alias("source")), keys).withColumnRenamed("target_text", "target")
-    checked = qa.run_qa(pairs, misses=None if terms is None else qa.glossary_misses(pairs, terms, keys), keys=keys).select(*keys, "flags")
-    flags = F.coalesce("flags", F.array().cast("array<string>")).alias("flags")
-    results = done.join(checked, keys, "left").select(*keys, F.col("target_text").alias("new_target"), "prompt_tokens", "completion_tokens", "cost_usd", flags, "error")
+    waiting, rows, results = _asked(segments, model, terms, ids, prices, language, key, attempts)
     recorded = store.record_translations(segments, results)
     trivial = waiting.filter(~needs_model(F.col("source_text"))).select(*keys, F.lit(True).alias("_trivial")).distinct()
     settled = recorded.join(trivial, keys, "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import escape_html, escape_typst
@@ -35,9 +35,11 @@ def q37_txt_nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q38_markdown_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines as headings, quotes, items or paragraphs; the oracle counts lines."""
-    parsed = parse_nodes(_template(spark, sf, ["# ", "> ", "- "], "\n\n"), "markdown")
-    return parsed.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count_if(F.col("kind") == "heading").alias("headings"), F.count_if(F.col("kind") == "quote").alias("quotes"), F.count_if(F.col("kind") == "list_item").alias("items"))
+    """Lines as headings, quotes, items or paragraphs: each node's kind, level,
+    text and place (lists themselves left out)."""
+    parsed = parse_nodes(_template(spark, sf, ["# ", "> ", "- "], "\n\n"), "markdown").filter("kind <> 'list'")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1
+    return parsed.select(F.col("doc_id").cast("long").alias("doc_id"), place.alias("place"), "kind", F.coalesce("level", F.lit(0)).alias("level"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def q45_inline_escapes(spark: SparkSession, sf: str) -> DataFrame:
@@ -121,7 +123,8 @@ ORACLES = {
                '#figure(table(columns: 2, table.cell(colspan: 2)[*Nations*], ' || t || '), caption: [' || r_name || '])' || chr(10) || '#figure(image("assets/map.png"), caption: [' || r_name || '])' AS typst
         FROM r JOIN region ON r_regionkey = doc_id""",
     "q36_html_nodes": "SELECT page_id, len(regexp_extract_all(html, '<h[1-6][ >]')) AS headings, len(regexp_extract_all(html, '<li[ >]')) AS items FROM pages",
-    "q38_markdown_nodes": f"WITH {LINES} SELECT doc_id, count(*) FILTER (length(line) % 7 = 0) AS headings, count(*) FILTER (length(line) % 7 = 1) AS quotes, count(*) FILTER (length(line) % 7 = 2) AS items FROM lines GROUP BY doc_id",
+    "q38_markdown_nodes": f"""WITH {LINES}, m AS (SELECT doc_id, pos, CASE length(line) % 7 WHEN 0 THEN 'heading' WHEN 1 THEN 'quote' WHEN 2 THEN 'list_item' ELSE 'paragraph' END AS kind, regexp_replace(regexp_replace(line, '[ \\t]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS t FROM lines)
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS place, kind, CASE WHEN kind = 'heading' THEN 1 ELSE 0 END AS level, md5(t) AS text_md5 FROM m WHERE t <> ''""",
     "q45_inline_escapes": f"WITH {LINES} SELECT doc_id, pos, md5({_HTML}) AS xhtml, md5(regexp_replace(line, '([*_`#@$<>\\[\\]\\\\])', '\\\\\\1', 'g')) AS typst FROM lines",
     "q63_epub_books": f"WITH {LINES} SELECT doc_id, count(*) FILTER (regexp_matches(line, '\\S')) AS n FROM lines GROUP BY doc_id",
 }

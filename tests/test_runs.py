@@ -369,3 +369,26 @@ def test_subscribers_have_offsets_of_their_own(spark, tmp_path):
     assert [sorted(seen[k]) for k in ("a", "b", "late")] == [[0, 1, 2, 3], [0, 1, 2, 3], [3]]
     hub.unsubscribe("late")
     assert set(hub.taken) == {"a", "b"}
+
+
+def test_a_translation_runs_as_a_stream(spark, tmp_path):
+    """Requests, retries, checks and commits together, over two micro-batches."""
+    rows = [tuple(r) for r in book(spark, ("Opening line",), ("* * *",), ("poison here",), ("A second line",)).collect()]
+    stream = stream_of(spark, tmp_path / "in", rows, SEGMENT, 2)
+    tries = tmp_path / "tries"
+
+    def model(prompt):
+        if "poison" in prompt:
+            raise ValueError("refused")
+        if not tries.exists():
+            tries.write_text("busy once")
+            raise OSError("busy")
+        return reply_to(prompt)
+
+    terms = spark.createDataFrame([("line", "Zeile", "translate", True, 2)], "term string, target_form string, policy string, enabled boolean, count long")
+    sink = runs.ResultSink(str(tmp_path / "out"), lambda batch: agents.run_results(batch, agents.with_retries(model, 2, sleep=lambda _: None), terms, (10.0, 0.0)))
+    assert runs.run_until_paused(stream, sink, str(tmp_path / "check"))
+    got = {r.id: r for r in sink.segments(spark.createDataFrame(rows, SEGMENT)).collect()}
+    assert [got[f"s{k}"].status for k in range(4)] == ["flagged", "translated", "failed", "flagged"]
+    assert got["s0"].target_text == "[fa] Opening line" and got["s1"].target_text == "* * *" and got["s2"].error == "ValueError: refused"
+    assert sink.usage(spark).agg(F.sum("prompt_tokens"), F.count("id")).first() == (200, 2)
