@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialize, small_batches
+from quire.llm.common import materialize, shuffle_partitions, small_batches
 
 SHARD, BLOCK = 8192, 1024
 LINKS, BEAM_BUILD, BEAM, OPENED = 16, 64, 96, 4
@@ -230,7 +230,9 @@ def build_index(rows: DataFrame, k: int) -> DataFrame:
         flat = [x for nodes, links in graph.levels for x in (nodes.astype(np.int32).tobytes(), links.tobytes())]
         return pd.DataFrame({"dim": pdf["dim"].iloc[:1].to_numpy(), "shard": pdf["shard"].iloc[:1].to_numpy(), "ids": [pdf["ids"].tolist()], "vectors": [v.tobytes()], "levels": [flat]})
 
-    index = placed.select("dim", "shard", "h", "v", "ids").groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, ids array<array<bigint>>, vectors binary, levels array<binary>")
+    # A number of partitions that is given stays: shards are few bytes and much work.
+    dealt = placed.select("dim", "shard", "h", "v", "ids").repartition(shuffle_partitions(rows.sparkSession), "dim", "shard")
+    index = dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, ids array<array<bigint>>, vectors binary, levels array<binary>")
     return materialize(index, "vector-index")
 
 
@@ -262,7 +264,8 @@ def nearest(vectors: DataFrame, every: int, k: int = 5, id_col: str = "vec_id",
     graphs = index.withColumns({"id": F.lit(None).cast("long"), "v": F.lit(None).cast("array<double>"), "asks": F.lit(False)})
     queries = sent.withColumns({c: F.lit(None).cast(index.schema[c].dataType) for c in ("ids", "vectors", "levels")} | {"asks": F.lit(True)})
     # A shard's graph comes first in its partition; its queries stream past it.
-    dealt = graphs.unionByName(queries).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "asks").select("dim", "ids", "vectors", "levels", "id", "v", "asks")
+    parts = shuffle_partitions(vectors.sparkSession)
+    dealt = graphs.unionByName(queries).repartition(parts, "dim", "shard").sortWithinPartitions("dim", "shard", "asks").select("dim", "ids", "vectors", "levels", "id", "v", "asks")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = graph = ids = None
