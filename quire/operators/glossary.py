@@ -188,21 +188,21 @@ def ngrams(df: DataFrame, key: str, text: str = "text", least: int = MIN_COUNT)
 def mine(df: DataFrame, key: str, text: str = "text", least: int = MIN_COUNT) -> DataFrame:
     """One row per term of any heuristic: key, term, count, reason. The largest
     count decides; ties go to the earlier heuristic. All heuristics read a text
-    in one scan, and one aggregation counts them side by side."""
-    reasons = ("capitalized_phrase", "acronym", "code_span", "rare_ngram")
+    in one scan; a digit before each term says whose it is, so that one
+    aggregation counts them all, and only terms that are left meet again."""
+    reasons = F.array(*map(F.lit, ("capitalized_phrase", "acronym", "code_span", "rare_ngram")))
     read, grams = _with_grams(df.select(key, F.col(text).alias("_text")), "_text")
     found = (phrase_terms(F.col("_text")), acronym_terms(F.col("_text")), identifier_terms(F.col("_text")), grams)
 
-    def marked(terms: Column, rank: int) -> Column:
-        none = F.array().cast("array<struct<term:string,rank:int>>")
-        return F.coalesce(F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(rank).alias("rank"))), none)
+    def told(terms: Column, rank: int) -> Column:
+        return F.coalesce(F.transform(terms, lambda t: F.concat(F.lit(str(rank)), t)), F.array().cast("array<string>"))
 
-    rows = read.select(key, F.explode(F.concat(*[marked(c, k) for k, c in enumerate(found)])).alias("t"))
-    rows = rows.select(key, "t.term", "t.rank").filter(F.length("term") >= MIN_LENGTH)
-    counts = rows.groupBy(key, "term").agg(*[F.count(F.when(F.col("rank") == k, True)).alias(r) for k, r in enumerate(reasons)])
-    held = [F.when(F.col(r) >= (least if r == "rare_ngram" else 1), F.struct(F.col(r).alias("count"), F.lit(-k).alias("rank"), F.lit(r).alias("reason"))) for k, r in enumerate(reasons)]
-    best = counts.select(key, "term", F.greatest(*held).alias("best")).filter("best is not null")
-    return best.select(key, "term", "best.count", "best.reason")
+    rows = read.select(key, F.explode(F.concat(*[told(c, k) for k, c in enumerate(found)])).alias("told")).filter(F.length("told") > MIN_LENGTH)
+    counts = rows.groupBy(key, "told").agg(F.count(F.lit(1)).alias("count")).filter((F.col("count") >= least) | ~F.startswith("told", F.lit("3")))
+    rank = F.substring("told", 1, 1).cast("int")
+    each = counts.select(key, F.expr("substring(told, 2)").alias("term"), F.struct("count", (-rank).alias("rank")).alias("c"))
+    best = each.groupBy(key, "term").agg(F.max("c").alias("c"))
+    return best.select(key, "term", "c.count", F.element_at(reasons, 1 - F.col("c.rank")).alias("reason"))
 
 
 def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
