@@ -180,7 +180,7 @@ def test_markdown_blocks():
 def test_html_blocks():
     page = "<html><head><title>T</title></head><body><!-- no --><nav>x<p>menu</p></nav><h1>A <b>b</b></h1><p>one<p>two<pre><code class='c'>k\n</code></pre><ul><li>i<li>j</ul><table><tr><th colspan=2>h</th></tr><tr><td>1</td></tr></table><script>z</script></body></html>"
     got = [(b["kind"], b.get("text") or b.get("items")) for b in blocks.html_blocks(page)]
-    assert got == [("paragraph", "menu"), ("heading", "A b"), ("paragraph", "one"), ("paragraph", "two"), ("code", "k"), ("list", ["i", "j"]), ("table", None)]
+    assert got == [("paragraph", "x"), ("paragraph", "menu"), ("heading", "A b"), ("paragraph", "one"), ("paragraph", "two"), ("code", "k"), ("list", ["i", "j"]), ("table", None)]
     assert blocks.html_title(page) == "T"
 
 
@@ -394,7 +394,7 @@ def test_what_cannot_be_read_is_an_error_node(spark, tmp_path):
     (tmp_path / "d.html").write_text("<div>" * 3000 + "deep")
     got = {r.doc_id: (r.kind, r.text) for r in readers.read_documents(spark, str(tmp_path)).collect()}
     assert got["a"] == ("paragraph", "bad \ufffd byte second line")
-    assert {k: v[0] for k, v in got.items() if k != "a"} == {"b": "error", "c": "error", "d": "error"}
+    assert {k: v[0] for k, v in got.items() if k != "a"} == {"b": "error", "c": "error", "d": "paragraph"} and got["d"][1] == "deep"
     assert got["c"][1] == "unsupported file: c.xyz"
 
 
@@ -493,3 +493,30 @@ def test_catalogues_and_kinds(spark):
     df = spark.createDataFrame([("k", "code", "fooBar"), ("k", "quote", "barFoo")], "k string, kind string, text string")
     assert {r.term for r in G.code_identifiers(df, "k", kinds=("code", "paragraph", "heading")).collect()} == {"fooBar"}
     assert one(spark, prompts.data_url(F.lit("ab").cast("binary"), F.lit("image/png"))) == "data:image/png;base64,YWI="
+
+
+def test_text_outside_blocks_is_kept():
+    page = "<body>top <div>Bare <b>bold</b><p>para</p> tail<br>end</div><a href=x>link <img src=i.png></a><section><span>s</span></section> </body>"
+    got = [(b["kind"], b.get("text")) for b in blocks.html_blocks(page)]
+    assert got == [("paragraph", "top"), ("paragraph", "Bare bold"), ("paragraph", "para"), ("paragraph", "tail end"), ("paragraph", "link"), ("figure", None), ("paragraph", "s")]
+    deep = "<div>" * 5000 + "<p>in</p>out" + "</div>" * 5000
+    assert [b["text"] for b in blocks.html_blocks(deep)] == ["in", "out"]
+
+
+def test_fences_end_at_their_own_mark():
+    md = "~~~ python title=x\na\n```\nb\n~~~\n\n````\n```\nc\n````\n\n```inline``` text\n\n```js\nopen"
+    got = [(b["kind"], b["text"], b.get("attrs", {}).get("language")) for b in blocks.markdown_blocks(md)]
+    assert got == [("code", "a\n```\nb", "python"), ("code", "```\nc", None), ("paragraph", "```inline``` text", None), ("code", "open", "js")]
+
+
+def test_epub_with_a_missing_chapter_and_quoted_names():
+    import io
+    import zipfile
+
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="o/p.opf"/></rootfiles></container>')
+        z.writestr("o/p.opf", '<package><manifest><item id="a" href="ch%201.xhtml"/><item id="b" href="gone.xhtml"/><item id="c" href="c.xhtml"/></manifest><spine><itemref idref="a"/><itemref idref="b"/><itemref idref="c"/></spine></package>')
+        z.writestr("o/ch 1.xhtml", "<html><body><p>one</p></body></html>")
+        z.writestr("o/c.xhtml", "<html><body><p>three</p></body></html>")
+    assert [b["text"] for b in blocks.epub_blocks(data.getvalue())] == ["one", "three"]
