@@ -37,6 +37,10 @@ class EpochTables:
         rows.write.mode("overwrite").parquet(self._path(name, epoch))
         return rows.sparkSession.read.schema(rows.schema).parquet(self._path(name, epoch))
 
+    def remove(self, spark: SparkSession, name: str, epoch: int) -> None:
+        place = spark._jvm.org.apache.hadoop.fs.Path(self._path(name, epoch))
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
     def commit(self, spark: SparkSession, epoch: int) -> None:
         self.write("commits", epoch, spark.range(1).select(F.current_timestamp().alias("at")))
 
@@ -129,6 +133,7 @@ class Hub:
         self.sinks: dict[str, Callable[[DataFrame, int], None]] = {}
         self.taken: dict[str, int] = {}
         self.last = -1
+        self.removed = -1
 
     def subscribe(self, name: str, sink: Callable[[DataFrame, int], None], taken: int | None = None) -> None:
         """``taken``: the offset that an earlier life of the subscriber reached."""
@@ -144,6 +149,9 @@ class Hub:
         self.last = max(self.last, epoch)
         for name in list(self.sinks):
             self._deliver(spark, name)
+        for old in range(self.removed + 1, min(self.taken.values(), default=self.last) + 1):
+            self.tables.remove(spark, "events", old)
+            self.removed = old
 
     def _deliver(self, spark: SparkSession, name: str) -> None:
         for epoch in range(self.taken[name] + 1, self.last + 1):

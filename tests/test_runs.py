@@ -367,6 +367,7 @@ def test_subscribers_have_offsets_of_their_own(spark, tmp_path):
     hub.subscribe("b", b)
     assert runs.run_until_paused(stream, hub, str(tmp_path / "check"))
     assert [sorted(seen[k]) for k in ("a", "b", "late")] == [[0, 1, 2, 3], [0, 1, 2, 3], [3]]
+    assert hub.removed == 3 and not list((tmp_path / "hub" / "events").glob("epoch=*"))
     hub.unsubscribe("late")
     assert set(hub.taken) == {"a", "b"}
 
