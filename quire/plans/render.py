@@ -13,10 +13,13 @@ from quire.sources.readers import parse_nodes
 
 
 def q36_html_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """Nodes of each page by kind; the oracle counts tags."""
+    """Headings and list items of each page: how many, and their kinds, levels
+    and texts in order."""
     p = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("doc_id"), F.col("html").alias("content"))
-    kinds = parse_nodes(p, "html").groupBy("doc_id").agg(F.count_if(F.col("kind") == "heading").alias("headings"), F.count_if(F.col("kind") == "list_item").alias("items"))
-    return kinds.select(F.col("doc_id").cast("long").alias("page_id"), "headings", "items")
+    n = parse_nodes(p, "html").filter(F.col("kind").isin("heading", "list_item"))
+    told = F.concat_ws(" ", F.coalesce(F.col("level").cast("string"), F.lit("-")), "text")
+    pages = n.groupBy("doc_id").agg(F.count_if(F.col("kind") == "heading").alias("headings"), F.count_if(F.col("kind") == "list_item").alias("items"), F.array_sort(F.collect_list(F.struct("pos", told.alias("t")))).alias("l"))
+    return pages.select(F.col("doc_id").cast("long").alias("page_id"), "headings", "items", F.md5(F.array_join(F.transform("l", lambda x: x["t"]), "\n").cast("binary")).alias("texts_md5"))
 
 
 def _template(spark: SparkSession, sf: str, marks: list[str], gap: str) -> DataFrame:
@@ -122,7 +125,9 @@ ORACLES = {
         SELECT doc_id, '<table><caption>' || r_name || '</caption><tr><th colspan="2">Nations</th></tr>' || x || '</table>' || chr(10) || '<figure><img src="../assets/map.png" alt="a map"/><figcaption>' || r_name || '</figcaption></figure>' AS xhtml,
                '#figure(table(columns: 2, table.cell(colspan: 2)[*Nations*], ' || t || '), caption: [' || r_name || '])' || chr(10) || '#figure(image("assets/map.png"), caption: [' || r_name || '])' AS typst
         FROM r JOIN region ON r_regionkey = doc_id""",
-    "q36_html_nodes": "SELECT page_id, len(regexp_extract_all(html, '<h[1-6][ >]')) AS headings, len(regexp_extract_all(html, '<li[ >]')) AS items FROM pages",
+    "q36_html_nodes": r"""WITH e AS (SELECT page_id, regexp_extract_all(html, '(?s)<(?:h[1-6]|li)(?: [^>]*)?>.*?</(?:h[1-6]|li)>') AS e FROM pages),
+        t AS (SELECT page_id, e, list_transform(e, lambda x: CASE WHEN starts_with(x, '<h') THEN x[3:3] ELSE '-' END || ' ' || trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '[ \t\n]+', ' ', 'g'))) AS t FROM e)
+        SELECT page_id, len(list_filter(e, lambda x: starts_with(x, '<h'))) AS headings, len(list_filter(e, lambda x: starts_with(x, '<l'))) AS items, md5(array_to_string(t, chr(10))) AS texts_md5 FROM t WHERE len(e) > 0""",
     "q38_markdown_nodes": f"""WITH {LINES}, m AS (SELECT doc_id, pos, CASE length(line) % 7 WHEN 0 THEN 'heading' WHEN 1 THEN 'quote' WHEN 2 THEN 'list_item' ELSE 'paragraph' END AS kind, regexp_replace(regexp_replace(line, '[ \\t]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS t FROM lines)
         SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS place, kind, CASE WHEN kind = 'heading' THEN 1 ELSE 0 END AS level, md5(t) AS text_md5 FROM m WHERE t <> ''""",
     "q45_inline_escapes": f"WITH {LINES} SELECT doc_id, pos, md5({_HTML}) AS xhtml, md5(regexp_replace(line, '([*_`#@$<>\\[\\]\\\\])', '\\\\\\1', 'g')) AS typst FROM lines",
