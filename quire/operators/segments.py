@@ -10,6 +10,8 @@ from quire.operators import tables
 
 #: Behind the node id of a table, for its caption.
 CAPTION = ":caption"
+#: Columns of nodes that hold units besides the text.
+SLOTTED = {"cells", "images"}
 
 
 def pack_sentences(text: Column, limit: int = MAX_SEGMENT_CHARS) -> Column:
@@ -65,9 +67,17 @@ def build_segments(nodes: DataFrame, limit: int = MAX_SEGMENT_CHARS) -> DataFram
     Captions and alternative texts of ``images`` are units of kind figure behind
     their node's text, of a protected kind's images too."""
     protected = F.col("kind").isin(*PROTECTED_KINDS)
+    if not SLOTTED & set(nodes.columns):
+        units = nodes.filter(~protected & ~is_blank(F.col("text"))).withColumn("_slot", F.lit(0))
+        return _numbered(units, limit)
     slots = nodes.withColumn("_owner", F.col("node_id")).select("doc_id", "pos", "kind", "heading_path", "_owner", F.posexplode(_slots(nodes)).alias("_slot", "_unit"))
     own = F.col("_unit.unit").isin(F.col("_owner"), F.concat("_owner", F.lit(CAPTION)))
     units = slots.filter(~(own & protected) & ~is_blank(F.col("_unit.text"))).select("doc_id", "pos", "_slot", F.col("_unit.unit").alias("node_id"), F.when(own, F.col("kind")).otherwise("figure").alias("kind"), "heading_path", F.col("_unit.text").alias("text"))
+    return _numbered(units, limit)
+
+
+def _numbered(units: DataFrame, limit: int) -> DataFrame:
+    """Units cut into parts and numbered through their document."""
     parts = units.select("doc_id", "pos", "_slot", "node_id", "kind", "heading_path", F.posexplode(pack_sentences(F.col("text"), limit)).alias("part", "source_text"))
     order = Window.partitionBy("doc_id").orderBy("pos", "_slot", "part")
     return parts.withColumns(
@@ -122,6 +132,9 @@ def apply_translations(nodes: DataFrame, segments: DataFrame, translations: Data
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", F.coalesce("target_text", "source_text").alias("text")))), lambda x: x["text"]), " ").alias("merged"),
         F.max(F.col("target_text").isNotNull()).alias("any"),
     )
+    if not SLOTTED & set(nodes.columns):
+        own = merged.filter("any").drop("any")
+        return nodes.join(own, ["doc_id", "pos", "node_id"], "left").withColumn("text", F.coalesce("merged", "text")).select(*nodes.columns)
     # Units of a node meet it at its place, by one join for all its slots.
     units = merged.filter("any").groupBy("doc_id", "pos").agg(F.map_from_entries(F.collect_list(F.struct("node_id", "merged"))).alias("_units"))
     # The text as it was has a name of its own: a column list that replaces
