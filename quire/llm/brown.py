@@ -15,18 +15,21 @@ clustered words and the other words' neighbours by class are summed by tasks,
 then shuffled; only the bigrams of the clustered words (at most
 (CLUSTERED + 2)^2 numbers) and of the classes reach the driver. The most
 frequent words (``DICTIONARY`` at most, none over ``LONGEST`` bytes) go to every
-task with their classes. A rarer word travels once, with the classes around it:
-they give it its class, and with that class the bigrams it stands in. Its count
-and class, and with it the probability of the word behind, wait for a join with
-the table of all words.
+task with their classes. One step hands on the neighbours of all words with
+``ENOUGH`` counts: of those in the dictionary by class, of the others by the
+dictionary's numbers, so that they need not be counted again once the dictionary
+has its classes. These give a rarer word its class, and with that class the
+bigrams it stands in. Its count and class, and with it the probability of the
+word behind, wait for a join with the table of all words.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import compress, repeat
+from dataclasses import dataclass, replace
+from itertools import compress, groupby, repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -238,15 +241,24 @@ class Cells:
         self.held += len(found)
         self.counted += len(word)
 
-    @property
+    def merge(self) -> None:
+        keys, at = np.unique(np.concatenate([p[0] for p in self.parts]), return_inverse=True)
+        counts = np.bincount(at, weights=np.concatenate([p[1] for p in self.parts]), minlength=len(keys))
+        self.parts, self.held = [(keys, counts.astype(np.int64))], len(keys)
+
     def full(self) -> bool:
-        return self.held > HELD_CELLS or self.counted > 1 << 30  # counts are 32 bits
+        """Whether it is time to hand on: summing what is held must make room
+        for a quarter at least, or it would be done too often."""
+        often = self.held > HELD_CELLS
+        if often:
+            self.merge()
+        return often and self.held > HELD_CELLS * 3 // 4 or self.counted > 1 << 30  # counts are 32 bits
 
     def handed(self, rows: int = 20_000) -> Iterator[tuple[np.ndarray, pa.ListArray, pa.ListArray]]:
         if not self.held:
             return
-        keys, at = np.unique(np.concatenate([p[0] for p in self.parts]), return_inverse=True)
-        counts = np.bincount(at, weights=np.concatenate([p[1] for p in self.parts]), minlength=len(keys))
+        self.merge()
+        keys, counts = self.parts[0]
         word, cell = keys // self.width, keys % self.width
         bounds = np.r_[np.flatnonzero(np.r_[True, np.diff(word) > 0]), len(word)]
         self.parts, self.held, self.counted = [], 0, 0
@@ -268,32 +280,80 @@ def flag_words(words: DataFrame) -> np.ndarray:
 
 
 def count_sides(texts: DataFrame, lexicon: Lexicon, wanted: np.ndarray) -> DataFrame:
-    """Neighbours of the ``wanted`` words of the dictionary by class. word (its
-    number), cells, ns: cell ``c`` counts class c behind the word, ``size + c``
-    class c before it, and ``2 * size`` the word behind itself. A word has a row
-    for each time a task hands its counts on."""
-    size = lexicon.size
+    """Neighbours of the words that get a class after the exchange, in three
+    kinds of rows. A word has a row for each time a task hands its counts on.
+
+    * ``word`` >= 0, cells, ns: a ``wanted`` word of the dictionary, by its
+      number. Cell ``c`` counts class c behind the word, ``size + c`` class c
+      before it, and ``2 * size`` the word behind itself;
+    * ``word`` -1, name, cells, ns: a word outside the dictionary that may have a
+      class. Cell ``k`` counts the dictionary's word k behind it and ``wide + k``
+      before it (``wide``: of neighbour_codes, which says what else k may be);
+    * ``word`` -2, name, cells, ns: such words one behind the other, with a space
+      between them. Cell 0 counts the places.
+
+    Further columns would cost more than all else on the way to Python."""
+    size, late, short = lexicon.size, lexicon.late, len(lexicon.words)
+    wide = short + 3
+
+    def some(word: np.ndarray, name: pa.Array, cells: pa.ListArray, ns: pa.ListArray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(word, pa.int32()), name, cells, ns], ["word", "name", "cells", "ns"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = Cells(2 * size + 1)
+        cells, chained = Cells(max(2 * size + 1, 2 * wide)), 0
+        seen: dict[bytes, int] = {}  # words outside the dictionary, numbered behind its words
+        chains: Counter = Counter()
 
         def told() -> Iterator[pa.RecordBatch]:
+            others = list(seen)
             for word, cell, n in cells.handed():
-                yield pa.RecordBatch.from_arrays([pa.array(word, pa.int32()), cell, n], ["word", "cells", "ns"])
+                k = int(np.searchsorted(word, short))
+                if k:
+                    yield some(word[:k], pa.nulls(k, pa.string()), cell[:k], n[:k])
+                if k < len(word):
+                    yield some(np.full(len(word) - k, -1), strings([others[i - short] for i in word[k:].tolist()]), cell[k:], n[k:])
+            if chains:
+                k = np.ones(len(chains), np.int64)
+                yield some(-2 * k, strings(list(chains)), lists(0 * k, k), lists(np.array(list(chains.values())), k))
+            seen.clear()
+            chains.clear()
 
         for _, part in blocks(batches):
-            x, ends, _ = lexicon.read(part)
+            x, ends, rest = lexicon.read(part, flagged=late)
             c, before = lexicon.classes(x, ends)
             c, before = np.where(c < 0, lexicon.rare, c), np.where(before < 0, lexicon.rare, before)
             i = np.flatnonzero((x >= 0) & wanted[x])  # never an end, so a word stands behind each
             behind = np.where(x[i + 1] == x[i], 2 * size, c[i + 1])
             j = i[np.r_[-1, x[:-1]][i] != x[i]]
             cells.add(np.r_[x[i], x[j]], np.r_[behind, size + before[j]])
-            if cells.full:
+            if late and rest:
+                at, number = np.flatnonzero(x == -1), np.where(x >= 0, x, short)
+                prior = np.r_[x[ends[0]], number[:-1]]
+                word = np.array([seen.setdefault(w, len(seen)) for w in rest])
+                follows = np.r_[False, np.diff(at) == 1]  # another such word
+                again = follows & np.r_[False, word[1:] == word[:-1]]
+                followed, twice = np.r_[follows[1:], False], np.r_[again[1:], False]
+                first = np.where(follows, np.where(again, short + 1, short + 2), prior[at])
+                then = np.where(followed, np.where(twice, short + 1, short + 2), number[at + 1])
+                cells.add(short + np.r_[word, word], np.r_[then, wide + first])
+                run = np.flatnonzero(follows | followed)
+                if len(run):
+                    lengths = np.diff(np.r_[np.flatnonzero(~follows[run]), len(run)])
+                    chains.update(map(b" ".join, split_lists([rest[k] for k in run.tolist()], lengths)))
+                    chained += len(run)
+            if cells.full() or len(seen) + chained > HELD:
                 yield from told()
+                chained = 0
         yield from told()
 
-    return texts.mapInArrow(count, "word int, cells array<int>, ns array<int>")
+    return texts.mapInArrow(count, "word int, name string, cells array<int>, ns array<int>")
+
+
+def neighbour_codes(of: np.ndarray, rare: int, size: int) -> np.ndarray:
+    """What stands beside a word outside the dictionary, by number: a class of
+    the dictionary's word of that number, the rare one behind these; then
+    ``size`` is the word itself and ``size + 1`` another such word."""
+    return np.r_[of, rare, size, size + 1].astype(np.int32)
 
 
 def best_classes(g: np.ndarray, classes: int, rare: int, word: np.ndarray, cell: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -319,10 +379,21 @@ def best_classes(g: np.ndarray, classes: int, rare: int, word: np.ndarray, cell:
     return gain.argmax(1)
 
 
-def words_together(rows: DataFrame) -> DataFrame:
-    """Rows of a word one behind the other in a partition. However often a word
-    was handed on, ``by_word`` holds each of its cells once."""
-    return rows.repartition("word").sortWithinPartitions("word")
+def words_together(sides: DataFrame) -> DataFrame:
+    """Rows of a word one behind the other in a partition: chains first, then
+    words outside the dictionary, then its own. However often a word was handed
+    on, ``by_word`` holds each of its cells once."""
+    return sides.repartition("word", "name").sortWithinPartitions("word", "name")
+
+
+def by_kind(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Parts of ``words_together``: (-2, chains), (-1, words outside the
+    dictionary), (0, its own words)."""
+    for batch in batches:
+        kind = np.clip(batch.column("word").to_numpy(), -2, 0)
+        bounds = [*np.flatnonzero(np.diff(kind, prepend=-9)).tolist(), len(kind)]
+        for k, e in zip(bounds, bounds[1:], strict=False):
+            yield int(kind[k]), batch.slice(k, e - k)
 
 
 def by_word(batches: Iterator[pa.RecordBatch], width: int, rows: int = 2000) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
@@ -350,105 +421,87 @@ def by_word(batches: Iterator[pa.RecordBatch], width: int, rows: int = 2000) ->
         yield names, word, cell, n
 
 
-def assign_classes(sides: DataFrame, g: np.ndarray, classes: int, rare: int) -> DataFrame:
-    """word, cls. ``sides``: of count_sides."""
-    size = len(g)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for names, word, cell, n in by_word(batches, 2 * size + 1):
-            cls = best_classes(g, classes, rare, word, cell, n)
-            yield pa.RecordBatch.from_arrays([names, pa.array(cls, pa.int32())], ["word", "cls"])
-
-    return words_together(sides).mapInArrow(assign, "word int, cls int")
+def assign_classes(sides: DataFrame, lexicon: Lexicon, g: np.ndarray, classes: int) -> DataFrame:
+    """word, cls of the words of the dictionary in ``sides``, of count_sides;
+    of those outside it with ``ENOUGH`` counts word -1, name, cells, ns, each
+    summed; of chains word -2, name, ns, summed too."""
+    size, rare, wide, enough = lexicon.size, lexicon.rare, len(lexicon.words) + 3, ENOUGH
+    names = ["word", "name", "cls", "cells", "ns"]
+    kinds = [pa.int32(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())]
 
+    def some(n: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(k, pa.nulls(n, kind)) for k, kind in zip(names, kinds, strict=True)], names)
 
-def count_open(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """What the whole text says about class bigrams once the dictionary's words
-    have their classes, in three kinds of rows:
-
-    * ``row`` -1, cells, sums: class bigrams with all other words in the rare class;
-    * ``row`` -2, word, cells, ns: a word outside the dictionary that may have
-      a class, for each time a task hands its counts on. Cell ``b * (size + 2) +
-      a`` counts class b before and a behind it; ``size`` is the word itself and
-      ``size + 1`` another such word;
-    * ``row`` >= 0, rest: a chain of such words, one behind the other."""
-    size, late = lexicon.size, lexicon.late
-    width = size + 2
-    names = ["row", "word", "cells", "ns", "sums", "rest"]
-    part_ints, whole, text = pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.string())
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kind, group in groupby(by_kind(batches), itemgetter(0)):
+            parts = (part for _, part in group)
+            named = (pa.RecordBatch.from_arrays([part.column(k) for k in ("name", "cells", "ns")], ["word", "cells", "ns"]) for part in parts)
+            if kind == -2:
+                for said, _, _, n in by_word(named, 1):
+                    k = np.ones(len(said), np.int64)
+                    yield some(len(said), word=pa.array(-2 * k, pa.int32()), name=said, ns=lists(n, k, pa.int64()))
+            elif kind == -1:
+                for said, word, cell, n in by_word(named, 2 * wide):
+                    keep = np.bincount(word, weights=n * (cell < wide), minlength=len(said)) >= enough
+                    cell, n, lengths = cell[keep[word]], n[keep[word]], np.bincount(word, minlength=len(said))[keep]
+                    yield some(len(lengths), word=pa.array(np.full(len(lengths), -1), pa.int32()), name=said.filter(pa.array(keep)), cells=lists(cell, lengths), ns=lists(n, lengths, pa.int64()))
+            else:
+                for said, word, cell, n in by_word(parts, 2 * size + 1):
+                    yield some(len(said), word=said, cls=pa.array(best_classes(g, classes, rare, word, cell, n), pa.int32()))
+
+    return words_together(sides).mapInArrow(assign, "word int, name string, cls int, cells array<int>, ns array<long>")
+
+
+def count_classes(texts: DataFrame, lexicon: Lexicon) -> np.ndarray:
+    """Class bigrams with all words outside the dictionary in the rare class."""
+    size = lexicon.size
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, row = np.zeros(size * size, np.int64), TaskContext.get().partitionId() << 40
-        seen: dict[bytes, int] = {}
-        cells = Cells(width * width)
-
-        def told() -> Iterator[pa.RecordBatch]:
-            others = list(seen)
-            for word, cell, n in cells.handed():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), -2)), strings([others[i] for i in word.tolist()]), cell, n, pa.nulls(len(word), whole), pa.nulls(len(word), text)], names)
-            seen.clear()
-
+        total = np.zeros(size * size, np.int64)
         for _, part in blocks(batches):
-            x, ends, rest = lexicon.read(part, flagged=late)
+            x, ends, _ = lexicon.read(part)
             c, before = lexicon.classes(x, ends)
             known, prior = np.where(c < 0, lexicon.rare, c), np.where(before < 0, lexicon.rare, before)
             total += np.bincount(prior * size + known, minlength=size * size)
-            if not (late and rest):
-                continue
-            at = np.flatnonzero(x == -1)
-            word = np.array([seen.setdefault(w, len(seen)) for w in rest])
-            follows = np.r_[False, np.diff(at) == 1]  # another such word
-            again = follows & np.r_[False, word[1:] == word[:-1]]
-            b = np.where(follows, np.where(again, size, size + 1), before[at])
-            followed, twice = np.r_[follows[1:], False], np.r_[again[1:], False]
-            a = np.where(followed, np.where(twice, size, size + 1), c[at + 1])
-            cells.add(word, b * width + a)
-            run = np.flatnonzero(follows | followed)
-            if len(run):
-                lengths = np.diff(np.r_[np.flatnonzero(~follows[run]), len(run)])
-                n = len(lengths)
-                chains = lists(strings([rest[i] for i in run.tolist()]), lengths)
-                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), pa.nulls(n, pa.string()), pa.nulls(n, part_ints), pa.nulls(n, part_ints), pa.nulls(n, whole), chains], names)
-                row += n
-            if cells.full or len(seen) > HELD:
-                yield from told()
-        yield from told()
         pair = np.flatnonzero(total)
         n = np.array([len(pair)])
-        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.nulls(1, pa.string()), lists(pair, n), pa.nulls(1, part_ints), lists(total[pair], n, pa.int64()), pa.nulls(1, text)], names)
+        yield pa.RecordBatch.from_arrays([lists(pair, n), lists(total[pair], n, pa.int64())], ["cells", "ns"])
 
-    return texts.mapInArrow(count, "row long, word string, cells array<int>, ns array<int>, sums array<long>, rest array<string>")
+    return sum_pairs(texts.mapInArrow(count, "cells array<int>, ns array<long>"), size)
 
 
-def assign_open(opened: DataFrame, g: np.ndarray, classes: int, rare: int) -> DataFrame:
-    """word, cls of the words outside the dictionary with ``ENOUGH`` counts;
-    rows without a word say in cells, ns how the class bigrams ``g``, in which
-    they are rare, change. Bigrams within chains are left as they are.
-    ``opened``: of count_open."""
-    size, enough = len(g), ENOUGH
-    width = size + 2
+def assign_open(sides: DataFrame, lexicon: Lexicon, g: np.ndarray, classes: int) -> DataFrame:
+    """word, cls of the words outside the dictionary; rows without a word say in
+    cells, ns how the class bigrams ``g``, in which they are rare, change.
+    Bigrams within chains are left as they are. ``sides``: such words' rows of
+    assign_classes; ``lexicon``: with the classes of the dictionary."""
+    size, rare, wide = lexicon.size, lexicon.rare, len(lexicon.words) + 3
+    codes = neighbour_codes(lexicon.cls, rare, size)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         change = np.zeros(size * size)
         kinds = pa.list_(pa.int32()), pa.list_(pa.int64())
-        for names, word, cell, n in by_word(batches, width * width):
-            keep = np.bincount(word, weights=n, minlength=len(names)) >= enough
-            word, cell, n = word[keep[word]], cell[keep[word]], n[keep[word]]
-            word = (np.cumsum(keep) - 1)[word]
-            b, a = cell // width, cell % width
-            first = b != size  # a word behind itself counts once
-            side = np.r_[np.where(a == size, 2 * size, np.where(a > size, rare, a)), size + np.where(b > size, rare, b)[first]]
-            key, at = np.unique(np.r_[word, word[first]] * (2 * size + 1) + side, return_inverse=True)
-            cls = best_classes(g, classes, rare, key // (2 * size + 1), key % (2 * size + 1), np.bincount(at, weights=np.r_[n, n[first]], minlength=len(key)))
-            own, x, y = cls[word], b < size, a < size
-            for pair, m in ((b * size + own, n * x), (b * size + rare, -n * x), (own * size + a, n * y), (rare * size + a, -n * y)):
-                change += np.bincount(np.where(m != 0, pair, 0), weights=m, minlength=size * size)
-            yield pa.RecordBatch.from_arrays([names.filter(pa.array(keep)), pa.array(cls, pa.int32()), pa.nulls(len(cls), kinds[0]), pa.nulls(len(cls), kinds[1])], ["word", "cls", "cells", "ns"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 2000):
+                part = whole.slice(k, 2000)
+                word = np.repeat(np.arange(part.num_rows), np.array(part.column("cells").value_lengths()))
+                cell, n = (np.array(part.column(c).flatten(), np.int64) for c in ("cells", "ns"))
+                behind, at = cell < wide, codes[cell % wide].astype(np.int64)
+                first = behind | (at != size)  # a word behind itself counts once
+                side = np.where(at > size, rare, at)
+                side = np.where(behind, np.where(at == size, 2 * size, side), size + side)
+                key, to = np.unique((word * (2 * size + 1) + side)[first], return_inverse=True)
+                cls = best_classes(g, classes, rare, key // (2 * size + 1), key % (2 * size + 1), np.bincount(to, weights=n[first], minlength=len(key)))
+                known = at < size
+                own, behind, at, n = cls[word][known], behind[known], at[known], n[known]
+                change += np.bincount(np.where(behind, own * size + at, at * size + own), weights=n, minlength=size * size)
+                change -= np.bincount(np.where(behind, rare * size + at, at * size + rare), weights=n, minlength=size * size)
+                yield pa.RecordBatch.from_arrays([part.column("name"), pa.array(cls, pa.int32()), pa.nulls(len(cls), kinds[0]), pa.nulls(len(cls), kinds[1])], ["word", "cls", "cells", "ns"])
         pair = np.flatnonzero(change)
         n = np.array([len(pair)])
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.int32()), lists(pair, n), lists(change[pair].astype(np.int64), n, pa.int64())], ["word", "cls", "cells", "ns"])
 
-    return words_together(opened.filter("row = -2").select("word", "cells", "ns")).mapInArrow(assign, "word string, cls int, cells array<int>, ns array<long>")
+    return sides.select("name", "cells", "ns").mapInArrow(assign, "word string, cls int, cells array<int>, ns array<long>")
 
 
 def look_up(parts: DataFrame, every: DataFrame) -> DataFrame:
@@ -475,24 +528,27 @@ def met(batch: pa.RecordBatch, rare: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return sizes, c[at], cls[at]
 
 
-def count_chains(opened: DataFrame, placed: DataFrame, rare: int, size: int) -> np.ndarray:
-    """How class bigrams within chains change. ``placed``: word, cls."""
+def count_chains(chains: DataFrame, placed: DataFrame, rare: int, size: int) -> np.ndarray:
+    """How class bigrams within chains change. ``chains``: name, ns, of
+    assign_classes; ``placed``: word, cls."""
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         change = np.zeros(size * size, np.int64)
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
-                sizes, _, cls = met(whole.slice(k, 512), rare)
+                part = whole.slice(k, 512)
+                sizes, _, cls = met(part, rare)
+                n = np.repeat(np.array(part.column("n"), np.int64), sizes)
                 inside = np.ones(len(cls), bool)
                 inside[np.cumsum(sizes) - 1] = False
                 i = np.flatnonzero(inside)
-                change += np.bincount(cls[i] * size + cls[i + 1], minlength=size * size)
-                change[rare * size + rare] -= len(i)
+                change += np.bincount(cls[i] * size + cls[i + 1], weights=n[i], minlength=size * size).astype(np.int64)
+                change[rare * size + rare] -= n[i].sum()
         pair = np.flatnonzero(change)
         n = np.array([len(pair)])
         yield pa.RecordBatch.from_arrays([lists(pair, n), lists(change[pair], n, pa.int64())], ["cells", "ns"])
 
-    chains = opened.filter("row >= 0").select("row", "rest")
+    chains = chains.select(F.col("name").alias("row"), F.split("name", " ").alias("rest"), F.element_at("ns", 1).alias("n"))
     found = look_up(chains, placed.withColumn("c", F.lit(0).cast("long")))
     return sum_pairs(found.mapInArrow(resolve, "cells array<int>, ns array<long>"), size)
 
@@ -593,24 +649,27 @@ def fit(texts: DataFrame) -> tuple[BrownModel, DataFrame]:
     wanted = np.r_[(of[: len(c)] == rare_class) & (c >= ENOUGH), np.zeros(int(not len(c)), bool)]
     late = frequent > int((c >= ENOUGH).sum())
     assigned = int(wanted.sum())
-    if assigned:
-        near = assign_classes(count_sides(texts, Lexicon(words, of, rare_class, end_class, size, False, np.zeros(1, np.uint64)), wanted), g, classes, rare_class).toArrow()
+    flags = flag_words(counts.filter((F.col("c") >= ENOUGH) & ~in_dictionary)) if late else np.zeros(1, np.uint64)
+    lexicon = Lexicon(words, of, rare_class, end_class, size, late, flags)
+    sides = None
+    if assigned or late:
+        sides = materialize(assign_classes(count_sides(texts, lexicon, wanted), lexicon, g, classes), "lm-sides")
+        near = sides.filter("word >= 0").select("word", "cls").toArrow()
         of = of.copy()
         of[near.column("word").to_numpy()] = near.column("cls").to_numpy()
+        lexicon = replace(lexicon, cls=of)
 
     # Then the words outside it.
-    flags = flag_words(counts.filter((F.col("c") >= ENOUGH) & ~in_dictionary)) if late else np.zeros(1, np.uint64)
-    lexicon = Lexicon(words, of, rare_class, end_class, size, late, flags)
     every = counts.withColumn("cls", F.lit(rare_class))
-    opened = materialize(count_open(texts, lexicon), "lm-open")
-    g = sum_pairs(opened.filter("row = -1").select("cells", F.col("sums").alias("ns")), size)
+    g = count_classes(texts, lexicon)
     if late:
-        told = materialize(assign_open(opened, g.astype(float), classes, rare_class), "word-classes")
+        told = materialize(assign_open(sides.filter("word = -1"), lexicon, g.astype(float), classes), "word-classes")
         placed = told.filter("word is not null").select("word", "cls")
         assigned += placed.count()
-        g = g + sum_pairs(told.filter("word is null"), size) + count_chains(opened, placed, rare_class, size)
+        g = g + sum_pairs(told.filter("word is null"), size) + count_chains(sides.filter("word = -2"), placed, rare_class, size)
         every = counts.join(placed, "word", "left").withColumn("cls", F.coalesce("cls", F.lit(rare_class)))
-    discard(opened)
+    if sides is not None:
+        discard(sides)
     g = g.astype(float)
     into = g.sum(0)
     share = (into + 1e-9) / (into + 1e-9).sum()

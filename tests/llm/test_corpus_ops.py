@@ -504,6 +504,55 @@ def test_words_outside_the_exchange_get_classes(spark, monkeypatch, dictionary):
     assert sum(model.emit[k] for w, k in model.lexicon.words.items() if known.get(w) == known[b"a1"]) <= 1 + 1e-9
 
 
+def test_rows_of_a_step_follow_the_texts_when_the_dictionary_is_outgrown(spark, monkeypatch):
+    """Five times the texts in five times the tasks; nearly all words with
+    enough counts are in the dictionary before, half of them afterwards."""
+    for name, value in (("CLUSTERED", 5), ("CLASSES", 2), ("DICTIONARY", 100)):
+        monkeypatch.setattr(brown, name, value)
+    r = np.random.default_rng(9)
+    said = [x for x in r.zipf(2, 1_100_000).tolist() if x < 10**9][:1_000_000]
+    made, kind = defaultdict(list), type(spark.range(1))
+    run = kind.mapInArrow
+
+    def counted(df, func, schema, *more):
+        out = run(df, func, schema, *more)
+        made[schema].append(out.count())
+        return out
+
+    monkeypatch.setattr(kind, "mapInArrow", counted)
+    seen = []
+    for parts in (4, 20):
+        made.clear()
+        texts = spark.createDataFrame([(" ".join(f"w{x}" for x in said[k : k + 100]),) for k in range(0, parts * 50_000, 100)], "text string")
+        model, _ = brown.fit(texts.repartition(parts))
+        seen.append(dict(made))
+        c = Counter(said[: parts * 50_000])
+        assert sum(n >= brown.ENOUGH for n in c.values()) > 100 and model.lexicon.late
+    few, many = seen
+    assert set(few) == set(many)
+    grown = {k: (few[k], many[k]) for k in few if any(y > max(1000, 12 * x) for x, y in zip(few[k], many[k], strict=True))}
+    assert not grown
+
+
+def test_counts_handed_on_often_give_the_same_classes(spark, monkeypatch):
+    monkeypatch.setattr(brown, "HELD", 20)
+    test_words_outside_the_exchange_get_classes(spark, monkeypatch, 60)
+
+
+def test_cells_are_summed_before_they_are_handed_on(monkeypatch):
+    monkeypatch.setattr(brown, "HELD_CELLS", 40)
+    r, cells, want, got, full = np.random.default_rng(1), brown.Cells(5), Counter(), Counter(), []
+    for kinds in [20] * 10 + [100] * 10:  # 20 cells find room, 100 don't
+        key = r.integers(0, kinds, 50)
+        want.update(key.tolist())
+        cells.add(key // 5, key % 5)
+        full.append(cells.full())
+        for word, cell, n in cells.handed() if full[-1] or len(full) == 20 else ():
+            for w, c, m in zip(word.tolist(), cell.to_pylist(), n.to_pylist(), strict=True):
+                got.update({w * 5 + k: x for k, x in zip(c, m, strict=True)})
+    assert got == want and not any(full[:10]) and any(full[10:])
+
+
 @pytest.mark.parametrize("rows", [1, 3, 100])
 def test_counts_of_a_word_meet_across_batches(rows):
     told = [(w, [c, c + 1], [1, k]) for k, (w, c) in enumerate([("a", 0), ("a", 1), ("a", 1), ("b", 2), ("c", 0), ("c", 5), ("d", 1)])]
