@@ -99,8 +99,9 @@ def reconcile(desired: DataFrame, stored: DataFrame) -> DataFrame:
     return both.withColumn("change", change)
 
 
-def resegment(nodes: DataFrame, stored: DataFrame) -> DataFrame:
-    """The stored segments after their tree was edited and written again.
+def resegment(nodes: DataFrame, stored: DataFrame, limit: int = MAX_SEGMENT_CHARS) -> DataFrame:
+    """The stored segments after their tree was edited and written again, cut at
+    the ``limit`` that they were built with.
 
     ``nodes``: the edited tree, numbered (``tree.renumber``), with heading
     paths; ``stored``: segments as rows of doc_id, id, ordinal, status and
@@ -108,7 +109,7 @@ def resegment(nodes: DataFrame, stored: DataFrame) -> DataFrame:
     place, kind and heading path that it has now; a new one is pending, its
     other columns null; segments whose text is gone are dropped. Documents that
     ``nodes`` doesn't hold stay as they are."""
-    fresh = build_segments(nodes)
+    fresh = build_segments(nodes, limit)
     placed = [c for c in ("node_id", "pos", "kind", "heading_path", "part", "parts", "ordinal", "source_text") if c in stored.columns]
     new = fresh.select("doc_id", "id", *[F.col(c).cast(stored.schema[c].dataType).alias(f"_{c}") for c in placed], F.lit(True).alias("_there")).dropDuplicates(["doc_id", "id"])
     old = stored.withColumn("_known", F.lit(True))

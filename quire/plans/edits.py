@@ -13,6 +13,9 @@ from quire.plans.common import LINES, NODES, PATHS, documents, table
 from quire.plans.glossary import _ACRONYMS
 from quire.sources.presets import builtin_presets
 
+#: A limit that no text exceeds: every line is one segment.
+WHOLE = 2**31 - 1
+
 
 def _siblings(spark: SparkSession, sf: str) -> DataFrame:
     """A document's lines as children of one place."""
@@ -145,11 +148,11 @@ def q86_edit_nested_trees(spark: SparkSession, sf: str) -> DataFrame:
 def q87_resegment_edits(spark: SparkSession, sf: str) -> DataFrame:
     """The segments after the edits and after every tenth line was rewritten:
     those that are kept keep their work and take their new place and headings."""
-    before = segments.build_segments(tree.heading_paths(tree.renumber(_nested(spark, sf)), levels=3), limit=1_000_000)
+    before = segments.build_segments(tree.heading_paths(tree.renumber(_nested(spark, sf)), levels=3), limit=WHOLE)
     stored = before.select("doc_id", "id", "node_id", "ordinal", "source_text", "heading_path", F.lit("translated").alias("status"), F.concat(F.lit("[fa] "), "source_text").alias("target_text"))
     text = F.when(F.col("line_no") % 10 == 3, F.concat(F.lit("Edited. "), F.col("text"))).otherwise(F.col("text"))
     after = tree.heading_paths(_edited(spark, sf).withColumn("text", text), levels=3)
-    out = segments.resegment(after.drop("parts"), stored)
+    out = segments.resegment(after.drop("parts"), stored, limit=WHOLE)
     return out.select("doc_id", "node_id", "ordinal", "status", F.array_join("heading_path", " › ").alias("heading_path"), F.md5(F.coalesce("target_text", F.lit("")).cast("binary")).alias("target_md5"))
 
 

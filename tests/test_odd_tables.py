@@ -27,3 +27,9 @@ def equals_sql(spark, tmp_path):
 def test_references_without_semicolon(equals_sql):
     pages = [(1, "<body><h1>A &amp; B &amp;&amp</h1><ul><li>c &quo</li><li>d &lt;&am</li></ul></body>"), (2, "<h2>x &amp y &#x27;</h2>")]
     assert len(equals_sql("q36_html_nodes", "pages", pages, "page_id long, html string")) == 2
+
+
+def test_long_lines_are_one_segment(equals_sql):
+    lines = ["Short. Line.", "Some words. " * 500, "x", "More of it. " * 400, "", "y", "End. " * 1000]
+    got = equals_sql("q87_resegment_edits", "documents", [(1, "\n".join(lines), "a"), (7, lines[1], "b")], DOCUMENTS)
+    assert set(got["status"]) == {"translated", "pending"}
