@@ -3,6 +3,8 @@ decisions and upserts. The key of a collection (a book, a source) is generic."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -11,7 +13,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from quire.functions.storage import saved
 from quire.functions.text import trim_all
@@ -28,6 +30,7 @@ PHRASE = r"(?U)\b(?:[A-Z][a-z]+\s+)+[A-Z][a-z]+\b"
 ACRONYM = r"(?U)(?<![A-Z])(?:[A-Z]{2,}(?:/[A-Z]+)+|[A-Z](?:\.[A-Z])+\.?|[A-Z]{2,})\b"
 IDENTIFIER = r"(?U)\b(?:[a-z]+[A-Z][a-zA-Z]*|[a-z]+(?:_[a-z]+)+|[A-Za-z_]\w*\.[\w.]+)\b"
 WORD = r"[A-Za-z][A-Za-z0-9'’-]*"
+WORDS, _STOPS = re.compile(WORD), frozenset(STOPWORDS)
 MIN_LENGTH, MIN_COUNT, MOST = 3, 2, 400
 #: Characters of a suffix that are sorted.
 HEAD = 64
@@ -36,6 +39,8 @@ HEAD = 64
 #: Characters of terms in one automaton, which takes about 100 bytes for each,
 #: and of texts that are dealt to one group.
 TERM_CHARS, TEXT_CHARS = 1 << 20, 8 << 20
+#: Different windows that a task counts before it hands them on, about 120 bytes each.
+HELD = 1 << 18
 #: Most collections whose sizes are broadcast.
 MOST_KEYS = 100_000
 
@@ -164,45 +169,102 @@ def code_identifiers(df: DataFrame, key: str, text: str = "text", kinds: tuple[s
     return _count(df if kinds is None else df.filter(F.col("kind").isin(*kinds)), key, identifier_terms(F.col(text)))
 
 
-def _with_grams(df: DataFrame, text: str) -> tuple[DataFrame, Column]:
-    """The rows with some columns more, and an array over these: adjacent words,
-    2 to 4, without stop words. (To explode a plain column of it would let the
-    optimizer repeat the whole chain in a filter.)
+def windows(text: str) -> list[str]:
+    """For each word of a text that another follows, these and up to two words
+    more; none of them a stop word."""
+    found, run = [], []
+    for word in [*WORDS.findall(text), STOPWORDS[0]]:
+        if word not in _STOPS and word.lower() not in _STOPS:
+            run.append(word)
+            continue
+        for at in range(len(run) - 1):
+            found.append(" ".join(run[at : at + 4]))
+        run = []
+    return found
+
+
+def _repeated(batches: Iterator[pa.RecordBatch], key: str, least: int) -> Iterator[pa.RecordBatch]:
+    """Of sorted windows, the first 2, 3 and 4 words that stand ``least`` times:
+    windows that begin alike follow each other, so three counts are held."""
+    heads, counts, now, kind = [None] * 3, [0] * 3, None, None
+    out: list[tuple] = []
+
+    def close(length: int) -> None:
+        for j in range(length, 3):
+            if heads[j] is not None and counts[j] >= least and len(heads[j]) > MIN_LENGTH:
+                out.append((now, heads[j], counts[j]))
+            heads[j], counts[j] = None, 0
 
-    Stop words are null, so a gram over one is null; each length comes from the
-    one before it and the word behind."""
-    words = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.when(~F.lower(w).isin(*STOPWORDS), w))
-    out, grams = df.withColumn("_w", words), "_w"
-    for n in (2, 3, 4):
-        longer = F.zip_with(F.col(grams), F.slice("_w", n, F.greatest(F.size("_w"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
-        out, grams = out.withColumn(f"_g{n}", longer), f"_g{n}"
-    return out, F.filter(F.concat("_g2", "_g3", "_g4"), lambda g: g.isNotNull() & (F.length(g) >= MIN_LENGTH + 1))
+    def rows() -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [(), (), ()]
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, pa.string(), pa.int64()), strict=True)], names=[key, "term", "n"])
+
+    for batch in batches:
+        kind = batch.schema.field(key).type
+        for k, window, n in zip(batch[key].to_pylist(), batch["window"].to_pylist(), batch["n"].to_pylist(), strict=True):
+            if k != now:
+                close(0)
+                now = k
+            words = window.split(" ")
+            head = words[0]
+            for j, word in enumerate(words[1:]):
+                head = f"{head} {word}"
+                if head != heads[j]:
+                    close(j)
+                    heads[j] = head
+                counts[j] += n
+        yield rows()
+    if kind is not None:
+        close(0)
+        yield rows()
+
+
+def _gram_counts(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
+    """key, term, n: n-grams that stand ``least`` times in a collection.
+
+    Each place of a text is one row of up to four words, and not one for each
+    n-gram that begins there. Rows of a collection that share their first two
+    words meet in one partition; sorted there, they are counted as they pass."""
+    kind = df.schema[key].dataType
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: dict[object, Counter] = {}
+            for at, (k, found) in enumerate(zip(batch[key].to_pylist(), batch["text"].to_pylist(), strict=True), 1):
+                held.setdefault(k, Counter()).update(windows(found or ""))
+                if at == len(batch) or sum(map(len, held.values())) > HELD:
+                    for name, counter in held.items():
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(counter), batch.schema.field(key).type), pa.array(counter.keys(), pa.string()), pa.array(counter.values(), pa.int32())], names=[key, "window", "n"])
+                    held = {}
+
+    schema = lambda fields: StructType([StructField(key, kind), *StructType.fromDDL(fields)])
+    places = df.select(key, F.col(text).alias("text")).mapInArrow(cut, schema("window string, n int"))
+    dealt = places.repartition(key, F.substring_index("window", " ", 2)).sortWithinPartitions(key, "window")
+    return dealt.mapInArrow(lambda batches: _repeated(batches, key, least), schema("term string, n long"))
 
 
 def ngrams(df: DataFrame, key: str, text: str = "text", least: int = MIN_COUNT) -> DataFrame:
     """Adjacent words, 2 to 4, without stop words, that repeat."""
-    rows, grams = _with_grams(df.select(key, text), text)
-    return _count(rows, key, grams).filter(F.col("count") >= least)
+    return _gram_counts(df, key, text, least).withColumnRenamed("n", "count")
 
 
 def mine(df: DataFrame, key: str, text: str = "text", least: int = MIN_COUNT) -> DataFrame:
     """One row per term of any heuristic: key, term, count, reason. The largest
-    count decides; ties go to the earlier heuristic. All heuristics read a text
-    in one scan; a digit before each term says whose it is, so that one
-    aggregation counts them all, and only terms that are left meet again."""
+    count decides; ties go to the earlier heuristic. One aggregation adds up the
+    counts of all heuristics; n-grams come to it counted."""
     reasons = F.array(*map(F.lit, ("capitalized_phrase", "acronym", "code_span", "rare_ngram")))
-    read, grams = _with_grams(df.select(key, F.col(text).alias("_text")), "_text")
-    found = (phrase_terms(F.col("_text")), acronym_terms(F.col("_text")), identifier_terms(F.col("_text")), grams)
-
-    def told(terms: Column, rank: int) -> Column:
-        return F.coalesce(F.transform(terms, lambda t: F.concat(F.lit(str(rank)), t)), F.array().cast("array<string>"))
-
-    rows = read.select(key, F.explode(F.concat(*[told(c, k) for k, c in enumerate(found)])).alias("told")).filter(F.length("told") > MIN_LENGTH)
-    counts = rows.groupBy(key, "told").agg(F.count(F.lit(1)).alias("count")).filter((F.col("count") >= least) | ~F.startswith("told", F.lit("3")))
-    rank = F.substring("told", 1, 1).cast("int")
-    each = counts.select(key, F.expr("substring(told, 2)").alias("term"), F.struct("count", (-rank).alias("rank")).alias("c"))
-    best = each.groupBy(key, "term").agg(F.max("c").alias("c"))
-    return best.select(key, "term", "c.count", F.element_at(reasons, 1 - F.col("c.rank")).alias("reason"))
+
+    def found(terms: Column, rank: int) -> Column:
+        return F.transform(F.coalesce(terms, F.array().cast("array<string>")), lambda t: F.struct(t.alias("term"), F.lit(rank).alias("rank")))
+
+    every = F.concat(*[found(terms(F.col(text)), k) for k, terms in enumerate((phrase_terms, acronym_terms, identifier_terms))])
+    told = df.select(key, F.explode(every).alias("t")).select(key, "t.term", "t.rank", F.lit(1).cast("long").alias("n")).filter(F.length("term") >= MIN_LENGTH)
+    counts = told.unionByName(_gram_counts(df, key, text, least).withColumn("rank", F.lit(3)))
+    sums = counts.groupBy(key, "term").agg(*[F.sum(F.when(F.col("rank") == k, F.col("n"))).alias(f"n{k}") for k in range(4)])
+    # Four times the count and what the rank leaves: one number to compare.
+    best = F.greatest(*[F.col(f"n{k}") * 4 + (3 - k) for k in range(4)]).alias("best")
+    return sums.select(key, "term", best).select(key, "term", F.expr("best div 4").alias("count"), F.element_at(reasons, (4 - F.col("best") % 4).cast("int")).alias("reason"))
 
 
 def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +102,19 @@ def test_mining_and_subsumption(spark):
     assert "Control Protocol" not in found
 
 
+def test_ngrams_are_counted_by_their_windows(spark, monkeypatch):
+    monkeypatch.setattr(G, "HELD", 3)
+    texts = [("a", "big cat sat, big cat sat. Big cat ran to big cat sat down"), ("a", "big cat's x1 y big cat-flap the big"), ("b", "big cat"), (None, "no one no one"), ("b", None)]
+    got = {(r.k, r.term): r["count"] for r in G.ngrams(spark.createDataFrame(texts, "k string, text string"), "k").collect()}
+    want = Counter()
+    for k, text in texts:
+        words = re.findall(G.WORD, text or "")
+        want.update((k, " ".join(words[i : i + n])) for n in (2, 3, 4) for i in range(len(words) - n + 1) if not {w.lower() for w in words[i : i + n]} & set(G.STOPWORDS))
+    assert got == {x: n for x, n in want.items() if n >= 2} and got[None, "no one"] == 2
+    # One row for each place of a text, not one for each n-gram.
+    assert len(G.windows("one two three four five the six")) == 4
+
+
 def test_qa_rules(spark):
     rows = [(1, "A long enough source 12.5", "  "), (2, "A long enough source 12.5", "short ≧3≨"), (3, "A long enough source 12.5", "A long enough target 12.5")]
     got = {r.i: (r.flags, r.status) for r in qa.run_qa(spark.createDataFrame(rows, "i int, source string, target string")).collect()}
