@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quire.functions.storage import saved
 from quire.functions.text import is_blank, node_id
@@ -11,6 +17,8 @@ from quire.functions.text import is_blank, node_id
 MAX_LEVEL = 6
 #: Rounds of doubling that see any tree of up to 2 ** ROUNDS levels.
 ROUNDS = 24
+#: Nodes of a document that one task numbers at once.
+MOST_NODES = 1 << 17
 
 
 def line_nodes(docs: DataFrame, heading: Column, level: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -84,20 +92,100 @@ def move_children(nodes: DataFrame, edits: DataFrame) -> DataFrame:
     return edited.withColumn("child_idx", F.row_number().over(order) - 1).drop("new_parent_id", "new_idx", "at")
 
 
+def _walk(rows: pa.Table, kept: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Whole documents, sorted by parent and place, in reading order."""
+    docs, ids, above = (rows[c].to_pylist() for c in ("doc_id", "node_id", "parent_id"))
+    known = {(d, n): k for k, (d, n) in enumerate(zip(docs, ids, strict=True))}
+    below: dict[int, list[int]] = {}
+    tops, place = [], [0] * len(ids)
+    for k, (d, parent) in enumerate(zip(docs, above, strict=True)):
+        if k and docs[k - 1] == d and above[k - 1] == parent:
+            place[k] = place[k - 1] + 1
+        up = None if parent is None else known.get((d, parent))
+        (tops if up is None else below.setdefault(up, [])).append(k)
+    seen, pos, document = 0, 0, object()
+    order, columns, held = [], ([], [], [], []), 0
+
+    def out() -> pa.RecordBatch:
+        columns_ = [rows[c].combine_chunks() for c in kept]
+        taken = [c.take(pa.array(order, pa.int64())) for c in columns_]
+        fresh = dict(zip(("child_idx", "pos", "depth", "ancestors"), columns, strict=True))
+        arrays = [pa.array(fresh[f.name], f.type) if f.name in fresh else taken[kept.index(f.name)].cast(f.type) for f in schema]
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+    for top in tops:
+        if docs[top] != document:
+            document, pos = docs[top], 0
+        stack: list[tuple[int, list[str]]] = [(top, [])]
+        while stack:
+            k, line = stack.pop()
+            order.append(k)
+            for values, value in zip(columns, (place[k], pos, len(line), line), strict=True):
+                values.append(value)
+            pos, seen, held = pos + 1, seen + 1, held + 1 + len(line)
+            if k in below:
+                inner = [*line, ids[k]]
+                stack += [(c, inner) for c in reversed(below[k])]
+            if held > 200_000:
+                yield out()
+                order, columns, held = [], ([], [], [], []), 0
+    if seen < len(ids):
+        raise ValueError("parents that lead in a circle")
+    if order:
+        yield out()
+
+
 def renumber(nodes: DataFrame) -> DataFrame:
     """Nodes in reading order again, after any edits of ``parent_id`` and
     ``child_idx``: adds or replaces ``pos`` (preorder place in the document, from
     0), ``depth`` (0 at the top), ``ancestors`` (ids above, outermost first) and
-    ``child_idx`` (0, 1, 2, ... among siblings; ties by id).
-
-    Each node's path (the child places from its top to itself) is put together
-    by pointer doubling: every round joins a node with the one its pointer has
-    reached and takes over that one's pointer and path, so a tree of d levels
-    needs log2(d) rounds, whatever its number of nodes. Nodes that have reached
-    the top leave the rounds. Paths in order are the preorder, as a path comes
-    before those it begins; one window a document numbers them. A node whose
-    parent isn't there is a top-level one, behind those of the top by its own
-    place; a circle of parents is an error."""
+    ``child_idx`` (0, 1, 2, ... among siblings; ties by id). A node whose parent
+    isn't there is a top-level one, behind those of the top by its own place; a
+    circle of parents is an error.
+
+    Documents are sorted by parent and place and walked as they pass, each from
+    its tops, by one shuffle. Those of more than ``MOST_NODES`` nodes, which a
+    task would hold at once, are numbered by pointer doubling instead."""
+    placed = saved(nodes.drop("pos", "depth", "ancestors"), "placed")
+    sizes = placed.groupBy("doc_id").count().filter(F.col("count") > MOST_NODES).select("doc_id")
+    kept = ["doc_id", "node_id", *[c for c in placed.columns if c not in ("doc_id", "node_id")]]
+    schema = StructType([*[placed.schema[c] for c in kept if c != "child_idx"], *StructType.fromDDL("child_idx int, pos int, depth int, ancestors array<string>")])
+    large = saved(sizes, "large")
+    if large.isEmpty():
+        return _walked(placed, schema)
+    small = _walked(placed.join(large, "doc_id", "left_anti"), schema)
+    return small.unionByName(_doubled(placed.join(large, "doc_id", "left_semi")))
+
+
+def _walked(placed: DataFrame, schema: StructType) -> DataFrame:
+    arrow, kept = to_arrow_schema(schema), [f.name for f in schema if f.name in placed.columns and f.name != "child_idx"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of documents that may go on
+        for batch in batches:
+            docs = batch["doc_id"]
+            if not len(batch):
+                continue
+            ends = pc.fill_null(pc.not_equal(docs.slice(1), docs.slice(0, len(docs) - 1)), True).to_pylist() if len(batch) > 1 else []
+            last = max((k + 1 for k, end in enumerate(ends) if end), default=0)
+            if last or (held and held[-1]["doc_id"][-1] != docs[0]):
+                yield from _walk(pa.Table.from_batches([*held, batch.slice(0, last)]), kept, arrow)
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield from _walk(pa.Table.from_batches(held), kept, arrow)
+
+    return placed.repartition("doc_id").sortWithinPartitions("doc_id", "parent_id", "child_idx", "node_id").mapInArrow(walk, schema)
+
+
+def _doubled(nodes: DataFrame) -> DataFrame:
+    """As ``renumber``, whatever a document's number of nodes: each node's path
+    (the child places from its top to itself) is put together by pointer
+    doubling. Every round joins a node with the one its pointer has reached and
+    takes over that one's pointer and path, so a tree of d levels needs log2(d)
+    rounds. Nodes that have reached the top leave the rounds. Paths in order are
+    the preorder, as a path comes before those it begins; one window a document
+    numbers them."""
     siblings = Window.partitionBy("doc_id", "parent_id").orderBy("child_idx", "node_id")
     placed = saved(nodes.withColumn("child_idx", (F.row_number().over(siblings) - 1).cast("int")), "placed")
     exists = placed.select("doc_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("_known"))

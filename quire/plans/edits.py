@@ -133,9 +133,14 @@ def _nested(spark: SparkSession, sf: str) -> DataFrame:
     return lines.select("doc_id", "line_no", name(F.col("line_no")).alias("node_id"), F.when(F.col("line_no") > 0, name(above)).alias("parent_id"), F.col("line_no").alias("child_idx"), "text", F.when(size % 5 == 0, "heading").otherwise("paragraph").alias("kind"), F.when(size % 5 == 0, 1 + size % 3).alias("level"))
 
 
+def _bare(spark: SparkSession, sf: str) -> DataFrame:
+    """That tree without its texts, which no edit of places needs."""
+    return _nested(spark, sf).select("doc_id", "line_no", "node_id", "parent_id", "child_idx")
+
+
 def _edited(spark: SparkSession, sf: str) -> DataFrame:
-    """The tree after lines were moved in and out and parts of it deleted."""
-    n = _nested(spark, sf)
+    """The bare tree after lines were moved in and out and parts of it deleted."""
+    n = _bare(spark, sf)
     chosen = lambda rule: n.filter(rule).select("doc_id", "node_id")
     moved = tree.outdent_nodes(tree.indent_nodes(n, chosen("line_no % 6 = 4")), chosen("line_no % 10 = 7"))
     return tree.renumber(tree.delete_subtrees(tree.renumber(moved), chosen("line_no % 16 = 12")))
@@ -148,10 +153,11 @@ def q86_edit_nested_trees(spark: SparkSession, sf: str) -> DataFrame:
 def q87_resegment_edits(spark: SparkSession, sf: str) -> DataFrame:
     """The segments after the edits and after every tenth line was rewritten:
     those that are kept keep their work and take their new place and headings."""
-    before = segments.build_segments(tree.heading_paths(tree.renumber(_nested(spark, sf)), levels=3), limit=WHOLE)
+    lines = _nested(spark, sf).select("doc_id", "node_id", "text", "kind", "level")
+    before = segments.build_segments(tree.heading_paths(tree.renumber(_bare(spark, sf)).join(lines, ["doc_id", "node_id"]), levels=3), limit=WHOLE)
     stored = before.select("doc_id", "id", "node_id", "ordinal", "source_text", "heading_path", F.lit("translated").alias("status"), F.concat(F.lit("[fa] "), "source_text").alias("target_text"))
     text = F.when(F.col("line_no") % 10 == 3, F.concat(F.lit("Edited. "), F.col("text"))).otherwise(F.col("text"))
-    after = tree.heading_paths(_edited(spark, sf).withColumn("text", text), levels=3)
+    after = tree.heading_paths(_edited(spark, sf).join(lines, ["doc_id", "node_id"]).withColumn("text", text), levels=3)
     out = segments.resegment(after.drop("parts"), stored, limit=WHOLE)
     return out.select("doc_id", "node_id", "ordinal", "status", F.array_join("heading_path", " › ").alias("heading_path"), F.md5(F.coalesce("target_text", F.lit("")).cast("binary")).alias("target_md5"))
 

@@ -10,6 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions import storage
 from quire.operators import agents, glossary, requests, segments, store, tree
 from quire.streaming import runs, stateful
 
@@ -161,6 +162,23 @@ def test_renumber_is_a_depth_first_walk(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("most", [0, 3, 100])
+def test_renumber_is_the_same_by_walk_and_by_doubling(spark, monkeypatch, most):
+    monkeypatch.setattr(tree, "MOST_NODES", most)
+    rows = [(d, f"n{k}", None if k == 0 else f"n{k & (k - 1)}" if k % 4 else "gone", -k, float(k)) for d in range(4) for k in range(2 * d + 1)]
+    nodes = spark.createDataFrame(rows, "doc_id int, node_id string, parent_id string, child_idx int, x double")
+    got = {(r.doc_id, r.node_id): (r.pos, r.depth, r.child_idx, r.ancestors, r.x) for r in tree.renumber(nodes).collect()}
+    assert len(got) == len(rows) and [got[3, f"n{k}"] for k in (0, 2, 3, 1, 6, 5, 4)] == [(0, 0, 0, [], 0.0), (1, 1, 0, ["n0"], 2.0), (2, 2, 0, ["n0", "n2"], 3.0), (3, 1, 1, ["n0"], 1.0), (5, 1, 0, ["n4"], 6.0), (6, 1, 1, ["n4"], 5.0), (4, 0, 0, [], 4.0)]
+
+
+def test_a_walk_leaves_few_bytes(spark):
+    """A renumbering saves the nodes once, and no rounds of paths beside them."""
+    before = len(storage._WRITTEN)
+    rows = [(1, f"n{k}", f"n{k - 1}" if k else None, 0) for k in range(40)]
+    assert tree.renumber(spark.createDataFrame(rows, "doc_id int, node_id string, parent_id string, child_idx int")).count() == 40
+    assert len(storage._WRITTEN) - before <= 2
+
+
 def test_renumber_of_odd_trees(spark):
     kinds = "doc_id int, node_id string, parent_id string, child_idx int"
     lost = spark.createDataFrame([(1, "a", None, 0), (1, "b", "gone", 0), (1, "c", "b", 0), (2, "a", "a2", 1)], kinds)
