@@ -6,10 +6,11 @@ import html
 import io
 import re
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -307,13 +308,16 @@ def epub_books(chapters: DataFrame, lang: str, css: str) -> DataFrame:
     """One row per book: doc_id, n_chapters, epub. ``chapters``: doc_id (string),
     chapter_no, title, body. A book's chapters are one group: as large as a book."""
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chapter_no")
-        parts = list(zip(pdf["title"], pdf["body"], strict=True))
-        doc = pdf["doc_id"].iloc[0]
-        return pd.DataFrame({"doc_id": [doc], "n_chapters": [len(parts)], "epub": [epub_file(parts[0][0], lang, parts, css, f"quire-{doc}")]})
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                part = batch.slice(at, 64)
+                docs, books = part["doc_id"].to_pylist(), part["parts"].to_pylist()
+                files = [epub_file(parts[0]["title"], lang, [(x["title"], x["body"]) for x in parts], css, f"quire-{doc}") for doc, parts in zip(docs, books, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.string()), pa.array(map(len, books), pa.int32()), pa.array(files, pa.binary())], names=["doc_id", "n_chapters", "epub"])
 
-    return chapters.select("doc_id", "chapter_no", "title", "body").groupBy("doc_id").applyInPandas(build, "doc_id string, n_chapters int, epub binary")
+    parts = F.array_sort(F.collect_list(F.struct("chapter_no", "title", "body")))
+    return chapters.groupBy("doc_id").agg(parts.alias("parts")).mapInArrow(build, "doc_id string, n_chapters int, epub binary")
 
 
 def figure_xhtml(paths: Column, alts: Column, caption: Column, width_ratio: Column) -> Column:

@@ -115,6 +115,14 @@ def test_ngrams_are_counted_by_their_windows(spark, monkeypatch):
     assert len(G.windows("one two three four five the six")) == 4
 
 
+def test_books_of_a_batch_need_no_frame_each(spark):
+    rows = [(f"d{k}", n, f"t{n}", f"<p>{k} {n}</p>") for k in range(70) for n in (2, 10, 1)]
+    books = render.epub_books(spark.createDataFrame(rows, "doc_id string, chapter_no int, title string, body string"), "en", "")
+    assert "FlatMapGroups" not in books._jdf.queryExecution().toString()
+    got = {r.doc_id: [b["text"] for b in blocks.epub_blocks(bytes(r.epub))] for r in books.collect()}
+    assert got == {f"d{k}": [f"{k} 1", f"{k} 2", f"{k} 10"] for k in range(70)}
+
+
 def test_qa_rules(spark):
     rows = [(1, "A long enough source 12.5", "  "), (2, "A long enough source 12.5", "short ≧3≨"), (3, "A long enough source 12.5", "A long enough target 12.5")]
     got = {r.i: (r.flags, r.status) for r in qa.run_qa(spark.createDataFrame(rows, "i int, source string, target string")).collect()}
